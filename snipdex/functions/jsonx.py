@@ -22,10 +22,7 @@ def entries(doc: Column) -> Column:
 
 def field(doc: Column, name: str) -> Column:
     """Top-level member by name, ignoring case; an exact match wins."""
-    pairs = F.map_entries(entries(doc))
-    exact = F.filter(pairs, lambda e: e["key"] == name)
-    loose = F.filter(pairs, lambda e: F.lower(e["key"]) == name.lower())
-    return F.coalesce(F.get(exact, F.lit(0))["value"], F.get(loose, F.lit(0))["value"])
+    return lookup(entries(doc), name)
 
 
 def array_length(doc: Column, path: str) -> Column:
@@ -59,7 +56,16 @@ def remove_key(doc: Column, key: str) -> Column:
 
 
 def is_valid(doc: Column) -> Column:
-    return F.try_parse_json(doc).isNotNull()
+    """Exactly one JSON value.
+
+    The parser stops after the first value and ignores what follows.  Inside an array and
+    inside an object the rest of the text would break the wrapper or add a second element.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), doc, F.lit("}")))
+    one = F.try_variant_get(in_array, "$[0]", "variant").isNotNull()
+    more = F.try_variant_get(in_array, "$[1]", "variant").isNotNull()
+    return F.coalesce(one & ~more & in_object.isNotNull(), F.lit(False))
 
 
 def type_at(doc: Column, path: str = "$") -> Column:
@@ -105,3 +111,11 @@ def depth(doc: Column) -> Column:
         return F.struct(level.alias("level"), F.greatest(acc["top"], level).alias("top"))
 
     return F.aggregate(marks, start, step, lambda acc: acc["top"])
+
+
+def lookup(members: Column, name: str) -> Column:
+    """Value of a map by key, ignoring case; an exact match wins."""
+    pairs = F.map_entries(members)
+    exact = F.filter(pairs, lambda e: e["key"] == name)
+    loose = F.filter(pairs, lambda e: F.lower(e["key"]) == name.lower())
+    return F.coalesce(F.get(exact, F.lit(0))["value"], F.get(loose, F.lit(0))["value"])
