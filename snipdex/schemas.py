@@ -67,5 +67,5 @@ LEGACY_CONFIG = (
     "watcherConfig:struct<fileExtensions:array<string>,excludeDirectories:array<string>,includeSubdirectories:boolean>,"
     "statistics:struct<totalFiles:int,indexedSnippets:int,lastIndexingDuration:string,lastUpdateTime:timestamp>,"
     "fileIndexDetails:array<struct<filePath:string,lastIndexed:timestamp,fileHash:string,snippetCount:int>>>>, "
-    "globalSettings map<string,string>"
+    "globalSettings map<string,variant>"
 )
