@@ -1 +1,107 @@
-"""Queries."""
+"""Change events: bursts, renames, states, retention; batch and streaming forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from snipdex.operators import sessions
+from snipdex.plans.catalog import query
+from snipdex.plans.domain import CHANGES_SQL, DAY_US, changes, changes_from, load, ts_text
+from snipdex.session import scratch_path
+from snipdex.streaming import changes as C
+from snipdex.streaming import lifecycle as L
+
+GAP_US = 6 * 3_600_000_000
+
+BURSTS_SQL = f"""{CHANGES_SQL},
+g AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM changes WINDOW w AS (PARTITION BY path ORDER BY event_time, event_id)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY event_time, event_id) AS burst FROM g),
+bursts AS (SELECT path, min(event_time) AS first_time, max(event_time) AS last_time, count(*) AS n_changes,
+  arg_max(change_type, (event_time, event_id)) AS change_type FROM n GROUP BY path, burst)"""
+
+
+@query(
+    "debounce_batch",
+    f"""WITH {BURSTS_SQL} SELECT path, epoch_us(first_time) AS first_us, epoch_us(last_time) AS last_us, n_changes, change_type FROM bursts""",
+)
+def debounce_batch(spark, sf_dir):
+    return sessions.debounce(changes(spark, sf_dir), GAP_US, DAY_US)
+
+
+@query(
+    "burst_action",
+    f"""WITH {BURSTS_SQL} SELECT change_type, CASE WHEN change_type = 'Deleted' THEN 'delete' ELSE 'update' END AS action,
+  count(*) AS bursts, sum(n_changes) AS n_changes FROM bursts GROUP BY 1, 2""",
+)
+def burst_action(spark, sf_dir):
+    bursts = C.burst_action(sessions.debounce(changes(spark, sf_dir), GAP_US, DAY_US))
+    return bursts.groupBy("change_type", "action").agg(F.count(F.lit(1)).alias("bursts"), F.sum("n_changes").alias("n_changes"))
+
+
+@query(
+    "rename_split",
+    f"""WITH {CHANGES_SQL} SELECT event_id, path, CASE WHEN change_type = 'Renamed' THEN 'Deleted' ELSE change_type END AS change_type FROM changes
+UNION ALL SELECT event_id, new_path, 'Created' FROM changes WHERE change_type = 'Renamed'""",
+)
+def rename_split(spark, sf_dir):
+    return C.split_renames(changes(spark, sf_dir)).select("event_id", "path", "change_type")
+
+
+@query(
+    "debounce_stream",
+    f"""WITH {BURSTS_SQL} SELECT path, strftime(first_time, '%Y-%m-%d %H:%M:%S.%f') AS first_time,
+  strftime(last_time, '%Y-%m-%d %H:%M:%S.%f') AS last_time, n_changes, change_type FROM bursts
+WHERE last_time + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(event_time)) FROM changes) - INTERVAL 10 MINUTE""",
+)
+def debounce_stream(spark, sf_dir):
+    """The bursts a stream over all events has given out at its end; open ones are still held."""
+    source = load(spark, sf_dir, "events")
+    # A pattern lets the source be one file or a folder of files.
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
+    bursts = C.debounce_stream(changes_from(stream), "6 hours", "10 minutes")
+    out = scratch_path(spark, "bursts")
+    run = bursts.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    rows = spark.read.schema(bursts.schema).parquet(out)
+    return rows.withColumns({c: ts_text(F.col(c)) for c in ("first_time", "last_time")})
+
+
+STATES_SQL = f"""{CHANGES_SQL}, s AS (SELECT path AS event_id, event_time, event_id AS n, path,
+  CASE change_type WHEN 'Created' THEN 'Pending' WHEN 'Modified' THEN 'Processing' WHEN 'Deleted' THEN 'Failed' ELSE 'Completed' END AS status FROM changes)"""
+
+
+def _states(spark, sf_dir):
+    """Change events as state reports; the path stands for the event id."""
+    kind = F.col("change_type")
+    status = F.when(kind == "Created", "Pending").when(kind == "Modified", "Processing").when(kind == "Deleted", "Failed").otherwise("Completed")
+    return changes(spark, sf_dir).select(F.col("path").alias("event_id"), "path", "event_time", status.alias("status"))
+
+
+@query(
+    "event_state",
+    f"""WITH {STATES_SQL} SELECT event_id, arg_max(status, event_time) AS status, count(*) FILTER (status = 'Failed') AS retry_count,
+  strftime(max(event_time), '%Y-%m-%d %H:%M:%S.%f') AS event_time FROM s GROUP BY event_id""",
+)
+def event_state(spark, sf_dir):
+    rows = L.latest_state(_states(spark, sf_dir))
+    return rows.select("event_id", "status", "retry_count", ts_text(F.col("event_time")).alias("event_time"))
+
+
+@query(
+    "event_dedup",
+    f"WITH {CHANGES_SQL} SELECT event_id, path FROM changes",
+)
+def event_dedup(spark, sf_dir):
+    """Every event arrives twice and is kept once."""
+    rows = changes(spark, sf_dir)
+    return C.drop_repeats(rows.unionByName(rows)).select("event_id", "path")
+
+
+@query(
+    "event_retention",
+    f"""WITH {STATES_SQL} SELECT event_id, status, strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time FROM s
+WHERE NOT (status IN ('Completed', 'Failed', 'Expired') AND event_time < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)""",
+)
+def event_retention(spark, sf_dir):
+    kept = L.retention(_states(spark, sf_dir), "2024-01-31", "7 days")
+    return kept.select("event_id", "status", ts_text(F.col("event_time")).alias("event_time"))

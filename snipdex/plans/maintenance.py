@@ -1 +1,172 @@
-"""Queries."""
+"""Index building, snapshots, replacement and presentation over files derived from documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from snipdex.functions import paths as P
+from snipdex.operators import embed as M
+from snipdex.operators import index as I
+from snipdex.operators import knn
+from snipdex.plans.catalog import query
+from snipdex.plans.domain import FILES_SQL, files
+from snipdex.plans.snippets import SNIPPETS_SQL, code_files
+from snipdex.plans.texts import TEXT_DIM, WHOLE, asked_vectors, embed_sql
+from snipdex.session import scratch_path
+from snipdex.sources.index_store import IndexStore
+
+COLLECTION_SQL = "'code_index_' || substr(sha256('/repo/' || library), 1, 8)"
+
+
+def _stamped(listing):
+    """Files with a modification time, one minute per document number."""
+    base = F.lit("2024-01-01").cast("timestamp")
+    return listing.withColumn("modified", base + F.make_dt_interval(mins=(F.col("doc_id") % 1000).cast("int")))
+
+
+def _old_snapshot(spark, sf_dir):
+    """An earlier state: every fifth file is not there yet, others have another or no hash, some are gone since."""
+    n = F.col("doc_id") % 5
+    rows = _stamped(files(spark, sf_dir)).filter(n != 4)
+    digest = F.sha2("text", 256)
+    old = F.when(n == 1, F.sha2(F.concat("text", F.lit("!")), 256)).when(n == 3, F.lit(None)).otherwise(digest)
+    seen = F.when(F.col("doc_id") % 2 == 0, F.col("modified")).otherwise(F.col("modified") - F.expr("INTERVAL 1 DAY"))
+    return rows.select("library", "root", "path", old.alias("content_hash"), seen.alias("last_indexed"))
+
+
+@query(
+    "snapshot_diff",
+    f"""WITH {FILES_SQL} SELECT library, path, CASE doc_id % 5 WHEN 4 THEN 'added' WHEN 2 THEN 'deleted' WHEN 1 THEN 'modified'
+  WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'unchanged' ELSE 'modified' END ELSE 'unchanged' END AS change FROM files""",
+)
+def snapshot_diff(spark, sf_dir):
+    new = I.file_snapshot(_stamped(files(spark, sf_dir)).filter("doc_id % 5 <> 2"))
+    return I.snapshot_diff(_old_snapshot(spark, sf_dir), new).drop("root")
+
+
+@query(
+    "replace_by_file",
+    f"""WITH {FILES_SQL} SELECT library, path, doc_id % 3 = 0 AS fresh FROM files WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 1)""",
+)
+def replace_by_file(spark, sf_dir):
+    """Every third file changes; of those the odd ones give no points any more."""
+    base = files(spark, sf_dir).select("doc_id", F.col("library").alias("collection"), F.col("path").alias("file_path"))
+    points = base.withColumn("fresh", F.lit(False))
+    changed = base.filter("doc_id % 3 = 0")
+    fresh = changed.filter("doc_id % 2 = 0").withColumn("fresh", F.lit(True))
+    rows = I.replace_by_file(points, changed, fresh)
+    return rows.select(F.col("collection").alias("library"), F.col("file_path").alias("path"), "fresh")
+
+
+@query("delete_by_file", f"WITH {FILES_SQL} SELECT library, path FROM files WHERE doc_id % 4 <> 1")
+def delete_by_file(spark, sf_dir):
+    base = files(spark, sf_dir).select("doc_id", F.col("library").alias("collection"), F.col("path").alias("file_path"))
+    rows = I.delete_by_file(base, base.filter("doc_id % 4 = 1"))
+    return rows.select(F.col("collection").alias("library"), F.col("file_path").alias("path"))
+
+
+@query(
+    "upsert_latest",
+    """WITH v AS (SELECT md5(text) AS content_id, doc_id, source, lang FROM documents)
+SELECT content_id, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source, arg_max(lang, doc_id) AS lang FROM v GROUP BY content_id""",
+)
+def upsert_latest(spark, sf_dir):
+    """Documents as points with their content as id: of exact copies the last one stays."""
+    rows = files(spark, sf_dir).select(F.md5("text").alias("content_id"), "doc_id", F.col("library").alias("source"), "lang")
+    return I.upsert_latest(rows, ["content_id"], ["doc_id"])
+
+
+@query(
+    "delete_points",
+    """SELECT doc_id, sha256(source || chr(1) || doc_id) AS point_id FROM documents WHERE n_chars >= 500""",
+)
+def delete_points(spark, sf_dir):
+    rows = files(spark, sf_dir).select("doc_id", "size", F.sha2(F.concat_ws("\u0001", "library", F.col("doc_id").cast("string")), 256).alias("point_id"))
+    return I.delete_points(rows, rows.filter("size < 500")).select("doc_id", "point_id")
+
+
+def _build(listing):
+    model = M.embedder("hashed_tokens", dim=TEXT_DIM)
+    return I.build_index(listing, model, TEXT_DIM, max_tokens=WHOLE, batch=200)
+
+
+POINT_ID_SQL = "sha256(collection || chr(1) || path || chr(1) || start_line || chr(1) || end_line || chr(1) || member_name)"
+
+
+@query(
+    "index_build",
+    f"""WITH {SNIPPETS_SQL}, p AS (SELECT *, {COLLECTION_SQL} AS collection FROM snippets)
+SELECT collection, path AS file_path, member_name, {POINT_ID_SQL} AS point_id, length(code) AS chars, true AS embed_ok, {TEXT_DIM} AS dim FROM p""",
+)
+def index_build(spark, sf_dir):
+    points = _build(code_files(spark, sf_dir))
+    return points.select(
+        "collection", "file_path", "member_name", "point_id", F.length("code").alias("chars"), "embed_ok", F.size("vector").alias("dim")
+    )
+
+
+@query(
+    "index_store",
+    f"""WITH {SNIPPETS_SQL}, p AS (SELECT *, {COLLECTION_SQL} AS collection FROM snippets)
+SELECT collection, count(*) AS points, {TEXT_DIM} AS dimension, 'green' AS status FROM p WHERE doc_id % 3 <> 1 GROUP BY collection""",
+)
+def index_store(spark, sf_dir):
+    """Build a stored index, then delete every third file and replace another third by itself."""
+    listing = code_files(spark, sf_dir)
+    store = IndexStore(spark, scratch_path(spark, "index"), buckets=4)
+    points = _build(listing)
+    store.build(points, scratch_path(spark, "b").rsplit("/", 1)[-1])
+    touched = listing.filter("doc_id % 3 <> 0")
+    keys = touched.select(P.collection_name(F.col("root")).alias("collection"), F.col("path").alias("file_path"))
+    fresh = _build(touched.filter("doc_id % 3 = 2"))
+    store.replace_files(keys, fresh, scratch_path(spark, "r").rsplit("/", 1)[-1])
+    return store.info()
+
+
+@query(
+    "incremental_rebuild",
+    f"""WITH {SNIPPETS_SQL} SELECT library, path AS file_path, member_name, start_line, end_line, md5(code) AS code_md5 FROM snippets WHERE doc_id % 5 <> 2""",
+)
+def incremental_rebuild(spark, sf_dir):
+    """From an index in which some files are missing, outdated or gone to the current one."""
+    current = _stamped(code_files(spark, sf_dir))
+    n = F.col("doc_id") % 5
+    outdated = F.when(n == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    before = current.filter(n != 4).withColumn("text", outdated)
+    # The first build is stored: the index it stands for is a table, not a plan to run again.
+    path = scratch_path(spark, "points")
+    _build(before).write.parquet(path)
+    points = spark.read.parquet(path)
+    old = I.file_snapshot(before).withColumnRenamed("modified", "last_indexed")
+    after = current.filter(n != 2)
+    rows = I.incremental_rebuild(points, old, after, _build)
+    names = current.select("library", P.collection_name(F.col("root")).alias("collection")).distinct()
+    return rows.join(names, "collection").select(
+        "library", "file_path", "member_name", "start_line", "end_line", F.md5("code").alias("code_md5")
+    )
+
+
+PRESENT_TEXTS = """SELECT 'd' AS kind, pid AS id, code AS text FROM p UNION ALL
+    SELECT 'q' AS kind, CAST(item_id AS VARCHAR) AS id, text FROM benchmark"""
+
+
+@query(
+    "search_present",
+    f"""WITH {SNIPPETS_SQL}, p AS (SELECT *, {POINT_ID_SQL} AS pid FROM (SELECT *, {COLLECTION_SQL} AS collection FROM snippets)),
+{embed_sql(PRESENT_TEXTS)},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, found) AS rank FROM pairs)
+SELECT CAST(r.query_id AS BIGINT) AS query_id, r.rank, printf('%.4f', r.score) AS score, substr(p.path, length('/repo/' || p.library) + 2) AS file,
+  p.start_line, p.end_line, concat_ws(' | ', nullif(p.namespace, ''), p.class_name, p.member_name) AS details
+FROM r JOIN p ON r.found = p.pid WHERE r.rank <= 3""",
+)
+def search_present(spark, sf_dir):
+    """Search the benchmark texts in the built index and show file, lines and names."""
+    model = M.embedder("hashed_tokens", dim=TEXT_DIM)
+    listing = code_files(spark, sf_dir)
+    path = scratch_path(spark, "points")
+    _build(listing).write.parquet(path)
+    points = spark.read.parquet(path).withColumn("vec_id", F.col("point_id"))
+    roots = listing.select(P.collection_name(F.col("root")).alias("collection"), "root").distinct()
+    hits = knn.knn_join(asked_vectors(spark, sf_dir, model), points.select("vec_id", "vector"), 3)
+    shown = I.present_hits(hits, points.join(roots, "collection"))
+    return shown.select("query_id", F.col("rank").cast("long").alias("rank"), "score", "file", "start_line", "end_line", "details")

@@ -178,41 +178,53 @@ def batch_assign(spark, sf_dir):
 
 
 TEXT_DIM = 64
+# No truncation: whole documents are compared.
+WHOLE = 1 << 30
 
-EMBED_SQL = f"""tok AS (
-  SELECT kind, id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM (
-    SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL
-    SELECT 'q' AS kind, item_id AS id, text FROM benchmark)),
+def embed_sql(texts: str) -> str:
+    """CTE `unit` (kind, id, slot, w) and `len2` (kind, id, n): hashed-token vectors as stored in 32 bits."""
+    return f"""tok AS (
+  SELECT kind, id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM ({texts})),
 slot AS (SELECT kind, id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {TEXT_DIM} AS slot,
                 CASE WHEN substr(md5(t), 9, 1) IN ('0','1','2','3','4','5','6','7') THEN 1.0 ELSE -1.0 END AS s
          FROM tok WHERE t <> ''),
 part AS (SELECT kind, id, slot, CAST(sum(s) AS DOUBLE) AS w FROM slot GROUP BY kind, id, slot),
 size AS (SELECT kind, id, sqrt(sum(w * w)) AS n FROM part GROUP BY kind, id),
-unit AS (SELECT p.kind, p.id, p.slot, p.w / s.n AS w FROM part p JOIN size s ON p.kind = s.kind AND p.id = s.id WHERE s.n > 0)"""
+unit AS (SELECT p.kind, p.id, p.slot, CAST(CAST(p.w / s.n AS FLOAT) AS DOUBLE) AS w
+         FROM part p JOIN size s ON p.kind = s.kind AND p.id = s.id WHERE s.n > 0),
+len2 AS (SELECT kind, id, sqrt(sum(w * w)) AS n FROM unit GROUP BY kind, id),
+pairs AS (SELECT q.id AS query_id, d.id AS found, round(sum(q.w * d.w) / max(a.n * b.n), 9) AS score
+  FROM unit q JOIN unit d ON q.slot = d.slot AND q.kind = 'q' AND d.kind = 'd'
+  JOIN len2 a ON a.kind = 'q' AND a.id = q.id JOIN len2 b ON b.kind = 'd' AND b.id = d.id GROUP BY q.id, d.id)"""
+
+
+DOCS_AND_ASKED = """SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL
+    SELECT 'q' AS kind, item_id AS id, text FROM benchmark"""
+
+
+def asked_vectors(spark, sf_dir, model):
+    asked = load(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = embed.embed(asked, "text", model, TEXT_DIM, batch=100, max_tokens=WHOLE)
+    return asked.select(F.col("item_id").alias("query_id"), F.col("vector").alias("q_vector"))
 
 
 @query(
     "text_search",
-    f"""WITH {EMBED_SQL},
-pairs AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.w * d.w), 6) AS score
-          FROM unit q JOIN unit d ON q.slot = d.slot WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY q.id, d.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs)
-SELECT query_id, rank, round(score, 4) AS score FROM r WHERE rank <= 5""",
+    f"""WITH {embed_sql(DOCS_AND_ASKED)},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, found) AS rank FROM pairs)
+SELECT query_id, rank, found AS doc_id, round(score, 6) AS score FROM r WHERE rank <= 5""",
 )
 def text_search(spark, sf_dir):
     """Embed whole documents and the benchmark texts, then find the best five documents per text."""
     model = embed.embedder("hashed_tokens", dim=TEXT_DIM)
-    whole = 1 << 30
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    points = embed.embed(docs, "text", model, TEXT_DIM, batch=100, max_tokens=whole)
-    asked = load(spark, sf_dir, "benchmark").select("item_id", "text")
-    asked = embed.embed(asked, "text", model, TEXT_DIM, batch=100, max_tokens=whole)
+    points = embed.embed(docs, "text", model, TEXT_DIM, batch=100, max_tokens=WHOLE)
     hits = knn.knn_join(
-        asked.select(F.col("item_id").alias("query_id"), F.col("vector").alias("q_vector")),
-        points.select(F.col("doc_id").alias("vec_id"), "vector"),
-        5,
+        asked_vectors(spark, sf_dir, model), points.select(F.col("doc_id").alias("vec_id"), "vector"), 5
+    )
+    return hits.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score")
     )
-    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @query(
