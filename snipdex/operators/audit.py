@@ -147,6 +147,11 @@ def audit_watch(configs: DataFrame, key: str = "config_id") -> DataFrame:
     return _report(configs, key, _watch_findings())
 
 
+def watch_is_valid() -> Column:
+    """True for a row without findings."""
+    return F.size(F.concat(*[f.cast(FINDINGS) for f in _watch_findings()])) == 0
+
+
 def _metadata_findings() -> list[Column]:
     kind, priority, tags, settings = (F.col(c) for c in ("project_type", "priority", "tags", "custom_settings"))
     filled = F.filter(tags, lambda t: ~_blank(t))
@@ -330,8 +335,7 @@ def apply_configs(current: DataFrame, wanted: DataFrame, key: str = "config_id",
     from snipdex.operators.registry import patch
 
     findings = audit_watch(wanted, key)
-    known = wanted.join(current.select(key), key, "left_semi")
-    accepted = known.join(findings.select(key).distinct(), key, "left_anti")
+    accepted = wanted.filter(watch_is_valid()).join(current.select(key), key, "left_semi")
     if validate_only:
         accepted = accepted.filter(F.lit(False))
     backup = current.join(accepted.select(key), key, "left_semi")

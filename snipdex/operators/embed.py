@@ -10,7 +10,6 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +42,27 @@ def embedder(name: str, **options) -> Embedder:
         raise ValueError(f"unknown embedder {name}; known: {sorted(_EMBEDDERS)}") from None
 
 
-@lru_cache(maxsize=1 << 17)
-def _token_slot(token: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) < 8 else -1.0
+CACHED_TOKENS = 1 << 17
 
 
 def hashed_tokens(dim: int = 64) -> Embedder:
     """A deterministic offline model: a signed, hashed bag of lower-cased words, unit length."""
+    slots: dict[str, tuple[int, float]] = {}
+
+    def slot_of(token: str) -> tuple[int, float]:
+        if token not in slots:
+            if len(slots) >= CACHED_TOKENS:
+                slots.clear()
+            digest = hashlib.md5(token.encode()).hexdigest()
+            slots[token] = int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) < 8 else -1.0
+        return slots[token]
 
     def run(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
             for token in re.split(r"[^\w]+", text.lower()):
                 if token:
-                    slot, sign = _token_slot(token, dim)
+                    slot, sign = slot_of(token)
                     out[row, slot] += sign
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(lengths > 0, lengths, 1.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snipdex.functions import paths as P
 from snipdex.operators import embed as M
 from snipdex.operators.extract import extract_snippets
+from snipdex.session import stored
 
 POINT_COLUMNS = [
     "collection", "point_id", "file_path", "namespace", "class_name", "member_name", "code",
@@ -108,7 +109,8 @@ def incremental_rebuild(points: DataFrame, old: DataFrame, files: DataFrame, bui
     size, modified), and `build` maps files to points.
     """
     current = files.withColumn("path", P.normalize_path(F.col("path")))
-    diff = snapshot_diff(old, file_snapshot(files)).filter("change <> 'unchanged'")
+    # Changed paths only, used twice below.
+    diff = stored(snapshot_diff(old, file_snapshot(files)).filter("change <> 'unchanged'"), "diff")
     touched = diff.filter("change <> 'deleted'").select("library", "path")
     fresh = build(current.join(touched, ["library", "path"], "left_semi"))
     gone = diff.select(P.collection_name(F.col("root")).alias("collection"), F.col("path").alias("file_path"))

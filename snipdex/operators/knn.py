@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 SCORE_PLACES = 9
 MAX_BROADCAST_QUERIES = 2048
 CELL_BYTES = 32 << 20
+MAX_FEW_SCOPES = 1 << 18
 
 
 def valid_vectors(df: DataFrame, column: str, dim: int) -> DataFrame:
@@ -122,11 +123,14 @@ def _by_broadcast(queries, rows, vectors, dim, k, threshold, scoped) -> DataFram
                 mask = usable & (scopes == scope) if scoped else usable
                 if not len(qids) or not mask.any():
                     continue
-                found = _best(q, matrix[mask], ids[mask], k, threshold)
-                if scope in best:
-                    found = tuple(np.concatenate(p) for p in zip(best[scope], found))
-                    found = _first_k(*found, k)
-                best[scope] = found
+                rows, names = matrix[mask], ids[mask]
+                step = max(1, CELL_BYTES // (8 * len(q)))
+                for start in range(0, len(rows), step):
+                    found = _best(q, rows[start : start + step], names[start : start + step], k, threshold)
+                    if scope in best:
+                        found = tuple(np.concatenate(p) for p in zip(best[scope], found))
+                        found = _first_k(*found, k)
+                    best[scope] = found
         for scope, (at, vids, scores) in best.items():
             qids = [shared.value[scope][0][i] for i in at]
             label = [scope] * len(qids) if scoped else None
@@ -136,29 +140,33 @@ def _by_broadcast(queries, rows, vectors, dim, k, threshold, scoped) -> DataFram
     return vectors.select(*columns).mapInArrow(run, schema)
 
 
-def _by_blocks(queries, vectors, dim, k, threshold, scoped, cell_rows) -> DataFrame:
-    """Best k of every pair of blocks; both sides are cut by a hash of their id."""
-    if not scoped:
-        queries = queries.withColumn("scope", F.lit(0))
-        vectors = vectors.withColumn("scope", F.lit(0))
-    schema = _hit_schema(queries, vectors, True)
+def _blocks_per_scope(df: DataFrame, name: str, cell_rows: int) -> DataFrame:
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int")
+    return df.groupBy("scope").agg(blocks.alias(name))
+
 
-    def block_count(df: DataFrame, name: str) -> DataFrame:
-        blocks = F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int")
-        return df.groupBy("scope").agg(blocks.alias(name))
+def _by_blocks(queries, vectors, dim, k, threshold, scoped, cell_rows, few_scopes=False) -> DataFrame:
+    """Best k of every pair of blocks; both sides are cut by a hash of their id.
 
-    grid = block_count(vectors, "v_blocks").join(block_count(queries, "q_blocks"), "scope")
-    placed_vectors = (
-        vectors.join(grid, "scope")
-        .withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).cast("int"))
-        .select("scope", "vb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"),
-                "vec_id", "vector")
+    `few_scopes` says that the number of scopes is bounded, so that their block counts may be
+    broadcast.
+    """
+    if scoped:
+        grid = _blocks_per_scope(vectors, "v_blocks", cell_rows).join(
+            _blocks_per_scope(queries, "q_blocks", cell_rows), "scope"
+        )
+        grid = F.broadcast(grid) if few_scopes else grid
+        vectors, queries = vectors.join(grid, "scope"), queries.join(grid, "scope")
+    else:
+        counts = {"v_blocks": vectors.count(), "q_blocks": queries.count()}
+        fixed = {n: F.lit(max(1, -(-c // cell_rows))) for n, c in counts.items()}
+        vectors, queries = (df.withColumns({"scope": F.lit(0), **fixed}) for df in (vectors, queries))
+    schema = _hit_schema(queries, vectors, True)
+    placed_vectors = vectors.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).cast("int")).select(
+        "scope", "vb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "vec_id", "vector"
     )
-    placed_queries = (
-        queries.join(grid, "scope")
-        .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
-        .select("scope", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"), "qb",
-                "query_id", "q_vector")
+    placed_queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int")).select(
+        "scope", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"), "qb", "query_id", "q_vector"
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -295,7 +303,8 @@ def knn_lsh(
     )
     size = cell_rows or max(1024, CELL_BYTES // (8 * dim))
     wanted = k + 1 if exclude_self else k
-    hits = _by_blocks(spread_q, spread_v, dim, wanted, None, True, size)
+    # At most tables * 2^bits buckets exist.
+    hits = _by_blocks(spread_q, spread_v, dim, wanted, None, True, size, few_scopes=tables << bits <= MAX_FEW_SCOPES)
     if exclude_self:
         hits = hits.filter(F.col("query_id") != F.col("vec_id"))
     # A pair that meets in several tables is scored each time; keep it once.

@@ -104,10 +104,14 @@ def merged_patterns(members: DataFrame, group: str, position: str) -> DataFrame:
     A pattern counts once per group before anything is gathered, so the result grows with the
     distinct patterns and not with the presets.
     """
-    rows = None
-    for kind in ("file_patterns", "exclude_patterns"):
-        part = members.select(group, F.col(position).alias("_pos"), F.lit(kind).alias("kind"), F.posexplode(kind).alias("_i", "pattern"))
-        rows = part if rows is None else rows.unionByName(part)
+    def listed(kind: str):
+        return F.transform(
+            F.coalesce(kind, F.array().cast("array<string>")),
+            lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("_i"), p.alias("pattern")),
+        )
+
+    both = F.concat(listed("file_patterns"), listed("exclude_patterns"))
+    rows = members.select(group, F.col(position).alias("_pos"), F.explode(both).alias("p")).select(group, "_pos", "p.*")
     return rows.groupBy(group, "kind", "pattern").agg(F.min(F.struct("_pos", "_i")).alias("first_seen"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
@@ -92,7 +92,10 @@ def structure_advice(many: int = MANY_FILES, large: int = LARGE_BYTES, logs: int
 
 
 def evidence_scores(files: DataFrame, group: str = "library") -> DataFrame:
-    """One row per library and project type with a score above 0, from a single pass."""
+    """One row per library with `scores`: the types with a score above 0, best first.
+
+    All measures come from one aggregation.  Equal scores keep the order of the evidence table.
+    """
     path = F.col("rel_path")
     ext, name, at_root = P.extension(path), P.file_name(path), ~path.contains("/")
     measures = []
@@ -103,55 +106,39 @@ def evidence_scores(files: DataFrame, group: str = "library") -> DataFrame:
             measures.append(F.bool_or(at_root & name.isin(names)).alias(f"{kind}_root{n}"))
         measures.append(F.count_if(ext.isin(rules["share"][0])).alias(f"{kind}_n"))
     wide = files.groupBy(group).agg(*measures)
-    rows = []
+    listed = []
     for place, (kind, rules) in enumerate(EVIDENCE.items()):
         score = F.least(F.lit(rules["share"][1]), F.col(f"{kind}_n") * F.lit(0.01))
         for slot in ("any", "root"):
             for n, (_, weight) in enumerate(rules[slot]):
                 score = score + F.when(F.col(f"{kind}_{slot}{n}"), weight).otherwise(0.0)
-        rows.append(
-            F.struct(
-                F.lit(place).alias("place"), F.lit(kind).alias("project_type"),
-                F.round(F.least(F.lit(1.0), score), 6).alias("score"),
-            )
+        score = F.round(F.least(F.lit(1.0), score), 6)
+        listed.append(
+            F.struct((-score).alias("order"), F.lit(place).alias("place"), F.lit(kind).alias("project_type"), score.alias("score"))
         )
-    scores = wide.select(group, F.explode(F.array(*rows)).alias("s")).select(group, "s.*")
-    return scores.filter(F.col("score") > 0)
+    scores = F.sort_array(F.filter(F.array(*listed), lambda s: s["score"] > 0))
+    return wide.select(group, scores.alias("scores"))
 
 
 def detect_project_type(files: DataFrame, group: str = "library") -> DataFrame:
     """Project type, confidence and up to three alternatives per library.
 
-    All types within 0.8 of the best make a mixed project with their mean score.  Equal scores
-    keep the order of the evidence table.
+    All types within 0.8 of the best make a mixed project with their mean score.
     """
-    scores = evidence_scores(files, group)
-    per_library = Window.partitionBy(group)
-    ranked = scores.withColumn("_top", F.max("score").over(per_library)).withColumn(
-        "_rank", F.row_number().over(per_library.orderBy(F.desc("score"), "place"))
-    )
-    close = F.col("score") >= F.round(F.col("_top") * MIXED_SHARE, 6)
-    others = F.sort_array(F.collect_list(F.when(F.col("_rank").between(2, 4), F.struct("_rank", "project_type"))))
-    found = ranked.groupBy(group).agg(
-        F.count_if(close).alias("_close"),
-        F.avg(F.when(close, F.col("score"))).alias("_mean"),
-        F.max("_top").alias("_top"),
-        F.min_by("project_type", "_rank").alias("_first"),
-        F.transform(others, lambda x: x["project_type"]).alias("alternatives"),
+    ranked = evidence_scores(files, group)
+    top = F.get("scores", F.lit(0))
+    close = F.filter("scores", lambda s: s["score"] >= F.round(top["score"] * MIXED_SHARE, 6))
+    total = F.aggregate(close, F.lit(0.0), lambda acc, s: acc + s["score"])
+    judged = ranked.withColumns({"_close": F.size(close), "_mean": F.try_divide(total, F.size(close))})
+    kind = (
+        F.when(F.size("scores") == 0, "unknown").when(F.col("_close") > 1, "mixed").otherwise(top["project_type"])
     )
-    mixed = F.col("_close") > 1
-    known = found.select(
+    others = F.transform(F.slice("scores", 2, 3), lambda s: s["project_type"])
+    return judged.select(
         group,
-        F.when(mixed, "mixed").otherwise(F.col("_first")).alias("project_type"),
-        F.round(F.when(mixed, F.col("_mean")).otherwise(F.col("_top")), 6).alias("confidence"),
-        "alternatives",
-    )
-    everyone = files.select(group).distinct()
-    return (
-        everyone.join(known, group, "left")
-        .withColumn("project_type", F.coalesce("project_type", F.lit("unknown")))
-        .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-        .withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<string>")))
+        kind.alias("project_type"),
+        F.round(F.coalesce("_mean", F.lit(0.0)), 6).alias("confidence"),
+        others.alias("alternatives"),
     )
 
 

@@ -8,26 +8,42 @@ from pyspark.sql import functions as F
 from snipdex.functions import paths as P
 
 SALTS = 16
+MAX_LISTED_ROOTS = 2000
 
 
 def nearest_ancestor(
-    paths: DataFrame, libraries: DataFrame, path_col: str = "path", root_col: str = "root", salts: int = SALTS
+    paths: DataFrame,
+    libraries: DataFrame,
+    path_col: str = "path",
+    root_col: str = "root",
+    max_listed: int = MAX_LISTED_ROOTS,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Left join of each path to the library with the longest root at or above it.
+    """Adds `nearest_root`: the longest root at or above the path, NULL if there is none.
 
-    Only roots that occur above some path are kept before the paths are spread over their
-    ancestors.  Common ancestors such as the top folder are hot keys, so the spread side is
-    salted and the small side of matching roots is repeated once per salt.  Misses keep NULL.
+    A bounded read first tells whether the roots are few.  If so they become a set inside the
+    expression and the paths are not moved at all.  Otherwise the paths are spread over their
+    ancestors and joined; common ancestors such as the top folder are hot keys, so that side is
+    salted and the roots are repeated once per salt.
     """
+    names = libraries.select(root_col).filter(F.col(root_col).isNotNull()).distinct()
+    listed = [r[0] for r in names.limit(max_listed + 1).collect()]
+    if len(listed) <= max_listed:
+        by_key = {(r.rstrip("/") or "/"): r for r in sorted(listed)}
+        if not by_key:
+            return paths.withColumn("nearest_root", F.lit(None).cast("string"))
+        above = F.filter(P.ancestors(F.col(path_col)), lambda a: a.isin(list(by_key)))
+        deepest = F.try_element_at(above, F.lit(-1))
+        return paths.withColumn("nearest_root", F.element_at(P.literal_map(by_key), deepest))
+
     distinct_paths = paths.select(F.col(path_col).alias("_p")).distinct()
     spread = distinct_paths.select(
         "_p",
         F.posexplode(P.ancestors(F.col("_p"))).alias("_depth", "_a"),
         F.pmod(F.xxhash64("_p"), F.lit(salts)).cast("int").alias("_salt"),
     )
-    roots = libraries.select(F.rtrim(F.col(root_col), F.lit("/")).alias("_a"), F.col(root_col).alias("_root"))
-    seen = roots.join(spread.select("_a").distinct(), "_a", "left_semi")
-    salted = seen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    roots = names.select(F.rtrim(F.col(root_col), F.lit("/")).alias("_a"), F.col(root_col).alias("_root"))
+    salted = roots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     nearest = (
         spread.join(salted, ["_a", "_salt"])
         .groupBy("_p")

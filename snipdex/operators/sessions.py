@@ -28,38 +28,47 @@ def previous_in_group(
     return joined.withColumns({f"prev_{c}": prev[c] for c in columns}).drop("_range", "_prev", "_carry")
 
 
-def session_starts(df: DataFrame, key: str, micros: str, tie: str, gap_us: int, span_us: int) -> DataFrame:
-    """Adds `session_start`: the time of the first row of the burst a row belongs to.
-
-    A burst ends when the next row comes more than `gap_us` later.
-    """
-    stepped = previous_in_group(df, key, micros, tie, [micros], span_us)
-    opens = F.col(f"prev_{micros}").isNull() | (F.col(micros) - F.col(f"prev_{micros}") > gap_us)
-    ranged = stepped.withColumn("_open", F.when(opens, F.col(micros))).withColumn(
-        "_range", F.floor(F.col(micros) / F.lit(span_us))
-    )
-    # The latest opening is the greatest one, since openings are times.
-    per_range = ranged.groupBy(key, "_range").agg(F.max("_open").alias("_last_open"))
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_range.select(key, "_range", F.max("_last_open").over(earlier).alias("_carry"))
-    inside = Window.partitionBy(key, "_range").orderBy(micros, tie).rowsBetween(Window.unboundedPreceding, 0)
-    marked = ranged.withColumn("_seen", F.max("_open").over(inside)).join(carry, [key, "_range"])
-    return marked.withColumn("session_start", F.coalesce("_seen", "_carry")).drop(
-        "_open", "_range", "_seen", "_carry", f"prev_{micros}"
-    )
-
-
 def debounce(
     changes: DataFrame, gap_us: int, span_us: int, key: str = "path", time: str = "event_time", tie: str = "event_id"
 ) -> DataFrame:
     """One row per burst of changes of a path: first and last time, count, last change type.
 
+    A burst ends when the next change comes more than `gap_us` later.  Each range first folds its
+    rows into pieces of bursts.  Only the first piece of a range can go on from an earlier range;
+    whether it does is decided on one row per key and range.
+
     Gives (key, first_us, last_us, n_changes, change_type).
     """
-    timed = changes.select(key, tie, "change_type", F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    bursts = session_starts(timed, key, "us", tie, gap_us, span_us)
-    return bursts.groupBy(key, F.col("session_start").alias("first_us")).agg(
+    timed = changes.select(
+        key, tie, "change_type", F.unix_micros(F.col(time).cast("timestamp")).alias("us")
+    ).withColumn("_range", F.floor(F.col("us") / F.lit(span_us)))
+    inside = Window.partitionBy(key, "_range").orderBy("us", tie)
+    opens = F.when(F.col("us") - F.lag("us").over(inside) > gap_us, F.col("us"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    marked = timed.withColumn("_open", opens).withColumn("_piece", F.max("_open").over(so_far))
+    pieces = marked.groupBy(key, "_range", "_piece").agg(
+        F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
         F.count(F.lit(1)).alias("n_changes"),
-        F.max_by("change_type", F.struct("us", tie)).alias("change_type"),
+        F.max(F.struct("us", tie, "change_type")).alias("_last"),
+    )
+    by_range = Window.partitionBy(key).orderBy("_range")
+    ranges = pieces.groupBy(key, "_range").agg(
+        F.min("first_us").alias("_first"), F.max("last_us").alias("_end"), F.max("_piece").alias("_last_piece")
+    )
+    # Start of the burst that the first piece of a range belongs to.
+    entered = F.when(
+        F.coalesce(F.col("_first") - F.lag("_end").over(by_range) > gap_us, F.lit(True)), F.col("_first")
+    )
+    left = ranges.withColumn("_entered", entered).withColumn("_left", F.coalesce("_last_piece", "_entered"))
+    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    heads = left.select(
+        key, "_range", F.coalesce("_entered", F.max("_left").over(earlier)).alias("_head")
     )
+    placed = pieces.join(heads, [key, "_range"]).withColumn("_start", F.coalesce("_piece", "_head"))
+    return placed.groupBy(key, F.col("_start")).agg(
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        F.sum("n_changes").alias("n_changes"),
+        F.max("_last")["change_type"].alias("change_type"),
+    ).drop("_start")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from snipdex.operators import embed as M
+from snipdex.operators import index as I
 from snipdex.operators import sessions
 from snipdex.plans.catalog import query
 from snipdex.plans.domain import CHANGES_SQL, DAY_US, changes, changes_from, load, ts_text
 from snipdex.session import scratch_path
+from snipdex.sources.index_store import IndexStore
 from snipdex.streaming import changes as C
 from snipdex.streaming import lifecycle as L
+from snipdex.streaming.apply import start_apply
 
 GAP_US = 6 * 3_600_000_000
 
@@ -70,11 +74,15 @@ STATES_SQL = f"""{CHANGES_SQL}, s AS (SELECT path AS event_id, event_time, event
   CASE change_type WHEN 'Created' THEN 'Pending' WHEN 'Modified' THEN 'Processing' WHEN 'Deleted' THEN 'Failed' ELSE 'Completed' END AS status FROM changes)"""
 
 
-def _states(spark, sf_dir):
+def _as_states(rows):
     """Change events as state reports; the path stands for the event id."""
     kind = F.col("change_type")
     status = F.when(kind == "Created", "Pending").when(kind == "Modified", "Processing").when(kind == "Deleted", "Failed").otherwise("Completed")
-    return changes(spark, sf_dir).select(F.col("path").alias("event_id"), "path", "event_time", status.alias("status"))
+    return rows.select(F.col("path").alias("event_id"), "path", "event_time", status.alias("status"))
+
+
+def _states(spark, sf_dir):
+    return _as_states(changes(spark, sf_dir))
 
 
 @query(
@@ -105,3 +113,70 @@ WHERE NOT (status IN ('Completed', 'Failed', 'Expired') AND event_time < TIMESTA
 def event_retention(spark, sf_dir):
     kept = L.retention(_states(spark, sf_dir), "2024-01-31", "7 days")
     return kept.select("event_id", "status", ts_text(F.col("event_time")).alias("event_time"))
+
+
+def _user_files(spark, sf_dir):
+    """The text of the file of a user: the document of the same number, one function per line."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("def f_"), i.cast("string"), F.lit("():\n    return "), F.length(x).cast("string")))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+    def files_of(wanted):
+        number = F.regexp_extract("path", "file_([0-9]+)", 1).cast("long")
+        return wanted.withColumn("doc_id", number).join(docs, "doc_id").select("root", "path", "text")
+
+    return files_of
+
+
+@query(
+    "apply_stream",
+    f"""WITH {CHANGES_SQL}, c AS (
+  SELECT event_id, library, path, CASE WHEN change_type = 'Renamed' THEN 'Deleted' ELSE change_type END AS change_type, event_time FROM changes
+  UNION ALL SELECT event_id, library, new_path, 'Created', event_time FROM changes WHERE change_type = 'Renamed'),
+g AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM c WINDOW w AS (PARTITION BY path ORDER BY event_time, event_id)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY event_time, event_id) AS burst FROM g),
+b AS (SELECT library, path, max(event_time) AS last_time, arg_max(change_type, (event_time, event_id)) AS change_type FROM n GROUP BY library, path, burst),
+closed AS (SELECT * FROM b WHERE last_time + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(event_time)) FROM changes) - INTERVAL 10 MINUTE),
+l AS (SELECT library, path, arg_max(change_type, last_time) AS change_type FROM closed GROUP BY library, path)
+SELECT 'code_index_' || substr(sha256('/repo/' || l.library), 1, 8) AS collection, l.path AS file_path,
+  len(string_split(d.text, chr(10))) AS snippets FROM l JOIN documents d ON d.doc_id = CAST(regexp_extract(l.path, 'file_([0-9]+)', 1) AS BIGINT)
+WHERE l.change_type <> 'Deleted'""",
+)
+def apply_stream(spark, sf_dir):
+    """The index after a stream of all changes: renames split, bursts debounced, files replaced."""
+    source = load(spark, sf_dir, "events")
+    stream = changes_from(spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]"))
+    rooted = C.split_renames(stream).withColumn("root", F.concat(F.lit("/repo/"), "library"))
+    bursts = C.debounce_stream(rooted, "6 hours", "10 minutes", keys=("root", "path"))
+    path = scratch_path(spark, "stream-index")
+    store = IndexStore(spark, path, buckets=4)
+    model = M.embedder("hashed_tokens", dim=16)
+    run = start_apply(
+        bursts, store, _user_files(spark, sf_dir), lambda files: I.build_index(files, model, 16, batch=200),
+        path + "-state", name=path.rsplit("/", 1)[-1],
+    )
+    run.awaitTermination()
+    return store.read().groupBy("collection", "file_path").agg(F.count(F.lit(1)).alias("snippets"))
+
+
+TTL_MS = 3 * 86_400_000
+
+
+@query(
+    "lifecycle_stream",
+    f"""WITH {STATES_SQL}, f AS (SELECT event_id, arg_max(status, event_time) AS status, count(*) FILTER (status = 'Failed') AS retry_count,
+  max(event_time) AS at_time FROM s GROUP BY event_id)
+SELECT event_id, CASE WHEN status IN ('Pending', 'Processing') AND epoch_us(at_time) // 1000 + {TTL_MS} <=
+    (SELECT epoch_us(max(event_time)) // 1000 FROM s) - 600000 THEN 'Expired' ELSE status END AS status, retry_count FROM f""",
+)
+def lifecycle_stream(spark, sf_dir):
+    """The last state of every event id after a stream of all state reports."""
+    source = load(spark, sf_dir, "events")
+    stream = changes_from(spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]"))
+    states = L.lifecycle_stream(_as_states(stream), TTL_MS, "10 minutes")
+    out = scratch_path(spark, "lifecycle")
+    with L.rocksdb_state(spark):
+        run = states.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
+        run.awaitTermination()
+    rows = spark.read.schema(states.schema).parquet(out)
+    order = F.struct("last_us", F.col("status") == "Expired", "retry_count")
+    return rows.groupBy("event_id").agg(F.max_by("status", order).alias("status"), F.max("retry_count").alias("retry_count"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snipdex.functions.paths import literal_map
+from snipdex.session import spread_scan
 
 EXTENSION_BY_LANG = {"en": ".py", "fr": ".js", "de": ".ts", "es": ".cs"}
 DIRECTORIES = ["src", "src/core", "tests", "docs", "bin/debug", "node_modules/pkg", "obj", "logs"]
@@ -24,9 +25,11 @@ def ts_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per document; every source is a library."""
+def files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """One file per document; every source is a library.  `spread` uses all cores on small inputs."""
     docs = load(spark, sf_dir, "documents")
+    if spread:
+        docs = spread_scan(docs, "doc_id")
     ext = F.coalesce(F.element_at(literal_map(EXTENSION_BY_LANG), F.col("lang")), F.lit(".txt"))
     folder = F.element_at(F.array(*[F.lit(d) for d in DIRECTORIES]), (F.col("doc_id") % 8 + 1).cast("int"))
     root = F.concat(F.lit("/repo/"), F.col("source"))

@@ -12,7 +12,7 @@ from snipdex.plans.catalog import query
 from snipdex.plans.domain import FILES_SQL, files
 from snipdex.plans.snippets import SNIPPETS_SQL, code_files
 from snipdex.plans.texts import TEXT_DIM, WHOLE, asked_vectors, embed_sql
-from snipdex.session import scratch_path
+from snipdex.session import scratch_path, stored
 from snipdex.sources.index_store import IndexStore
 
 COLLECTION_SQL = "'code_index_' || substr(sha256('/repo/' || library), 1, 8)"
@@ -134,9 +134,7 @@ def incremental_rebuild(spark, sf_dir):
     outdated = F.when(n == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
     before = current.filter(n != 4).withColumn("text", outdated)
     # The first build is stored: the index it stands for is a table, not a plan to run again.
-    path = scratch_path(spark, "points")
-    _build(before).write.parquet(path)
-    points = spark.read.parquet(path)
+    points = stored(_build(before), "points")
     old = I.file_snapshot(before).withColumnRenamed("modified", "last_indexed")
     after = current.filter(n != 2)
     rows = I.incremental_rebuild(points, old, after, _build)
@@ -163,9 +161,7 @@ def search_present(spark, sf_dir):
     """Search the benchmark texts in the built index and show file, lines and names."""
     model = M.embedder("hashed_tokens", dim=TEXT_DIM)
     listing = code_files(spark, sf_dir)
-    path = scratch_path(spark, "points")
-    _build(listing).write.parquet(path)
-    points = spark.read.parquet(path).withColumn("vec_id", F.col("point_id"))
+    points = stored(_build(listing), "points").withColumn("vec_id", F.col("point_id"))
     roots = listing.select(P.collection_name(F.col("root")).alias("collection"), "root").distinct()
     hits = knn.knn_join(asked_vectors(spark, sf_dir, model), points.select("vec_id", "vector"), 3)
     shown = I.present_hits(hits, points.join(roots, "collection"))

@@ -43,7 +43,7 @@ def code_files(spark, sf_dir):
     )
     csharp = _cat("namespace Demo.Lib;\n\npublic class Doc_", name, "\n{\n", F.array_join(members, "\n"), "}\n")
     code = F.when(F.col("lang") == "en", python).when(F.col("lang") == "fr", javascript).when(F.col("lang") == "de", typescript).otherwise(csharp)
-    return files(spark, sf_dir).withColumn("text", code)
+    return files(spark, sf_dir, spread=True).withColumn("text", code)
 
 
 CAP_SQL = "CASE WHEN length(code) > 2000 THEN substr(code, 1, 1950) || chr(10) || '// ... 代码过长已截取 ...' ELSE code END"
@@ -114,6 +114,6 @@ def extract_markup(spark, sf_dir):
             '{\n  var s = new { t = "', x, '" };\n}',
         ),
     )
-    pages = files(spark, sf_dir).select("doc_id", F.concat(F.lit("/v/doc_"), "doc_id", F.lit(".cshtml")).alias("path"), _cat("<p>page</p>\n", F.array_join(blocks, "\n")).alias("text"))
+    pages = files(spark, sf_dir, spread=True).select("doc_id", F.concat(F.lit("/v/doc_"), "doc_id", F.lit(".cshtml")).alias("path"), _cat("<p>page</p>\n", F.array_join(blocks, "\n")).alias("text"))
     found = E.extract_snippets(pages, keep=("doc_id",))
     return found.select("doc_id", "member_name", "start_line", "end_line", F.md5("code").alias("code_md5"))

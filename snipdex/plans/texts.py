@@ -8,6 +8,7 @@ from snipdex.functions import text as X
 from snipdex.operators import batches, embed, filters, knn, markup
 from snipdex.plans.catalog import query
 from snipdex.plans.domain import load
+from snipdex.session import spread_scan
 
 MAX_TOKENS = 60
 
@@ -217,7 +218,7 @@ SELECT query_id, rank, found AS doc_id, round(score, 6) AS score FROM r WHERE ra
 def text_search(spark, sf_dir):
     """Embed whole documents and the benchmark texts, then find the best five documents per text."""
     model = embed.embedder("hashed_tokens", dim=TEXT_DIM)
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_scan(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     points = embed.embed(docs, "text", model, TEXT_DIM, batch=100, max_tokens=WHOLE)
     hits = knn.knn_join(
         asked_vectors(spark, sf_dir, model), points.select(F.col("doc_id").alias("vec_id"), "vector"), 5

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from snipdex.functions.rules import older_than
-from snipdex.operators.index import upsert_latest
 
 # Fixed values
 STATUSES = ["Pending", "Processing", "Completed", "Failed", "Expired"]
@@ -18,10 +18,11 @@ STATE_SCHEMA = "event_id string, status string, retry_count int, last_us bigint"
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """The last status per event id, with the number of failures before it."""
-    last = upsert_latest(events.select("event_id", "status", "event_time", "path"), ["event_id"], ["event_time", "status"])
-    failures = events.groupBy("event_id").agg(F.count_if(F.col("status") == "Failed").alias("retry_count"))
-    return last.join(failures, "event_id")
+    """The last status per event id, with the number of failures so far."""
+    last = F.max(F.struct("event_time", "status", "path")).alias("_l")
+    failures = F.count_if(F.col("status") == "Failed").alias("retry_count")
+    rows = events.groupBy("event_id").agg(last, failures)
+    return rows.select("event_id", "_l.status", "_l.event_time", "_l.path", "retry_count")
 
 
 def retention(events: DataFrame, as_of: str, max_age: str, states: list[str] | None = None) -> DataFrame:
@@ -68,6 +69,18 @@ class _Lifecycle(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lifecycle_stream(events: DataFrame, ttl_ms: int, lateness: str = "10 minutes") -> DataFrame:
     """State changes per event id; open events that stay silent for `ttl_ms` become Expired.
 
