@@ -162,11 +162,12 @@ def _by_blocks(queries, vectors, dim, k, threshold, scoped, cell_rows, few_scope
         fixed = {n: F.lit(max(1, -(-c // cell_rows))) for n, c in counts.items()}
         vectors, queries = (df.withColumns({"scope": F.lit(0), **fixed}) for df in (vectors, queries))
     schema = _hit_schema(queries, vectors, True)
+    # Fresh names: both sides may come from one table.
     placed_vectors = vectors.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).cast("int")).select(
-        "scope", "vb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "vec_id", "vector"
+        F.col("scope").alias("scope"), "vb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "vec_id", "vector"
     )
     placed_queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int")).select(
-        "scope", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"), "qb", "query_id", "q_vector"
+        F.col("scope").alias("scope"), F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"), "qb", "query_id", "q_vector"
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

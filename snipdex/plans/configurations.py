@@ -333,12 +333,7 @@ def _legacy_documents(spark, sf_dir):
     settings = F.struct((key % 10).alias("retries"), F.col("c_name").alias("owner"), F.struct(F.lit(True).alias("deep")).alias("options"))
     document = F.to_json(F.struct(F.array(mapping(0), mapping(1)).alias("codebaseMappings"), settings.alias("globalSettings")))
     text_rows = load(spark, sf_dir, "customer").select("c_custkey", document.alias("doc"))
-    return text_rows.select("c_custkey", F.from_json("doc", f"struct<{_ddl(schemas.LEGACY_CONFIG)}>").alias("d")).select("c_custkey", "d.*")
-
-
-def _ddl(columns: str) -> str:
-    """Top-level columns as struct fields."""
-    return columns.replace("codebaseMappings array", "codebaseMappings:array").replace("globalSettings map", "globalSettings:map")
+    return text_rows.select("c_custkey", F.from_json("doc", schemas.as_struct(schemas.LEGACY_CONFIG)).alias("d")).select("c_custkey", "d.*")
 
 
 @query(

@@ -69,3 +69,10 @@ LEGACY_CONFIG = (
     "fileIndexDetails:array<struct<filePath:string,lastIndexed:timestamp,fileHash:string,snippetCount:int>>>>, "
     "globalSettings map<string,variant>"
 )
+
+
+def as_struct(columns: str) -> str:
+    """A column list as a struct type, for `from_json`."""
+    from pyspark.sql import types as T
+
+    return T.StructType.fromDDL(columns).simpleString()

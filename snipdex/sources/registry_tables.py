@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,5 +37,13 @@ def write_table(df: DataFrame, base: str, table: str, mode: str = "overwrite") -
 
 
 def read_legacy_config(spark: SparkSession, path: str) -> DataFrame:
-    """Legacy configuration documents, one or more per file, keys in any case."""
-    return spark.read.schema(schemas.LEGACY_CONFIG).option("multiLine", "true").json(path)
+    """Legacy configuration documents, one per file, keys in any case.
+
+    Known keys are put into the spelling of the schema before the text is parsed; inside a JSON
+    string a quoted key would carry backslashes, so values are left alone.
+    """
+    text = F.col("value")
+    for name in sorted(set(re.findall(r"(\w+)[: ]", schemas.LEGACY_CONFIG))):
+        text = F.regexp_replace(text, f'(?i)"{name}"\\s*:', f'"{name}":')
+    parsed = F.from_json(text, schemas.as_struct(schemas.LEGACY_CONFIG))
+    return spark.read.text(path, wholetext=True).select(parsed.alias("d")).filter("d IS NOT NULL").select("d.*")

@@ -41,7 +41,7 @@ class _Lifecycle(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "status string, retries int, us bigint")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         status, retries, us = self.state.get() if self.state.exists() else ("", 0, -1)
@@ -58,7 +58,7 @@ class _Lifecycle(StatefulProcessor):
             self.handle.registerTimer(us // 1000 + self.ttl_ms)
         yield pd.DataFrame({"event_id": [key[0]], "status": [status], "retry_count": [retries], "last_us": [us]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
         _, retries, us = self.state.get()
