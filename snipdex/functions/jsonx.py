@@ -115,7 +115,5 @@ def depth(doc: Column) -> Column:
 
 def lookup(members: Column, name: str) -> Column:
     """Value of a map by key, ignoring case; an exact match wins."""
-    pairs = F.map_entries(members)
-    exact = F.filter(pairs, lambda e: e["key"] == name)
-    loose = F.filter(pairs, lambda e: F.lower(e["key"]) == name.lower())
-    return F.coalesce(F.get(exact, F.lit(0))["value"], F.get(loose, F.lit(0))["value"])
+    loose = F.filter(F.map_entries(members), lambda e: F.lower(e["key"]) == name.lower())
+    return F.coalesce(F.try_element_at(members, F.lit(name)), F.get(loose, F.lit(0))["value"])

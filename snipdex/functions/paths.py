@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from snipdex.functions.text import bind
+
 # Language id by file extension
 LANGUAGE_BY_EXTENSION = {
     ".cs": "csharp",
@@ -89,11 +91,12 @@ def parent_path(path: Column) -> Column:
 def ancestors(path: Column) -> Column:
     """The path itself and every directory above it, without the bare root."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    joined = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")),
+    return bind(
+        parts,
+        lambda names: F.transform(
+            names, lambda _, i: F.concat(F.lit("/"), F.array_join(F.slice(names, F.lit(1), i + 1), "/"))
+        ),
     )
-    return F.when(F.size(parts) > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
 def is_subdirectory(child: Column, parent: Column) -> Column:

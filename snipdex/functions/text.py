@@ -6,6 +6,8 @@ basic plane count once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,15 +21,28 @@ SNIPPET_KEPT = 1950
 SNIPPET_MARKER = "\n// ... 代码过长已截取 ..."
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once.
+
+    A column that a lambda mentions from outside is computed anew for every element; bound like
+    this it is a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
-    """Words separated by space, tab, line feed or carriage return."""
-    body = F.btrim(text, F.lit(BLANKS))
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, "[ \\t\\n\\r]+")))
+    """Words separated by space, tab, line feed or carriage return.
+
+    Every word with the blanks before it becomes one mark; building marks is much cheaper than
+    an array of words.
+    """
+    marks = F.regexp_replace(text, "[ \\t\\n\\r]*[^ \\t\\n\\r]+", "x")
+    return F.length(F.rtrim(marks, F.lit(BLANKS)))
 
 
 def cjk_count(text: Column) -> Column:
     """Characters U+4E00 to U+9FFF."""
-    return F.length(text) - F.length(F.regexp_replace(text, "[\\u4e00-\\u9fff]", ""))
+    return F.length(F.regexp_replace(text, "[^\\u4e00-\\u9fff]+", ""))
 
 
 def _div(a: Column, n: int) -> Column:
@@ -36,9 +51,13 @@ def _div(a: Column, n: int) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """Words plus CJK characters plus a quarter of the rest, at least a quarter of the length."""
-    words, cjk, size = word_count(text), cjk_count(text), F.length(text)
-    mixed = words + cjk + _div(size - words - cjk, CHARS_PER_TOKEN)
-    return F.when(text == "", F.lit(0)).otherwise(F.greatest(mixed, _div(size, CHARS_PER_TOKEN)))
+    size = F.length(text)
+
+    def mixed(dense: Column) -> Column:
+        return dense + _div(size - dense, CHARS_PER_TOKEN)
+
+    dense = word_count(text) + cjk_count(text)
+    return F.greatest(bind(dense, mixed), _div(size, CHARS_PER_TOKEN))
 
 
 def estimate_tokens_simple(text: Column) -> Column:
@@ -52,20 +71,22 @@ def rstrip(text: Column) -> Column:
 def truncate_lines(text: Column, max_tokens: int) -> Column:
     """Whole leading lines while their running token estimate fits; may become empty."""
     lines = F.split(text, "\n")
-    start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("tokens"), F.lit(False).alias("full"))
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("tokens"))
 
     def step(acc: Column, line: Column) -> Column:
-        total = acc["tokens"] + estimate_tokens(F.concat(line, F.lit("\n")))
-        over = acc["full"] | (total > max_tokens)
-        return F.struct(
-            F.when(over, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"),
-            F.when(over, acc["tokens"]).otherwise(total).alias("tokens"),
-            over.alias("full"),
-        )
+        # Once over the limit the rest is not looked at any more.
+        more = estimate_tokens(F.concat(line, F.lit("\n")))
+        grown = F.struct((acc["seen"] + 1).alias("seen"), (acc["tokens"] + more).alias("tokens"))
+        return F.when(acc["tokens"] > max_tokens, acc).otherwise(grown)
+
+    def kept(acc: Column) -> Column:
+        return acc["seen"] - F.when(acc["tokens"] > max_tokens, 1).otherwise(0)
 
-    kept = F.aggregate(lines, start, step, lambda acc: acc["kept"])
-    cut = rstrip(F.array_join(F.slice(lines, F.lit(1), kept), "\n"))
-    return F.when(estimate_tokens(text) <= max_tokens, text).otherwise(cut)
+    first = F.slice(lines, F.lit(1), F.aggregate(lines, start, step, kept))
+    cut = rstrip(F.array_join(first, "\n"))
+    # A character counts twice at most, so short texts need no estimate.
+    fits = (F.length(text) * 2 <= max_tokens) | (estimate_tokens(text) <= max_tokens)
+    return F.when(fits, text).otherwise(cut)
 
 
 def truncate_chars(text: Column, max_tokens: int) -> Column:
@@ -93,9 +114,9 @@ def chunks(text: Column, size: int = 200, overlap: int = 50) -> Column:
         F.lit(1), F.ceil((F.length(text) - overlap) / F.lit(step)).cast("int")
     )
     starts = F.sequence(F.lit(1), windows)
-    cut = F.transform(
-        starts,
-        lambda i: F.substring(F.array_join(F.slice(blocks, i, F.lit(span)), ""), 1, size),
+    cut = bind(
+        blocks,
+        lambda b: F.transform(starts, lambda i: F.substring(F.array_join(F.slice(b, i, F.lit(span)), ""), 1, size)),
     )
     return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snipdex.functions import jsonx as J
-from snipdex.functions.text import TRIM_END
+from snipdex.functions.text import TRIM_END, bind
 
 # Fixed values
 ALLOWED_EXTENSIONS = [
@@ -271,8 +271,8 @@ def common_excludes(kind: Column) -> Column:
 
 def missing_excludes(kind: Column, excludes: Column) -> Column:
     """Common excludes that are not listed, ignoring case."""
-    present = F.transform(excludes, lambda e: F.lower(e))
-    return F.filter(common_excludes(kind), lambda c: ~F.array_contains(present, F.lower(c)))
+    lowered = F.transform(excludes, lambda e: F.lower(e))
+    return bind(lowered, lambda present: F.filter(common_excludes(kind), lambda c: ~F.array_contains(present, F.lower(c))))
 
 
 def suggestions(configs: DataFrame, key: str = "config_id") -> DataFrame:

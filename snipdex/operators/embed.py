@@ -9,10 +9,12 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,10 +62,10 @@ def hashed_tokens(dim: int = 64) -> Embedder:
     def run(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            for token in re.split(r"[^\w]+", text.lower()):
-                if token:
-                    slot, sign = slot_of(token)
-                    out[row, slot] += sign
+            counts = Counter(re.findall(r"\w+", text.lower()))
+            if counts:
+                at, signs = zip(*map(slot_of, counts))
+                out[row] = np.bincount(at, weights=np.multiply(signs, list(counts.values())), minlength=dim)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(lengths > 0, lengths, 1.0)
 
@@ -107,10 +109,8 @@ def embed(
     The other columns, the original text included, pass through.  Texts that are blank before
     or after truncation are dropped.
     """
-    ready = (
-        df.filter(~X.is_blank(F.col(text_col)))
-        .withColumn("_model_text", X.truncate_lines(F.col(text_col), max_tokens))
-        .filter(~X.is_blank(F.col("_model_text")))
+    ready = df.filter(~X.is_blank(F.col(text_col))).withColumn(
+        "_model_text", X.truncate_lines(F.col(text_col), max_tokens)
     )
     names = df.columns
     schema = T.StructType(
@@ -121,6 +121,8 @@ def embed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            # Dropped here: as a filter in the plan it would make Spark truncate twice.
+            part = part.filter(pc.not_equal(pc.utf8_trim_whitespace(part.column("_model_text")), ""))
             for start in range(0, part.num_rows, size):
                 rows = part.slice(start, size)
                 texts = rows.column("_model_text").to_pylist()

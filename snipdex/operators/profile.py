@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
+from snipdex.functions.text import bind
 
 # Evidence weights. `any` looks at all files, `root` at top-level files,
 # `share` adds a hundredth per file with one of the extensions up to its limit.
@@ -39,14 +40,12 @@ def file_type_profile(files: DataFrame, group: str = "library") -> DataFrame:
     )
 
 
-def _directories(rel_path: Column) -> Column:
-    """Every directory above a file, relative to the library."""
-    parts = F.split(rel_path, "/")
-    depth = F.size(parts) - 1
-    return F.when(
-        depth > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")),
-    ).otherwise(F.array().cast("array<string>"))
+def _directories(folder: Column) -> Column:
+    """A directory and every directory above it, relative to the library."""
+    return bind(
+        F.split(folder, "/"),
+        lambda names: F.transform(names, lambda _, i: F.array_join(F.slice(names, F.lit(1), i + 1), "/")),
+    )
 
 
 def structure_profile(files: DataFrame, group: str = "library") -> DataFrame:
@@ -61,7 +60,7 @@ def structure_profile(files: DataFrame, group: str = "library") -> DataFrame:
         F.count_if(P.extension(F.col("rel_path")) == ".log").alias("log_files"),
     )
     folders = files.select(group, P.parent_path(F.col("rel_path")).alias("_d")).distinct()
-    folders = folders.select(group, F.explode(_directories(F.concat(F.col("_d"), F.lit("/x")))).alias("_d")).distinct()
+    folders = folders.select(group, F.explode(_directories(F.col("_d"))).alias("_d")).distinct()
     name = P.file_name(F.col("_d"))
     facts = folders.groupBy(group).agg(
         F.count(F.lit(1)).alias("directories"),

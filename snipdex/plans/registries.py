@@ -214,16 +214,21 @@ DOCS_SQL = """docs AS (SELECT event_id, event_type, user_id, CAST(regexp_extract
 FROM docs""",
 )
 def json_predicates(spark, sf_dir):
-    doc = F.col("doc")
-    return _event_docs(spark, sf_dir).select(
+    docs = _event_docs(spark, sf_dir).withColumn("valid", J.is_valid(F.col("doc")))
+    doc = F.when(F.col("valid"), F.col("doc"))
+
+    def holds(condition):
+        return F.coalesce(condition, F.lit(False))
+
+    return docs.select(
         "event_id",
-        J.is_valid(doc).alias("valid"),
-        F.when(J.is_valid(doc), J.extract(doc, "$.k").cast("long")).alias("k"),
-        F.when(J.is_valid(doc), J.array_length(doc, "$.tags")).alias("n_tags"),
-        (J.is_valid(doc) & F.coalesce(J.field(doc, "IsEnabled") == "true", F.lit(False))).alias("enabled"),
-        (J.is_valid(doc) & J.array_has(doc, "$.tags", "click")).alias("is_click"),
-        (J.is_valid(doc) & F.coalesce(J.extract(doc, "$.nested.team") == "team3", F.lit(False))).alias("in_team3"),
-        (J.is_valid(doc) & J.contains_text(doc, "$.tags", "u1")).alias("tags_like"),
+        "valid",
+        J.extract(doc, "$.k").cast("long").alias("k"),
+        J.array_length(doc, "$.tags").alias("n_tags"),
+        holds(J.field(doc, "IsEnabled") == "true").alias("enabled"),
+        holds(J.array_has(doc, "$.tags", "click")).alias("is_click"),
+        holds(J.extract(doc, "$.nested.team") == "team3").alias("in_team3"),
+        holds(J.contains_text(doc, "$.tags", "u1")).alias("tags_like"),
     )
 
 

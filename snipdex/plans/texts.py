@@ -37,14 +37,19 @@ cut AS (SELECT b.k, b.t AS full_text, b.tokens, CASE WHEN b.tokens <= {limit} TH
         FROM base b LEFT JOIN cuts c ON b.k = c.k)"""
 
 
+def _documents(spark, sf_dir):
+    """Documents on all cores; a large table comes in enough splits and is not moved."""
+    return spread_scan(load(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("token_estimate", f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+    return _documents(spark, sf_dir).select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query("token_estimate_simple", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS INTEGER) AS tokens FROM documents")
 def token_estimate_simple(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens_simple(F.col("text")).alias("tokens"))
+    return _documents(spark, sf_dir).select("doc_id", X.estimate_tokens_simple(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -54,7 +59,7 @@ FROM (SELECT source, lang, {tokens_sql('text')} AS t FROM documents) GROUP BY so
 )
 def token_totals(spark, sf_dir):
     tokens = X.estimate_tokens(F.col("text"))
-    docs = load(spark, sf_dir, "documents").select("source", "lang", tokens.alias("t"))
+    docs = _documents(spark, sf_dir).select("source", "lang", tokens.alias("t"))
     return docs.groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("t").alias("tokens"), F.max("t").alias("longest")
     )
@@ -66,7 +71,7 @@ def token_totals(spark, sf_dir):
     "SELECT k AS doc_id, tokens, length(out) AS kept_chars, md5(out) AS kept_md5 FROM cut",
 )
 def truncate_lines(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(
+    docs = _documents(spark, sf_dir).select(
         "doc_id",
         X.estimate_tokens(F.col("text")).alias("tokens"),
         X.truncate_lines(F.col("text"), MAX_TOKENS).alias("out"),
@@ -80,7 +85,7 @@ def truncate_lines(spark, sf_dir):
 )
 def truncate_chars(spark, sf_dir):
     cut = X.truncate_chars(F.col("text"), MAX_TOKENS)
-    return load(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id", F.length(cut).alias("kept_chars"), F.md5(cut).alias("kept_md5")
     )
 
@@ -93,7 +98,7 @@ def truncate_chars(spark, sf_dir):
 )
 def cap_snippet(spark, sf_dir):
     cut = X.cap_snippet(F.col("text"))
-    return load(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id", F.length(cut).alias("kept_chars"), F.md5(cut).alias("kept_md5")
     )
 
@@ -106,7 +111,7 @@ def cap_snippet(spark, sf_dir):
     FROM documents WHERE length(text) > 0))""",
 )
 def chunk_overlap(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     parts = docs.select("doc_id", F.posexplode(X.chunks(F.col("text"), 200, 50)).alias("chunk", "c"))
     return parts.select("doc_id", "chunk", F.length("c").alias("chars"), F.md5("c").alias("chunk_md5"))
 
@@ -140,7 +145,7 @@ def line_metrics(spark, sf_dir):
     text = F.col("text")
     indents = F.transform(F.split(text, "\n"), lambda line: F.length(X.leading_indent(line)))
     middle = F.call_function("div", F.length(text), F.lit(2)).cast("int")
-    return load(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id",
         X.line_count(text).cast("long").alias("line_total"),
         F.array_max(indents).alias("deepest_indent"),
