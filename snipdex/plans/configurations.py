@@ -382,3 +382,60 @@ def config_export(spark, sf_dir):
         F.array_join(F.from_json(J.extract(doc, "$.watchConfiguration.filePatterns"), "array<string>"), ",").alias("patterns"),
         J.extract(doc, "$.statistics.totalFiles").cast("long").alias("total_files"),
     )
+
+
+IMPORT_STATE_SQL = """CASE WHEN id % 4 = 0 THEN 'bad size' WHEN id % 4 = 1 THEN 'bad priority' WHEN id % 4 = 2 THEN 'good' ELSE 'none' END"""
+
+
+@query(
+    "import_config",
+    f"""WITH {REGISTRY_SQL}, s AS (SELECT *, {IMPORT_STATE_SQL} AS state FROM registry)
+SELECT id, state = 'good' AS backed_up, CASE state WHEN 'bad size' THEN 'size not positive' WHEN 'bad priority' THEN 'unknown priority' END AS refused,
+  CASE WHEN state = 'good' THEN '*.md' ELSE array_to_string(file_patterns, ',') END AS patterns,
+  coalesce(project_type, 'unknown') AS project_type, CASE WHEN state = 'good' THEN 'import' ELSE team END AS team,
+  CASE WHEN state = 'good' THEN 2 ELSE 1 END AS settings FROM s""",
+)
+def import_config(spark, sf_dir):
+    """Import a changed export of three quarters of the libraries; two thirds of those are refused."""
+    from snipdex.operators import config_io as C
+
+    libraries = registry(spark, sf_dir)
+    part = F.col("id") % 4
+    size = F.when(part == 0, "0").otherwise("1000")
+    priority = F.when(part == 1, "urgent").otherwise("high")
+    document = F.concat(
+        F.lit('{"WatchConfiguration":{"filePatterns":["*.md"],"maxFileSize":'), size,
+        F.lit('},"metadata":{"projectType":"'), F.lit(""), F.lit('","team":"import","priority":"'), priority,
+        F.lit('","tags":["imported"],"customSettings":{"by":"import"}}}'),
+    )
+    # An empty project type keeps the old one, but is refused by the audit unless it is left out.
+    document = F.replace(document, F.lit('"projectType":"",'), F.lit(""))
+    wanted = C.read_documents(libraries.filter(part != 3).select("id", document.alias("document")))
+    applied, backup, refused = C.apply_documents(libraries, wanted, "2025-01-01")
+    rows = R.parse(applied).select(
+        "id", F.array_join("watch.filePatterns", ",").alias("patterns"), F.coalesce("meta.projectType", F.lit("unknown")).alias("project_type"),
+        F.col("meta.team").alias("team"), F.size("meta.customSettings").alias("settings"),
+    )
+    kept = backup.select("id", F.lit(True).alias("backed_up"))
+    said = refused.groupBy("id").agg(F.max("rule").alias("refused"))
+    return rows.join(kept, "id", "left").join(said, "id", "left").withColumn("backed_up", F.coalesce("backed_up", F.lit(False)))
+
+
+@query(
+    "apply_preset",
+    f"""WITH {REGISTRY_SQL} SELECT id, CASE id % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'rust' ELSE coalesce(project_type, 'unknown') END AS project_type,
+  CASE id % 3 WHEN 0 THEN '*.go' WHEN 1 THEN '*.rs' ELSE array_to_string(file_patterns, ',') END AS patterns,
+  id % 3 <> 2 AS backed_up FROM registry""",
+)
+def apply_preset(spark, sf_dir):
+    from snipdex.operators import config_io as C
+
+    libraries = registry(spark, sf_dir)
+    chosen = F.when(F.col("id") % 3 == 0, "GO").when(F.col("id") % 3 == 1, "rust").otherwise("nothing")
+    wanted = C.preset_documents(libraries.select("id", chosen.alias("preset_id")), P.built_in_presets(spark))
+    applied, backup, _ = C.apply_documents(libraries, wanted, "2025-01-01")
+    rows = R.parse(applied).select(
+        "id", F.coalesce("meta.projectType", F.lit("unknown")).alias("project_type"), F.array_join("watch.filePatterns", ",").alias("patterns")
+    )
+    kept = backup.select("id", F.lit(True).alias("backed_up"))
+    return rows.join(kept, "id", "left").withColumn("backed_up", F.coalesce("backed_up", F.lit(False)))

@@ -239,3 +239,16 @@ def category_slug(spark, sf_dir):
     return load(spark, sf_dir, "part").select(
         "p_partkey", rules.preset_slug(label).alias("slug"), rules.project_category(kind).alias("category")
     )
+
+
+@query(
+    "task_lookup",
+    f"""WITH {TASKS_SQL} SELECT 'running' AS by, task_id, status FROM tasks WHERE library_id % 10 = 3 AND status = 'Running' UNION ALL
+SELECT 'id', task_id, status FROM tasks WHERE task_id IN (5, 77, 901)""",
+)
+def task_lookup(spark, sf_dir):
+    rows = tasks(spark, sf_dir)
+    running = T.running_of(rows.withColumn("library_id", F.col("library_id") % 10), 3)
+    by_id = rows.filter(F.col("task_id").isin(5, 77, 901))
+    parts = [r.select(F.lit(n).alias("by"), "task_id", "status") for n, r in (("running", running), ("id", by_id))]
+    return parts[0].unionByName(parts[1])

@@ -295,3 +295,48 @@ def json_audit(spark, sf_dir):
     depth = F.when(J.is_valid(F.col("doc")), J.depth(F.col("doc")))
     verdict = F.when(F.col("depth").isNull(), "invalid").when(F.col("depth") > 3, "too deep").otherwise("ok")
     return docs.select("event_id", depth.alias("depth")).withColumn("verdict", verdict)
+
+
+@query(
+    "recently_indexed",
+    f"""WITH {REGISTRY_SQL} SELECT id, strftime(coalesce(last_indexed_at, created_at), '%Y-%m-%d %H:%M:%S.%f') AS indexed
+FROM registry ORDER BY coalesce(last_indexed_at, created_at) DESC, id LIMIT 10""",
+)
+def recently_indexed(spark, sf_dir):
+    rows = R.order_by_last_indexed(registry(spark, sf_dir)).limit(10)
+    return rows.select("id", ts_text(F.coalesce("last_indexed_at", "created_at")).alias("indexed"))
+
+
+@query(
+    "history_append",
+    f"""WITH {REGISTRY_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS runs,
+  CASE WHEN id % 2 = 0 THEN en + 0.5 ELSE duration END AS last_duration, CASE WHEN id % 2 = 0 THEN total_files END AS files FROM registry""",
+)
+def history_append(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    number = F.substring("source", 4, 10).cast("int")
+    runs = docs.groupBy(number.alias("id")).agg(
+        F.lit("2024-06-01").alias("date"), (F.count_if(F.col("lang") == "en") + 0.5).alias("duration"),
+        F.count(F.lit(1)).alias("files"), F.count(F.lit(1)).alias("snippets"),
+    ).filter("id % 2 = 0")
+    rows = R.append_history(_parsed(spark, sf_dir), runs)
+    return rows.select(
+        "id", F.size("stats.indexingHistory").alias("runs"), F.col("stats.lastIndexingDuration").alias("last_duration"),
+        F.get(F.col("stats.indexingHistory"), F.lit(0))["filesProcessed"].alias("files"),
+    )
+
+
+@query(
+    "metadata_update",
+    f"""WITH {REGISTRY_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN 'me' END AS reviewer, id % 2 = 1 AS has_priority FROM registry""",
+)
+def metadata_update(spark, sf_dir):
+    """Set one metadata key in the even libraries and remove another one."""
+    libraries = registry(spark, sf_dir)
+    even = libraries.filter("id % 2 = 0").select("id")
+    grown = R.append_metadata(libraries, even, "reviewer", F.lit('"me"'))
+    cut = R.remove_metadata(grown, even, "Priority")
+    return cut.select(
+        "id", J.extract(F.col("metadata"), "$.reviewer").alias("reviewer"),
+        J.field(F.col("metadata"), "priority").isNotNull().alias("has_priority"),
+    )
