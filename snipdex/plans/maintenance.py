@@ -8,8 +8,9 @@ from snipdex.functions import paths as P
 from snipdex.operators import embed as M
 from snipdex.operators import index as I
 from snipdex.operators import knn
+from snipdex.operators import search as S
 from snipdex.plans.catalog import query
-from snipdex.plans.domain import FILES_SQL, files
+from snipdex.plans.domain import FILES_SQL, files, load
 from snipdex.plans.snippets import SNIPPETS_SQL, code_files
 from snipdex.plans.texts import TEXT_DIM, WHOLE, asked_vectors, embed_sql
 from snipdex.session import scratch_path, stored
@@ -166,3 +167,73 @@ def search_present(spark, sf_dir):
     hits = knn.knn_join(asked_vectors(spark, sf_dir, model), points.select("vec_id", "vector"), 3)
     shown = I.present_hits(hits, points.join(roots, "collection"))
     return shown.select("query_id", F.col("rank").cast("long").alias("rank"), "score", "file", "start_line", "end_line", "details")
+
+
+REQUESTS_SQL = """req AS (SELECT item_id, CASE WHEN item_id % 9 = 8 THEN ' ' ELSE text END AS text, item_id % 25 AS n,
+  '/repo/src' || (item_id % 25) || CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/src' ELSE '/docs' END AS path, item_id % 7 AS k FROM benchmark)"""
+
+
+def _requests(spark, sf_dir):
+    """Benchmark texts as requests on libraries and folders; some are blank, ask for nothing or have no library."""
+    item = F.col("item_id")
+    folder = F.when(item % 3 == 0, "").when(item % 3 == 1, "/src").otherwise("/docs")
+    return load(spark, sf_dir, "benchmark").select(
+        item.alias("query_id"),
+        F.when(item % 9 == 8, F.lit(" ")).otherwise(F.col("text")).alias("query"),
+        F.concat(F.lit("/Repo/SRC"), (item % 25).cast("string"), folder).alias("path"),
+        (item % 7).cast("int").alias("k"),
+    )
+
+
+def _ready_libraries(spark, sf_dir):
+    number = F.substring("source", 4, 10).cast("int")
+    return load(spark, sf_dir, "documents").select("source").distinct().select(
+        F.concat(F.lit("/repo/"), "source").alias("root"), F.col("source").alias("name"),
+        F.when(number % 8 == 7, "Indexing").otherwise("Completed").alias("status"),
+    )
+
+
+@query(
+    "search_judged",
+    f"""WITH {REQUESTS_SQL} SELECT item_id AS query_id, CASE WHEN trim(text) = '' THEN 'blank query' WHEN k < 1 THEN 'k below 1'
+  WHEN n >= 20 THEN 'no library' WHEN n % 8 = 7 THEN 'status indexing' END AS reason FROM req""",
+)
+def search_judged(spark, sf_dir):
+    return S.judge_requests(_requests(spark, sf_dir), _ready_libraries(spark, sf_dir)).select("query_id", "reason")
+
+
+def _requests_sql(inside: bool) -> str:
+    texts = """SELECT 'd' AS kind, pid AS id, code AS text FROM p UNION ALL
+    SELECT 'q' AS kind, CAST(item_id AS VARCHAR) AS id, text FROM req"""
+    place = "(p.path = q.path OR starts_with(p.path, q.path || '/'))" if inside else "p.library = 'src' || q.n"
+    return f"""WITH {SNIPPETS_SQL}, {REQUESTS_SQL},
+p AS (SELECT *, {POINT_ID_SQL} AS pid FROM (SELECT *, {COLLECTION_SQL} AS collection FROM snippets)),
+{embed_sql(texts)},
+h AS (SELECT q.item_id AS query_id, p.pid, pairs.score, q.k, q.path <> '/repo/src' || q.n AS from_parent,
+  row_number() OVER (PARTITION BY q.item_id ORDER BY pairs.score DESC, p.pid) AS rank
+  FROM pairs JOIN p ON p.pid = pairs.found JOIN req q ON CAST(q.item_id AS VARCHAR) = pairs.query_id
+  WHERE q.n < 20 AND q.n % 8 <> 7 AND {place})
+SELECT query_id, rank, pid AS point_id, round(score, 6) AS score, from_parent FROM h WHERE rank <= k"""
+
+
+def _search(spark, sf_dir, inside):
+    points = stored(_build(code_files(spark, sf_dir)), "points")
+    model = M.embedder("hashed_tokens", dim=TEXT_DIM)
+    hits = S.search_requests(
+        _requests(spark, sf_dir), _ready_libraries(spark, sf_dir), points, model, TEXT_DIM, WHOLE, inside_path=inside, batch=100
+    )
+    return hits.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), F.col("vec_id").alias("point_id"), F.round("score", 6).alias("score"), "from_parent"
+    )
+
+
+@query("search_requests", _requests_sql(False))
+def search_requests(spark, sf_dir):
+    """Requests answered from the collection of their nearest library."""
+    return _search(spark, sf_dir, False)
+
+
+@query("search_inside_path", _requests_sql(True))
+def search_inside_path(spark, sf_dir):
+    """The same requests, answered only from files below the asked folder."""
+    return _search(spark, sf_dir, True)

@@ -17,6 +17,7 @@ from snipdex.operators.index import POINT_COLUMNS, replace_by_file
 from snipdex.session import shared_dir
 
 BUCKETS = 64
+MAX_NAMED_FOLDERS = 4096
 PARTITIONS = ["collection", "file_bucket"]
 POINT_SCHEMA = (
     "collection string, point_id string, file_path string, namespace string, class_name string, member_name string, "
@@ -47,12 +48,33 @@ class IndexStore:
             return self.spark.createDataFrame([], POINT_SCHEMA)
         return self.spark.read.schema(POINT_SCHEMA).parquet(self.path)
 
+    def _folder(self, collection: str, bucket: int | None = None) -> str:
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        folder = f"{self.path}/collection={escape(collection)}"
+        return folder if bucket is None else f"{folder}/file_bucket={bucket}"
+
+    def _some(self, folders: list[str]) -> DataFrame:
+        """Only the named folders; the rest of the index is neither listed nor read."""
+        present = [f for f in folders if _exists(self.spark, f)]
+        if not present:
+            return self.spark.createDataFrame([], POINT_SCHEMA)
+        return self.spark.read.schema(POINT_SCHEMA).option("basePath", self.path).parquet(*present)
+
+    def _touching(self, keys: DataFrame) -> DataFrame:
+        """Stored rows whose folder occurs in `keys` (collection, maybe file_bucket).
+
+        Few folders, as a bounded read shows, are opened by name; otherwise the index is scanned
+        and joined.
+        """
+        names = keys.distinct().limit(MAX_NAMED_FOLDERS + 1).collect()
+        if len(names) <= MAX_NAMED_FOLDERS:
+            return self._some([self._folder(*n) for n in names])
+        return self._raw().join(keys.distinct(), keys.columns, "left_semi")
+
     def read(self, collection: str | None = None) -> DataFrame:
-        """Live points; a collection name prunes to its folders."""
-        rows = self._raw().filter("live")
-        if collection is not None:
-            rows = rows.filter(F.col("collection") == collection)
-        return rows.select(*POINT_COLUMNS)
+        """Live points, of one collection or of all."""
+        rows = self._raw() if collection is None else self._some([self._folder(collection)])
+        return rows.filter("live").select(*POINT_COLUMNS)
 
     def _with_markers(self, points: DataFrame, touched: DataFrame) -> DataFrame:
         """Points with their bucket, plus one marker row per touched folder."""
@@ -88,9 +110,8 @@ class IndexStore:
         copy = self._stored(staged).select(*POINT_COLUMNS)
         touched = copy.select("collection", _bucket(self.buckets)).distinct()
         if self.exists():
-            names = copy.select("collection").distinct()
-            old = self._raw().select(*PARTITIONS).distinct().join(names, "collection", "left_semi")
-            touched = touched.unionByName(old.select(*PARTITIONS)).distinct()
+            old = self._touching(copy.select("collection")).select(*PARTITIONS).distinct()
+            touched = touched.unionByName(old).distinct()
         self._overwrite(self._with_markers(copy, touched))
 
     def replace_files(self, changed: DataFrame, fresh: DataFrame, change_id: str) -> None:
@@ -103,14 +124,14 @@ class IndexStore:
         if not _exists(self.spark, staged + "/_SUCCESS"):
             keys = changed.select("collection", "file_path").distinct()
             touched = keys.select("collection", _bucket(self.buckets)).distinct()
-            current = self._raw().filter("live").join(touched, PARTITIONS, "left_semi")
+            current = self._touching(touched).filter("live")
             merged = replace_by_file(current.select(*POINT_COLUMNS), keys, fresh.select(*POINT_COLUMNS))
             self._with_markers(merged, touched).write.mode("overwrite").parquet(staged)
         self._overwrite(self._stored(staged))
 
     def drop_collection(self, collection: str) -> None:
         """Empty every folder of a collection."""
-        touched = self._raw().filter(F.col("collection") == collection).select(*PARTITIONS).distinct()
+        touched = self._some([self._folder(collection)]).select(*PARTITIONS).distinct()
         self._overwrite(self._with_markers(self._raw().filter(F.lit(False)).select(*POINT_COLUMNS), touched))
 
     def info(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
 from snipdex.operators.index import upsert_latest
+from snipdex.session import stored
 from snipdex.sources.index_store import IndexStore
 from snipdex.streaming.changes import burst_action
 
@@ -38,11 +39,16 @@ def start_apply(
     name: str = "apply",
     **trigger,
 ):
-    """Run `apply_bursts` for every micro-batch; a batch that is run again changes nothing."""
+    """Run `apply_bursts` for every micro-batch; a batch that is run again changes nothing.
+
+    The batch is used several times, so it is stored first: running its plan again would run the
+    window state again.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            apply_bursts(batch, store, files_of, build, f"{name}-{batch_id}")
+        rows = stored(batch, f"{name}-in")
+        if not rows.isEmpty():
+            apply_bursts(rows, store, files_of, build, f"{name}-{batch_id}")
 
     writer = bursts.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(each)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
