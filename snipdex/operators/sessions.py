@@ -28,47 +28,58 @@ def previous_in_group(
     return joined.withColumns({f"prev_{c}": prev[c] for c in columns}).drop("_range", "_prev", "_carry")
 
 
+def _bursts(rows: DataFrame, keys: list[str], order: list[str], gap_us: int) -> DataFrame:
+    """Fold rows (first_us, last_us, n_changes, change_type) of a key that follow within the gap.
+
+    All comes from one sort: the last row of a burst stands for it.  `_head` and `_tail` mark the
+    first and the last burst of the key.
+    """
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumns(
+        {
+            "_opens": F.coalesce(F.col("first_us") - F.lag("last_us").over(inside) > gap_us, F.lit(True)),
+            "_gap_after": F.lead("first_us").over(inside) - F.col("last_us"),
+            "_total": F.sum("n_changes").over(so_far),
+        }
+    )
+    folded = marked.withColumns(
+        {
+            "_start": F.max(F.when(F.col("_opens"), F.col("first_us"))).over(so_far),
+            "_before": F.max(F.when(F.col("_opens"), F.col("_total") - F.col("n_changes"))).over(so_far),
+        }
+    ).filter(F.coalesce(F.col("_gap_after") > gap_us, F.lit(True)))
+    return folded.select(
+        *keys,
+        F.col("_start").alias("first_us"),
+        "last_us",
+        (F.col("_total") - F.col("_before")).alias("n_changes"),
+        "change_type",
+        (F.col("_before") == 0).alias("_head"),
+        F.col("_gap_after").isNull().alias("_tail"),
+    )
+
+
 def debounce(
     changes: DataFrame, gap_us: int, span_us: int, key: str = "path", time: str = "event_time", tie: str = "event_id"
 ) -> DataFrame:
     """One row per burst of changes of a path: first and last time, count, last change type.
 
-    A burst ends when the next change comes more than `gap_us` later.  Each range first folds its
-    rows into pieces of bursts.  Only the first piece of a range can go on from an earlier range;
-    whether it does is decided on one row per key and range.
+    A burst ends when the next change comes more than `gap_us` later.  Changes are folded inside
+    ranges of `span_us` first.  Only the first and the last piece of a range can go on in another
+    one; these, two per key and range at most, are folded again together, while every other piece
+    is complete and stays by itself.  Choose the span so that a range of the busiest path fits a
+    task.
 
     Gives (key, first_us, last_us, n_changes, change_type).
     """
+    us = F.unix_micros(F.col(time).cast("timestamp"))
     timed = changes.select(
-        key, tie, "change_type", F.unix_micros(F.col(time).cast("timestamp")).alias("us")
-    ).withColumn("_range", F.floor(F.col("us") / F.lit(span_us)))
-    inside = Window.partitionBy(key, "_range").orderBy("us", tie)
-    opens = F.when(F.col("us") - F.lag("us").over(inside) > gap_us, F.col("us"))
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    marked = timed.withColumn("_open", opens).withColumn("_piece", F.max("_open").over(so_far))
-    pieces = marked.groupBy(key, "_range", "_piece").agg(
-        F.min("us").alias("first_us"),
-        F.max("us").alias("last_us"),
-        F.count(F.lit(1)).alias("n_changes"),
-        F.max(F.struct("us", tie, "change_type")).alias("_last"),
-    )
-    by_range = Window.partitionBy(key).orderBy("_range")
-    ranges = pieces.groupBy(key, "_range").agg(
-        F.min("first_us").alias("_first"), F.max("last_us").alias("_end"), F.max("_piece").alias("_last_piece")
-    )
-    # Start of the burst that the first piece of a range belongs to.
-    entered = F.when(
-        F.coalesce(F.col("_first") - F.lag("_end").over(by_range) > gap_us, F.lit(True)), F.col("_first")
-    )
-    left = ranges.withColumn("_entered", entered).withColumn("_left", F.coalesce("_last_piece", "_entered"))
-    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    heads = left.select(
-        key, "_range", F.coalesce("_entered", F.max("_left").over(earlier)).alias("_head")
+        key, tie, "change_type", us.alias("first_us"), us.alias("last_us"), F.lit(1).cast("bigint").alias("n_changes"),
+        F.floor(us / F.lit(span_us)).alias("_part"),
     )
-    placed = pieces.join(heads, [key, "_range"]).withColumn("_start", F.coalesce("_piece", "_head"))
-    return placed.groupBy(key, F.col("_start")).agg(
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
-        F.sum("n_changes").alias("n_changes"),
-        F.max("_last")["change_type"].alias("change_type"),
-    ).drop("_start")
+    pieces = _bursts(timed, [key, "_part"], ["first_us", tie], gap_us)
+    border = F.col("_head") | F.col("_tail")
+    alone = pieces.withColumn("_part", F.when(~border, F.col("first_us")))
+    whole = _bursts(alone.drop("_head", "_tail"), [key, "_part"], ["first_us"], gap_us)
+    return whole.drop("_part", "_head", "_tail")

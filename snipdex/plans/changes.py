@@ -26,10 +26,13 @@ bursts AS (SELECT path, min(event_time) AS first_time, max(event_time) AS last_t
 
 @query(
     "debounce_batch",
-    f"""WITH {BURSTS_SQL} SELECT path, epoch_us(first_time) AS first_us, epoch_us(last_time) AS last_us, n_changes, change_type FROM bursts""",
+    f"""WITH {BURSTS_SQL} SELECT path, strftime(first_time, '%Y-%m-%d %H:%M:%S.%f') AS first_time,
+  strftime(last_time, '%Y-%m-%d %H:%M:%S.%f') AS last_time, n_changes, change_type FROM bursts""",
 )
 def debounce_batch(spark, sf_dir):
-    return sessions.debounce(changes(spark, sf_dir), GAP_US, DAY_US)
+    bursts = sessions.debounce(changes(spark, sf_dir), GAP_US, DAY_US)
+    times = {n: ts_text(F.timestamp_micros(c)) for n, c in (("first_time", "first_us"), ("last_time", "last_us"))}
+    return bursts.withColumns(times).drop("first_us", "last_us")
 
 
 @query(
