@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -347,5 +347,19 @@ def parse_report(files: DataFrame, path: str = "path", text: str = "text", keep:
     return judged.select(*keep, F.col(path).alias("path"), "_r.snippets", "_r.error")
 
 
+def register_sql(spark: SparkSession, name: str = "extract_snippets") -> None:
+    """Make the extractors a table function for SQL: `FROM files, LATERAL extract_snippets(language, path, text)`."""
+    table = dict(EXTRACTORS)
+    columns = schemas.SNIPPET.replace("path string, language string, ", "")
+
+    @F.udtf(returnType=columns)
+    class Snippets:
+        def eval(self, language: str, path: str, text: str):
+            if language in table and text and text.strip():
+                yield from table[language](path, text)
+
+    spark.udtf.register(name, Snippets)
+
+
 def methods_only(snippets: DataFrame) -> DataFrame:
     return snippets.filter(F.col("kind") == "method")

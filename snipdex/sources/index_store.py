@@ -76,6 +76,10 @@ class IndexStore:
         rows = self._raw() if collection is None else self._some([self._folder(collection)])
         return rows.filter("live").select(*POINT_COLUMNS)
 
+    def read_collections(self, collections: DataFrame) -> DataFrame:
+        """Live points of the collections named in a `collection` column; others are not opened."""
+        return self._touching(collections.select("collection")).filter("live").select(*POINT_COLUMNS)
+
     def _with_markers(self, points: DataFrame, touched: DataFrame) -> DataFrame:
         """Points with their bucket, plus one marker row per touched folder."""
         columns = [*POINT_COLUMNS, "live", "file_bucket"]

@@ -108,3 +108,11 @@ def test_dispatch_and_registration(spark):
         assert report["/r/bad.py"] == (0, "ValueError: boom") and report["/r/a.py"] == (2, None)
     finally:
         E.register_extractor("python", before)
+
+
+def test_table_function_for_sql(spark):
+    E.register_sql(spark)
+    rows = [("python", "/r/a.py", "def f():\n  pass\ndef g():\n  pass"), ("cobol", "/r/b", "x"), ("csharp", "/r/c.cs", " ")]
+    spark.createDataFrame(rows, "lang string, path string, text string").createOrReplaceTempView("sql_files")
+    got = spark.sql("SELECT path, member_name, start_line FROM sql_files, LATERAL extract_snippets(lang, path, text)").collect()
+    assert sorted(tuple(r) for r in got) == [("/r/a.py", "f (Function)", 1), ("/r/a.py", "g (Function)", 3)]

@@ -118,6 +118,10 @@ def test_other_collections_are_not_touched(spark, store):
     assert store.read().count() == 5
     name = store.read().filter("file_path LIKE '/two%'").first()["collection"]
     assert store.read(name).count() == 1
+    names = spark.createDataFrame([(name,), ("code_index_none",)], "collection string")
+    assert [r["file_path"] for r in store.read_collections(names).collect()] == ["/two/z.py"]
+    files = store.read_collections(names).inputFiles()
+    assert files and all(name in f for f in files)
     store.drop_collection(name)
     assert store.read().count() == 4
 
@@ -129,3 +133,11 @@ def test_present_hits(spark):
     assert (row["score"], row["file"], row["start_line"], row["details"]) == ("0.1235", "b.py", 3, "b | c (Function)")
     inside = I.within_path(points, F.lit("/lib/b.py"))
     assert inside.count() == 2
+
+
+def test_wide_changes_fall_back_to_a_join(spark, store, monkeypatch):
+    from snipdex.sources import index_store
+
+    monkeypatch.setattr(index_store, "MAX_NAMED_FOLDERS", 0)
+    store.replace_files(changed(spark, "gone.py"), build(tree(spark, FIRST)).limit(0), "batch-wide")
+    assert {r["file_path"] for r in store.read().collect()} == {"/lib/a.py", "/lib/b.py"}
