@@ -172,6 +172,11 @@ def _metadata_findings() -> list[Column]:
     ]
 
 
+def all_findings() -> Column:
+    """The findings of a row that holds a watch configuration and metadata, as one array."""
+    return F.concat(*[f.cast(FINDINGS) for f in _watch_findings() + _metadata_findings()])
+
+
 def audit_metadata(rows: DataFrame, key: str = "config_id") -> DataFrame:
     return _report(rows, key, _metadata_findings())
 

@@ -9,6 +9,7 @@ from snipdex.functions import jsonx as J
 from snipdex.operators import audit as A
 from snipdex.operators import presets as P
 from snipdex.operators import registry as R
+from snipdex.session import stored
 
 
 def read_documents(documents: DataFrame) -> DataFrame:
@@ -39,19 +40,18 @@ def preset_documents(requests: DataFrame, presets: DataFrame) -> DataFrame:
     return found.select("id", watch.alias("watch"), meta.alias("meta"))
 
 
-def findings(wanted: DataFrame) -> DataFrame:
-    """(id, rule, value) of both halves; a missing half is a finding."""
+def judge_documents(wanted: DataFrame) -> DataFrame:
+    """(id, watch, meta, findings): what speaks against each document; a missing half is a finding."""
     rows = wanted.select(
-        "id",
+        "id", "watch", "meta",
         F.col("watch.filePatterns").alias("file_patterns"), F.col("watch.excludePatterns").alias("exclude_patterns"),
         F.col("watch.maxFileSize").alias("max_file_size"), F.col("watch.customFilters").alias("custom_filters"),
         F.coalesce("meta.projectType", F.lit("unknown")).alias("project_type"), F.col("meta.priority").alias("priority"),
         F.col("meta.tags").alias("tags"), F.col("meta.customSettings").alias("custom_settings"),
-        (F.col("watch").isNull() | F.col("meta").isNull()).alias("_missing"),
     )
-    whole = rows.filter(~F.col("_missing"))
-    missing = rows.filter("_missing").select("id", F.lit("missing part").alias("rule"), F.lit("").alias("value"))
-    return A.audit_watch(whole, "id").unionByName(A.audit_metadata(whole, "id")).unionByName(missing)
+    missing = F.array(F.struct(F.lit("missing part").alias("rule"), F.lit("").alias("value"))).cast(A.FINDINGS)
+    whole = F.col("watch").isNotNull() & F.col("meta").isNotNull()
+    return rows.select("id", "watch", "meta", F.when(whole, A.all_findings()).otherwise(missing).alias("findings"))
 
 
 def _merged(old: Column, new: Column) -> Column:
@@ -73,8 +73,10 @@ def apply_documents(libraries: DataFrame, wanted: DataFrame, as_of: str, validat
 
     Gives (applied registry, backup of the rows that change, findings of refused rows).
     """
-    refused = findings(wanted)
-    accepted = wanted.join(refused.select("id").distinct(), "id", "left_anti")
+    # Judged once: the refusals and the accepted rows both read this.
+    judged = stored(judge_documents(wanted), "judged")
+    refused = judged.select("id", F.explode("findings").alias("f")).select("id", "f.rule", "f.value")
+    accepted = judged.filter(F.size("findings") == 0).drop("findings")
     if validate_only:
         accepted = accepted.filter(F.lit(False))
     new = accepted.select("id", F.col("watch").alias("_watch"), F.col("meta").alias("_meta"))

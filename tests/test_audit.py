@@ -93,3 +93,23 @@ def test_merge_and_recommend(spark):
     assert [(r["asked"], r["preset_id"]) for r in got] == [("python", "python")]
     found = P.lookup(spark.createDataFrame([("GO",), ("nope",)], "preset_id string"), P.built_in_presets(spark))
     assert [r["preset_id"] for r in found.collect()] == ["go"]
+
+
+def test_import_of_documents(spark):
+    from snipdex.operators import config_io as C
+    from snipdex.operators import registry as R
+
+    ddl = "id int, name string, watch_config string, statistics string, metadata string, updated_at timestamp"
+    meta = '{"ProjectType":"python","Team":"t","CustomSettings":{"a":"1","b":"2"}}'
+    rows = [(i, f"n{i}", '{"FilePatterns":["*.py"]}', "{}", meta, None) for i in (1, 2, 3)]
+    libraries = spark.createDataFrame(rows, ddl)
+    good = '{"watchConfiguration":{"filePatterns":["*.md"]},"metadata":{"team":"","framework":"x","tags":["n"],"customSettings":{"b":"3"}}}'
+    docs = spark.createDataFrame([(1, good), (2, '{"watchConfiguration":{"filePatterns":[]},"metadata":{}}'), (3, '{"metadata":{}}')], "id int, document string")
+    applied, backup, refused = C.apply_documents(libraries, C.read_documents(docs), "2025-01-01")
+    got = {r["id"]: r for r in R.parse(applied).collect()}
+    assert got[1]["watch"]["filePatterns"] == ["*.md"] and got[1]["meta"]["team"] == "t" and got[1]["meta"]["framework"] == "x"
+    assert got[1]["meta"]["customSettings"] == {"a": "1", "b": "3"} and got[1]["meta"]["tags"] == ["n"]
+    assert got[2]["watch"]["filePatterns"] == ["*.py"] and [r["id"] for r in backup.collect()] == [1]
+    assert {(r["id"], r["rule"]) for r in refused.collect()} == {(2, "no file pattern"), (3, "missing part")}
+    same, _, _ = C.apply_documents(libraries, C.read_documents(docs), "2025-01-01", validate_only=True)
+    assert {r["watch_config"] for r in same.collect()} == {'{"FilePatterns":["*.py"]}'}
