@@ -8,6 +8,7 @@ from snipdex.functions import jsonx as J
 from snipdex.operators import registry as R
 from snipdex.plans.catalog import query
 from snipdex.plans.domain import REGISTRY_SQL, files, load, registry, ts_text
+from snipdex.session import spread_scan
 
 MONITORED = "is_active AND is_enabled"
 
@@ -198,7 +199,7 @@ def _event_docs(spark, sf_dir):
         F.lit('"], "nested": {"team": "team'), (F.col("user_id") % 5).cast("string"), F.lit('", "ratio": 0.5}, "gone": null}'),
     )
     cut = F.when(F.col("event_id") % 7 == 0, F.substring(doc, F.lit(1), F.length(doc) - 1)).otherwise(doc)
-    return load(spark, sf_dir, "events").select("event_id", cut.alias("doc"))
+    return spread_scan(load(spark, sf_dir, "events"), "event_id").select("event_id", cut.alias("doc"))
 
 
 DOCS_SQL = """docs AS (SELECT event_id, event_type, user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
