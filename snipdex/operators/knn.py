@@ -280,7 +280,7 @@ def knn_lsh(
     k: int = 5,
     tables: int = 8,
     bits: int = 6,
-    probes: int = 2,
+    probes: int = 4,
     seed: int = 7,
     exclude_self: bool = False,
     cell_rows: int | None = None,
