@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as driver
+from snipdex.plans import all_queries, all_sql
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
