@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, shards, token_counts
+from snipdex.llm import bpe, near_duplicates, shards, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,3 +41,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.assign_shards(table(spark, sf_dir, "documents"), 8)
     return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
