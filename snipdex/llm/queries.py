@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, near_duplicates, shards, token_counts
+from snipdex.llm import bpe, decontamination, near_duplicates, shards, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,3 +46,45 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op1_decontamination"] = r"""
+WITH lowered AS (
+    SELECT doc_id AS id, 'd' AS kind, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    UNION ALL
+    SELECT item_id, 'i', translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), split AS (
+    SELECT id, kind, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM lowered
+), windows AS (
+    SELECT id AS item_id, least(10, len(words)) AS size, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS phrase
+    FROM split, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS t(i) WHERE kind = 'i' AND len(words) > 0
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), places AS (
+    SELECT id AS doc_id, i, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+    FROM split, sizes, unnest(range(1, len(words) - size + 2)) AS t(i) WHERE kind = 'd'
+), hits AS (
+    SELECT DISTINCT doc_id, i, size, item_id FROM places JOIN windows USING (size, phrase)
+), words_hit AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, size)) AS t(k) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS names FROM hits GROUP BY doc_id
+)
+SELECT id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN words_hit ON words_hit.doc_id = id LEFT JOIN items ON items.doc_id = id
+WHERE kind = 'd'
+"""
