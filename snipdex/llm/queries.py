@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, near_duplicates, shards, token_counts
+from snipdex.llm import bpe, decontamination, language_id, near_duplicates, shards, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,3 +88,11 @@ SELECT id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) A
 FROM split LEFT JOIN words_hit ON words_hit.doc_id = id LEFT JOIN items ON items.doc_id = id
 WHERE kind = 'd'
 """
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", F.round("language.background", 6).alias("background"))
