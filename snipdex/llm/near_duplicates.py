@@ -230,3 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = reps.join(labels, reps.id == labels.node, "left").select(*keys, F.coalesce("component", "id").alias("component_id"))
     out = signed.join(classes, keys, "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with their own columns, without those that another one of their group stands for.
+
+    Of rows that repeat an id one stays; rows with a null id stay, since an id names what stays.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
+    left = docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    # A null id gets a number of its own, so that only true ids are compared.
+    names = left.columns
+    plain = left.toDF(*(f"c{i}" for i in range(len(names))))
+    own = f"c{names.index(id_col)}"
+    plain = plain.withColumn("single", F.when(F.col(own).isNull(), F.monotonically_increasing_id()))
+    return plain.dropDuplicates([own, "single"]).drop("single").toDF(*names)

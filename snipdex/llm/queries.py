@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, language_id, near_duplicates, shards, token_counts
+from snipdex.llm import bpe, decontamination, language_id, near_duplicates, pseudonyms, shards, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -96,3 +96,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs.filter(~language_id.held_out()))
     found = language_id.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", F.round("language.background", 6).alias("background"))
+
+
+PSEUDONYM_KEY = "example"
+
+
+@query
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.concat_ws(",", "pii.kind").alias("kinds"))
