@@ -239,10 +239,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
-    # A null id gets a number of its own, so that only true ids are compared.
-    names = left.columns
-    plain = left.toDF(*(f"c{i}" for i in range(len(names))))
-    own = f"c{names.index(id_col)}"
-    plain = plain.withColumn("single", F.when(F.col(own).isNull(), F.monotonically_increasing_id()))
-    return plain.dropDuplicates([own, "single"]).drop("single").toDF(*names)
+    named = docs.filter(F.col(id_col).isNotNull())
+    # The join leaves the rows dealt by id, so that no second shuffle of texts is needed to find repeated ids.
+    left = named.join(gone, named[id_col] == gone["gone_id"], "left_anti").dropDuplicates([id_col])
+    return left.unionByName(docs.filter(F.col(id_col).isNull()))
