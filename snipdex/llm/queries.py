@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, language_id, near_duplicates, pseudonyms, shards, token_counts
+from snipdex.llm import bpe, decontamination, language_id, near_duplicates, pseudonyms, shards, token_counts, vector_links
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,3 +105,27 @@ PSEUDONYM_KEY = "example"
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.concat_ws(",", "pii.kind").alias("kinds"))
+
+
+@query
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.vector_links(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op9_vector_links"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95
+), reach AS (
+    SELECT vec_id AS u, vec_id AS w FROM embeddings
+    UNION
+    SELECT reach.u, links.w FROM reach JOIN links ON links.u = reach.w
+), least AS (
+    SELECT u, min(w) AS component_id FROM reach GROUP BY u
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.u = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.u = vec_id
+"""
