@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, language_id, near_duplicates, pseudonyms, shards, token_counts, vector_links
+from snipdex.llm import bpe, decontamination, language_id, lm_score, near_duplicates, pseudonyms, shards, token_counts, vector_links
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -129,3 +129,9 @@ WITH RECURSIVE v AS (
 SELECT vec_id, (SELECT count(*) FROM links WHERE links.u = vec_id) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN least ON least.u = vec_id
 """
+
+
+@query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
