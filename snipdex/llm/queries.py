@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, language_id, lm_score, near_duplicates, pseudonyms, shards, token_counts, vector_links
+from snipdex.llm import bpe, decontamination, language_id, lm_score, near_duplicates, pseudonyms, shards, token_counts, token_files, vector_links
+from snipdex.session import scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -135,3 +136,11 @@ FROM embeddings JOIN least ON least.u = vec_id
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_score.score(docs, lm_score.train(docs))
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE)
+    found = token_files.read_tokens(spark, path)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
