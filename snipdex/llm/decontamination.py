@@ -206,7 +206,7 @@ def _found(test: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> list[pa
     # Longest matches: windows that follow each other on one diagonal.
     order, new = _runs([doc, item, first - item_word], item_word)
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(order)) - 1
+    tails = np.append(heads[1:], len(order))[: len(heads)] - 1
     head, tail = order[heads], order[tails]
     match_doc, match_item = doc[head], item[head]
     names = test.ids[match_item]
