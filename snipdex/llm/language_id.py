@@ -152,8 +152,11 @@ def _predict(data: np.ndarray, offsets: np.ndarray, probabilities: np.ndarray, p
     return out
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The documents' own columns and a struct `language` (lang_pred, score, background, shares of the selected set)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", found_col: str = "language") -> DataFrame:
+    """The documents' own columns and a struct `found_col` (lang_pred, score, background, shares of the selected set).
+
+    `found_col` replaces a column of that name.
+    """
     languages, prior, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(np.concatenate([np.exp(logs), np.full((1, BUCKETS), 1 / BUCKETS, np.float32)]).T.copy() if languages else None)
     names = docs.columns
@@ -175,7 +178,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     found = plain.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", " + FOUND)
-    return found.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)), F.struct("lang_pred", "score", "background", "shares").alias("language"))
+    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n != found_col]
+    return found.select(*kept, F.struct("lang_pred", "score", "background", "shares").alias(found_col))
 
 
 def _has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -198,7 +202,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def reject_unknown(docs: DataFrame, text_col: str = "text", label_col: str = "lang", most_background: float = 0.5) -> DataFrame:
     """The documents, with their own columns, that have a language: texts of no language or mostly background go."""
     model = learn(docs, text_col, label_col)
-    found = predict(docs, model, text_col)
+    own = "language" + "_" * max((len(n) for n in docs.columns), default=0)  # longer than any name there is
+    found = predict(docs, model, text_col, own)
     if model[0]:
-        return found.filter((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.background") <= most_background)).drop("language")
-    return found.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).drop("language")
+        return found.filter((F.col(f"{own}.lang_pred") != UNKNOWN) & (F.col(f"{own}.background") <= most_background)).drop(own)
+    return found.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).drop(own)
