@@ -5,9 +5,10 @@
 3. Signatures are cut into bands. In every bucket each member is paired with the smallest one; distinct pairs are
    verified on full sets and the verified ones joined into components.
 4. Buckets whose members are then still in several components are compared across components: members outside the
-   bucket's largest component meet all others in tiles of bounded size. A tile gives out only pairs that differ in
-   component, meet in no earlier band and whose signatures agree enough (`ESTIMATE`, four standard deviations below the
-   threshold); these are verified too. Pairs within a component cannot change the result and are never formed.
+   bucket's largest component meet all others in tiles of bounded size. Candidates differ in component, meet in no
+   earlier band and have signatures that agree enough (`ESTIMATE`, four standard deviations below the threshold). A
+   first pass over the tiles keeps the members with a candidate, a second one has their full sets and gives out
+   verified links only. Pairs within a component cannot change the result and are never formed.
 
 With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with a chance of 5 in a million.
 
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +129,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     return plain.mapInArrow(run, f"id {kind}, elements binary").dropDuplicates(["id"])
 
 
+def _similar(left: pa.Buffer, right: pa.Buffer) -> bool:
+    """Whether two full sets reach the threshold."""
+    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -137,11 +146,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             left, right = (_column(batch, c) for c in ("left_set", "right_set"))
             keep = np.zeros(len(left), bool)
             for i in range(len(left)):
-                x, y = (np.frombuffer(side[i].as_buffer(), np.uint64) for side in (left, right))
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+                keep[i] = _similar(left[i].as_buffer(), right[i].as_buffer())
             yield pa.RecordBatch.from_arrays([_column(batch, "a"), _column(batch, "b")], names=["a", "b"]).filter(pa.array(keep))
 
     kind = dict(pairs.dtypes)["a"]
@@ -154,8 +159,8 @@ def _like_sizes(one: str, other: str):
     return F.least(one, other) * 100 >= F.greatest(one, other) * PERCENT
 
 
-def _across(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components within buckets that hold several."""
+def _tiles(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, once for each tile of two sides x and y that they take part in."""
     members = members.join(labels, members.id == labels.node, "left").select("bucket", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("part"))
     main = parts.groupBy("bucket").agg(F.max_by("component", "part").alias("main"), F.max("part").alias("main_rows"), F.sum("part").alias("all_rows"), F.count(F.lit(1)).alias("n_parts"))
@@ -177,34 +182,80 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame
             F.transform(F.filter(others, lambda x: x <= F.col("tile")), lambda x: cell(x, F.col("tile"), "y")),
         )
     )
-    rows = rows.withColumn("cell", F.explode(cells)).select("bucket", "band", "id", "n_shingles", "component", "bins", "cell.x", "cell.y", "cell.role")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        band = int(pdf["band"].iloc[0])
-        sides = []
-        for role in ("x", "y"):
-            part = pdf[pdf["role"] == role]
-            bins = np.frombuffer(b"".join(part["bins"]), np.uint16).reshape(len(part), BINS)
-            sides.append((part["id"].to_numpy(), part["component"].to_numpy(), part["n_shingles"].to_numpy(), bins))
-        (id_x, comp_x, n_x, bins_x), (id_y, comp_y, n_y, bins_y) = sides
-        # A band is four neighbouring bins: one 64-bit word each.
-        words_x, words_y = (np.ascontiguousarray(b).view(np.uint64) for b in (bins_x, bins_y))
-        found_a, found_b = [], []
-        for i in range(len(id_x)):
-            near = np.flatnonzero((comp_y != comp_x[i]) & (100 * np.minimum(n_y, n_x[i]) >= PERCENT * np.maximum(n_y, n_x[i])))
-            if len(near):
-                near = near[~(words_y[near, :band] == words_x[i, :band]).any(axis=1)]
-                near = near[(bins_y[near] == bins_x[i]).mean(axis=1) >= ESTIMATE]
-                found_a.append(np.full(len(near), id_x[i], dtype=id_x.dtype))
-                found_b.append(id_y[near])
-        if not found_a:
-            return pd.DataFrame({"a": id_x[:0], "b": id_x[:0]})
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        out = pd.DataFrame({"a": np.minimum(a, b) if a.dtype != object else [min(p) for p in zip(a, b)], "b": np.maximum(a, b) if a.dtype != object else [max(p) for p in zip(a, b)]})
-        return out.drop_duplicates()
-
+    return rows.withColumn("cell", F.explode(cells)).select("bucket", "cell.x", "cell.y", "cell.role", "band", "id", "n_shingles", "component", "bins")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole groups, and where the groups begin; a group is never cut."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        for key in keys:
+            values = table.column(key).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        begins = np.concatenate([[0], np.flatnonzero(new)])
+        if len(begins) > 1:
+            yield table.slice(0, begins[-1]), begins
+        held = table.slice(begins[-1])
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def _candidates(table: pa.Table, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per group the row numbers of pairs worth verifying; only pairs whose first common band is the group's."""
+    ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+    band, is_x = table.column("band").to_numpy(), table.column("role").to_numpy() == "x"
+    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)
+    words = bins.view(np.uint64)  # a band is four neighbouring bins: one 64-bit word each
+    for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        rows = np.arange(begin, end)
+        xs, ys = rows[is_x[begin:end]], rows[~is_x[begin:end]]
+        earlier = int(band[begin])
+        for first in range(0, len(xs), 64):
+            some = xs[first : first + 64]
+            near = component[some][:, None] != component[ys]
+            near &= 100 * np.minimum(n[some][:, None], n[ys]) >= PERCENT * np.maximum(n[some][:, None], n[ys])
+            i, j = np.nonzero(near)
+            i, j = some[i], ys[j]
+            fresh = ~(words[i, :earlier] == words[j, :earlier]).any(axis=1) if earlier else np.ones(len(i), bool)
+            i, j = i[fresh], j[fresh]
+            like = (bins[i] == bins[j]).sum(axis=1) >= ESTIMATE * BINS
+            if like.any():
+                yield i[like], j[like]
+
+
+def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) between components within buckets that hold several.
+
+    A first pass over the tiles keeps the rows that have a candidate at all; these get their sets, and a second pass
+    verifies the candidates where they lie, so that pairs are never rows.
+    """
+    keys = ["bucket", "x", "y"]
+    tiles = _tiles(members, labels, reps)
     kind = dict(reps.dtypes)["id"]
-    return rows.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}")
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _groups(batches, keys):
+            wanted = np.zeros(table.num_rows, bool)
+            for i, j in _candidates(table, begins):
+                wanted[i] = wanted[j] = True
+            yield from table.filter(pa.array(wanted)).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _groups(batches, keys):
+            ids, elements = table.column("id"), table.column("elements").combine_chunks()
+            links: list[tuple[int, int]] = []
+            for i, j in _candidates(table, begins):
+                links += [(a, b) for a, b in zip(i.tolist(), j.tolist()) if _similar(elements[a].as_buffer(), elements[b].as_buffer())]
+            sides = [ids.take(pa.array([p[k] for p in links], pa.int64())).combine_chunks() for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+    schema = ", ".join(f"{n} {t}" for n, t in tiles.dtypes)
+    kept = stored(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(involved, schema), "involved")
+    full = kept.join(sets, "id").select(*kept.columns, "elements")
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.filter((F.col("id") != F.col("hub.id")) & _like_sizes("n_shingles", "hub.n_shingles"))
     links = stored(_verified(stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), sets), "star-links")
     labels = stored(components(links, "a", "b"), "star-labels")
-    more = stored(_verified(_across(members, labels, reps), sets), "cross-links")
+    more = stored(_across(members, labels, reps, sets), "cross-links")
     edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     labels = stored(components(edges, "a", "b"), "labels")
 
