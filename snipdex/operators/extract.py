@@ -28,10 +28,6 @@ CSHARP_LABELS = {
     "class": "类", "interface": "接口", "struct": "结构体", "record": "记录", "enum": "枚举",
     "method": "方法", "constructor": "构造函数", "property": "属性", "field": "字段", "event": "事件",
 }
-CSHARP_SIZE_LIMIT = 1_000_000
-SNIPPET_LIMIT = 2000
-SNIPPET_KEPT = 1950
-SNIPPET_MARKER = "\n// ... 代码过长已截取 ..."
 FLUSH_ROWS = 2000
 
 
@@ -58,32 +54,86 @@ class _Lines:
         return self.line
 
 
-PYTHON_HEADER = re.compile(r"([ \t]*)(?:async[ \t]+)?(class|def)[ \t]+(\w+)[ \t]*\(?.*?\)?[ \t]*:")
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def _quoted_end(text: str, at: int, quote: str, hole: str, verbatim: bool = False) -> int:
+    """Offset behind a string that starts at `at` with the quote; holes such as `${...}` may hold code and strings."""
+    at += len(quote)
+    while at < len(text):
+        if not verbatim and text[at] == "\\":
+            at += 2
+        elif text.startswith(quote, at):
+            if verbatim and text.startswith(quote * 2, at):
+                at += 2 * len(quote)
+                continue
+            return at + len(quote)
+        elif hole == "{" and text.startswith("{{", at):
+            at += 2
+        elif text.startswith(hole, at):
+            depth, at = 1, at + len(hole)
+            while at < len(text) and depth:
+                if text[at] in "\"'`":
+                    at = _quoted_end(text, at, text[at], hole)
+                    continue
+                depth += (text[at] == "{") - (text[at] == "}")
+                at += 1
+        elif text[at] == "\n" and quote == '"' and not verbatim:
+            return at
+        else:
+            at += 1
+    return at
+
+
+def _masked(text: str, noise: re.Pattern, ends: Callable[[re.Match], int] | None = None) -> str:
+    """The text with comments and strings blanked out, offsets and lines unchanged."""
+    out, at = [], 0
+    while match := noise.search(text, at):
+        end = ends(match) if ends else match.end()
+        out += [text[at : match.start()], _blank(text[match.start() : end])]
+        at = max(end, match.start() + 1)
+    return "".join(out) + text[at:]
+
+
+PYTHON_NOISE = re.compile(r'#[^\n]*|"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?', re.S)
 
 
 def python_blocks(path: str, text: str) -> Iterator[Snippet]:
-    """Classes and functions by indentation; a block ends at the latest before the next header."""
-    lines = text.split("\n")
-    headers = [(n, m) for n, line in enumerate(lines) if (m := PYTHON_HEADER.match(line))]
+    """Classes and functions by indentation; a block ends at the latest before the next header.
+
+    Strings and comments are blanked out first, and a line within open brackets or behind a backslash belongs to the
+    line before, so signatures may run over lines and texts at the left margin end nothing.
+    """
+    lines, masked = text.split("\n"), _masked(text, PYTHON_NOISE).split("\n")
+    logical: list[tuple[int, int]] = []  # first line and indent of each statement
+    headers: list[tuple[int, str, str]] = []
+    depth, joined = 0, False
+    for n, line in enumerate(masked):
+        if line.strip() and not depth and not joined:
+            indent = len(line) - len(line.lstrip())
+            logical.append((n, indent))
+            names = line.split(None, 2)
+            if names[0] == "async":
+                names = line.split(None, 3)[1:]
+            if len(names) > 1 and names[0] in ("class", "def") and (name := re.match(r"\w+", names[1])):
+                headers.append((len(logical) - 1, names[0], name[0]))
+        depth = max(0, depth + sum(c in "([{" for c in line) - sum(c in ")]}" for c in line))
+        joined = line.rstrip().endswith("\\")
     if not headers:
         yield _whole(path, text)
-    stops = [n for n, _ in headers[1:]] + [len(lines)]
-    for (start, match), stop in zip(headers, stops):
-        indent = len(match[1])
-        end = start + 1
-        while end < stop:
-            line = lines[end]
-            if line.strip() and len(line) - len(line.lstrip()) <= indent:
-                break
-            end += 1
-        is_class = match[2] == "class"
-        label = "Class" if is_class else "Function"
-        owner = match[3] if is_class else _stem(path)
-        yield "", owner, f"{match[3]} ({label})", label.lower(), "\n".join(lines[start:end]), start + 1, end
+    stops = [h[0] for h in headers[1:]] + [len(logical)]
+    for (at, word, name), stop in zip(headers, stops):
+        start, indent = logical[at]
+        inner = next((i for i in range(at + 1, stop) if logical[i][1] <= indent), stop)
+        end = logical[inner][0] if inner < len(logical) else len(lines)
+        label = "Class" if word == "class" else "Function"
+        owner = name if word == "class" else _stem(path)
+        yield "", owner, f"{name} ({label})", label.lower(), "\n".join(lines[start:end]), start + 1, end
 
 
 def _brace_pairs(text: str) -> dict[int, int]:
-    """Closing brace of every opening one; braces in strings and comments count too."""
+    """Closing brace of every opening one."""
     pairs, stack = {}, []
     for match in re.finditer(r"[{}]", text):
         if match[0] == "{":
@@ -93,59 +143,172 @@ def _brace_pairs(text: str) -> dict[int, int]:
     return pairs
 
 
-def _line_rule(body: str) -> re.Pattern:
-    return re.compile("^" + body, re.M)
-
-
-EXPORT = r"(?:export\s+)?"
-EXPORT_DEFAULT = r"(?:export\s+(?:default\s+)?)?"
-JAVASCRIPT_RULES = [
-    ("Function", _line_rule(EXPORT_DEFAULT + r"(?:async\s+)?function\s+([\w$]+)\s*\(.*?\)\s*\{")),
-    ("Class", _line_rule(EXPORT_DEFAULT + r"class\s+([\w$]+)(?:\s+extends\s+[\w$.]+)?\s*\{")),
-    ("Arrow Function", _line_rule(EXPORT + r"(?:const|let|var)\s+([\w$]+)\s*=\s*(?:async\s*)?\(.*?\)\s*=>\s*\{")),
-]
-TYPESCRIPT_RULES = [
-    ("Function", _line_rule(EXPORT_DEFAULT + r"(?:async\s+)?function\s+([\w$]+)\s*(?:<.*>)?\(.*?\)\s*\{")),
-    ("Class", _line_rule(EXPORT_DEFAULT + r"class\s+([\w$]+)(?:\s+implements\s+[\w, ]+)?(?:\s+extends\s+[\w$.]+)?\s*\{")),
-    ("Interface", _line_rule(EXPORT + r"interface\s+([\w$]+)(?:\s+extends\s+[\w, ]+)?\s*\{")),
-    ("Enum", _line_rule(EXPORT + r"enum\s+([\w$]+)\s*\{")),
-    ("Type Alias", _line_rule(EXPORT + r"type\s+([\w$]+)\s*=\s*.*[{;]")),
-    ("Arrow Function", _line_rule(EXPORT + r"(?:const|let|var)\s+([\w$]+)(?::\s*[\w<>\[\]\s]+)?\s*=\s*(?:async\s*)?\(.*?\)\s*=>\s*\{")),
-]
-
-
-def _brace_blocks(path: str, text: str, rules, language: str) -> Iterator[Snippet]:
-    found = sorted((m.start(), m.end(), m[1], kind) for kind, rule in rules for m in rule.finditer(text))
-    pairs, line, taken, any_block = _brace_pairs(text), _Lines(text), 0, False
-    for start, end, name, kind in found:
-        if start < taken:
-            continue
-        taken = end
-        last = end - 1 if text[end - 1] == ";" else pairs.get(end - 1)
-        if last is None:
-            continue
+SCRIPT_NOISE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|[\"'`]|(?<=[=(,:;\[!&|?{}\n])[ \t]*/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/", re.S)
+SCRIPT_TOKEN = re.compile(r"[\w$]+|=>|\S")
+TYPE_GOES_ON = {":", "|", "&", "<", ",", "=>", "=", "?", "is", "extends", "keyof"}
+
+
+def _script_mask(text: str) -> str:
+    def end(match: re.Match) -> int:
+        if match[0] == "`":
+            return _quoted_end(text, match.start(), "`", "${")
+        if match[0] in ("'", '"'):
+            close = re.compile(r"(?:\\.|[^\\\n" + match[0] + "])*" + match[0] + "?", re.S).match(text, match.end())
+            return close.end()
+        return match.end()
+
+    return _masked(text, SCRIPT_NOISE, end)
+
+
+class _Script:
+    """Declarations at the outermost level of a masked script, found token by token."""
+
+    def __init__(self, masked: str, typed: bool):
+        self.typed = typed
+        found = list(SCRIPT_TOKEN.finditer(masked))
+        self.words, self.starts = [m[0] for m in found], [m.start() for m in found]
+        self.new_line = [i == 0 or "\n" in masked[self.starts[i - 1] : self.starts[i]] for i in range(len(found))]
+        self.close: dict[int, int] = {}
+        stack: list[int] = []
+        for i, word in enumerate(self.words):
+            if word in "([{" and len(word) == 1:
+                stack.append(i)
+            elif word in ")]}" and len(word) == 1:
+                # An opening bracket that was never closed is dropped.
+                while stack and "([{".index(self.words[stack[-1]]) != ")]}".index(word):
+                    stack.pop()
+                if stack:
+                    self.close[stack.pop()] = i
+
+    def word(self, i: int) -> str:
+        return self.words[i] if i < len(self.words) else ""
+
+    def past(self, i: int) -> int:
+        """The token behind this one, or behind its closing bracket."""
+        return self.close.get(i, i) + 1
+
+    def past_angles(self, i: int) -> int:
+        if self.word(i) != "<":
+            return i
+        depth = 0
+        while i < len(self.words):
+            depth += (self.words[i] == "<") - (self.words[i] == ">")
+            i = self.past(i)
+            if not depth:
+                break
+        return i
+
+    def body(self, i: int) -> int | None:
+        """The brace that opens the body: the first one that does not stand where a type is expected."""
+        while i < len(self.words) and self.words[i] != ";":
+            if self.words[i] == "<":
+                i = self.past_angles(i)
+                continue
+            if self.words[i] == "{" and self.words[i - 1] not in TYPE_GOES_ON:
+                return i if i in self.close else None
+            i = self.past(i)
+        return None
+
+    def alias_end(self, i: int) -> int | None:
+        """The last token of a type, from the token behind `=`."""
+        last = None
+        while i < len(self.words):
+            if self.words[i] == ";":
+                return i
+            if last is not None and self.new_line[i] and self.words[last] not in TYPE_GOES_ON and self.words[i] not in TYPE_GOES_ON | {">"}:
+                break
+            if self.words[i] in ("(", "[", "{") and i not in self.close:
+                return None
+            last = self.close.get(i, i)
+            i = last + 1
+        return last
+
+    def arrow_body(self, i: int) -> int | None:
+        """The brace behind `=>` of a function that is assigned here, from the token behind the name."""
+        while i < len(self.words) and self.words[i] not in ("=", ";"):
+            i = self.past(i)
+        i += 1
+        if self.word(i) == "async":
+            i += 1
+        i = self.past_angles(i)
+        if self.word(i) == "(":
+            i = self.past(i)
+            if self.word(i) == ":":
+                while i < len(self.words) and self.words[i] not in ("=>", ";"):
+                    i = self.past(i)
+        else:
+            i += 1
+        if self.word(i) == "=>" and self.word(i + 1) == "{" and i + 1 in self.close:
+            return i + 1
+        return None
+
+    def declared(self, at: int) -> tuple[str, str, int] | None:
+        """Kind, name and last token of the declaration that begins here."""
+        i = at
+        while self.word(i) in ("export", "default", "declare", "abstract", "async") and re.match(r"[\w$]", self.word(i + 1)):
+            i += 1
+        word, name = self.word(i), self.word(i + 1)
+        if word == "const" and name == "enum":
+            word, name, i = "enum", self.word(i + 2), i + 1
+        if word == "function" and name == "*":
+            i, name = i + 1, self.word(i + 2)
+        if not re.fullmatch(r"[^\W\d][\w$]*|\$[\w$]*", name):
+            return None
+        kinds = {"function": "Function", "class": "Class"} | ({"interface": "Interface", "enum": "Enum"} if self.typed else {})
+        if word in kinds:
+            after = self.past_angles(i + 2)
+            if word == "function":
+                if self.word(after) != "(" or after not in self.close:
+                    return None
+                after = self.close[after] + 1
+            brace = self.body(after)
+            return (kinds[word], name, self.close[brace]) if brace is not None else None
+        if word == "type" and self.typed:
+            after = self.past_angles(i + 2)
+            end = self.alias_end(after + 1) if self.word(after) == "=" else None
+            return ("Type Alias", name, end) if end is not None else None
+        if word in ("const", "let", "var"):
+            brace = self.arrow_body(i + 2)
+            return ("Arrow Function", name, self.close[brace]) if brace is not None else None
+        return None
+
+    def __iter__(self) -> Iterator[tuple[str, str, int, int]]:
+        at = 0
+        while at < len(self.words):
+            begins = self.new_line[at] or self.words[at - 1] in (";", "}")
+            found = self.declared(at) if begins else None
+            if found:
+                kind, name, last = found
+                yield kind, name, self.starts[at], self.starts[last]
+                at = last + 1
+            else:
+                at = self.past(at)
+
+
+def _script_blocks(path: str, text: str, language: str) -> Iterator[Snippet]:
+    line, any_block = _Lines(text), False
+    for kind, name, first, last in _Script(_script_mask(text), language == "typescript"):
         any_block = True
-        first_line = line(start)
-        last_line = first_line + text.count("\n", start, last)
-        yield "", _stem(path), f"{name} ({kind})", kind.lower(), text[start : last + 1], first_line, last_line
+        first_line = line(first)
+        yield "", _stem(path), f"{name} ({kind})", kind.lower(), text[first : last + 1], first_line, first_line + text.count("\n", first, last)
     if not any_block:
         yield _whole(path, text, language)
 
 
 def javascript_blocks(path: str, text: str) -> Iterator[Snippet]:
-    return _brace_blocks(path, text, JAVASCRIPT_RULES, "javascript")
+    return _script_blocks(path, text, "javascript")
 
 
 def typescript_blocks(path: str, text: str) -> Iterator[Snippet]:
-    return _brace_blocks(path, text, TYPESCRIPT_RULES, "typescript")
+    return _script_blocks(path, text, "typescript")
 
 
 RAZOR_LABELS = {"code": "Code Block", "functions": "Functions Block", "": "Razor Block"}
 
 
 def razor_blocks(path: str, text: str) -> Iterator[Snippet]:
-    """`@code{}`, `@functions{}` and `@{}` up to the matching brace, numbered."""
-    pairs, line, number, taken = _brace_pairs(text), _Lines(text), 0, 0
+    """`@code{}`, `@functions{}` and `@{}` up to the matching brace, numbered; braces in their strings do not count."""
+    pairs, line, number, taken = _brace_pairs(re.sub(r'"(?:\\.|[^"\\\n])*"', lambda m: _blank(m[0]), text)), _Lines(text), 0, 0
     for match in re.finditer(r"@(code|functions|)\s*\{", text):
         end = pairs.get(match.end() - 1)
         if end is None or match.start() < taken:
@@ -162,15 +325,25 @@ def razor_blocks(path: str, text: str) -> Iterator[Snippet]:
         yield _whole(path, text)
 
 
-CSHARP_NOISE = re.compile(
-    r'//[^\n]*|/\*.*?\*/|\$?@\$?"(?:[^"]|"")*"|\$?"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.S
-)
+CSHARP_NOISE = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|\$*"{3,}|[$@]*"|\'(?:\\.|[^\'\\\n])+\'', re.S)
 CSHARP_TYPE = re.compile(r"\b(class|interface|struct|record|enum)\s+(?:(?:class|struct)\s+)?(\w+)")
 CSHARP_NAMESPACE = re.compile(r"\bnamespace\s+([\w.]+)\s*$")
 
 
-def _blank_out(match: re.Match) -> str:
-    return re.sub(r"[^\n]", " ", match[0])
+def _csharp_mask(text: str) -> str:
+    def end(match: re.Match) -> int:
+        opener = match[0]
+        if not opener.endswith('"'):
+            return match.end()
+        quotes = opener.lstrip("$@")
+        if len(quotes) >= 3:  # a raw string ends with as many quotes as it began with
+            close = text.find(quotes, match.end())
+            return len(text) if close < 0 else close + len(quotes)
+        hole = "{" if "$" in opener else "\0"
+        return _quoted_end(text, match.end() - 1, '"', hole, "@" in opener)
+
+    masked = _masked(text, CSHARP_NOISE, end)
+    return re.sub(r"^[ \t]*#[^\n]*", lambda m: _blank(m[0]), masked, flags=re.M)
 
 
 def _declarations(masked: str, start: int, end: int, pairs: dict[int, int]) -> Iterator[tuple[int, int, int | None]]:
@@ -232,17 +405,12 @@ def _csharp_member(head: str, owner: str, has_body: bool) -> Iterator[tuple[str,
 
 
 def csharp_members(path: str, text: str) -> Iterator[Snippet]:
-    """Types that are not nested, and their direct members."""
-    if len(text) > CSHARP_SIZE_LIMIT:
-        return
-    masked = CSHARP_NOISE.sub(_blank_out, text)
-    masked = re.sub(r"^[ \t]*#[^\n]*", _blank_out, masked, flags=re.M)
+    """Types that are not nested, and their direct members, with their whole code."""
+    masked = _csharp_mask(text)
     pairs, line = _brace_pairs(masked), _Lines(text)
 
     def row(namespace, owner, kind, name, first, last) -> Snippet:
         code = text[first : last + 1]
-        if len(code) > SNIPPET_LIMIT:
-            code = code[:SNIPPET_KEPT] + SNIPPET_MARKER
         start_line = line(first)
         last_line = start_line + text.count("\n", first, last)
         return namespace, owner, f"{name} ({CSHARP_LABELS[kind]})", kind, code, start_line, last_line
@@ -289,10 +457,37 @@ def _snippet_schema() -> T.StructType:
     return T.StructType.fromDDL(schemas.SNIPPET)
 
 
-def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _rest(path: str, text: str, found: list[Snippet]) -> Iterator[Snippet]:
+    """Runs of lines with text that no snippet has."""
+    lines = text.split("\n")
+    covered = bytearray(len(lines) + 1)
+    for *_, first, last in found:
+        covered[first - 1 : last] = b"\1" * (last - first + 1)
+    start = None
+    for n in range(len(lines) + 1):
+        inside = n < len(lines) and not covered[n]
+        if inside and start is None and lines[n].strip():
+            start = n
+        if not inside and start is not None:
+            code = "\n".join(lines[start:n]).rstrip()
+            yield "", _stem(path), "Rest (File)", "rest", code, start + 1, start + 1 + code.count("\n")
+            start = None
+
+
+def _snippets_of(table: dict[str, Extractor], path: str, text: str, language: str, rest: bool) -> list[Snippet]:
+    """The snippets of a file; one that cannot be cut is a snippet as a whole, and `parse_report` tells why."""
+    try:
+        found = list(table[language](path, text))
+    except Exception:
+        return [_whole(path, text)]
+    return found + list(_rest(path, text, found)) if rest else found
+
+
+def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), rest: bool = False) -> DataFrame:
     """Snippets of every file with a known language; `keep` columns are repeated per snippet.
 
-    Blank texts and files that cannot be cut give no rows.
+    Blank texts give no rows; a file that cannot be cut is one snippet.  With `rest`, lines that belong to no snippet
+    (imports, statements between declarations) become snippets of kind `rest`, so every line with text is in one.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -308,11 +503,7 @@ def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", k
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 *kept, name, body, lang = values
-                try:
-                    found = list(table[lang](name, body))
-                except Exception:  # a file that cannot be cut is skipped
-                    found = []
-                rows.extend((*kept, name, lang, *s) for s in found)
+                rows.extend((*kept, name, lang, *s) for s in _snippets_of(table, name, body, lang, rest))
                 if len(rows) >= FLUSH_ROWS:
                     yield _record_batch(rows, arrow)
                     rows = []

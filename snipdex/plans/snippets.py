@@ -46,8 +46,6 @@ def code_files(spark, sf_dir):
     return files(spark, sf_dir, spread=True).withColumn("text", code)
 
 
-CAP_SQL = "CASE WHEN length(code) > 2000 THEN substr(code, 1, 1950) || chr(10) || '// ... 代码过长已截取 ...' ELSE code END"
-
 # Expected snippets, from the layout in which `code_files` writes the lines.
 SNIPPETS_SQL = f"""{FILES_SQL},
 l AS (SELECT doc_id, library, path, lang, regexp_replace(x, '[^\\p{{L}}0-9 ]', ' ', 'g') AS x, i FROM (
@@ -72,7 +70,7 @@ members AS (
       || '        return "' || x || '";' || chr(10) || '    }}' || chr(10) ELSE '    public string Prop_' || i || ' {{ get; set; }}' || chr(10) END, chr(10) ORDER BY i) || '}}',
     3, 5 + 5 * ((max(i) + 2) // 2) + 2 * ((max(i) + 1) // 2) - 1 FROM l WHERE lang = 'es' GROUP BY doc_id),
 snippets AS (SELECT doc_id, library, path, language, namespace, class_name, member_name,
-  CASE language WHEN 'csharp' THEN {CAP_SQL} ELSE code END AS code, start_line, end_line FROM members)"""
+  code, start_line, end_line FROM members)"""
 
 
 @query(

@@ -82,7 +82,9 @@ def test_csharp_members():
     assert {s[0] for s in E.csharp_members("/p/Foo.cs", CSHARP)} == {"A.B"}
     run = next(s for s in E.csharp_members("/p/Foo.cs", CSHARP) if s[2].startswith("Run"))
     assert (run[5], run[6]) == (14, 18)
-    assert list(E.csharp_members("/p/a.cs", "class A { }" + " " * 1_000_000)) == []
+    assert names(E.csharp_members("/p/a.cs", "class A { }" + " " * 1_000_000)) == [("A (类)", 1, 1)]
+    long = "class A {\n" + "  // line\n" * 1000 + "}"
+    assert next(iter(E.csharp_members("/p/a.cs", long)))[4] == long
 
 
 def test_dispatch_and_registration(spark):
@@ -103,7 +105,7 @@ def test_dispatch_and_registration(spark):
     try:
         more = files.union(spark.createDataFrame([("/r/bad.py", "x\nboom")], files.schema))
         got = E.extract_snippets(more.filter(F.col("path").endswith(".py")))
-        assert [r["member_name"] for r in got.orderBy("start_line").collect()] == ["line 1", "line 2"]
+        assert {(r["path"], r["member_name"]) for r in got.collect()} == {("/r/a.py", "line 1"), ("/r/a.py", "line 2"), ("/r/bad.py", "Entire File")}
         report = {r["path"]: (r["snippets"], r["error"]) for r in E.parse_report(more.filter("text IS NOT NULL")).collect()}
         assert report["/r/bad.py"] == (0, "ValueError: boom") and report["/r/a.py"] == (2, None)
     finally:
@@ -116,3 +118,74 @@ def test_table_function_for_sql(spark):
     spark.createDataFrame(rows, "lang string, path string, text string").createOrReplaceTempView("sql_files")
     got = spark.sql("SELECT path, member_name, start_line FROM sql_files, LATERAL extract_snippets(lang, path, text)").collect()
     assert sorted(tuple(r) for r in got) == [("/r/a.py", "f (Function)", 1), ("/r/a.py", "g (Function)", 3)]
+
+
+def test_python_strings_brackets_and_comments():
+    code = '''def f(
+    a: int = 1,
+) -> dict[str, int]:
+    """A text with
+class of things: x
+at the left margin.
+"""
+    x = "def g(:"
+# a comment
+    return (
+1)
+class B(
+    Base): pass
+'''
+    assert names(E.python_blocks("/p/a.py", code)) == [("f (Function)", 1, 11), ("B (Class)", 12, 14)]
+
+
+def test_script_strings_and_types():
+    code = """function a() { return "{"; }
+const re = /[{]/;
+function b() { return '}' + `x ${ `}` } {`; } // {
+async function* c() {}
+export default class D extends E {}
+"""
+    assert names(E.javascript_blocks("/p/a.js", code)) == [("a (Function)", 1, 1), ("b (Function)", 3, 3), ("c (Function)", 4, 4), ("D (Class)", 5, 5)]
+    typed = """export abstract class A<T extends { a: number }> extends B<T> implements C, D<{ x: 1 }> {
+  m() {}
+}
+export const f = async <T,>(a: T): Promise<{ b: T }> => {
+  return { b: a };
+};
+function g(
+  a: string,
+): { c: number } {
+  return { c: 1 };
+}
+function over(a: string): void;
+type U<T> =
+  | { kind: "a" }
+  | T
+const enum E { X = "}" }
+declare function outside(x: number): void
+let y = 1
+"""
+    assert names(E.typescript_blocks("/p/a.ts", typed)) == [
+        ("A (Class)", 1, 3), ("f (Arrow Function)", 4, 6), ("g (Function)", 7, 11), ("U (Type Alias)", 13, 15), ("E (Enum)", 16, 16)
+    ]
+
+
+def test_csharp_raw_and_nested_strings():
+    code = '''class A {
+  string R() { return """
+    } " {
+    """; }
+  string N(string x) => $"{N("}")} {{ {x}";
+  string V() { return @"c:\\" + $@"{x}""}"; }
+  int Last() { return 1; }
+}'''
+    assert [s[2] for s in E.csharp_members("/p/a.cs", code)] == ["A (类)", "R (方法)", "N (方法)", "V (方法)", "Last (方法)"]
+
+
+def test_rest_covers_all_lines():
+    code = "import x\n\nclass A:\n    def m(self):\n        pass\n    y = 1\n\nz = 2\n"
+    found = list(E.python_blocks("/p/a.py", code))
+    rest = list(E._rest("/p/a.py", code, found))
+    assert names(rest) == [("Rest (File)", 1, 1), ("Rest (File)", 6, 8)]
+    covered = {n for s in found + rest for n in range(s[5], s[6] + 1)}
+    assert {n for n, line in enumerate(code.split("\n"), 1) if line.strip()} <= covered
