@@ -39,20 +39,34 @@ def _typed(doc: Column) -> Column:
     return F.map_entries(F.from_json(doc, "map<string,variant>"))
 
 
+def is_object(doc: Column) -> Column:
+    """Whether the edits below can change the text: an object, or NULL, which counts as an empty one."""
+    return _typed(F.coalesce(doc, F.lit("{}"))).isNotNull()
+
+
+def _without(doc: Column, key: str) -> Column:
+    """Members but the one of that name in any case, as reads find it in any case."""
+    return F.filter(_typed(F.coalesce(doc, F.lit("{}"))), lambda e: F.lower(e["key"]) != key.lower())
+
+
 def set_key(doc: Column, key: str, value: Column) -> Column:
-    """Insert or replace one top-level key; `value` is JSON text."""
-    rest = F.filter(_typed(doc), lambda e: e["key"] != key)
+    """Insert or replace one top-level key, in any case; `value` is JSON text.
+
+    NULL is an empty object; a text that is no object is kept as it is (`is_object` tells them).
+    """
     new = F.array(F.struct(F.lit(key).alias("key"), F.parse_json(value).alias("value")))
-    return _as_object(F.concat(rest, new))
+    return F.when(is_object(doc), _as_object(F.concat(_without(doc, key), new))).otherwise(doc)
 
 
 def insert_key(doc: Column, key: str, value: Column) -> Column:
-    """Insert one top-level key unless it is there."""
-    return F.when(F.map_contains_key(entries(doc), key), doc).otherwise(set_key(doc, key, value))
+    """Insert one top-level key unless it is there, in any case."""
+    there = F.exists(F.map_keys(entries(doc)), lambda k: F.lower(k) == key.lower())
+    return F.when(F.coalesce(there, F.lit(False)), doc).otherwise(set_key(doc, key, value))
 
 
 def remove_key(doc: Column, key: str) -> Column:
-    return _as_object(F.filter(_typed(doc), lambda e: e["key"] != key))
+    """Remove one top-level key, in any case; NULL and texts that are no object stay as they are."""
+    return F.when(doc.isNotNull() & is_object(doc), _as_object(_without(doc, key))).otherwise(doc)
 
 
 def is_valid(doc: Column) -> Column:

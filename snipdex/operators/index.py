@@ -16,9 +16,9 @@ POINT_COLUMNS = [
 ]
 
 
-def point_id(collection: Column, path: Column, start: Column, end: Column, member: Column) -> Column:
+def point_id(collection: Column, path: Column, start: Column, end: Column, *names: Column) -> Column:
     """The same snippet always gets the same id, so a replayed write changes nothing."""
-    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (collection, path, start, end, member)]
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (collection, path, start, end, *names)]
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
@@ -26,7 +26,7 @@ def to_points(embedded: DataFrame) -> DataFrame:
     """Point rows: original code as payload, the vector of the truncated text, no NULL names."""
     named = {c: F.coalesce(c, F.lit("")) for c in ("namespace", "class_name", "member_name")}
     rows = embedded.withColumns(named).withColumn("file_path", F.col("path"))
-    key = point_id(*[F.col(c) for c in ("collection", "file_path", "start_line", "end_line", "member_name")])
+    key = point_id(*[F.col(c) for c in ("collection", "file_path", "start_line", "end_line", "namespace", "class_name", "member_name")])
     return rows.withColumn("point_id", key).select(*POINT_COLUMNS)
 
 
@@ -90,16 +90,20 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def replace_by_file(points: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """Points of the changed files give way to the fresh ones; a file without fresh points is gone.
 
-    `changed` has (collection, file_path).
+    `changed` has (collection, file_path).  Paths are compared by `file_key`, so it does not matter
+    in which case or with which separators a path was read.
     """
-    keys = ["collection", "file_path"]
-    kept = points.join(changed.select(*keys).distinct(), keys, "left_anti")
-    return kept.select(*points.columns).unionByName(fresh.select(*points.columns))
+    return delete_by_file(points, changed).unionByName(fresh.select(*points.columns))
+
+
+def file_key(path: Column | str = "file_path") -> Column:
+    """What paths of one file have in common; `file_path` itself stays as it was read."""
+    return P.normalize_path(F.col(path) if isinstance(path, str) else path)
 
 
 def delete_by_file(points: DataFrame, changed: DataFrame) -> DataFrame:
-    keys = ["collection", "file_path"]
-    return points.join(changed.select(*keys).distinct(), keys, "left_anti").select(*points.columns)
+    gone = changed.select("collection", file_key().alias("_file_key")).distinct()
+    return points.withColumn("_file_key", file_key()).join(gone, ["collection", "_file_key"], "left_anti").select(*points.columns)
 
 
 def incremental_rebuild(points: DataFrame, old: DataFrame, files: DataFrame, build) -> DataFrame:
@@ -108,11 +112,11 @@ def incremental_rebuild(points: DataFrame, old: DataFrame, files: DataFrame, bui
     `old` is the snapshot the points were built from, `files` has (library, root, path, text,
     size, modified), and `build` maps files to points.
     """
-    current = files.withColumn("path", P.normalize_path(F.col("path")))
+    current = files.withColumn("_file_key", file_key("path"))
     # Changed paths only, used twice below.
     diff = stored(snapshot_diff(old, file_snapshot(files)).filter("change <> 'unchanged'"), "diff")
-    touched = diff.filter("change <> 'deleted'").select("library", "path")
-    fresh = build(current.join(touched, ["library", "path"], "left_semi"))
+    touched = diff.filter("change <> 'deleted'").select("library", F.col("path").alias("_file_key"))
+    fresh = build(current.join(touched, ["library", "_file_key"], "left_semi").select(*files.columns))
     gone = diff.select(P.collection_name(F.col("root")).alias("collection"), F.col("path").alias("file_path"))
     return replace_by_file(points, gone, fresh)
 
@@ -139,4 +143,4 @@ def present_hits(hits: DataFrame, points: DataFrame, base: str = "root") -> Data
 
 def within_path(hits: DataFrame, prefix: Column) -> DataFrame:
     """Hits whose file lies at or below a path; for answers from a parent library."""
-    return hits.filter((F.col("file_path") == prefix) | P.is_subdirectory(F.col("file_path"), prefix))
+    return hits.filter((file_key() == P.normalize_path(prefix)) | P.is_subdirectory(file_key(), P.normalize_path(prefix)))

@@ -14,6 +14,7 @@ depends on the shape of the block, and without rounding two equal vectors could
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ SCORE_PLACES = 9
 MAX_BROADCAST_QUERIES = 2048
 CELL_BYTES = 32 << 20
 MAX_FEW_SCOPES = 1 << 18
+BUCKET_ROWS = 32
+MIN_BITS = 4
 
 
 def valid_vectors(df: DataFrame, column: str, dim: int) -> DataFrame:
@@ -214,21 +217,28 @@ def knn_join(
     """Top k vectors by cosine for each query.
 
     `queries` holds (query_id, q_vector), `vectors` holds (vec_id, vector); a `scope` column on
-    both sides keeps the search within equal scopes.  Vectors of another length and zero
-    vectors match nothing.  Gives ([scope,] query_id, vec_id, score, rank).
+    both sides keeps the search within equal scopes; a NULL scope matches nothing.  Queries meet
+    the vectors of their own length, one pass for each length among the queries; zero vectors
+    match nothing.  Gives ([scope,] query_id, vec_id, score, rank).
     """
     scoped = "scope" in vectors.columns and "scope" in queries.columns
-    sample = queries.filter(F.size("q_vector") > 0).limit(max_broadcast + 1).collect()
-    dim = len(sample[0]["q_vector"]) if sample else 1
-    queries = valid_vectors(queries, "q_vector", dim)
-    vectors = valid_vectors(vectors, "vector", dim)
+    if scoped:
+        queries, vectors = queries.filter("scope IS NOT NULL"), vectors.filter("scope IS NOT NULL")
+    asked = queries.filter(F.size("q_vector") > 0)
+    sample = asked.limit(max_broadcast + 1).collect()
+    few = len(sample) <= max_broadcast
+    lengths = {len(r["q_vector"]) for r in sample} if few else {r[0] for r in asked.select(F.size("q_vector")).distinct().collect()}
     wanted = k + 1 if exclude_self else k
-    if len(sample) <= max_broadcast:
-        rows = [r for r in sample if len(r["q_vector"]) == dim]
-        hits = _by_broadcast(queries, rows, vectors, dim, wanted, threshold, scoped)
-    else:
-        size = cell_rows or max(1024, CELL_BYTES // (8 * dim))
-        hits = _by_blocks(queries, vectors, dim, wanted, threshold, scoped, size)
+    hits = None
+    for dim in sorted(lengths) or [1]:
+        some_queries, some_vectors = valid_vectors(queries, "q_vector", dim), valid_vectors(vectors, "vector", dim)
+        if few:
+            rows = [r for r in sample if len(r["q_vector"]) == dim]
+            part = _by_broadcast(some_queries, rows, some_vectors, dim, wanted, threshold, scoped)
+        else:
+            size = cell_rows or max(1024, CELL_BYTES // (8 * dim))
+            part = _by_blocks(some_queries, some_vectors, dim, wanted, threshold, scoped, size)
+        hits = part if hits is None else hits.unionByName(part)
     if exclude_self:
         hits = hits.filter(F.col("query_id") != F.col("vec_id"))
     return rank_hits(hits, k, scoped)
@@ -279,7 +289,7 @@ def knn_lsh(
     dim: int,
     k: int = 5,
     tables: int = 8,
-    bits: int = 6,
+    bits: int | None = None,
     probes: int = 4,
     seed: int = 7,
     exclude_self: bool = False,
@@ -289,9 +299,11 @@ def knn_lsh(
 
     Buckets come from random hyperplanes, so no training pass is needed and new vectors can be
     added at any time.  A crowded bucket is cut into blocks like any other scope.  More
-    `tables` and `probes` raise the recall, more `bits` make the buckets smaller: grow `bits`
-    with the logarithm of the table.
+    `tables` and `probes` raise the recall, more `bits` make the buckets smaller; by default they
+    grow with the logarithm of the table, so that a bucket keeps about `BUCKET_ROWS` rows.
     """
+    if bits is None:
+        bits = max(MIN_BITS, math.ceil(math.log2(max(1, vectors.count()) / BUCKET_ROWS)))
     ready_q = valid_vectors(queries, "q_vector", dim)
     ready_v = valid_vectors(vectors, "vector", dim)
     spread_v = ready_v.select(

@@ -30,7 +30,7 @@ def _scoped_points(points: DataFrame, asked: DataFrame) -> DataFrame:
     """Points once per asked path at or above their file; `scope` is that path."""
     wanted = asked.select("path").distinct()
     listed = [r["path"] for r in wanted.limit(MAX_LISTED_PATHS + 1).collect()]
-    above = P.ancestors(F.col("file_path"))
+    above = P.ancestors(P.normalize_path(F.col("file_path")))
     if len(listed) <= MAX_LISTED_PATHS:
         above = F.filter(above, lambda a: a.isin(listed)) if listed else F.array().cast("array<string>")
         return points.select("*", F.explode(above).alias("scope"))
@@ -61,11 +61,14 @@ def search_requests(
         "query_id", F.col("vector").alias("q_vector"), scope.alias("scope"), "k", "root", "from_parent"
     )
     usable = points.filter("embed_ok").withColumn("vec_id", F.col("point_id"))
+    # Other collections are dropped before any vector goes to Python.
+    usable = usable.join(asked.select("collection").distinct(), "collection", "left_semi")
     if inside_path:
         vectors = _scoped_points(usable, asked).select("scope", "vec_id", "vector")
     else:
         vectors = usable.select(F.col("collection").alias("scope"), "vec_id", "vector")
-    hits = knn.knn_join(queries.select("query_id", "q_vector", "scope"), vectors, filters.MAX_RESULTS)
+    most = asked.agg(F.max("k")).first()[0] or DEFAULT_K
+    hits = knn.knn_join(queries.select("query_id", "q_vector", "scope"), vectors, min(int(most), filters.MAX_RESULTS))
     limits = asked.select("query_id", "k", "root", "from_parent")
     return hits.join(limits, "query_id").filter(F.col("rank") <= F.col("k")).select(
         "query_id", "vec_id", "score", "rank", "root", "from_parent"

@@ -91,7 +91,7 @@ def _build(listing):
     return I.build_index(listing, model, TEXT_DIM, max_tokens=WHOLE, batch=200)
 
 
-POINT_ID_SQL = "sha256(collection || chr(1) || path || chr(1) || start_line || chr(1) || end_line || chr(1) || member_name)"
+POINT_ID_SQL = "sha256(collection || chr(1) || path || chr(1) || start_line || chr(1) || end_line || chr(1) || namespace || chr(1) || class_name || chr(1) || member_name)"
 
 
 @query(

@@ -104,6 +104,47 @@ def knn_lsh(spark, sf_dir):
     return _hits(knn.knn_lsh(_as_queries(v), v, DIM, 5, exclude_self=True))
 
 
+@query("knn_lsh_recall", "SELECT true AS recall_ok, CAST(0 AS BIGINT) AS wrong_scores")
+def knn_lsh_recall(spark, sf_dir):
+    """Approximate against exact neighbours: at least four of five found, and no score that exact search does not give."""
+    v = _vectors(spark, sf_dir).drop("scope")
+    near = knn.knn_lsh(_as_queries(v), v, DIM, 5, exclude_self=True).select("query_id", "vec_id", F.col("score").alias("near_score"))
+    exact = knn.knn_join(_as_queries(v), v, 5, exclude_self=True)
+    worst = exact.groupBy("query_id").agg(F.min("score").alias("worst"))
+    joined = exact.join(near, ["query_id", "vec_id"], "full_outer").join(worst, "query_id")
+    wrong = F.when(F.col("score").isNotNull(), F.abs(F.col("score") - F.col("near_score")) > 1e-6).otherwise(F.col("near_score") > F.col("worst") + 1e-6)
+    return joined.agg(
+        (F.count_if(F.col("score").isNotNull() & F.col("near_score").isNotNull()) >= 0.8 * F.count("score")).alias("recall_ok"),
+        F.count_if(F.coalesce(wrong, F.lit(False))).alias("wrong_scores"),
+    )
+
+
+MIXED_SQL = """WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN label END AS scope, CAST(CASE WHEN vec_id % 5 = 0 THEN embedding[1:32] ELSE embedding END AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS score
+  FROM n a JOIN n b ON a.scope = b.scope AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 3"""
+
+
+def _mixed_search(spark, sf_dir, max_broadcast):
+    """Vectors of two lengths, some without a scope: the rows do not depend on the form of the join."""
+    v = _mixed_lengths(spark, sf_dir, 5).withColumn("scope", F.when(F.col("vec_id") % 7 != 0, F.col("scope")))
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"), "scope")
+    return _hits(knn.knn_join(asked, v, 3, exclude_self=True, max_broadcast=max_broadcast))
+
+
+@query("knn_mixed_few", MIXED_SQL)
+def knn_mixed_few(spark, sf_dir):
+    return _mixed_search(spark, sf_dir, 1 << 20)
+
+
+@query("knn_mixed_many", MIXED_SQL)
+def knn_mixed_many(spark, sf_dir):
+    return _mixed_search(spark, sf_dir, 16)
+
+
 @query(
     "cosine_to_centroid",
     f"""WITH {CENTROIDS_SQL}
@@ -115,11 +156,11 @@ def cosine_to_centroid(spark, sf_dir):
     return v.join(_centroids(v).drop("query_id"), "scope").select("vec_id", F.round(score, 6).alias("score"))
 
 
-def _mixed_lengths(spark, sf_dir):
+def _mixed_lengths(spark, sf_dir, every=10):
     """Every tenth vector is cut short, so that there is something to reject."""
     v = _vectors(spark, sf_dir)
     short = F.slice("vector", 1, DIM // 2)
-    return v.withColumn("vector", F.when(F.col("vec_id") % 10 == 0, short).otherwise(F.col("vector")))
+    return v.withColumn("vector", F.when(F.col("vec_id") % every == 0, short).otherwise(F.col("vector")))
 
 
 @query(

@@ -15,7 +15,6 @@ SETTINGS = {
     # Text columns are wide: keep the Arrow batches handed to Python small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.files.ignoreMissingFiles": "true",
 }
 
 
@@ -50,6 +49,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own intermediate tables."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: computed once, no lineage."""
     path = scratch_path(df.sparkSession, label)

@@ -22,12 +22,25 @@ def _flat(records: DataFrame) -> DataFrame:
     )
 
 
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every line as a record, and its text as `damaged` where it cannot be read."""
+    schema = f"{schemas.CHANGE_RECORD}, damaged string"
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "damaged").json(path)
+
+
+def rejected_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The text of documents that `read_changes` leaves out: damaged ones, and records without an id."""
+    rows = _documents(spark, path)
+    lost = rows.filter("damaged IS NOT NULL OR change.id IS NULL")
+    return lost.select(F.coalesce("damaged", F.to_json(F.struct("change", "savedAt", "version"))).alias("document"))
+
+
 def read_changes(spark: SparkSession, path: str, status: str | None = None) -> DataFrame:
-    """The latest stored state of each record, oldest event first; damaged documents are skipped."""
+    """The latest stored state of each record, oldest event first; see `rejected_changes` for damaged documents."""
     from snipdex.operators.index import upsert_latest
 
-    raw = spark.read.schema(schemas.CHANGE_RECORD).option("mode", "DROPMALFORMED").json(path)
-    rows = upsert_latest(_flat(raw).filter("event_id IS NOT NULL"), ["event_id"], ["saved_at", "retry_count"])
+    good = _documents(spark, path).filter("damaged IS NULL")
+    rows = upsert_latest(_flat(good).filter("event_id IS NOT NULL"), ["event_id"], ["saved_at", "retry_count"])
     if status:
         rows = rows.filter(F.col("status") == status)
     return rows.orderBy("event_time", "event_id")

@@ -71,9 +71,5 @@ def scan_files(
 
 
 def scan_patterns(spark: SparkSession, root: str, patterns: Sequence[str], recursive: bool = True) -> DataFrame:
-    """One scan per pattern, put together; a file that several patterns match appears once."""
-    rows = None
-    for pattern in patterns:
-        part = scan_files(spark, root, [pattern], recursive=recursive)
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.dropDuplicates(["path"])
+    """Files that match any of the patterns, each once, from one scan."""
+    return scan_files(spark, root, list(patterns), recursive=recursive)

@@ -8,13 +8,13 @@ row; without it a bucket that became empty would keep its old rows.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.operators.index import POINT_COLUMNS, replace_by_file
-from snipdex.session import shared_dir
+from snipdex.operators.index import POINT_COLUMNS, file_key, replace_by_file
+from snipdex.session import delete_path, path_exists, shared_dir
 
 BUCKETS = 64
 MAX_NAMED_FOLDERS = 4096
@@ -26,12 +26,7 @@ POINT_SCHEMA = (
 
 
 def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("collection", "file_path"), F.lit(buckets)).cast("int").alias("file_bucket")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return F.pmod(F.xxhash64("collection", file_key()), F.lit(buckets)).cast("int").alias("file_bucket")
 
 
 class IndexStore:
@@ -41,7 +36,7 @@ class IndexStore:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def exists(self) -> bool:
-        return _exists(self.spark, self.path)
+        return path_exists(self.spark, self.path)
 
     def _raw(self) -> DataFrame:
         if not self.exists():
@@ -55,7 +50,7 @@ class IndexStore:
 
     def _some(self, folders: list[str]) -> DataFrame:
         """Only the named folders; the rest of the index is neither listed nor read."""
-        present = [f for f in folders if _exists(self.spark, f)]
+        present = [f for f in folders if path_exists(self.spark, f)]
         if not present:
             return self.spark.createDataFrame([], POINT_SCHEMA)
         return self.spark.read.schema(POINT_SCHEMA).option("basePath", self.path).parquet(*present)
@@ -98,7 +93,7 @@ class IndexStore:
         writer.partitionBy(*PARTITIONS).parquet(self.path)
 
     def _staged(self, change_id: str) -> str:
-        return f"{shared_dir(self.spark)}/staged/{zlib.crc32(self.path.encode()):08x}-{change_id}"
+        return f"{shared_dir(self.spark)}/staged/{hashlib.sha256(self.path.encode()).hexdigest()}-{change_id}"
 
     def _stored(self, path: str) -> DataFrame:
         return self.spark.read.schema(POINT_SCHEMA).parquet(path)
@@ -109,7 +104,7 @@ class IndexStore:
         The points are computed once, into the shared folder.
         """
         staged = self._staged(change_id)
-        if not _exists(self.spark, staged + "/_SUCCESS"):
+        if not path_exists(self.spark, staged + "/_SUCCESS"):
             points.select(*POINT_COLUMNS).write.mode("overwrite").parquet(staged)
         copy = self._stored(staged).select(*POINT_COLUMNS)
         touched = copy.select("collection", _bucket(self.buckets)).distinct()
@@ -117,21 +112,24 @@ class IndexStore:
             old = self._touching(copy.select("collection")).select(*PARTITIONS).distinct()
             touched = touched.unionByName(old).distinct()
         self._overwrite(self._with_markers(copy, touched))
+        delete_path(self.spark, staged)
 
     def replace_files(self, changed: DataFrame, fresh: DataFrame, change_id: str) -> None:
         """Delete the points of the changed files and insert the fresh ones.
 
-        `change_id` names the change, for example the batch of a stream: a second call with the
-        same id applies the stored copy again and gives the same table.
+        `change_id` names the change, for example the batch of a stream: after a failure a second
+        call with the same id finishes from the stored copy.  The copy is deleted once the change is
+        done, so an id can be used again for another change; repeating a change gives the same table.
         """
         staged = self._staged(change_id)
-        if not _exists(self.spark, staged + "/_SUCCESS"):
+        if not path_exists(self.spark, staged + "/_SUCCESS"):
             keys = changed.select("collection", "file_path").distinct()
             touched = keys.select("collection", _bucket(self.buckets)).distinct()
             current = self._touching(touched).filter("live")
             merged = replace_by_file(current.select(*POINT_COLUMNS), keys, fresh.select(*POINT_COLUMNS))
             self._with_markers(merged, touched).write.mode("overwrite").parquet(staged)
         self._overwrite(self._stored(staged))
+        delete_path(self.spark, staged)
 
     def drop_collection(self, collection: str) -> None:
         """Empty every folder of a collection."""

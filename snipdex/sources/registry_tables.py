@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snipdex import schemas
 from snipdex.operators.registry import uniqueness_violations
+from snipdex.session import path_exists, stored
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -27,10 +28,16 @@ def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, base: str, table: str, mode: str = "overwrite") -> None:
-    """Store a table after checking its unique keys."""
-    rows = conform(df, table)
+    """Store a table after checking its unique keys, when appending together with what is stored.
+
+    The rows are computed once.  As in SQL, a key with a NULL in any column is not checked.
+    """
+    rows = stored(conform(df, table), f"new-{table}")
+    known = rows
+    if mode == "append" and path_exists(df.sparkSession, f"{base}/{table}"):
+        known = rows.unionByName(read_table(df.sparkSession, base, table))
     for keys in schemas.UNIQUE_KEYS[table]:
-        broken = uniqueness_violations(rows.filter(F.col(keys[0]).isNotNull()), keys).limit(1).collect()
+        broken = uniqueness_violations(known.dropna(subset=list(keys)), keys).limit(1).collect()
         if broken:
             raise ValueError(f"{table}: {keys} is not unique, for example {broken[0].asDict()}")
     rows.write.mode(mode).parquet(f"{base}/{table}")

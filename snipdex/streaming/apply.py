@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
-from snipdex.operators.index import upsert_latest
-from snipdex.session import stored
+from snipdex.operators.index import file_key, upsert_latest
+from snipdex.session import delete_path, scratch_path
 from snipdex.sources.index_store import IndexStore
 from snipdex.streaming.changes import burst_action
 
@@ -19,14 +20,15 @@ def apply_bursts(
 ) -> None:
     """Apply one batch of bursts (root, path, last_time, change_type) to the index.
 
-    `files_of` maps (root, path) rows to files with their text, `build` maps files to points.
+    `files_of` maps (root, path, file_key) rows, with the path as the change had it, to files with
+    their text, `build` maps files to points.
     The latest burst of a path counts; a file that is gone or gives no snippet only loses its
     points.
     """
-    rows = burst_action(bursts).withColumn("path", P.normalize_path(F.col("path")))
-    last = upsert_latest(rows.select("root", "path", "last_time", "action"), ["root", "path"], ["last_time", "action"])
+    rows = burst_action(bursts).withColumn("file_key", file_key("path"))
+    last = upsert_latest(rows.select("root", "file_key", "path", "last_time", "action"), ["root", "file_key"], ["last_time", "action", "path"])
     changed = last.select(P.collection_name(F.col("root")).alias("collection"), F.col("path").alias("file_path"))
-    updates = last.filter("action = 'update'").select("root", "path")
+    updates = last.filter("action = 'update'").select("root", "path", "file_key")
     store.replace_files(changed, build(files_of(updates)), change_id)
 
 
@@ -45,10 +47,16 @@ def start_apply(
     window state again.
     """
 
+    # Batches are numbered from 0 for every checkpoint, so the change id names the checkpoint too.
+    run = f"{name}-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = stored(batch, f"{name}-in")
+        path = scratch_path(batch.sparkSession, f"{name}-in")
+        batch.write.parquet(path)
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(path)
         if not rows.isEmpty():
-            apply_bursts(rows, store, files_of, build, f"{name}-{batch_id}")
+            apply_bursts(rows, store, files_of, build, f"{run}-{batch_id}")
+        delete_path(batch.sparkSession, path)
 
     writer = bursts.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(each)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -161,3 +161,11 @@ def test_cosine(spark):
     assert got[0] == pytest.approx(1.0) and got[1] is None and got[2] is None and got[3] == pytest.approx(-1.0)
     unit = df.select(V.norm(V.l2_normalize(F.col("b"))).alias("n")).collect()
     assert [round(r["n"], 6) for r in unit] == [1.0, 1.0, 1.0, 1.0]
+
+
+def test_json_edits_ignore_case_and_keep_what_is_no_object(spark):
+    docs = ['{"Team":"a","x":1}', None, "oops", "[1]", "{}", ""]
+    assert each(spark, J.remove_key(v, "team"), docs) == ['{"x":1}', None, "oops", "[1]", "{}", ""]
+    assert each(spark, J.set_key(v, "team", F.lit('"b"')), docs) == ['{"x":1,"team":"b"}', '{"team":"b"}', "oops", "[1]", '{"team":"b"}', ""]
+    assert each(spark, J.insert_key(v, "TEAM", F.lit('"b"')), docs) == ['{"Team":"a","x":1}', '{"TEAM":"b"}', "oops", "[1]", '{"TEAM":"b"}', ""]
+    assert each(spark, J.is_object(v), docs) == [True, True, False, False, True, False]

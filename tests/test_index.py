@@ -141,3 +141,18 @@ def test_wide_changes_fall_back_to_a_join(spark, store, monkeypatch):
     monkeypatch.setattr(index_store, "MAX_NAMED_FOLDERS", 0)
     store.replace_files(changed(spark, "gone.py"), build(tree(spark, FIRST)).limit(0), "batch-wide")
     assert {r["file_path"] for r in store.read().collect()} == {"/lib/a.py", "/lib/b.py"}
+
+
+def test_paths_with_capitals_are_replaced(spark):
+    before, after = tree(spark, {"Src/Main.py": "def a():\n    pass", "Src/Gone.py": "def g():\n    pass"}), tree(spark, {"Src/Main.py": "def b():\n    pass"})
+    points = build(before)
+    old = I.file_snapshot(before).withColumnRenamed("modified", "last_indexed")
+    got = I.incremental_rebuild(points, old, after, build)
+    assert [(r["file_path"], r["member_name"]) for r in got.collect()] == [("/lib/Src/Main.py", "b (Function)")]
+    store = IndexStore(spark, scratch_path(spark, "capitals"), buckets=3)
+    store.build(points, "one")
+    changed = spark.createDataFrame([(points.first()["collection"], "/LIB/src/main.py")], "collection string, file_path string")
+    store.replace_files(changed, build(after), "two")
+    assert sorted(r["member_name"] for r in store.read().collect()) == ["b (Function)", "g (Function)"]
+    store.replace_files(changed, build(tree(spark, {"Src/Main.py": "def c():\n    pass"})), "two")  # the id is free again
+    assert sorted(r["member_name"] for r in store.read().collect()) == ["c (Function)", "g (Function)"]

@@ -66,6 +66,9 @@ def test_registry_tables(spark, tmp_path):
     assert back.count() == 2 and "watch_config" in back.columns
     with pytest.raises(ValueError, match="not unique"):
         registry_tables.write_table(df.withColumn("codebase_path", F.lit("/a")), base, "libraries")
+    with pytest.raises(ValueError):  # what is stored counts too
+        registry_tables.write_table(df, base, "libraries", mode="append")
+    assert registry_tables.read_table(spark, base, "libraries").count() == df.count()
 
 
 def test_legacy_config_any_case(spark, tmp_path):
@@ -82,3 +85,13 @@ def test_export(spark, tmp_path):
     export.write_export(parsed, str(tmp_path / "e"), "2024-01-01", include_statistics=True)
     doc = json.loads(spark.read.text(str(tmp_path / "e")).first()[0])
     assert doc["watchConfiguration"]["filePatterns"] == ["*.py"] and doc["statistics"]["totalFiles"] == 3 and doc["projectType"] == "python"
+
+
+def test_damaged_records_are_reported(spark, tmp_path):
+    folder = tmp_path / "records"
+    folder.mkdir()
+    good = '{"change":{"id":"e1","filePath":"/a"},"savedAt":"2024-01-01T00:00:00Z","version":"1.0"}'
+    (folder / "a.json").write_text(good + "\n{broken\n" + '{"change":{"filePath":"/b"}}\n')
+    assert [r["event_id"] for r in change_records.read_changes(spark, str(folder)).collect()] == ["e1"]
+    rejected = sorted(r["document"] for r in change_records.rejected_changes(spark, str(folder)).collect())
+    assert len(rejected) == 2 and rejected[1] == "{broken" and "/b" in rejected[0]
