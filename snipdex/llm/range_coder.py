@@ -14,6 +14,7 @@ The coder keeps 64 bits of low end and range and moves 16 bits at a time.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -23,6 +24,8 @@ SLOT_BITS = 12
 TOP = U64(1 << 48)
 BOTTOM = U64(1 << 32)
 GAIN = 32
+ID_GAIN = 12
+MAX_BLOCK = 5000  # 1 + ID_GAIN * MAX_BLOCK fits 16 bits
 NO_ID = np.uint32(2**32 - 1)
 MAGIC = b"CMR1"
 
@@ -36,14 +39,30 @@ class _Model:
         self.sure = np.zeros((2, lanes << SLOT_BITS), np.int64)
         self.choice = np.ones((lanes * 128, 3), np.uint64)
         self.choice[:, 2] = 2
-        self.frequency = np.ones((lanes, ids), np.uint32)
+        self.frequency = np.ones((lanes, ids), np.uint16)
+        self.fan = math.ceil(ids ** (1 / 3))
         self.below = np.empty((lanes, ids + 1), np.uint32)
+        self.middle = np.empty((lanes, self.fan**2), np.uint32)
+        self.upper = np.empty((lanes, self.fan), np.uint32)
         self.turn = 0
         self._refresh(lanes)
 
     def _refresh(self, lanes: int) -> None:
         self.below[:lanes, 0] = 0
         np.cumsum(self.frequency[:lanes], axis=1, out=self.below[:lanes, 1:], dtype=np.uint32)
+        # Every fan-th border, and every fan-th of these; beyond the last id it is the total, above any place.
+        self.middle[:lanes] = self.below[:lanes][:, np.minimum(np.arange(1, self.fan**2 + 1) * self.fan, self.ids)]
+        self.upper[:lanes] = self.middle[:lanes, self.fan - 1 :: self.fan]
+
+    def find(self, lanes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ids whose spans hold the places: three looks at about a cube root of the ids, each in one row of memory."""
+        fan, steps = self.fan, np.arange(self.fan)
+        place = at[:, None]
+        found = (self.upper.take(lanes, axis=0) <= place).sum(axis=1)
+        found = found * fan + (self.middle.reshape(-1).take((lanes * fan * fan + found * fan)[:, None] + steps) <= place).sum(axis=1)
+        first = found * fan
+        ahead = np.minimum(first[:, None] + steps + 1, self.ids) + (lanes * (self.ids + 1))[:, None]
+        return first + (self.below.reshape(-1).take(ahead) <= place).sum(axis=1)
 
     def predict(self, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slots of both orders, their ids, and the row of counts for the choice."""
@@ -65,7 +84,7 @@ class _Model:
             sure = self.sure[order].take(at)
             self.guess[order][at] = np.where(right | (sure > 0), guesses[order], ids)
             self.sure[order][at] = np.where(right, np.minimum(sure + 1, 7), np.maximum(sure - 1, 0))
-        self.frequency[self.row[:lanes], ids] += np.uint32(GAIN)
+        self.frequency[self.row[:lanes], ids] += np.uint16(ID_GAIN)
         self.before[1, :lanes] = self.before[0, :lanes]
         self.before[0, :lanes] = ids + np.uint32(1)
         self.turn += 1
@@ -88,6 +107,8 @@ def _lengths_first(lengths: np.ndarray) -> np.ndarray:
 def encode_blocks(blocks: list[np.ndarray], ids: int) -> list[bytes]:
     """Each block of ids (below `ids`) as bytes with its number of ids and checksum."""
     lengths = np.array([len(b) for b in blocks])
+    if lengths.max(initial=0) > MAX_BLOCK:
+        raise ValueError(f"a block has at most {MAX_BLOCK} ids")
     order = _lengths_first(lengths)
     longest = int(lengths.max(initial=0))
     table = np.zeros((longest, len(blocks)), np.uint32)
@@ -201,13 +222,7 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         plain = np.flatnonzero(chosen == 2)
         if len(plain):
             step, at = place(plain, model.below[plain, ids].astype(np.uint64))
-            found, jump = np.zeros(len(plain), np.int64), 1 << (ids.bit_length() - 1)
-            while jump:  # the last id whose span begins at or below the place
-                ahead = found + jump
-                inside = ahead < ids
-                inside &= model.below[plain, np.minimum(ahead, ids)] <= at
-                found = np.where(inside, ahead, found)
-                jump >>= 1
+            found = model.find(plain, at.astype(np.uint32))
             start = model.below[plain, found].astype(np.uint64)
             move(plain, start, model.below[plain, found + 1].astype(np.uint64) - start, step)
             these[plain] = found

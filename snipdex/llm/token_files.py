@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from snipdex.llm.bpe import KNOWN_LENGTH, KNOWN_PIECES, SPACE, WordEncoder, shared_tokenizer, text_slices
 from snipdex.llm.range_coder import decode_blocks, encode_blocks
 
-BLOCK = 8192
-GROUP = 384
+BLOCK = 4096
+GROUP = 768
 END_ID = 1
 SEGMENT = "row long, id {kind}, start long, total long, first long, n long"
 
