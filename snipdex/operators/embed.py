@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,14 +103,17 @@ def embed(
     strict: bool = False,
     vector_col: str = "vector",
 ) -> DataFrame:
-    """Add a vector per row from the truncated text, and `embed_ok`.
+    """Add a vector per row, and `embed_ok`.
 
-    The other columns, the original text included, pass through.  Texts that are blank before
-    or after truncation are dropped.
+    The other columns, the original text included, pass through.  A text over `max_tokens` is cut
+    into parts that fit; its vector is the mean of theirs by length, scaled to unit length, so
+    nothing of a text is left out.  Blank texts are dropped.
     """
-    ready = df.filter(~X.is_blank(F.col(text_col))).withColumn(
-        "_model_text", X.truncate_lines(F.col(text_col), max_tokens)
-    )
+    text = F.col(text_col)
+    # A character counts twice at most, so parts of half as many characters fit without an estimate.
+    half = max(1, max_tokens // 2)
+    fits = (F.length(text) <= half) | (X.estimate_tokens(text) <= max_tokens)
+    ready = df.filter(~X.is_blank(text)).withColumn("_model_texts", F.when(fits, F.array(text)).otherwise(X.chunks(text, half, 0)))
     names = df.columns
     schema = T.StructType(
         list(df.schema.fields)
@@ -121,17 +123,28 @@ def embed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            # Dropped here: as a filter in the plan it would make Spark truncate twice.
-            part = part.filter(pc.not_equal(pc.utf8_trim_whitespace(part.column("_model_text")), ""))
             for start in range(0, part.num_rows, size):
                 rows = part.slice(start, size)
-                texts = rows.column("_model_text").to_pylist()
-                vectors, ok = _call(model, texts, dim, attempts, base_ms, strict)
-                offsets = pa.array(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32))
+                vectors, ok = _of_parts(rows.column("_model_texts").to_pylist(), lambda some: _call(model, some, dim, attempts, base_ms, strict), size, dim)
+                offsets = pa.array(np.arange(0, (len(vectors) + 1) * dim, dim, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(vectors.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(n) for n in names] + [lists, pa.array([ok] * len(texts))],
-                    names=names + [vector_col, "embed_ok"],
-                )
+                yield pa.RecordBatch.from_arrays([rows.column(n) for n in names] + [lists, pa.array(ok)], names=names + [vector_col, "embed_ok"])
 
     return ready.mapInArrow(run, schema)
+
+
+def _of_parts(texts: list[list[str]], call, size: int, dim: int) -> tuple[np.ndarray, list[bool]]:
+    """One vector per list of parts, and whether all its parts were embedded."""
+    parts = [(row, t) for row, some in enumerate(texts) for t in some if t.strip()]
+    total, weight, ok = np.zeros((len(texts), dim), np.float64), np.zeros(len(texts)), [True] * len(texts)
+    for start in range(0, len(parts), size):
+        some = parts[start : start + size]
+        vectors, good = call([t for _, t in some])
+        for (row, t), vector in zip(some, vectors):
+            total[row] += vector.astype(np.float64) * len(t)
+            weight[row] += len(t)
+            ok[row] = ok[row] and good
+    means = total / np.where(weight > 0, weight, 1)[:, None]
+    lengths = np.linalg.norm(means, axis=1, keepdims=True)
+    several = np.array([len(some) > 1 for some in texts], bool)[:, None]
+    return np.where(several, means / np.where(lengths > 0, lengths, 1), means).astype(np.float32), ok

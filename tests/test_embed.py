@@ -28,6 +28,14 @@ def test_model_sees_truncated_batches(texts):
     assert len(got) == 25 and all(r["vector"][0] < len(r["t"]) for r in got)
 
 
+def test_long_first_line_is_embedded_in_parts(spark):
+    long = "alpha " * 500 + "beta"
+    model = M.hashed_tokens(32)
+    got = M.embed(spark.createDataFrame([(1, long)], "id int, t string"), "t", model, 32, max_tokens=60).first()
+    assert got["embed_ok"] and got["t"] == long and np.linalg.norm(got["vector"]) == pytest.approx(1, abs=1e-5)
+    assert np.dot(got["vector"], model(["alpha"])[0]) > 0.9 and abs(np.dot(got["vector"], model(["beta"])[0])) > 0
+
+
 def test_retry_then_success(texts):
     def factory():
         state = {"calls": 0}
