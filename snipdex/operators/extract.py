@@ -543,7 +543,7 @@ def register_sql(spark: SparkSession, name: str = "extract_snippets") -> None:
     table = dict(EXTRACTORS)
     columns = schemas.SNIPPET.replace("path string, language string, ", "")
 
-    @F.udtf(returnType=columns)
+    @F.udtf(returnType=columns, useArrow=True)
     class Snippets:
         def eval(self, language: str, path: str, text: str):
             if language in table and text and text.strip():
