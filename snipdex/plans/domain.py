@@ -220,19 +220,19 @@ PATTERNS_BY_TYPE = {
     "STANDARD": ["*.ts", "*.tsx", "*.js"],
     "SMALL": ["*.py", "*.exe"],
     "MEDIUM": [],
-    "LARGE": ["*.cs", "*.invalid", "*.ts", "*.cs"],
+    "LARGE": ["*.cs", "*.zzz", "*.ts", "*.cs"],
     "PROMO": ["src/**/*.py", " ", "../up/*.py"],
 }
 EXCLUDES_BY_SIZE = [
     ["bin", "obj", ".git"],
-    ["bin", "../dangerous", "obj"],
+    ["bin", "../outside", "obj"],
     ["node_modules", " dist ", "node_modules"],
     ["*.py", "~tmp"],
     [],
 ]
 FILTERS_BY_KEY = [
     [],
-    [("test-filter", "*test*", True)],
+    [("skip-drafts", "*draft*", True)],
     [(" ", "*x*", True), ("ok name", "*.tmp", False)],
     [("bad!name", "..", True)],
 ]

@@ -19,9 +19,9 @@ def configs(spark, *rows):
 def cases(spark):
     return configs(
         spark,
-        (1, ["*.cs", "*.ts"], ["bin", "obj"], True, True, 10 * MB, [("test-filter", "*test*", True)]),
-        (2, [], ["../dangerous"], True, True, -1, [("", "", True)]),
-        (3, ["*.cs", "*.invalid", "*.ts", "*.cs"], ["bin", "../dangerous", "obj"], True, True, 200 * MB, [("ok", "*a*", True), (" ", "*b*", True)]),
+        (1, ["*.js", "*.ts"], ["out", "obj"], True, True, 7 * MB, [("skip-drafts", "*draft*", True)]),
+        (2, [], ["logs/../../up"], True, True, -50, [(" ", "", True)]),
+        (3, ["*.py", "*.zzz", "*.ts", "*.py"], ["dist", "../up", "obj"], True, True, 150 * MB, [("ok", "*a*", True), (" ", "*b*", True)]),
         (4, ["*.cs", "a b", None], ["old.CS", "x" * 501], True, True, 101 * MB, [("bad!", "a;b", True)]),
     )
 
@@ -38,7 +38,7 @@ def test_audit(cases):
 
 def test_clean(cases):
     row = A.clean_config(cases.filter("config_id = 3")).first()
-    assert row["file_patterns"] == ["*.cs", "*.ts"] and row["exclude_patterns"] == ["bin", "obj"]
+    assert row["file_patterns"] == ["*.py", "*.ts"] and row["exclude_patterns"] == ["dist", "obj"]
     assert row["max_file_size"] == 100 * MB and len(row["removed"]) == 3 and row["changed"]
     same = A.clean_config(cases.filter("config_id = 1")).first()
     assert not same["changed"] and same["removed"] == []
@@ -57,7 +57,7 @@ def test_diff(spark, cases):
     assert A.diff_configs(one, one).count() == 0
     other = one.withColumn("file_patterns", F.array(F.lit("*.ts"), F.lit("*.md"))).withColumn("is_enabled", F.lit(False))
     got = {r["property"]: (r["added"], r["removed"], r["old"], r["new"]) for r in A.diff_configs(one, other).collect()}
-    assert got == {"FilePatterns": (["*.md"], ["*.cs"], "*.cs,*.ts", "*.ts,*.md"), "IsEnabled": ([], [], "true", "false")}
+    assert got == {"FilePatterns": (["*.md"], ["*.js"], "*.js,*.ts", "*.ts,*.md"), "IsEnabled": ([], [], "true", "false")}
 
 
 def test_apply(spark, cases):
