@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def position_in_group(df: DataFrame, group: str, order: str, span: int = 1 << 16) -> DataFrame:
+RANGE_ROWS = 1 << 16
+
+
+def _span(df: DataFrame, order: str) -> int:
+    """A width that gives about one range per `RANGE_ROWS` rows, however sparse the order values are."""
+    low, high, rows = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    return 1 if not rows else max(1, -(-(int(high) - int(low) + 1) // max(1, -(-rows // RANGE_ROWS))))
+
+
+def position_in_group(df: DataFrame, group: str, order: str, span: int | None = None) -> DataFrame:
     """`position` (from 1, by a unique integer `order`) and `total` per group.
 
     Rows are ranked inside ranges of `span` order values, and each range is shifted by the
-    counts of the ranges before it.  A range holds at most `span` rows, so a group of any size
-    is spread over many tasks; only the counts per range are ordered as a whole.
+    counts of the ranges before it.  So a group of any size is spread over many tasks; only the
+    counts per range are ordered as a whole.  By default the span follows from the smallest and
+    largest value and the number of rows, so that hashes too fall into few ranges.
     """
+    span = span or _span(df, order)
     ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(span)))
     counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     by_range = Window.partitionBy(group).orderBy("_range")
@@ -31,7 +42,7 @@ def position_in_group(df: DataFrame, group: str, order: str, span: int = 1 << 16
     )
 
 
-def assign_batches(df: DataFrame, group: str, order: str, size: int, span: int = 1 << 16) -> DataFrame:
+def assign_batches(df: DataFrame, group: str, order: str, size: int, span: int | None = None) -> DataFrame:
     """Adds `batch` and `batches`, both counted from 1 within the group."""
     placed = position_in_group(df, group, order, span)
     number = F.floor((F.col("position") - 1) / F.lit(size)) + 1

@@ -91,7 +91,7 @@ def structure_advice(many: int = MANY_FILES, large: int = LARGE_BYTES, logs: int
 
 
 def evidence_scores(files: DataFrame, group: str = "library") -> DataFrame:
-    """One row per library with `scores`: the types with a score above 0, best first.
+    """One row per library with `scores`: the types with a score above 0, best first, and what speaks for each.
 
     All measures come from one aggregation.  Equal scores keep the order of the evidence table.
     """
@@ -112,15 +112,18 @@ def evidence_scores(files: DataFrame, group: str = "library") -> DataFrame:
             for n, (_, weight) in enumerate(rules[slot]):
                 score = score + F.when(F.col(f"{kind}_{slot}{n}"), weight).otherwise(0.0)
         score = F.round(F.least(F.lit(1.0), score), 6)
+        seen = [F.when(F.col(f"{kind}_{slot}{n}"), " or ".join(names)) for slot in ("any", "root") for n, (names, _) in enumerate(rules[slot])]
+        many = F.concat(F.col(f"{kind}_n").cast("string"), F.lit(" files " + " ".join(rules["share"][0])))
+        evidence = F.array_compact(F.array(*seen, F.when(F.col(f"{kind}_n") > 0, many)))
         listed.append(
-            F.struct((-score).alias("order"), F.lit(place).alias("place"), F.lit(kind).alias("project_type"), score.alias("score"))
+            F.struct((-score).alias("order"), F.lit(place).alias("place"), F.lit(kind).alias("project_type"), score.alias("score"), evidence.alias("evidence"))
         )
     scores = F.sort_array(F.filter(F.array(*listed), lambda s: s["score"] > 0))
     return wide.select(group, scores.alias("scores"))
 
 
 def detect_project_type(files: DataFrame, group: str = "library") -> DataFrame:
-    """Project type, confidence and up to three alternatives per library.
+    """Project type, confidence, up to three alternatives and the evidence of all types found, per library.
 
     All types within 0.8 of the best make a mixed project with their mean score.
     """
@@ -138,6 +141,7 @@ def detect_project_type(files: DataFrame, group: str = "library") -> DataFrame:
         kind.alias("project_type"),
         F.round(F.coalesce("_mean", F.lit(0.0)), 6).alias("confidence"),
         others.alias("alternatives"),
+        F.flatten(F.transform("scores", lambda s: F.transform(s["evidence"], lambda e: F.concat(s["project_type"], F.lit(": "), e)))).alias("evidence"),
     )
 
 

@@ -205,3 +205,19 @@ def test_migration(spark):
     assert M.migrate_libraries(raw, "2024-06-01", existing=types).count() == 0
     got = {r["key"]: (r["value_json"], r["type"]) for r in M.migrate_settings(raw).collect()}
     assert got == {"a": ("1", "number"), "b": ('"x"', "string"), "c": ("[1]", "array")}
+
+
+def test_batches_of_sparse_order_values(spark):
+    rows = [(g, (i * 2654435761) % (1 << 40) * (1 if g else -1)) for g in (0, 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, o long")
+    got = B.assign_batches(df, "g", "o", 100).collect()
+    for g in (0, 1):
+        mine = sorted((r["o"], r["batch"]) for r in got if r["g"] == g)
+        assert [b for _, b in mine] == [i // 100 + 1 for i in range(500)]
+    assert B.assign_batches(df.filter("false"), "g", "o", 100).count() == 0
+
+
+def test_evidence_of_project_types(spark):
+    files = spark.createDataFrame([("l", "a/x.csproj"), ("l", "a/b.cs"), ("l", "c.cs"), ("l", "setup.py")], "library string, rel_path string")
+    row = Q.detect_project_type(files).first()
+    assert row["project_type"] == "csharp" and row["evidence"] == ["csharp: *.csproj", "csharp: 2 files .cs", "python: setup.py", "python: 1 files .py"]
