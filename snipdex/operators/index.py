@@ -106,11 +106,11 @@ def delete_by_file(points: DataFrame, changed: DataFrame) -> DataFrame:
     return points.withColumn("_file_key", file_key()).join(gone, ["collection", "_file_key"], "left_anti").select(*points.columns)
 
 
-def incremental_rebuild(points: DataFrame, old: DataFrame, files: DataFrame, build) -> DataFrame:
-    """The index of the current files; only added and modified files pass through `build`.
+def changed_since(old: DataFrame, files: DataFrame, build) -> tuple[DataFrame, DataFrame]:
+    """What differs from the snapshot `old`: files (collection, file_path) whose points must go, and fresh points.
 
-    `old` is the snapshot the points were built from, `files` has (library, root, path, text,
-    size, modified), and `build` maps files to points.
+    `files` has (library, root, path, text, size, modified), and `build` maps files to points; only
+    added and modified files pass through it.
     """
     current = files.withColumn("_file_key", file_key("path"))
     # Changed paths only, used twice below.
@@ -118,7 +118,15 @@ def incremental_rebuild(points: DataFrame, old: DataFrame, files: DataFrame, bui
     touched = diff.filter("change <> 'deleted'").select("library", F.col("path").alias("_file_key"))
     fresh = build(current.join(touched, ["library", "_file_key"], "left_semi").select(*files.columns))
     gone = diff.select(P.collection_name(F.col("root")).alias("collection"), F.col("path").alias("file_path"))
-    return replace_by_file(points, gone, fresh)
+    return gone, fresh
+
+
+def incremental_rebuild(points: DataFrame, old: DataFrame, files: DataFrame, build) -> DataFrame:
+    """The index of the current files, from the points of the snapshot `old`; see `changed_since`.
+
+    This reads all points; `IndexStore.update` opens only the buckets of changed files.
+    """
+    return replace_by_file(points, *changed_since(old, files, build))
 
 
 def present_hits(hits: DataFrame, points: DataFrame, base: str = "root") -> DataFrame:

@@ -124,27 +124,45 @@ def index_store(spark, sf_dir):
     return store.info()
 
 
-@query(
-    "incremental_rebuild",
-    f"""WITH {SNIPPETS_SQL} SELECT library, path AS file_path, member_name, start_line, end_line, md5(code) AS code_md5 FROM snippets WHERE doc_id % 5 <> 2""",
-)
-def incremental_rebuild(spark, sf_dir):
-    """From an index in which some files are missing, outdated or gone to the current one."""
+def _two_states(spark, sf_dir):
+    """Files before, in which some are missing, outdated or gone since; their snapshot; and the current files."""
     current = _stamped(code_files(spark, sf_dir))
     n = F.col("doc_id") % 5
-    outdated = F.when(n == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    outdated = F.when(n == 1, F.regexp_replace("text", "(?i)part_", "old_")).otherwise(F.col("text"))
     before = current.filter(n != 4).withColumn("text", outdated)
-    # The first build is stored: the index it stands for is a table, not a plan to run again.
-    points = stored(_build(before), "points")
     old = I.file_snapshot(before).withColumnRenamed("modified", "last_indexed")
-    after = current.filter(n != 2)
-    rows = I.incremental_rebuild(points, old, after, _build)
+    return before, old, current.filter(n != 2)
+
+
+CURRENT_SQL = f"""WITH {SNIPPETS_SQL} SELECT library, path AS file_path, member_name, start_line, end_line, md5(code) AS code_md5 FROM snippets WHERE doc_id % 5 <> 2"""
+
+
+def _with_library(rows, current):
     names = current.select("library", P.collection_name(F.col("root")).alias("collection")).distinct()
     return rows.join(names, "collection").select(
         "library", "file_path", "member_name", "start_line", "end_line", F.md5("code").alias("code_md5")
     )
 
 
+@query("incremental_rebuild", CURRENT_SQL)
+def incremental_rebuild(spark, sf_dir):
+    """From an index in which some files are missing, outdated or gone to the current one."""
+    before, old, current = _two_states(spark, sf_dir)
+    # The first build is stored: the index it stands for is a table, not a plan to run again.
+    points = stored(_build(before), "points")
+    return _with_library(I.incremental_rebuild(points, old, current, _build), current)
+
+
+@query("incremental_store", CURRENT_SQL)
+def incremental_store(spark, sf_dir):
+    """The same with a stored index: only the buckets of changed files are opened and written."""
+    before, old, current = _two_states(spark, sf_dir)
+    store = IndexStore(spark, scratch_path(spark, "kept"), buckets=4)
+    store.build(_build(before), "first")
+    store.update(old, current, _build, "second")
+    return _with_library(store.read(), current)
+
+
 PRESENT_TEXTS = """SELECT 'd' AS kind, pid AS id, code AS text FROM p UNION ALL
     SELECT 'q' AS kind, CAST(item_id AS VARCHAR) AS id, text FROM benchmark"""
 

@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.operators.index import POINT_COLUMNS, file_key, replace_by_file
+from snipdex.operators.index import POINT_COLUMNS, changed_since, file_key, replace_by_file
 from snipdex.session import delete_path, path_exists, shared_dir
 
 BUCKETS = 64
@@ -131,6 +131,11 @@ class IndexStore:
         self._overwrite(self._stored(staged))
         delete_path(self.spark, staged)
 
+    def update(self, old: DataFrame, files: DataFrame, build, change_id: str) -> None:
+        """Bring the index from the snapshot `old` to the current files, at the cost of the change."""
+        gone, fresh = changed_since(old, files, build)
+        self.replace_files(gone, fresh, change_id)
+
     def drop_collection(self, collection: str) -> None:
         """Empty every folder of a collection."""
         touched = self._some([self._folder(collection)]).select(*PARTITIONS).distinct()

@@ -33,7 +33,7 @@ def test_entry(spark):
 
 
 CROSS = ("CartesianProduct", "BroadcastNestedLoopJoin")
-STREAMS = {"apply_stream", "debounce_stream", "lifecycle_stream", "index_store"}
+STREAMS = {"apply_stream", "debounce_stream", "lifecycle_stream", "index_store", "incremental_store", "index_rebuild_drop", "change_records_stream"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
