@@ -57,11 +57,10 @@ def rename_split(spark, sf_dir):
 @query(
     "debounce_stream",
     f"""WITH {BURSTS_SQL} SELECT path, strftime(first_time, '%Y-%m-%d %H:%M:%S.%f') AS first_time,
-  strftime(last_time, '%Y-%m-%d %H:%M:%S.%f') AS last_time, n_changes, change_type FROM bursts
-WHERE last_time + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(event_time)) FROM changes) - INTERVAL 10 MINUTE""",
+  strftime(last_time, '%Y-%m-%d %H:%M:%S.%f') AS last_time, n_changes, change_type FROM bursts""",
 )
 def debounce_stream(spark, sf_dir):
-    """The bursts a stream over all events has given out at its end; open ones are still held."""
+    """The bursts a stream over all events gives out, and those it still holds at its end."""
     source = load(spark, sf_dir, "events")
     # A pattern lets the source be one file or a folder of files.
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
@@ -70,6 +69,7 @@ def debounce_stream(spark, sf_dir):
     run = bursts.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
     run.awaitTermination()
     rows = spark.read.schema(bursts.schema).parquet(out)
+    rows = rows.unionByName(C.open_bursts(changes(spark, sf_dir), rows, GAP_US, DAY_US))
     return rows.withColumns({c: ts_text(F.col(c)) for c in ("first_time", "last_time")})
 
 
