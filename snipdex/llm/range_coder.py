@@ -5,7 +5,8 @@ of each per turn, with numpy over the blocks. For every id the model has three p
 
 * order 2: the id that last proved right after the two ids before, with a confidence of 0 to 7;
 * order 1: the same after the one id before;
-* order 0: frequencies of all ids of the block so far, brought up to date after 256, 512, 1024, ... ids.
+* order 0: frequencies of all ids of the block so far, in two parts: how often each run of `RUN` neighbouring ids came,
+  brought up to date after 64, 128, 256, ... ids, and how often each id came within its run, at once.
 
 The first coded symbol says which prediction holds (order 2, order 1 or neither). Its probabilities are mixed from the
 orders by adaptive counts for each pair of confidences. In the last case the id follows by its order-0 frequency.
@@ -20,28 +21,32 @@ import zlib
 import numpy as np
 
 U64 = np.uint64
-SLOT_BITS = 12
+SLOT_BITS = 11
 TOP = U64(1 << 48)
 BOTTOM = U64(1 << 32)
 GAIN = 32
+RUN = 16
+RUN_GAIN = 24
 ID_GAIN = 12
-MAX_BLOCK = 5000  # 1 + ID_GAIN * MAX_BLOCK fits 16 bits
+ID_LIMIT = 240
+MAX_BLOCK = 2500  # 1 + RUN_GAIN * MAX_BLOCK fits 16 bits
 NO_ID = np.uint32(2**32 - 1)
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 
 
 class _Model:
     def __init__(self, lanes: int, ids: int):
-        self.lanes, self.ids = lanes, ids
+        self.lanes, self.runs = lanes, -(-ids // RUN)
         self.row = np.arange(lanes)
         self.before = np.zeros((2, lanes), np.uint64)
         self.guess = np.full((2, lanes << SLOT_BITS), NO_ID)
-        self.sure = np.zeros((2, lanes << SLOT_BITS), np.int64)
-        self.choice = np.ones((lanes * 128, 3), np.uint64)
+        self.sure = np.zeros((2, lanes << SLOT_BITS), np.uint8)
+        self.choice = np.ones((lanes * 128, 3), np.uint32)
         self.choice[:, 2] = 2
-        self.frequency = np.ones((lanes, ids), np.uint16)
-        self.fan = math.ceil(ids ** (1 / 3))
-        self.below = np.empty((lanes, ids + 1), np.uint32)
+        self.inside = np.ones((lanes * self.runs, RUN), np.uint8)
+        self.frequency = np.ones((lanes, self.runs), np.uint16)
+        self.below = np.empty((lanes, self.runs + 1), np.uint32)
+        self.fan = math.ceil(self.runs ** (1 / 3))
         self.middle = np.empty((lanes, self.fan**2), np.uint32)
         self.upper = np.empty((lanes, self.fan), np.uint32)
         self.turn = 0
@@ -50,55 +55,86 @@ class _Model:
     def _refresh(self, lanes: int) -> None:
         self.below[:lanes, 0] = 0
         np.cumsum(self.frequency[:lanes], axis=1, out=self.below[:lanes, 1:], dtype=np.uint32)
-        # Every fan-th border, and every fan-th of these; beyond the last id it is the total, above any place.
-        self.middle[:lanes] = self.below[:lanes][:, np.minimum(np.arange(1, self.fan**2 + 1) * self.fan, self.ids)]
+        # Every fan-th border, and every fan-th of these; beyond the last run it is the total, above any place.
+        self.middle[:lanes] = self.below[:lanes][:, np.minimum(np.arange(1, self.fan**2 + 1) * self.fan, self.runs)]
         self.upper[:lanes] = self.middle[:lanes, self.fan - 1 :: self.fan]
 
-    def find(self, lanes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The ids whose spans hold the places: three looks at about a cube root of the ids, each in one row of memory."""
-        fan, steps = self.fan, np.arange(self.fan)
-        place = at[:, None]
-        found = (self.upper.take(lanes, axis=0) <= place).sum(axis=1)
-        found = found * fan + (self.middle.reshape(-1).take((lanes * fan * fan + found * fan)[:, None] + steps) <= place).sum(axis=1)
-        first = found * fan
-        ahead = np.minimum(first[:, None] + steps + 1, self.ids) + (lanes * (self.ids + 1))[:, None]
+    def run_span(self, lanes: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, size and total of a run of ids."""
+        flat, base = self.below.reshape(-1), lanes * (self.runs + 1)
+        start = flat.take(base + run).astype(np.uint64)
+        return start, flat.take(base + run + 1) - start, flat.take(base + self.runs).astype(np.uint64)
+
+    def run_at(self, lanes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The runs whose spans hold the places: three looks at about a cube root of the runs, each in one row of memory."""
+        place, fan = at.astype(np.uint32)[:, None], self.fan
+        first = (self.upper.take(lanes, axis=0) <= place).sum(axis=1) * fan
+        first += (self.middle.reshape(-1).take((lanes * fan * fan + first)[:, None] + np.arange(fan)) <= place).sum(axis=1)
+        first *= fan
+        ahead = np.minimum(first[:, None] + np.arange(1, fan + 1), self.runs) + (lanes * (self.runs + 1))[:, None]
         return first + (self.below.reshape(-1).take(ahead) <= place).sum(axis=1)
 
+    def run_counts(self, lanes: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Running sums of the counts within a run."""
+        return np.cumsum(self.inside.take(lanes * self.runs + run, axis=0), axis=1, dtype=np.uint32)
+
     def predict(self, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slots of both orders, their ids, and the row of counts for the choice."""
         last, older = self.before[0, :lanes], self.before[1, :lanes]
         shift = U64(64 - SLOT_BITS)
         slots = np.empty((2, lanes), np.int64)
-        base = self.row[:lanes] << SLOT_BITS
-        slots[0] = ((last * U64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) + base
-        slots[1] = (((last * U64(0x9E3779B97F4A7C15)) ^ (older * U64(0xC2B2AE3D27D4EB4F))) * U64(0xD6E8FEB86659FD93) >> shift).astype(np.int64) + base
-        one, two = self.guess[0].take(slots[0]), self.guess[1].take(slots[1])
-        rows = (self.sure[1].take(slots[1]) << 4) | (self.sure[0].take(slots[0]) << 1) | (one == two)
-        return slots, np.stack([one, two]), rows + (self.row[:lanes] << 7)
+        spread = last * U64(0x9E3779B97F4A7C15)
+        slots[0] = spread >> shift
+        slots[1] = ((spread ^ (older * U64(0xC2B2AE3D27D4EB4F))) * U64(0xD6E8FEB86659FD93)) >> shift
+        slots += self.row[:lanes] << SLOT_BITS
+        guesses = np.empty((2, lanes), np.uint32)
+        for order in (0, 1):
+            self.guess[order].take(slots[order], out=guesses[order], mode="clip")
+        rows = (self.sure[1].take(slots[1]).astype(np.int64) << 4) | (self.sure[0].take(slots[0]) << 1) | (guesses[0] == guesses[1])
+        return slots, guesses, rows + (self.row[:lanes] << 7)
 
     def learn(self, lanes: int, slots: np.ndarray, guesses: np.ndarray, rows: np.ndarray, chosen: np.ndarray, ids: np.ndarray) -> None:
-        self.choice[rows, chosen] += U64(GAIN)
+        self.choice.reshape(-1)[rows * 3 + chosen] += np.uint32(GAIN)
         for order in (0, 1):
-            at = slots[order]
-            right = guesses[order] == ids
+            at, guess = slots[order], guesses[order]
+            right = guess == ids
             sure = self.sure[order].take(at)
-            self.guess[order][at] = np.where(right | (sure > 0), guesses[order], ids)
-            self.sure[order][at] = np.where(right, np.minimum(sure + 1, 7), np.maximum(sure - 1, 0))
-        self.frequency[self.row[:lanes], ids] += np.uint16(ID_GAIN)
+            self.guess[order][at] = np.where(right | (sure > 0), guess, ids)
+            self.sure[order][at] = np.where(right, np.minimum(sure + 1, 7), np.maximum(sure, 1) - 1)
+        run = ids >> 4
+        self.frequency.reshape(-1)[self.row[:lanes] * self.runs + run] += np.uint16(RUN_GAIN)
+        cell = (self.row[:lanes] * self.runs + run) * RUN + (ids & (RUN - 1))
+        flat = self.inside.reshape(-1)
+        grown = flat.take(cell) + np.uint8(ID_GAIN)
+        flat[cell] = grown
+        full = np.flatnonzero(grown > ID_LIMIT)
+        if len(full):  # halve the counts of a run before they overflow
+            full = cell[full] >> 4
+            self.inside[full] = (self.inside[full] >> 1) | 1
         self.before[1, :lanes] = self.before[0, :lanes]
         self.before[0, :lanes] = ids + np.uint32(1)
         self.turn += 1
-        if self.turn >= 256 and self.turn & (self.turn - 1) == 0:
+        if self.turn >= 64 and self.turn & (self.turn - 1) == 0:
             self._refresh(lanes)
 
 
 def _spans(counts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, size and total of the chosen symbol of three."""
-    one, two, three = counts[:, 0], counts[:, 1], counts[:, 2]
+    one, two, three = counts.T.astype(np.uint64)
     start = np.where(chosen > 0, one, U64(0)) + np.where(chosen > 1, two, U64(0))
     return start, np.where(chosen == 0, one, np.where(chosen == 1, two, three)), one + two + three
 
 
+def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the highest 16 bits cannot change any more, or the range has become too small to go on."""
+    return np.flatnonzero(((low ^ (low + size)) < TOP) | (size < BOTTOM))
+
+
+def _narrowed(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Too small a range that crosses a border ends at that border, so that the highest bits are settled."""
+    return np.where((low ^ (low + size)) < TOP, size, (~low + U64(1)) & (BOTTOM - U64(1)))
+
+
 def _lengths_first(lengths: np.ndarray) -> np.ndarray:
     """Lanes by falling length, so that those still in work come first."""
     return np.argsort(-lengths, kind="stable")
@@ -117,24 +153,22 @@ def encode_blocks(blocks: list[np.ndarray], ids: int) -> list[bytes]:
     working = len(blocks) - np.searchsorted(lengths[order][::-1], np.arange(longest), side="right")
     model = _Model(len(blocks), ids)
     low, size = np.zeros(len(blocks), np.uint64), np.full(len(blocks), U64(2**64 - 1))
-    out = np.zeros((len(blocks), 3 * longest + 16), np.uint16)
+    out = np.zeros((len(blocks), 4 * longest + 16), np.uint16)
     filled = np.zeros(len(blocks), np.int64)
 
     def code(lanes: np.ndarray, start: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
         step = size[lanes] // total
         low_, size_ = low[lanes] + start * step, count * step
-        while True:
-            same = (low_ ^ (low_ + size_)) < TOP
-            short = ~same & (size_ < BOTTOM)
-            moving = np.flatnonzero(same | short)
-            if not len(moving):
-                break
-            size_[short] = (~low_[short] + U64(1)) & (BOTTOM - U64(1))
-            lane = lanes[moving]
-            out[lane, filled[lane]] = low_[moving] >> U64(48)
+        moving = _settled(low_, size_)
+        while len(moving):
+            end, width = low_[moving], size_[moving]
+            width = _narrowed(end, width)
+            lane = moving if isinstance(lanes, slice) else lanes[moving]
+            out[lane, filled[lane]] = end >> U64(48)
             filled[lane] += 1
-            low_[moving] <<= U64(16)
-            size_[moving] <<= U64(16)
+            low_[moving] = end = end << U64(16)
+            size_[moving] = width = width << U64(16)
+            moving = moving[_settled(end, width)]
         low[lanes], size[lanes] = low_, size_
 
     for turn in range(longest):
@@ -142,12 +176,15 @@ def encode_blocks(blocks: list[np.ndarray], ids: int) -> list[bytes]:
         these = table[turn, :lanes]
         slots, guesses, rows = model.predict(lanes)
         chosen = np.where(guesses[1] == these, 0, np.where(guesses[0] == these, 1, 2))
-        code(model.row[:lanes], *_spans(model.choice[rows], chosen))
+        code(slice(0, lanes), *_spans(model.choice[rows], chosen))
         plain = np.flatnonzero(chosen == 2)
         if len(plain):
-            start = model.below[plain, these[plain]].astype(np.uint64)
-            count = model.below[plain, these[plain] + 1].astype(np.uint64) - start
-            code(plain, start, count, model.below[plain, ids].astype(np.uint64))
+            some = these[plain].astype(np.int64)
+            code(plain, *model.run_span(plain, some >> 4))
+            sums, last = model.run_counts(plain, some >> 4), some & (RUN - 1)
+            end = np.take_along_axis(sums, last[:, None], 1)[:, 0]
+            start = np.where(last > 0, np.take_along_axis(sums, np.maximum(last - 1, 0)[:, None], 1)[:, 0], 0)
+            code(plain, start.astype(np.uint64), (end - start).astype(np.uint64), sums[:, -1].astype(np.uint64))
         model.learn(lanes, slots, guesses, rows, chosen, these)
     for _ in range(4):
         out[np.arange(len(blocks)), filled] = low >> U64(48)
@@ -193,39 +230,43 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         return step, np.minimum((value[lanes] - low[lanes]) // step, total - U64(1))
 
     def move(lanes: np.ndarray, start: np.ndarray, count: np.ndarray, step: np.ndarray) -> None:
-        low_, size_, value_ = low[lanes] + start * step, count * step, value[lanes]
-        while True:
-            same = (low_ ^ (low_ + size_)) < TOP
-            short = ~same & (size_ < BOTTOM)
-            moving = np.flatnonzero(same | short)
-            if not len(moving):
-                break
-            size_[short] = (~low_[short] + U64(1)) & (BOTTOM - U64(1))
-            lane = lanes[moving]
-            value_[moving] = (value_[moving] << U64(16)) | units[lane, np.minimum(read[lane], last_unit)].astype(np.uint64)
+        low_, size_ = low[lanes] + start * step, count * step
+        moving = _settled(low_, size_)
+        while len(moving):
+            end, width = low_[moving], size_[moving]
+            width = _narrowed(end, width)
+            lane = moving if isinstance(lanes, slice) else lanes[moving]
+            value[lane] = (value[lane] << U64(16)) | units[lane, np.minimum(read[lane], last_unit)].astype(np.uint64)
             read[lane] += 1
-            low_[moving] <<= U64(16)
-            size_[moving] <<= U64(16)
-        low[lanes], size[lanes], value[lanes] = low_, size_, value_
+            low_[moving] = end = end << U64(16)
+            size_[moving] = width = width << U64(16)
+            moving = moving[_settled(end, width)]
+        low[lanes], size[lanes] = low_, size_
 
     table = np.zeros((longest, len(coded)), np.uint32)
     for turn in range(longest):
         lanes = int(working[turn])
         slots, guesses, rows = model.predict(lanes)
         counts = model.choice[rows]
-        all_ = model.row[:lanes]
-        step, at = place(all_, counts.sum(axis=1))
+        all_ = slice(0, lanes)
+        step, at = place(all_, counts.sum(axis=1, dtype=np.uint64))
         chosen = (at >= counts[:, 0]).astype(np.int64) + (at >= counts[:, 0] + counts[:, 1])
         start, count, _ = _spans(counts, chosen)
         move(all_, start, count, step)
         these = np.where(chosen == 0, guesses[1], guesses[0])
         plain = np.flatnonzero(chosen == 2)
         if len(plain):
-            step, at = place(plain, model.below[plain, ids].astype(np.uint64))
-            found = model.find(plain, at.astype(np.uint32))
-            start = model.below[plain, found].astype(np.uint64)
-            move(plain, start, model.below[plain, found + 1].astype(np.uint64) - start, step)
-            these[plain] = found
+            step, at = place(plain, model.below[plain, model.runs].astype(np.uint64))
+            run = model.run_at(plain, at)
+            start, count, _ = model.run_span(plain, run)
+            move(plain, start, count, step)
+            sums = model.run_counts(plain, run)
+            step, at = place(plain, sums[:, -1].astype(np.uint64))
+            last = (sums <= at[:, None]).sum(axis=1)
+            end = np.take_along_axis(sums, last[:, None], 1)[:, 0]
+            start = np.where(last > 0, np.take_along_axis(sums, np.maximum(last - 1, 0)[:, None], 1)[:, 0], 0)
+            move(plain, start.astype(np.uint64), (end - start).astype(np.uint64), step)
+            these[plain] = run * RUN + last
         table[turn, :lanes] = these
         model.learn(lanes, slots, guesses, rows, chosen, these)
     made: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from snipdex.llm.bpe import KNOWN_LENGTH, KNOWN_PIECES, SPACE, WordEncoder, shared_tokenizer, text_slices
 from snipdex.llm.range_coder import decode_blocks, encode_blocks
 
-BLOCK = 4096
-GROUP = 768
+BLOCK = 2048
+GROUP = 1536
 END_ID = 1
 SEGMENT = "row long, id {kind}, start long, total long, first long, n long"
 
@@ -51,7 +51,7 @@ class LibraryEncoder(WordEncoder):
         known = self.known
         new = list({p for pieces in split for p in pieces if p and p not in known})
         here = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        if len(known) + len(here) > KNOWN_PIECES:
+        if len(known) + len(here) > KNOWN_PIECES // 2:  # the coder needs room too
             here |= {p: known[p] for pieces in split for p in pieces if p in known}
             known.clear()
         known.update((p, ids) for p, ids in here.items() if len(p) <= KNOWN_LENGTH)
