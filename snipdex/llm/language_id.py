@@ -29,7 +29,7 @@ BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.05
 STEPS = 10
 SET_STEPS = 6
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 200
 UNKNOWN = "und"
 FOUND = "lang_pred string, score double, background double, shares map<string,double>"
 
