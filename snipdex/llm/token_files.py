@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm.bpe import KNOWN_LENGTH, KNOWN_PIECES, SPACE, WordEncoder, shared_tokenizer, text_slices
+from snipdex.llm.bpe import KNOWN_LENGTH, KNOWN_PIECES, WordEncoder, shared_tokenizer, text_slices
 from snipdex.llm.range_coder import decode_blocks, encode_blocks
 
 BLOCK = 2048
