@@ -27,8 +27,11 @@ SCORE_PLACES = 9
 MAX_BROADCAST_QUERIES = 2048
 CELL_BYTES = 32 << 20
 MAX_FEW_SCOPES = 1 << 18
-BUCKET_ROWS = 32
-MIN_BITS = 4
+# Of `knn_lsh`: sampled queries and vectors, settings tried, and what moving a row costs in scores.
+SAMPLE_QUERIES, SAMPLE_VECTORS, SAMPLE_BYTES = 512, 2048, 64 << 20
+TABLES, BITS, PROBES = (8, 16), range(4, 25, 2), (4, 16, 64)
+SHUFFLED_ROW = 500
+NEAREST_BITS = 8
 
 
 def valid_vectors(df: DataFrame, column: str, dim: int) -> DataFrame:
@@ -258,31 +261,100 @@ def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, tables * bits))
 
 
-def _bucket_column(column: str, dim: int, tables: int, bits: int, probes: int, seed: int):
-    """Bucket codes of a vector: one per table, plus `probes` neighbours per table.
+def _codes(rows: np.ndarray, tables: int, bits: int, probes: int, seed: int) -> np.ndarray:
+    """Bucket codes of each row, (rows, tables, 1 + probes): its own bucket, then its nearest neighbours.
 
-    A neighbour flips the bit whose hyperplane lies nearest to the vector.
+    A neighbour flips a set of bits; sets go by the sum of the squared distances to their
+    hyperplanes.  Sets are drawn from the NEAREST_BITS nearest bits, so there may be fewer than
+    `probes`.
     """
+    side = (rows @ _planes(rows.shape[1], tables, bits, seed)).reshape(len(rows), tables, bits)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    own = ((side > 0) * weights).sum(axis=2)[:, :, None]
+    if not probes:
+        return own
+    margin = side * side
+    near = np.argsort(margin, axis=2)[:, :, :NEAREST_BITS]
+    sets = (np.arange(1 << near.shape[2])[:, None] >> np.arange(near.shape[2])) & 1
+    cost = np.take_along_axis(margin, near, 2) @ sets.T
+    best = np.argsort(cost, axis=2, kind="stable")[:, :, : 1 + probes]
+    # The empty set costs nothing and is the first, so a row's own bucket is among them.
+    return own ^ np.einsum("rtpb,rtb->rtp", sets[best], weights[near])
+
+
+def _bucket_column(column: str, dim: int, tables: int, bits: int, probes: int, seed: int):
+    """`_codes` as one array per vector; the number of the table stands above the bits."""
 
     @F.pandas_udf("array<bigint>")
     def buckets(series):
         import pandas as pd
 
         rows = np.stack(series.to_numpy()).astype(np.float64) if len(series) else np.zeros((0, dim))
-        side = (rows @ _planes(dim, tables, bits, seed)).reshape(len(rows), tables, bits)
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        codes = ((side > 0) * weights).sum(axis=2)
-        found = [codes]
-        nearest = np.argsort(np.abs(side), axis=2)[:, :, :probes]
-        for p in range(min(probes, bits)):
-            found.append(codes ^ weights[nearest[:, :, p]])
-        base = np.arange(tables, dtype=np.int64)[None, :] << bits
-        stacked = np.concatenate([c + base for c in found], axis=1)
-        return pd.Series(list(stacked))
+        base = np.arange(tables, dtype=np.int64)[:, None] << bits
+        parts = (_codes(rows[i : i + 1024], tables, bits, probes, seed) + base for i in range(0, len(rows), 1024))
+        return pd.Series([c for part in parts for c in part.reshape(len(part), -1)], dtype=object)
 
     return buckets(F.col(column))
 
 
+def _sample(df: DataFrame, key: str, rows: int, wanted: int) -> list:
+    """About `wanted` of the rows, by a hash of their key."""
+    some = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(max(1, rows // wanted))) == 0
+    return df.filter(some).limit(2 * wanted).collect()
+
+
+def lsh_settings(
+    queries: DataFrame, vectors: DataFrame, dim: int, k: int = 5, recall: float = 0.9, seed: int = 7, exclude_self: bool = False
+) -> tuple[int, int, int] | None:
+    """The cheapest (tables, bits, probes) with at least this recall; None if exact search is cheaper.
+
+    The recall is measured on a sample of the queries (by a hash of their ids) against their exact
+    neighbours in the whole table: a neighbour is found if one of its buckets is asked.  Two
+    standard errors are kept above `recall`.  The cost of a setting is the share of a sample of
+    vectors that meets the queries, and the rows that it moves.
+    """
+    n_queries, n_vectors = queries.count(), vectors.count()
+    wanted = min(SAMPLE_QUERIES, max(32, SAMPLE_BYTES // (8 * dim * k)))
+    names = queries.select("query_id", "q_vector")
+    asked = queries.sparkSession.createDataFrame(_sample(names, "query_id", n_queries, wanted), names.schema)
+    exact = knn_join(asked, vectors.select("vec_id", "vector"), k, exclude_self=exclude_self)
+    pairs = vectors.join(F.broadcast(exact.select("query_id", "vec_id")), "vec_id").join(F.broadcast(asked), "query_id")
+    found = pairs.select("query_id", "vec_id", "q_vector", "vector").dropDuplicates(["query_id", "vec_id"]).collect()
+    if not found:
+        return None
+    matrix = lambda rows, name: np.array([r[name] for r in rows], dtype=np.float64)
+    q, v = matrix(found, "q_vector"), matrix(found, "vector")
+    _, first, group = np.unique([str(r["query_id"]) for r in found], return_index=True, return_inverse=True)
+    others = matrix(_sample(vectors.select("vec_id", "vector"), "vec_id", n_vectors, SAMPLE_VECTORS), "vector").reshape(-1, dim)
+    least, best = float(n_vectors), None
+    for tables in TABLES:
+        for bits in BITS:
+            moved = {p: SHUFFLED_ROW * (tables * (1 + p) + tables * n_vectors / max(1, n_queries)) for p in PROBES}
+            tried = [p for p in PROBES if moved[p] < least]
+            if not tried:
+                break
+            near, far = _codes(v, tables, bits, 0, seed), _codes(others, tables, bits, 0, seed)
+            asked_codes = _codes(q[first], tables, bits, max(tried), seed)
+            reached = False
+            for probes in tried:
+                codes = asked_codes[:, :, : 1 + probes]
+                met = (codes[group] == near).any(axis=(1, 2))
+                each = np.bincount(group, met) / np.bincount(group)
+                if each.mean() - 2 * each.std() / math.sqrt(len(each)) < recall:
+                    continue
+                reached, scored = True, 0
+                for t in range(tables):
+                    held, count = np.unique(far[:, t, 0], return_counts=True)
+                    at = np.minimum(np.searchsorted(held, codes[:, t]), len(held) - 1)
+                    scored += (count[at] * (held[at] == codes[:, t])).sum()
+                cost = scored / (len(first) * len(others)) * n_vectors + moved[probes]
+                if cost < least:
+                    least, best = cost, (tables, bits, probes)
+            if not reached:  # more bits find fewer
+                break
+    return best
+
+
 def knn_lsh(
     queries: DataFrame,
     vectors: DataFrame,
@@ -294,18 +366,24 @@ def knn_lsh(
     seed: int = 7,
     exclude_self: bool = False,
     cell_rows: int | None = None,
+    recall: float = 0.9,
 ) -> DataFrame:
     """Approximate `knn_join`: only vectors that share a sign bucket with the query are scored.
 
     Buckets come from random hyperplanes, so no training pass is needed and new vectors can be
     added at any time.  A crowded bucket is cut into blocks like any other scope.  More
-    `tables` and `probes` raise the recall, more `bits` make the buckets smaller; by default they
-    grow with the logarithm of the table, so that a bucket keeps about `BUCKET_ROWS` rows.
+    `tables` and `probes` raise the recall, more `bits` make the buckets smaller.  Without `bits`
+    all three come from `lsh_settings`, which measures the recall on these tables; where no setting
+    reaches `recall` at less than the cost of exact search, the rows are those of `knn_join`.
     """
-    if bits is None:
-        bits = max(MIN_BITS, math.ceil(math.log2(max(1, vectors.count()) / BUCKET_ROWS)))
     ready_q = valid_vectors(queries, "q_vector", dim)
     ready_v = valid_vectors(vectors, "vector", dim)
+    if bits is None:
+        found = lsh_settings(ready_q, ready_v, dim, k, recall, seed, exclude_self)
+        if found is None:
+            names = (ready_q.select("query_id", "q_vector"), ready_v.select("vec_id", "vector"))
+            return knn_join(*names, k, exclude_self=exclude_self, cell_rows=cell_rows)
+        tables, bits, probes = found
     spread_v = ready_v.select(
         F.explode(_bucket_column("vector", dim, tables, bits, 0, seed)).alias("scope"), "vec_id", "vector"
     )

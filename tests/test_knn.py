@@ -126,6 +126,40 @@ def test_lsh_scores_are_exact_and_recall_is_high(spark):
     assert split == found
 
 
+def shares_found(spark, rows, **settings):
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, vector array<double>").cache()
+    q = v.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"))
+    exact = {(r[0], r[2]) for r in knn.knn_join(q, v, 5, exclude_self=True).select("query_id", "rank", "vec_id").collect()}
+    found = {(r[0], r[2]) for r in knn.knn_lsh(q, v, rows.shape[1], 5, exclude_self=True, **settings).select("query_id", "rank", "vec_id").collect()}
+    return len(exact & found) / len(exact), knn.lsh_settings(q, v, rows.shape[1], 5, exclude_self=True)
+
+
+def test_lsh_recall_does_not_fall_with_the_table(spark):
+    """Even vectors, the worst case: fixed tables and probes with bits from the row count find about half."""
+    found, _ = shares_found(spark, np.random.default_rng(1).standard_normal((16_000, 64)))
+    assert found >= 0.9
+
+
+def test_lsh_uses_buckets_where_they_serve(spark, monkeypatch):
+    """Groups of near vectors: a setting is found that reaches the recall with few scores."""
+    rng = np.random.default_rng(2)
+    rows = np.repeat(rng.standard_normal((1000, 32)), 8, axis=0) + 0.1 * rng.standard_normal((8000, 32))
+    monkeypatch.setattr(knn, "SHUFFLED_ROW", 1)
+    found, settings = shares_found(spark, rows)
+    assert settings is not None and found >= 0.9
+
+
+def test_neighbour_buckets_go_by_margin():
+    rows = np.random.default_rng(5).standard_normal((20, 16))
+    got = knn._codes(rows, 2, 6, 9, 7)
+    side = (rows @ knn._planes(16, 2, 6, 7)).reshape(20, 2, 6)
+    for r in range(20):
+        for t in range(2):
+            own = sum(1 << b for b in range(6) if side[r, t, b] > 0)
+            want = sorted(range(64), key=lambda c: sum(side[r, t, b] ** 2 for b in range(6) if (c ^ own) >> b & 1))[:10]
+            assert got[r, t].tolist() == want
+
+
 def test_collection_info(spark):
     df = frame(spark, [("a", [1.0, 2.0]), ("a", [1.0]), ("b", [1.0])], "collection string, vector array<double>")
     got = {tuple(r) for r in knn.collection_info(df).collect()}
