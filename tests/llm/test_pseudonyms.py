@@ -82,6 +82,27 @@ def test_other_kinds(spark):
     assert got[8].endswith(".com") and got[8] != "Ab.34@mail7.Example.com" and [c.isdigit() for c in got[8]] == [c.isdigit() for c in "Ab.34@mail7.Example.com"] and got[8][0].isupper()
 
 
+def test_kinds_end_where_they_end(spark):
+    """Behind each kind another kind, a capital and a number; what is behind stays or is found on its own."""
+    kinds = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "4111 1111 1111 1111", "2024-05-01", "123-45-6789", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "10.0.0.1", "a.b@mail.com"]
+    alone = dict(zip(kinds, out(spark, *kinds)))
+    assert all(a != b for a, b in alone.items())
+    pairs = [(a, b) for a in kinds for b in kinds]
+    assert out(spark, *(f"{a} {b}" for a, b in pairs)) == [f"{alone[a]} {alone[b]}" for a, b in pairs]
+    for behind in (" I paid", " OR CASH", ", B", "; 500 EUR", ""):
+        assert out(spark, *(k + behind for k in kinds)) == [alone[k] + behind for k in kinds]
+    fixed = [k for k in kinds if k != "+49 30 1234567"]
+    assert out(spark, *(f"{k} 500 EUR" for k in fixed)) == [f"{alone[k]} 500 EUR" for k in fixed]
+    assert out(spark, "2024-05-01T12:00", "2024-05-01Tx") == [alone["2024-05-01"] + "T12:00", "2024-05-01Tx"]
+
+
+def test_failed_ibans_take_nothing(spark):
+    card_, day, iban = "4111 1111 1111 1111", "2024-05-01", "DE89 3704 0044 0532 0130 00"
+    c, d, i = out(spark, card_, day, iban)
+    got = out(spark, f"AB12 {card_}", f"DE00 1111 1111 1111 11 {day}", f"FR12 {iban} 1", f"\ue000 {iban} \ue000\ue001 {iban}")
+    assert got == [f"AB12 {c}", f"DE00 1111 1111 1111 11 {d}", f"FR12 {i} 1", f"\ue000 {i} \ue000\ue001 {i}"]
+
+
 def test_permutation_has_no_collisions(spark):
     texts = [f"10.0.{i // 256}.{i % 256}" for i in range(1500)] + [f"{i:03d}-45-{6000 + i:04d}" for i in range(1, 600)]
     got = out(spark, *texts)
