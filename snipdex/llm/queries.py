@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, language_id, lm_score, near_duplicates, pseudonyms, shards, token_counts, token_files, vector_links
-from snipdex.session import scratch_path
+from snipdex.llm import bpe, decontamination, language_id, lm_score, near_duplicates, pseudonyms, shards, token_counts, token_files, vector_codes, vector_links
+from snipdex.session import scratch_path, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -144,3 +144,58 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE)
     found = token_files.read_tokens(spark, path)
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), carry=("label",))
+    codes = stored(codes, "codes")
+    labels = codes.groupBy(F.col("label").alias("same")).agg(F.sum("error").alias("label_error"))
+    found = codes.join(labels, codes.label.eqNullSafe(labels.same), "left")
+    code = F.concat_ws("", F.transform("code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")))
+    return found.select("vec_id", F.when(F.col("code").isNotNull(), code).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    far = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"""v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+    SELECT vec_id, label, part, q[part * (len(q) // {parts}) + 1 : (part + 1) * (len(q) // {parts})] AS x FROM v, unnest(range({parts})) AS t(part)
+), b0 AS MATERIALIZED (
+    SELECT part, entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < {entries}
+)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (
+    SELECT vec_id, label, part, least.entry AS entry, least.d AS d, x
+    FROM (SELECT vec_id, p.label, p.part, any_value(p.x) AS x, min({{'d': CAST({far} AS BIGINT), 'entry': b.entry}}) AS least FROM p JOIN b{k} b ON b.part = p.part GROUP BY ALL)
+)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""b{k + 1} AS MATERIALIZED (
+    SELECT old.part, old.entry, coalesce(new.x, old.x) AS x
+    FROM b{k} old LEFT JOIN (
+        SELECT part, entry, list(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) ORDER BY place) AS x
+        FROM (SELECT part, entry, place, sum(x[place]) AS total, count(*) AS n FROM a{k}, unnest(range(1, len(x) + 1)) AS t(place) GROUP BY ALL) GROUP BY ALL
+    ) new ON new.part = old.part AND new.entry = old.entry
+)"""
+            )
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f""", coded AS (
+    SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL
+), books AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+"""
+    )
+
+
+SQL["op11_vector_codes"] = _vector_codes_sql()
