@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, language_id, lm_score, near_duplicates, pseudonyms, shards, token_counts, token_files, vector_codes, vector_links
+from snipdex.llm import bpe, decontamination, language_id, lexical_search, lm_score, near_duplicates, pseudonyms, shards, token_counts, token_files, vector_codes, vector_links
 from snipdex.session import scratch_path, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -199,3 +199,31 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 SQL["op11_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+SQL["op13_lexical_search"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), stats AS (
+    SELECT count(*) FILTER (len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_words FROM d
+), tf AS (
+    SELECT doc_id, len(words) AS n, w, count(*) AS tf FROM d, unnest(words) AS t(w) GROUP BY ALL
+), df AS (
+    SELECT w, count(*) AS df FROM tf GROUP BY w
+), q AS (
+    SELECT item_id, w, count(*) AS times
+    FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark), unnest(words) AS t(w)
+    GROUP BY ALL
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+    FROM q JOIN df USING (w) JOIN tf USING (w), stats GROUP BY ALL
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0) WHERE place <= 20
+"""
