@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm import bpe, decontamination, language_id, lexical_search, lm_score, near_duplicates, pseudonyms, shards, token_counts, token_files, vector_codes, vector_links
+from snipdex.llm import bpe, decontamination, language_id, lexical_search, lm_score, near_duplicates, pseudonyms, repeats, shards, token_counts, token_files, vector_codes, vector_links
 from snipdex.session import scratch_path, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -227,3 +227,34 @@ WITH d AS (
 SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0) WHERE place <= 20
 """
+
+
+@query
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op12_repeats"] = """
+WITH d AS (
+    SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), w AS (
+    SELECT doc_id, s, substring(h, 2 * s + 1, 200) AS piece FROM d, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS t(s)
+), again AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY piece ORDER BY doc_id, s) AS n FROM w) WHERE n > 1
+), run AS (
+    SELECT doc_id, s, sum(CASE WHEN s <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run
+    FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM again)
+), spans AS (
+    SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM run GROUP BY ALL
+), gaps AS (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+    UNION ALL
+    SELECT doc_id, coalesce(max(b), 0), max(length(h)) // 2 FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, sha256(unhex(string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b))) AS kept_sha256 FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id)
+"""
