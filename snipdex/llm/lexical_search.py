@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from snipdex.llm.arrow_text import letters_and_digits, text_chunks, word_hashes
 from snipdex.session import stored
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 BLOCK = 128
 SLICE_BYTES = 1 << 20
 #: Four numbers per block: last place, largest count, least length, first byte.
