@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,16 @@ def _masked(text: str, noise: re.Pattern, ends: Callable[[re.Match], int] | None
 PYTHON_NOISE = re.compile(r'#[^\n]*|"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?', re.S)
 
 
+def python_mask(column: Column) -> Column:
+    """The text of a Python file with comments and strings blanked out."""
+
+    @F.pandas_udf("string")
+    def mask(texts):
+        return texts.map(lambda text: _masked(text, PYTHON_NOISE))
+
+    return mask(column)
+
+
 def python_blocks(path: str, text: str) -> Iterator[Snippet]:
     """Classes and functions by indentation; a block ends at the latest before the next header.
 
