@@ -44,7 +44,7 @@ from snipdex.llm.run_index import RunLengthIndex
 from snipdex.session import delete_path, scratch_path
 
 LENGTH = 100
-GRAM = 16
+GRAM = 24
 PIECE = 1 << 20
 INDEX_BYTES = 3 << 19
 VARIANTS = 4096
@@ -79,14 +79,17 @@ class Parser:
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, min(gram, length)
         if self.gram < 8:
-            raise ValueError("a gram has 8 to 16 bytes")
+            raise ValueError("a gram has at least 8 bytes")
         self.powers, self.inverse = _powers(PIECE + 2 * length)
 
     def _grams(self, data: np.ndarray) -> np.ndarray:
         """A hash of the gram at every place but the last few."""
         n = len(data) - self.gram + 1
         eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-        x = eight[:n] * U64(0x9E3779B97F4A7C15) + eight[self.gram - 8 : self.gram - 8 + n] * U64(0xC2B2AE3D27D4EB4F)
+        x = eight[:n] * U64(0x9E3779B97F4A7C15)
+        for at in [*range(8, self.gram - 7, 8), self.gram - 8]:
+            x ^= x >> U64(32)
+            x = (x ^ eight[at : at + n]) * U64(0xC2B2AE3D27D4EB4F)
         x ^= x >> U64(32)
         x *= U64(0xBF58476D1CE4E5B9)
         x ^= x >> U64(29)

@@ -1,33 +1,24 @@
 """A run-length index over strings: run-compressed Burrows-Wheeler transform, sampled positions, matching statistics.
 
-The strings lie one behind the other, each with a separator that is smaller than all bytes and, among separators,
-ordered by string. Their suffixes are sorted by doubling, which gives the transform; what is kept of it are its runs.
-Suffixes that begin with the same `length` bytes form an interval, a group. Groups of two and more are the long
-repeats; for them the smallest position in the text is sampled, but only where it cannot be told from the step before:
-as long as a group lies within one run, the step to the left moves all of its members, and the smallest position goes
-down by one (the toehold of a run-length index). Samples are needed where a group holds the end of a run, grows or
-shrinks by the step, or begins a stream.
-
-Strings are streamed from their last byte to the first, all of them in step. Every step gives the matching statistic
-of the position, cut off at `length`: the interval of the text's suffixes that share its next bytes, and the smallest
-position among them.
+The strings (UTF-8, or any bytes below 248) lie one behind the other, each with a separator that is smaller than all
+bytes and, among separators, ordered by string. Their suffixes are sorted by doubling, which gives the transform; what
+is kept of it are its runs. Suffixes that begin with the same `length` bytes form an interval, a group. Groups of two and
+more are the long repeats; for them the smallest position in the text is sampled, but only where it cannot be told from
+the step before: as long as a group lies within one run, the step to the left moves all of its members, and the smallest
+position goes down by one (the toehold of a run-length index). Samples are needed where a group holds the end of a run,
+grows or shrinks by the step, or begins a stream.
+
+Strings are streamed from their last `length` bytes, whose place is sampled, to their first byte, all of them in step.
+Every step gives the matching statistic of the position, cut off at `length`: the interval of the text's suffixes that
+share its next bytes, and the smallest position among them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols are 0 (separator) and a byte plus 1: nine bits; seven of them fit into one key.
-SYMBOL_BITS = 9
-FIRST_KEY = 7
-
-
-def _ranked(order: np.ndarray, new: np.ndarray, n: int) -> np.ndarray:
-    """The place at which each position's group begins, for an order with marks on the first of each group."""
-    starts = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, len(order))))
-    return rank
+#: Symbols are 0 (separator) and a byte plus 1; eight of them are one key.
+FIRST_KEY = 8
 
 
 class RunLengthIndex:
@@ -40,16 +31,18 @@ class RunLengthIndex:
         n = len(data) + m
         ends = np.cumsum(self.sizes + 1) - 1
         self.starts = ends - self.sizes
-        text = np.zeros(n, np.int64)
+        if len(data) and data.max() >= 248:
+            raise ValueError("bytes from 248 on are not indexed")
+        text = np.zeros(n, np.uint8)
         inside = np.ones(n, bool)
         inside[ends] = False
-        text[inside] = data.astype(np.int64) + 1
-        left = np.repeat(ends, self.sizes + 1) - np.arange(n)  # bytes up to the separator
+        text[inside] = data + np.uint8(1)
+        left = (np.repeat(ends, self.sizes + 1) - np.arange(n)).astype(np.int32)  # bytes up to the separator
         self.n = n
 
         order, same = self._sorted(text, left)
         # The transform and its runs.
-        before = text[order - 1]
+        before = text[order - 1].astype(np.int64)
         before[order == 0] = 0
         begins = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if n else np.zeros(0, np.int64)
         symbol = before[begins]
@@ -61,6 +54,12 @@ class RunLengthIndex:
         self.target = np.cumsum(self.size) - self.size
 
         # Groups of two and more: where they begin and end, and the smallest position in each.
+        # Where the last `length` bytes of each string stand, for the strings that have them.
+        self.long = np.flatnonzero(self.sizes >= length)
+        last = np.full(n, -1, np.int32)
+        at_end = np.flatnonzero(left[order] == length)
+        last[order[at_end]] = at_end
+        self.last_window = last[ends[self.long] - length].astype(np.int64)
         joins = np.concatenate([same, [False]])  # whether the suffix at q shares `length` bytes with the one at q + 1
         follows = np.concatenate([[False], same])
         self.group_begin = np.flatnonzero(joins & ~follows)
@@ -68,7 +67,7 @@ class RunLengthIndex:
         sample = np.zeros(0, np.int64)
         if len(self.group_begin):
             edges = np.stack([self.group_begin, self.group_end], axis=1).reshape(-1)
-            sample = np.minimum.reduceat(np.append(order, n), edges)[0::2]
+            sample = np.minimum.reduceat(np.append(order, n).astype(np.int64), edges)[0::2]
             entry = np.maximum.reduceat(np.append(left[order] == length, False), edges)[0::2]
             one_run, c = self._one_run(self.group_begin, self.group_end)
             told = np.zeros(len(sample), bool)
@@ -87,29 +86,38 @@ class RunLengthIndex:
         """All suffixes in order, and for each but the last whether it shares `length` bytes with the next."""
         n = len(text)
         depth = min(FIRST_KEY, self.length)
-        key = np.zeros(n, np.int64)
-        for k in range(depth):
-            there = np.zeros(n, np.int64)
-            there[: n - k] = np.where(left[: n - k] > k, text[k:], 0)
-            key = (key << SYMBOL_BITS) | there
-        order = np.argsort(key, kind="stable")  # ended suffixes stay in the order of strings
-        sorted_key, ended = key[order], left[order] < depth
+        padded = np.concatenate([text, np.zeros(FIRST_KEY, np.uint8)])
+        key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (FIRST_KEY - depth))
+        short = np.flatnonzero(left < depth)
+        gone = (8 * (depth - left[short])).astype(np.uint64)  # what stands behind the separator
+        key[short] = np.where(left[short] == 0, np.uint64(0), (key[short] >> (gone % np.uint64(64))) << (gone % np.uint64(64)))
+        order = np.argsort(key).astype(np.int32)
+        key, ended = key[order], left[order] < depth
+        # Ended suffixes that are equal stand in the order of strings.
+        rows = np.flatnonzero(ended)
+        order[rows] = order[rows[np.lexsort((order[rows], key[rows]))]]
         new = np.ones(n, bool)
-        new[1:] = (sorted_key[1:] != sorted_key[:-1]) | ended[1:] | ended[:-1]
-        rank = _ranked(order, new, n)
-        known, known_depth = rank, depth
-        while not new.all():
-            size = np.diff(np.append(np.flatnonzero(new), n))
-            rows = np.flatnonzero(np.repeat(size > 1, size))
+        new[1:] = (key[1:] != key[:-1]) | ended[1:] | ended[:-1]
+        rank = np.empty(n, np.int32)
+        starts = np.flatnonzero(new)
+        rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+        known, known_depth = rank.copy(), depth
+        while True:
+            rows = np.flatnonzero(~new | np.append(~new[1:], False))  # in groups of two and more
+            if not len(rows):
+                break
             some = order[rows]
-            group, after = rank[some], rank[some + depth]
-            again = np.lexsort((after, group))
-            order[rows] = some[again]
-            group, after = group[again], after[again]
-            new[rows[1:]] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
-            rank, depth = _ranked(order, new, n), 2 * depth
+            pair = (rank[some].astype(np.int64) << 32) | rank[some + depth]
+            again = np.argsort(pair)
+            some, pair = some[again], pair[again]
+            order[rows] = some
+            # Rows of one group lie side by side, so what differs from the row before begins a group.
+            differs = np.concatenate([[True], pair[1:] != pair[:-1]])
+            new[rows] = differs
+            rank[some] = np.maximum.accumulate(np.where(differs, rows, 0))
+            depth *= 2
             if depth <= self.length:
-                known, known_depth = rank, depth
+                known, known_depth = rank.copy(), depth
         # Two overlapping pieces of known_depth bytes make up `length` bytes.
         shift = self.length - known_depth
         a, b = order[:-1], order[1:]
@@ -147,31 +155,26 @@ class RunLengthIndex:
 
         `data` are the bytes that the index was built of.
         """
-        strings = np.argsort(-self.sizes, kind="stable")
-        sizes = self.sizes[strings]
+        longest = np.argsort(-self.sizes[self.long], kind="stable")
+        strings, low = self.long[longest], self.last_window[longest]
+        windows = self.sizes[strings] - self.length + 1
         first = np.concatenate([[0], np.cumsum(self.sizes)])[:-1][strings]
-        low, high = np.zeros(len(strings), np.int64), np.full(len(strings), self.n)
+        group, low, high = self._widen(low)
         least = np.full(len(strings), -1)
+        told = np.zeros(len(strings), bool)
         out = []
-        for t in range(1, int(sizes.max(initial=0)) + 1):
-            live = int(np.searchsorted(-sizes, -t, side="right"))
-            low, high, least = low[:live], high[:live], least[:live]
-            offset = sizes[:live] - t
-            c = data[first[:live] + offset].astype(np.int64) + 1
-            if t <= self.length:
-                low, high = self._step(c, low), self._step(c, high)
-                if t < self.length:
-                    continue
-                group, low, high = self._widen(low)
-                told = np.zeros(live, bool)
-            else:
-                several = least >= 0
-                told = np.zeros(live, bool)
-                rows = np.flatnonzero(several)
+        for t in range(1, int(windows.max(initial=0)) + 1):
+            live = int(np.searchsorted(-windows, -t, side="right"))
+            offset = windows[:live] - t
+            if t > 1:
+                low, high, least = low[:live], high[:live], least[:live]
+                c = data[first[:live] + offset].astype(np.int64) + 1
+                told = least >= 0
+                rows = np.flatnonzero(told)
                 one_run, _ = self._one_run(low[rows], high[rows])
-                size = high - low
+                size = (high - low)[rows]
                 group, low, high = self._widen(self._step(c, low))
-                told[rows] = one_run & (size[rows] == (high - low)[rows])
+                told[rows] = one_run & (size == (high - low)[rows])
             least = np.where(told, least - 1, -1)
             rows = np.flatnonzero((group >= 0) & ~told)
             least[rows] = self.sample[np.searchsorted(self.sampled, group[rows])]
