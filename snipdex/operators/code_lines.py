@@ -1,11 +1,11 @@
 """Snippets of indented code as windows over lines.
 
 A file becomes a row per line. What a line means depends on lines before it: how many brackets are open, whether the
-line before goes on, and which header was the last. Windows over a whole file would put a large file into one task, so
-they run inside ranges of `RANGE` lines; what has to cross a border is worked out on a small table with a row per file
-and range, and joined to the lines of the range.
+line before goes on, and which header was the last. Files of up to `RANGE` lines need one window each. A window over a
+longer file would put it into one task, so there windows run inside ranges of `RANGE` lines (`ranged`); what has to cross
+a border is worked out on a small table with a row per file and range, and joined to the lines of the range.
 
-Only comments and strings are blanked out by a Python function (`extract.python_mask`); all else are column expressions.
+Only comments and strings are blanked out by a Python function (`masking.python_mask`); all else are column expressions.
 """
 
 from __future__ import annotations
@@ -14,74 +14,99 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
+from snipdex.operators.masking import python_mask
 from snipdex.session import stored
 
 RANGE = 4096
-HEADER = r"(?U)^\s*(?:async\s+)?(class|def)\s+(\w+)"
+#: White space of Unicode, as Python's text functions have it, but for the line feed.
+BLANKS = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+HEADER = rf"^[{BLANKS}]*(?:async[{BLANKS}]+)?(class|def)[{BLANKS}]+([\p{{L}}\p{{N}}\p{{M}}_]+)"
 
 
 def _count(column: str, brackets: str) -> Column:
-    return F.length(F.regexp_replace(column, f"[^{brackets}]", ""))
+    return F.length(column) - F.length(F.translate(column, brackets, ""))
 
 
-def file_lines(files: DataFrame, mask: Column, path: str, text: str, keep: tuple[str, ...], range_lines: int) -> DataFrame:
-    """Rows (file, range, n, line, mask, meta): lines of (path, text) files and of their masked text.
+def _is_header(column: str) -> Column:
+    """The pattern is tried only on lines that hold one of the words."""
+    return (F.contains(F.col(column), F.lit("def")) | F.contains(F.col(column), F.lit("class"))) & F.col(column).rlike(HEADER)
 
-    `meta` has the path and the `keep` columns; it is there on lines that look like a header and on the first.
-    """
+
+def masked_files(files: DataFrame, mask: Column, path: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Stored rows (file, meta, text, mask, n_lines): masking runs once, and a file keeps its number. `meta` has path and `keep`."""
     meta = F.struct(F.col(path).alias("path"), *keep)
-    ready = files.select(meta.alias("meta"), F.col(text).alias("text"), mask.alias("mask"))
-    # Stored: masking runs once, and a file keeps its number.
-    ready = stored(ready.withColumn("file", F.monotonically_increasing_id()), "masked")
+    ready = files.select(meta.alias("meta"), F.col(text).alias("text"), mask.alias("mask"), F.size(F.split(text, "\n")).alias("n_lines"))
+    return stored(ready.withColumn("file", F.monotonically_increasing_id()), "masked")
+
+
+def file_lines(ready: DataFrame, range_lines: int) -> DataFrame:
+    """Rows (file, range, n, line, mask, meta); `meta` is there on lines that look like a header and on the first."""
     both = F.arrays_zip(F.split("text", "\n").alias("line"), F.split("mask", "\n").alias("mask"))
     lines = ready.select("file", "meta", F.posexplode(both).alias("n", "both")).select("file", "n", "both.line", "both.mask", "meta")
-    named = F.col("mask").rlike(HEADER) | (F.col("n") == 0)
+    named = _is_header("mask") | (F.col("n") == 0)
     return lines.withColumn("meta", F.when(named, F.col("meta"))).withColumn("range", F.expr(f"n div {range_lines}"))
 
 
-def _windows():
-    inside = Window.partitionBy("file", "range").orderBy("n")
+def windows(ranged: bool, place: str):
+    """Windows over the rows of a file or of a range of it, up to each row, and over ranges, before each range."""
+    inside = Window.partitionBy("file", "range").orderBy(place) if ranged else Window.partitionBy("file").orderBy(place)
     ranges = Window.partitionBy("file").orderBy("range")
     return inside, inside.rowsBetween(Window.unboundedPreceding, 0), ranges, ranges.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def logical_lines(lines: DataFrame) -> DataFrame:
+def short_and_long(ready: DataFrame, size: Column, limit: int, form) -> DataFrame:
+    """`form(files, ranged)` of the files with up to `limit` rows, and of the longer ones if there are any."""
+    longer = ready.filter(size > limit)
+    found = form(ready.filter(size <= limit), False)
+    return found if longer.isEmpty() else found.unionByName(form(longer, True))
+
+
+def logical_lines(lines: DataFrame, ranged: bool = True) -> DataFrame:
     """Adds `logical`: the line begins a statement, since it has text, no bracket is open and the line before has ended.
 
     Closing brackets without an opening one are ignored: the depth is the sum so far less its lowest value below 0.
     """
-    inside, so_far, ranges, before = _windows()
-    marked = lines.withColumns(
+    inside, so_far, ranges, before = windows(ranged, "n")
+    rows = lines.withColumns(
         {
-            "delta": _count("mask", r"(\[{") - _count("mask", r")\]}"),
-            "blank": ~F.col("mask").rlike(r"(?U)\S"),
-            "goes_on": F.col("mask").rlike(r"(?U)\\\s*$"),
+            "delta": _count("mask", "([{") - _count("mask", ")]}"),
+            "blank": F.trim("mask", F.lit(BLANKS)) == "",
+            "goes_on": F.rtrim("mask", F.lit(BLANKS)).endswith("\\"),
         }
     )
-    summed = marked.withColumn("total", F.sum("delta").over(so_far)).withColumn("lowest", F.min("total").over(so_far))
-    summed = summed.withColumns({"lowest_before": F.lag("lowest").over(inside), "joined": F.lag("goes_on").over(inside)})
-    ends = summed.groupBy("file", "range").agg(F.sum("delta").alias("sum"), F.min("total").alias("least"), F.max_by("goes_on", "n").alias("last"))
-    carried = ends.withColumn("sum_in", F.coalesce(F.sum("sum").over(before), F.lit(0)))
-    carried = carried.select(
-        "file", "range", "sum_in", F.coalesce(F.min(F.col("sum_in") + F.col("least")).over(before), F.lit(0)).alias("least_in"), F.lag("last").over(ranges).alias("joined_in")
-    )
-    rows = summed.join(carried, ["file", "range"])
+    rows = rows.withColumn("total", F.sum("delta").over(so_far)).withColumn("lowest", F.min("total").over(so_far))
+    rows = rows.withColumns({"lowest_before": F.lag("lowest").over(inside), "joined": F.lag("goes_on").over(inside)})
+    if ranged:
+        rows = stored(rows, "summed")  # used twice
+        ends = rows.groupBy("file", "range").agg(F.sum("delta").alias("sum"), F.min("total").alias("least"), F.max_by("goes_on", "n").alias("last"))
+        carried = ends.withColumn("sum_in", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+        carried = carried.select(
+            "file", "range", "sum_in", F.coalesce(F.min(F.col("sum_in") + F.col("least")).over(before), F.lit(0)).alias("least_in"), F.lag("last").over(ranges).alias("joined_in")
+        )
+        rows = rows.join(carried, ["file", "range"])
+    else:
+        rows = rows.withColumns({"sum_in": F.lit(0), "least_in": F.lit(0), "joined_in": F.lit(False)})
     depth = F.col("sum_in") + F.col("total") - F.col("delta") - F.least(F.lit(0), "least_in", F.col("sum_in") + F.col("lowest_before"))
     joined = F.coalesce("joined", "joined_in", F.lit(False))
     rows = rows.withColumn("logical", ~F.col("blank") & (depth == 0) & ~joined)
     return rows.select("file", "range", "n", "line", "mask", "meta", "logical")
 
 
-def under_headers(rows: DataFrame) -> DataFrame:
+def under_headers(rows: DataFrame, ranged: bool = True) -> DataFrame:
     """Adds `header` (line, indent, word, name) of the last header so far, and `closes`: this line is no longer in its block."""
-    inside, so_far, ranges, before = _windows()
-    indent = F.length(F.regexp_extract("mask", r"(?U)^\s*", 0))
+    inside, so_far, ranges, before = windows(ranged, "n")
+    indent = F.length("mask") - F.length(F.ltrim("mask", F.lit(BLANKS)))
     own = F.struct(F.col("n").alias("n"), indent.alias("indent"), F.regexp_extract("mask", HEADER, 1).alias("word"), F.regexp_extract("mask", HEADER, 2).alias("name"))
-    rows = rows.withColumn("own", F.when(F.col("logical") & F.col("mask").rlike(HEADER), own)).withColumn("indent", indent)
-    lasts = rows.groupBy("file", "range").agg(F.max("own").alias("last"))
-    carried = lasts.select("file", "range", F.last("last", True).over(before).alias("header_in"), (F.max("last").over(Window.partitionBy("file"))).isNotNull().alias("any_header"))
-    rows = rows.withColumn("header", F.last("own", True).over(so_far)).join(carried, ["file", "range"])
-    rows = rows.withColumn("header", F.coalesce("header", "header_in"))
+    rows = rows.withColumn("own", F.when(F.col("logical") & _is_header("mask"), own)).withColumn("indent", indent)
+    whole = Window.partitionBy("file")
+    if ranged:
+        rows = stored(rows, "headers")  # used twice
+        lasts = rows.groupBy("file", "range").agg(F.max("own").alias("last"))
+        carried = lasts.select("file", "range", F.last("last", True).over(before).alias("header_in"), F.max("last").over(whole).isNotNull().alias("any_header"))
+        rows = rows.withColumn("header", F.last("own", True).over(so_far)).join(carried, ["file", "range"])
+        rows = rows.withColumn("header", F.coalesce("header", "header_in"))
+    else:
+        rows = rows.withColumn("header", F.last("own", True).over(so_far)).withColumn("any_header", F.max(F.col("own.n")).over(whole).isNotNull())
     closes = F.col("logical") & (F.col("n") > F.col("header.n")) & (F.col("indent") <= F.col("header.indent"))
     return rows.select("file", "n", "line", "meta", "header", F.coalesce(closes, F.lit(False)).alias("closes"), "any_header")
 
@@ -92,10 +117,11 @@ def python_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     Rows (keep, path, language, namespace, class_name, member_name, kind, code, start_line, end_line). A file without a
     header is one snippet; blank and null texts give none.
     """
-    from snipdex.operators.extract import WHOLE_FILE, python_mask
+    from snipdex.operators.extract import WHOLE_FILE
 
     ready = files.filter(F.col(text).rlike("\\S"))
-    rows = under_headers(logical_lines(file_lines(ready, python_mask(F.col(text)), path, text, keep, range_lines)))
+    ready = masked_files(ready, python_mask(F.col(text)), path, text, keep)
+    rows = short_and_long(ready, F.col("n_lines"), range_lines, lambda some, ranged: under_headers(logical_lines(file_lines(some, range_lines), ranged), ranged))
     # Lines before the first header belong to no snippet, unless there is none at all.
     rows = rows.filter(F.col("header").isNotNull() | ~F.col("any_header"))
     found = rows.groupBy("file", "header").agg(F.sort_array(F.collect_list(F.struct("n", "line", "closes"))).alias("lines"), F.first("meta", True).alias("meta"))
@@ -118,3 +144,45 @@ def python_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
         first.cast("int").alias("start_line"),
         (first + F.size("lines") - 1).cast("int").alias("end_line"),
     )
+
+
+def rest_of_lines(files: DataFrame, snippets: DataFrame, path: str, text: str, keep: tuple[str, ...] = (), range_lines: int = RANGE) -> DataFrame:
+    """Runs of lines with text that no snippet has, as snippets of kind `rest`.
+
+    Where a snippet begins and ends are changes of a running sum over lines; runs are told apart by the lines before them.
+    """
+    key = F.struct(F.col(path).alias("path"), *keep)
+    lines = files.select(key.alias("file"), P.detect_language(F.col(path)).alias("language"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    own = F.struct("path", *keep).alias("file")
+    first, behind = F.struct((F.col("start_line") - 1).alias("n"), F.lit(1).alias("step")), F.struct(F.col("end_line").alias("n"), F.lit(-1).alias("step"))
+    steps = snippets.select(own, F.explode(F.array(first, behind)).alias("s")).groupBy("file", F.col("s.n").alias("n")).agg(F.sum("s.step").alias("step"))
+    rows = lines.join(steps, ["file", "n"], "left").withColumns({"step": F.coalesce("step", F.lit(0)), "range": F.expr(f"n div {range_lines}")})
+    rows = stored(rows, "steps")  # used several times
+    _, so_far, _, before = windows(True, "n")
+    sums = rows.groupBy("file", "range").agg(F.sum("step").alias("sum"))
+    carried = sums.select("file", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_in"))
+    rows = rows.withColumn("total", F.sum("step").over(so_far)).join(carried, ["file", "range"])
+    # A run begins at its first line with text; it goes by the last line before that is covered.
+    covered = F.col("sum_in") + F.col("total") > 0
+    rows = stored(rows.withColumn("covered", F.when(covered, F.col("n"))), "covered")
+    lasts = rows.groupBy("file", "range").agg(F.max("covered").alias("last"))
+    carried = lasts.select("file", "range", F.last("last", True).over(before).alias("last_in"))
+    rows = rows.withColumn("last", F.max("covered").over(so_far)).join(carried, ["file", "range"]).filter("covered IS NULL")
+    rows = rows.withColumn("run", F.coalesce("last", "last_in", F.lit(-1)))
+    found = rows.groupBy("file", "language", "run").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("lines"))
+    text_lines = F.filter("lines", lambda x: F.trim(x["line"], F.lit(BLANKS)) != "")
+    found = found.withColumns({"first": F.get(text_lines, F.lit(0))["n"], "end": F.try_element_at(text_lines, F.lit(-1))["n"]}).filter("first IS NOT NULL")
+    kept = F.filter("lines", lambda x: (x["n"] >= F.col("first")) & (x["n"] <= F.col("end")))
+    code = F.rtrim(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), F.lit(BLANKS + "\n"))
+    return found.select(
+        *[F.col("file")[k].alias(k) for k in keep],
+        F.col("file.path").alias("path"),
+        "language",
+        F.lit("").alias("namespace"),
+        P.file_stem(F.col("file.path")).alias("class_name"),
+        F.lit("Rest (File)").alias("member_name"),
+        F.lit("rest").alias("kind"),
+        code.alias("code"),
+        (F.col("first") + 1).cast("int").alias("start_line"),
+        (F.col("end") + 1).cast("int").alias("end_line"),
+    )

@@ -148,3 +148,28 @@ def _of_parts(texts: list[list[str]], call, size: int, dim: int) -> tuple[np.nda
     lengths = np.linalg.norm(means, axis=1, keepdims=True)
     several = np.array([len(some) > 1 for some in texts], bool)[:, None]
     return np.where(several, means / np.where(lengths > 0, lengths, 1), means).astype(np.float32), ok
+
+
+def embed_once(
+    df: DataFrame, text_col: str, model: Embedder, dim: int, cache: str, model_name: str, vector_col: str = "vector", **options
+) -> DataFrame:
+    """`embed`, with a stored table of vectors by model and content: each different text goes through the model once.
+
+    Texts that the table below `cache` has not are embedded, one row for each, and appended; failed ones are not, and are
+    tried again by the next call. One writer at a time.
+    """
+    from snipdex.session import path_exists
+
+    spark = df.sparkSession
+    folder = f"{cache}/model={hashlib.sha256(model_name.encode()).hexdigest()[:16]}-{dim}"
+    schema = "content_id string, vector array<float>"
+    known = spark.read.schema(schema).parquet(folder) if path_exists(spark, folder) else spark.createDataFrame([], schema)
+    rows = df.filter(~X.is_blank(F.col(text_col))).withColumn("_content", F.sha2(text_col, 256))
+    missing = rows.join(known.select(F.col("content_id").alias("_content")), "_content", "left_anti")
+    missing = missing.groupBy("_content").agg(F.first(text_col).alias("_text"))
+    fresh = embed(missing, "_text", model, dim, **options)
+    fresh.filter("embed_ok").select(F.col("_content").alias("content_id"), "vector").write.mode("append").parquet(folder)
+    found = spark.read.schema(schema).parquet(folder).dropDuplicates(["content_id"]).select(F.col("content_id").alias("_content"), F.col("vector").alias("_vector"))
+    joined = rows.join(found, "_content", "left")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return joined.select(*df.columns, F.coalesce("_vector", zero).alias(vector_col), F.col("_vector").isNotNull().alias("embed_ok"))

@@ -1,22 +1,25 @@
 """Cut source files into line-ranged snippets.
 
-Spark spreads the files; one small function per language cuts one text.  `register_extractor`
-adds or replaces a language.  The C# function is a brace scanner over text with comments and
-strings blanked out: weaker than a compiler front end, but it needs nothing outside Python.
+Python, scripts and C# are cut by windows over lines (`code_lines`) or over pieces between brackets (`code_pieces`). What
+lies here blanks out their comments and strings, which is the only step in Python, and handles the languages that a
+function cuts file by file: `register_extractor` adds or replaces one.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snipdex import schemas
 from snipdex.functions import paths as P
+from snipdex.operators.masking import blank
+from snipdex.session import stored
 
 # namespace, class name, member name, kind, code, first line, last line
 Snippet = tuple[str, str, str, str, str, int, int]
@@ -28,6 +31,10 @@ CSHARP_LABELS = {
     "class": "类", "interface": "接口", "struct": "结构体", "record": "记录", "enum": "枚举",
     "method": "方法", "constructor": "构造函数", "property": "属性", "field": "字段", "event": "事件",
 }
+CSHARP_MODIFIERS = set(
+    "public private protected internal static readonly virtual override abstract sealed async extern unsafe "
+    "partial new const volatile ref required".split()
+)
 FLUSH_ROWS = 2000
 
 
@@ -54,94 +61,6 @@ class _Lines:
         return self.line
 
 
-def _blank(text: str) -> str:
-    return re.sub(r"[^\n]", " ", text)
-
-
-def _quoted_end(text: str, at: int, quote: str, hole: str, verbatim: bool = False) -> int:
-    """Offset behind a string that starts at `at` with the quote; holes such as `${...}` may hold code and strings."""
-    at += len(quote)
-    while at < len(text):
-        if not verbatim and text[at] == "\\":
-            at += 2
-        elif text.startswith(quote, at):
-            if verbatim and text.startswith(quote * 2, at):
-                at += 2 * len(quote)
-                continue
-            return at + len(quote)
-        elif hole == "{" and text.startswith("{{", at):
-            at += 2
-        elif text.startswith(hole, at):
-            depth, at = 1, at + len(hole)
-            while at < len(text) and depth:
-                if text[at] in "\"'`":
-                    at = _quoted_end(text, at, text[at], hole)
-                    continue
-                depth += (text[at] == "{") - (text[at] == "}")
-                at += 1
-        elif text[at] == "\n" and quote == '"' and not verbatim:
-            return at
-        else:
-            at += 1
-    return at
-
-
-def _masked(text: str, noise: re.Pattern, ends: Callable[[re.Match], int] | None = None) -> str:
-    """The text with comments and strings blanked out, offsets and lines unchanged."""
-    out, at = [], 0
-    while match := noise.search(text, at):
-        end = ends(match) if ends else match.end()
-        out += [text[at : match.start()], _blank(text[match.start() : end])]
-        at = max(end, match.start() + 1)
-    return "".join(out) + text[at:]
-
-
-PYTHON_NOISE = re.compile(r'#[^\n]*|"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?', re.S)
-
-
-def python_mask(column: Column) -> Column:
-    """The text of a Python file with comments and strings blanked out."""
-
-    @F.pandas_udf("string")
-    def mask(texts):
-        return texts.map(lambda text: _masked(text, PYTHON_NOISE))
-
-    return mask(column)
-
-
-def python_blocks(path: str, text: str) -> Iterator[Snippet]:
-    """Classes and functions by indentation; a block ends at the latest before the next header.
-
-    Strings and comments are blanked out first, and a line within open brackets or behind a backslash belongs to the
-    line before, so signatures may run over lines and texts at the left margin end nothing.
-    """
-    lines, masked = text.split("\n"), _masked(text, PYTHON_NOISE).split("\n")
-    logical: list[tuple[int, int]] = []  # first line and indent of each statement
-    headers: list[tuple[int, str, str]] = []
-    depth, joined = 0, False
-    for n, line in enumerate(masked):
-        if line.strip() and not depth and not joined:
-            indent = len(line) - len(line.lstrip())
-            logical.append((n, indent))
-            names = line.split(None, 2)
-            if names[0] == "async":
-                names = line.split(None, 3)[1:]
-            if len(names) > 1 and names[0] in ("class", "def") and (name := re.match(r"\w+", names[1])):
-                headers.append((len(logical) - 1, names[0], name[0]))
-        depth = max(0, depth + sum(c in "([{" for c in line) - sum(c in ")]}" for c in line))
-        joined = line.rstrip().endswith("\\")
-    if not headers:
-        yield _whole(path, text)
-    stops = [h[0] for h in headers[1:]] + [len(logical)]
-    for (at, word, name), stop in zip(headers, stops):
-        start, indent = logical[at]
-        inner = next((i for i in range(at + 1, stop) if logical[i][1] <= indent), stop)
-        end = logical[inner][0] if inner < len(logical) else len(lines)
-        label = "Class" if word == "class" else "Function"
-        owner = name if word == "class" else _stem(path)
-        yield "", owner, f"{name} ({label})", label.lower(), "\n".join(lines[start:end]), start + 1, end
-
-
 def _brace_pairs(text: str) -> dict[int, int]:
     """Closing brace of every opening one."""
     pairs, stack = {}, []
@@ -153,172 +72,12 @@ def _brace_pairs(text: str) -> dict[int, int]:
     return pairs
 
 
-SCRIPT_NOISE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|[\"'`]|(?<=[=(,:;\[!&|?{}\n])[ \t]*/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/", re.S)
-SCRIPT_TOKEN = re.compile(r"[\w$]+|=>|\S")
-TYPE_GOES_ON = {":", "|", "&", "<", ",", "=>", "=", "?", "is", "extends", "keyof"}
-
-
-def _script_mask(text: str) -> str:
-    def end(match: re.Match) -> int:
-        if match[0] == "`":
-            return _quoted_end(text, match.start(), "`", "${")
-        if match[0] in ("'", '"'):
-            close = re.compile(r"(?:\\.|[^\\\n" + match[0] + "])*" + match[0] + "?", re.S).match(text, match.end())
-            return close.end()
-        return match.end()
-
-    return _masked(text, SCRIPT_NOISE, end)
-
-
-class _Script:
-    """Declarations at the outermost level of a masked script, found token by token."""
-
-    def __init__(self, masked: str, typed: bool):
-        self.typed = typed
-        found = list(SCRIPT_TOKEN.finditer(masked))
-        self.words, self.starts = [m[0] for m in found], [m.start() for m in found]
-        self.new_line = [i == 0 or "\n" in masked[self.starts[i - 1] : self.starts[i]] for i in range(len(found))]
-        self.close: dict[int, int] = {}
-        stack: list[int] = []
-        for i, word in enumerate(self.words):
-            if word in "([{" and len(word) == 1:
-                stack.append(i)
-            elif word in ")]}" and len(word) == 1:
-                # An opening bracket that was never closed is dropped.
-                while stack and "([{".index(self.words[stack[-1]]) != ")]}".index(word):
-                    stack.pop()
-                if stack:
-                    self.close[stack.pop()] = i
-
-    def word(self, i: int) -> str:
-        return self.words[i] if i < len(self.words) else ""
-
-    def past(self, i: int) -> int:
-        """The token behind this one, or behind its closing bracket."""
-        return self.close.get(i, i) + 1
-
-    def past_angles(self, i: int) -> int:
-        if self.word(i) != "<":
-            return i
-        depth = 0
-        while i < len(self.words):
-            depth += (self.words[i] == "<") - (self.words[i] == ">")
-            i = self.past(i)
-            if not depth:
-                break
-        return i
-
-    def body(self, i: int) -> int | None:
-        """The brace that opens the body: the first one that does not stand where a type is expected."""
-        while i < len(self.words) and self.words[i] != ";":
-            if self.words[i] == "<":
-                i = self.past_angles(i)
-                continue
-            if self.words[i] == "{" and self.words[i - 1] not in TYPE_GOES_ON:
-                return i if i in self.close else None
-            i = self.past(i)
-        return None
-
-    def alias_end(self, i: int) -> int | None:
-        """The last token of a type, from the token behind `=`."""
-        last = None
-        while i < len(self.words):
-            if self.words[i] == ";":
-                return i
-            if last is not None and self.new_line[i] and self.words[last] not in TYPE_GOES_ON and self.words[i] not in TYPE_GOES_ON | {">"}:
-                break
-            if self.words[i] in ("(", "[", "{") and i not in self.close:
-                return None
-            last = self.close.get(i, i)
-            i = last + 1
-        return last
-
-    def arrow_body(self, i: int) -> int | None:
-        """The brace behind `=>` of a function that is assigned here, from the token behind the name."""
-        while i < len(self.words) and self.words[i] not in ("=", ";"):
-            i = self.past(i)
-        i += 1
-        if self.word(i) == "async":
-            i += 1
-        i = self.past_angles(i)
-        if self.word(i) == "(":
-            i = self.past(i)
-            if self.word(i) == ":":
-                while i < len(self.words) and self.words[i] not in ("=>", ";"):
-                    i = self.past(i)
-        else:
-            i += 1
-        if self.word(i) == "=>" and self.word(i + 1) == "{" and i + 1 in self.close:
-            return i + 1
-        return None
-
-    def declared(self, at: int) -> tuple[str, str, int] | None:
-        """Kind, name and last token of the declaration that begins here."""
-        i = at
-        while self.word(i) in ("export", "default", "declare", "abstract", "async") and re.match(r"[\w$]", self.word(i + 1)):
-            i += 1
-        word, name = self.word(i), self.word(i + 1)
-        if word == "const" and name == "enum":
-            word, name, i = "enum", self.word(i + 2), i + 1
-        if word == "function" and name == "*":
-            i, name = i + 1, self.word(i + 2)
-        if not re.fullmatch(r"[^\W\d][\w$]*|\$[\w$]*", name):
-            return None
-        kinds = {"function": "Function", "class": "Class"} | ({"interface": "Interface", "enum": "Enum"} if self.typed else {})
-        if word in kinds:
-            after = self.past_angles(i + 2)
-            if word == "function":
-                if self.word(after) != "(" or after not in self.close:
-                    return None
-                after = self.close[after] + 1
-            brace = self.body(after)
-            return (kinds[word], name, self.close[brace]) if brace is not None else None
-        if word == "type" and self.typed:
-            after = self.past_angles(i + 2)
-            end = self.alias_end(after + 1) if self.word(after) == "=" else None
-            return ("Type Alias", name, end) if end is not None else None
-        if word in ("const", "let", "var"):
-            brace = self.arrow_body(i + 2)
-            return ("Arrow Function", name, self.close[brace]) if brace is not None else None
-        return None
-
-    def __iter__(self) -> Iterator[tuple[str, str, int, int]]:
-        at = 0
-        while at < len(self.words):
-            begins = self.new_line[at] or self.words[at - 1] in (";", "}")
-            found = self.declared(at) if begins else None
-            if found:
-                kind, name, last = found
-                yield kind, name, self.starts[at], self.starts[last]
-                at = last + 1
-            else:
-                at = self.past(at)
-
-
-def _script_blocks(path: str, text: str, language: str) -> Iterator[Snippet]:
-    line, any_block = _Lines(text), False
-    for kind, name, first, last in _Script(_script_mask(text), language == "typescript"):
-        any_block = True
-        first_line = line(first)
-        yield "", _stem(path), f"{name} ({kind})", kind.lower(), text[first : last + 1], first_line, first_line + text.count("\n", first, last)
-    if not any_block:
-        yield _whole(path, text, language)
-
-
-def javascript_blocks(path: str, text: str) -> Iterator[Snippet]:
-    return _script_blocks(path, text, "javascript")
-
-
-def typescript_blocks(path: str, text: str) -> Iterator[Snippet]:
-    return _script_blocks(path, text, "typescript")
-
-
 RAZOR_LABELS = {"code": "Code Block", "functions": "Functions Block", "": "Razor Block"}
 
 
 def razor_blocks(path: str, text: str) -> Iterator[Snippet]:
     """`@code{}`, `@functions{}` and `@{}` up to the matching brace, numbered; braces in their strings do not count."""
-    pairs, line, number, taken = _brace_pairs(re.sub(r'"(?:\\.|[^"\\\n])*"', lambda m: _blank(m[0]), text)), _Lines(text), 0, 0
+    pairs, line, number, taken = _brace_pairs(re.sub(r'"(?:\\.|[^"\\\n])*"', lambda m: blank(m[0]), text)), _Lines(text), 0, 0
     for match in re.finditer(r"@(code|functions|)\s*\{", text):
         end = pairs.get(match.end() - 1)
         if end is None or match.start() < taken:
@@ -335,177 +94,37 @@ def razor_blocks(path: str, text: str) -> Iterator[Snippet]:
         yield _whole(path, text)
 
 
-CSHARP_NOISE = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|\$*"{3,}|[$@]*"|\'(?:\\.|[^\'\\\n])+\'', re.S)
-CSHARP_TYPE = re.compile(r"\b(class|interface|struct|record|enum)\s+(?:(?:class|struct)\s+)?(\w+)")
-CSHARP_NAMESPACE = re.compile(r"\bnamespace\s+([\w.]+)\s*$")
-
-
-def _csharp_mask(text: str) -> str:
-    def end(match: re.Match) -> int:
-        opener = match[0]
-        if not opener.endswith('"'):
-            return match.end()
-        quotes = opener.lstrip("$@")
-        if len(quotes) >= 3:  # a raw string ends with as many quotes as it began with
-            close = text.find(quotes, match.end())
-            return len(text) if close < 0 else close + len(quotes)
-        hole = "{" if "$" in opener else "\0"
-        return _quoted_end(text, match.end() - 1, '"', hole, "@" in opener)
-
-    masked = _masked(text, CSHARP_NOISE, end)
-    return re.sub(r"^[ \t]*#[^\n]*", lambda m: _blank(m[0]), masked, flags=re.M)
-
-
-def _declarations(masked: str, start: int, end: int, pairs: dict[int, int]) -> Iterator[tuple[int, int, int | None]]:
-    """Declarations between two offsets: first and last offset, and the brace of the body if any."""
-    at = begin = start
-    stops = re.compile(r"[{};]")
-    while match := stops.search(masked, at, end):
-        at, body = match.end(), None
-        if match[0] == "}":
-            begin = at
-            continue
-        last = match.start()
-        if match[0] == "{":
-            body = match.start()
-            last = pairs.get(body)
-            if last is None:
-                return
-            at = last + 1
-            # A field or property initializer runs on after the brace.
-            tail = re.compile(r"\s*(=[^;{}]*|[,.)][^;{}]*)?;").match(masked, at, end)
-            head = masked[begin:body]
-            if tail and ("=" in head or tail[1]):
-                last, at = tail.end() - 1, tail.end()
-        first = begin + len(masked[begin:last]) - len(masked[begin:last].lstrip())
-        if masked[first : last + 1].strip(" \t\r\n;"):
-            yield first, last, body
-        begin = at
-
-
-CSHARP_CALL = re.compile(r"(\w+)\s*(?:<[^<>()]*(?:<[^<>()]*>[^<>()]*)*>)?\s*\(")
-CSHARP_MODIFIERS = set(
-    "public private protected internal static readonly virtual override abstract sealed async extern unsafe "
-    "partial new const volatile ref required".split()
-)
-
-
-def _csharp_member(head: str, owner: str, has_body: bool) -> Iterator[tuple[str, str]]:
-    """(kind, name) of a member declaration from the text before its body."""
-    head = re.sub(r"^(\s*\[[^\]]*\])+", "", head).strip()
-    value = re.search(r"=>|=(?!=)", head)
-    front = head[: value.start()] if value else head
-    if re.search(r"\b(delegate|operator)\b|~\w+\s*\(|\bthis\s*\[", front) or CSHARP_TYPE.search(front):
-        return
-    last_word = re.search(r"(\w+)\s*$", front)
-    call = next((c[1] for c in CSHARP_CALL.finditer(front) if c[1] not in CSHARP_MODIFIERS), None)
-    if re.search(r"\bevent\b", front):
-        if has_body and last_word:
-            yield "event", last_word[1]
-    elif call:
-        yield ("constructor" if call == owner else "method"), call
-    elif value and value[0] == "=" or not has_body and not value:
-        flat = re.sub(r"<[^;=]*>|\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " ", head)
-        for part in flat.split(","):
-            name = re.search(r"(\w+)\s*$", part.split("=")[0])
-            if name:
-                yield "field", name[1]
-    elif last_word:
-        yield "property", last_word[1]
-
-
-def csharp_members(path: str, text: str) -> Iterator[Snippet]:
-    """Types that are not nested, and their direct members, with their whole code."""
-    masked = _csharp_mask(text)
-    pairs, line = _brace_pairs(masked), _Lines(text)
-
-    def row(namespace, owner, kind, name, first, last) -> Snippet:
-        code = text[first : last + 1]
-        start_line = line(first)
-        last_line = start_line + text.count("\n", first, last)
-        return namespace, owner, f"{name} ({CSHARP_LABELS[kind]})", kind, code, start_line, last_line
-
-    def scope(namespace: str, start: int, end: int) -> Iterator[Snippet]:
-        for first, last, body in _declarations(masked, start, end, pairs):
-            head = masked[first : body if body is not None else last]
-            space = CSHARP_NAMESPACE.search(head)
-            if space:
-                inner = f"{namespace}.{space[1]}" if namespace and body is not None else space[1]
-                if body is None:
-                    namespace = inner
-                else:
-                    yield from scope(inner, body + 1, pairs[body])
-                continue
-            kind = CSHARP_TYPE.search(re.sub(r"^(\s*\[[^\]]*\])+", "", head))
-            if not kind:
-                continue
-            yield row(namespace, kind[2], kind[1], kind[2], first, last)
-            if body is None or kind[1] == "enum":
-                continue
-            for m_first, m_last, m_body in _declarations(masked, body + 1, pairs[body], pairs):
-                m_head = masked[m_first : m_body if m_body is not None else m_last]
-                for m_kind, m_name in _csharp_member(m_head, kind[2], m_body is not None):
-                    yield row(namespace, kind[2], m_kind, m_name, m_first, m_last)
-
-    yield from scope("", 0, len(masked))
-
-
-EXTRACTORS: dict[str, Extractor] = {
-    "python": python_blocks,
-    "javascript": javascript_blocks,
-    "typescript": typescript_blocks,
-    "cshtml": razor_blocks,
-    "csharp": csharp_members,
-}
+#: Languages that one function cuts file by file. A registered one takes the place of the column form.
+EXTRACTORS: dict[str, Extractor] = {"cshtml": razor_blocks}
+#: Languages that windows over lines or pieces cut.
+COLUMN_FORMS = {"python": "lines", "javascript": "script", "typescript": "script", "csharp": "csharp"}
 
 
-def register_extractor(language: str, extractor: Extractor) -> None:
-    EXTRACTORS[language] = extractor
+def register_extractor(language: str, extractor: Extractor | None) -> None:
+    """Cut a language by a function; None goes back to what the library has."""
+    if extractor is None:
+        EXTRACTORS.pop(language, None)
+    else:
+        EXTRACTORS[language] = extractor
 
 
 def _snippet_schema() -> T.StructType:
     return T.StructType.fromDDL(schemas.SNIPPET)
 
 
-def _rest(path: str, text: str, found: list[Snippet]) -> Iterator[Snippet]:
-    """Runs of lines with text that no snippet has."""
-    lines = text.split("\n")
-    covered = bytearray(len(lines) + 1)
-    for *_, first, last in found:
-        covered[first - 1 : last] = b"\1" * (last - first + 1)
-    start = None
-    for n in range(len(lines) + 1):
-        inside = n < len(lines) and not covered[n]
-        if inside and start is None and lines[n].strip():
-            start = n
-        if not inside and start is not None:
-            code = "\n".join(lines[start:n]).rstrip()
-            yield "", _stem(path), "Rest (File)", "rest", code, start + 1, start + 1 + code.count("\n")
-            start = None
-
-
-def _snippets_of(table: dict[str, Extractor], path: str, text: str, language: str, rest: bool) -> list[Snippet]:
+def _snippets_of(table: dict[str, Extractor], path: str, text: str, language: str) -> list[Snippet]:
     """The snippets of a file; one that cannot be cut is a snippet as a whole, and `parse_report` tells why."""
     try:
-        found = list(table[language](path, text))
+        return list(table[language](path, text))
     except Exception:
         return [_whole(path, text)]
-    return found + list(_rest(path, text, found)) if rest else found
 
 
-def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), rest: bool = False) -> DataFrame:
-    """Snippets of every file with a known language; `keep` columns are repeated per snippet.
-
-    Blank texts give no rows; a file that cannot be cut is one snippet.  With `rest`, lines that belong to no snippet
-    (imports, statements between declarations) become snippets of kind `rest`, so every line with text is in one.
-    """
+def _by_function(ready: DataFrame, keep: tuple[str, ...], table: dict[str, Extractor]) -> DataFrame:
+    """Snippets of (keep, _path, _text, _language) files whose language one function cuts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    table = dict(EXTRACTORS)
-    schema = T.StructType([files.schema[c] for c in keep] + _snippet_schema().fields)
-    language = P.detect_language(F.col(path))
-    ready = files.select(*keep, F.col(path).alias("_path"), F.col(text).alias("_text"), language.alias("_language"))
-    ready = ready.filter(F.col("_language").isin(list(table)) & F.col("_text").rlike("\\S"))
+    schema = T.StructType([ready.schema[c] for c in keep] + _snippet_schema().fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -513,7 +132,7 @@ def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", k
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 *kept, name, body, lang = values
-                rows.extend((*kept, name, lang, *s) for s in _snippets_of(table, name, body, lang, rest))
+                rows.extend((*kept, name, lang, *s) for s in _snippets_of(table, name, body, lang))
                 if len(rows) >= FLUSH_ROWS:
                     yield _record_batch(rows, arrow)
                     rows = []
@@ -527,29 +146,77 @@ def _record_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
+def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), rest: bool = False) -> DataFrame:
+    """Snippets of every file with a known language; `keep` columns are repeated per snippet.
+
+    Blank texts give no rows; a file that cannot be cut is one snippet.  With `rest`, lines that belong to no snippet
+    (imports, statements between declarations) become snippets of kind `rest`, so every line with text is in one; `keep`
+    and path have to tell files apart then.
+    """
+    from snipdex.operators.code_lines import python_snippets, rest_of_lines
+    from snipdex.operators.code_pieces import csharp_snippets, script_snippets
+
+    table = dict(EXTRACTORS)
+    forms = {"lines": python_snippets, "script": script_snippets, "csharp": csharp_snippets}
+    ready = files.select(*keep, F.col(path).alias("_path"), F.col(text).alias("_text"), P.detect_language(F.col(path)).alias("_language"))
+    ready = ready.filter(F.col("_text").rlike("\\S"))
+    parts = []
+    for name, form in forms.items():
+        languages = [lang for lang, kind in COLUMN_FORMS.items() if kind == name and lang not in table]
+        if languages:
+            parts.append(form(ready.filter(F.col("_language").isin(languages)), "_path", "_text", keep))
+    if table:
+        parts.append(_by_function(ready.filter(F.col("_language").isin(list(table))), keep, table))
+    found = functools.reduce(DataFrame.unionByName, parts)
+    if not rest:
+        return found
+    found = stored(found, "snippets")
+    known = ready.filter(F.col("_language").isin([*table, *COLUMN_FORMS]))
+    return found.unionByName(rest_of_lines(known, found, "_path", "_text", keep))
+
+
 def parse_report(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep, path, snippets, error) per file with a known language: how many snippets, or why none."""
+    """(keep, path, snippets, error) per file with a known language: how many snippets, or why none.
+
+    Only functions can fail; what windows cut has no error. `keep` and path have to tell files apart.
+    """
     table = dict(EXTRACTORS)
 
-    @F.pandas_udf("struct<snippets:int,error:string>")
-    def report(names, bodies, languages):
+    @F.pandas_udf("string")
+    def error(names, bodies, languages):
         import pandas as pd
 
         out = []
         for name, body, lang in zip(names, bodies, languages):
             try:
-                out.append((sum(1 for _ in table[lang](name, body)), None))
+                if lang in table:
+                    for _ in table[lang](name, body):
+                        pass
+                out.append(None)
             except Exception as e:
-                out.append((0, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["snippets", "error"])
+                out.append(f"{type(e).__name__}: {e}")
+        return pd.Series(out, dtype=object)
+
+    listed = files.withColumn("_language", P.detect_language(F.col(path))).filter(F.col("_language").isin([*table, *COLUMN_FORMS]))
+    key = [*keep, path]
+    counts = extract_snippets(listed, path, text, keep).groupBy(*(F.col(k if k != path else "path").alias(f"_k{i}") for i, k in enumerate(key))).agg(F.count(F.lit(1)).alias("_n"))
+    judged = listed.select(*key, error(F.col(path), F.col(text), F.col("_language")).alias("error"))
+    same = functools.reduce(lambda a, b: a & b, (judged[k].eqNullSafe(counts[f"_k{i}"]) for i, k in enumerate(key)))
+    joined = judged.join(counts, same, "left")
+    snippets = F.when(F.col("error").isNull(), F.coalesce("_n", F.lit(0))).otherwise(0).cast("int")
+    return joined.select(*keep, F.col(path).alias("path"), snippets.alias("snippets"), "error")
 
-    listed = files.withColumn("_language", P.detect_language(F.col(path))).filter(F.col("_language").isin(list(table)))
-    judged = listed.withColumn("_r", report(F.col(path), F.col(text), F.col("_language")))
-    return judged.select(*keep, F.col(path).alias("path"), "_r.snippets", "_r.error")
 
+def register_sql(spark: SparkSession, files: str, name: str = "snippets") -> None:
+    """Make the snippets of a view of files (path, text) a view for SQL: `SELECT ... FROM snippets`."""
+    extract_snippets(spark.table(files)).createOrReplaceTempView(name)
 
-def register_sql(spark: SparkSession, name: str = "extract_snippets") -> None:
-    """Make the extractors a table function for SQL: `FROM files, LATERAL extract_snippets(language, path, text)`."""
+
+def register_sql_function(spark: SparkSession, name: str = "extract_snippets") -> None:
+    """Make registered functions a table function for SQL: `FROM files, LATERAL extract_snippets(language, path, text)`.
+
+    A file that cannot be cut is one snippet.
+    """
     table = dict(EXTRACTORS)
     columns = schemas.SNIPPET.replace("path string, language string, ", "")
 
@@ -557,7 +224,7 @@ def register_sql(spark: SparkSession, name: str = "extract_snippets") -> None:
     class Snippets:
         def eval(self, language: str, path: str, text: str):
             if language in table and text and text.strip():
-                yield from table[language](path, text)
+                yield from _snippets_of(table, path, text, language)
 
     spark.udtf.register(name, Snippets)
 

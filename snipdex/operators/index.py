@@ -31,14 +31,15 @@ def to_points(embedded: DataFrame) -> DataFrame:
 
 
 def build_index(
-    files: DataFrame, model: M.Embedder, dim: int, max_tokens: int = M.DEFAULT_MAX_TOKENS, batch: int = M.DEFAULT_BATCH, **options
+    files: DataFrame, model: M.Embedder, dim: int, max_tokens: int = M.DEFAULT_MAX_TOKENS, batch: int = M.DEFAULT_BATCH, rest: bool = False, **options
 ) -> DataFrame:
     """Points for a file listing (root, path, text): extract, clean, truncate, embed.
 
-    No shuffle: every file is cut and embedded where it was read.
+    With `rest`, lines outside of declarations become points too. Extraction shuffles lines and pieces of files, never
+    whole files.
     """
     placed = files.withColumn("collection", P.collection_name(F.col("root")))
-    snippets = extract_snippets(placed, keep=("collection",))
+    snippets = extract_snippets(placed, keep=("collection",), rest=rest)
     return to_points(M.embed(snippets, "code", model, dim, batch=batch, max_tokens=max_tokens, **options))
 
 

@@ -150,11 +150,12 @@ def build(vectors: DataFrame, path: str, dim: int, lists: int | None = None, rou
     placed = ready.mapInArrow(place, f"vec_id {kind}, vector {item}, far array<double>, ring int, list int")
     # Rebalancing by list keeps the files of a list few and splits the lists that hold much.
     dealt = placed.hint("rebalance", F.col("list")).sortWithinPartitions("list", "ring")
-    dealt.write.partitionBy("list").parquet(f"{path}/vectors")
     if not len(centroids):
+        placed.write.parquet(f"{path}/vectors")  # no folders, but a schema
         spark.createDataFrame([], "list int, centroid array<double>").write.parquet(f"{path}/centroids")
         spark.createDataFrame([], "list int, ring int, rows long, low array<double>, high array<double>").write.parquet(f"{path}/blocks")
         return
+    dealt.write.partitionBy("list").parquet(f"{path}/vectors")
     table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list int, centroid array<double>")
     table.coalesce(1).write.parquet(f"{path}/centroids")
     far = [F.get("far", F.lit(i)) for i in range(len(pivots) + 1)]

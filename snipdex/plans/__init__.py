@@ -6,7 +6,7 @@ import importlib
 
 from snipdex.plans.catalog import QUERIES, SQL
 
-MODULES = ["vectors", "texts", "paths", "registries", "jobs", "configurations", "maintenance", "changes", "snippets", "stored"]
+MODULES = ["vectors", "texts", "paths", "registries", "jobs", "configurations", "maintenance", "changes", "snippets", "coverage", "stored"]
 
 
 def all_queries():

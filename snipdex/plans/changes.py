@@ -13,7 +13,7 @@ from snipdex.session import scratch_path
 from snipdex.sources.index_store import IndexStore
 from snipdex.streaming import changes as C
 from snipdex.streaming import lifecycle as L
-from snipdex.streaming.apply import start_apply
+from snipdex.streaming.apply import apply_held, start_apply
 
 GAP_US = 6 * 3_600_000_000
 
@@ -60,7 +60,7 @@ def rename_split(spark, sf_dir):
   strftime(last_time, '%Y-%m-%d %H:%M:%S.%f') AS last_time, n_changes, change_type FROM bursts""",
 )
 def debounce_stream(spark, sf_dir):
-    """The bursts a stream over all events gives out, and those it still holds at its end."""
+    """The bursts a stream over all events gives out, and those its state still holds at its end."""
     source = load(spark, sf_dir, "events")
     # A pattern lets the source be one file or a folder of files.
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
@@ -69,7 +69,7 @@ def debounce_stream(spark, sf_dir):
     run = bursts.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
     run.awaitTermination()
     rows = spark.read.schema(bursts.schema).parquet(out)
-    rows = rows.unionByName(C.open_bursts(changes(spark, sf_dir), rows, GAP_US, DAY_US))
+    rows = rows.unionByName(C.held_bursts(spark, out + "-state"))
     return rows.withColumns({c: ts_text(F.col(c)) for c in ("first_time", "last_time")})
 
 
@@ -119,8 +119,8 @@ def event_retention(spark, sf_dir):
 
 
 def _user_files(spark, sf_dir):
-    """The text of the file of a user: the document of the same number, one function per line."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("def f_"), i.cast("string"), F.lit("():\n    return "), F.length(x).cast("string")))
+    """The file of a user: a function for every line of the document of the same number, with the line in it."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("def f_"), i.cast("string"), F.lit("():\n    # "), x))
     docs = load(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
     def files_of(wanted):
@@ -138,14 +138,15 @@ def _user_files(spark, sf_dir):
 g AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM c WINDOW w AS (PARTITION BY path ORDER BY event_time, event_id)),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY event_time, event_id) AS burst FROM g),
 b AS (SELECT library, path, max(event_time) AS last_time, arg_max(change_type, (event_time, event_id)) AS change_type FROM n GROUP BY library, path, burst),
-closed AS (SELECT * FROM b WHERE last_time + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(event_time)) FROM changes) - INTERVAL 10 MINUTE),
-l AS (SELECT library, path, arg_max(change_type, last_time) AS change_type FROM closed GROUP BY library, path)
+l AS (SELECT library, path, arg_max(change_type, last_time) AS change_type FROM b GROUP BY library, path),
+t AS (SELECT doc_id, count(*) AS snippets, md5(string_agg('def f_' || i || '():' || chr(10) || '    # ' || x, chr(10) ORDER BY i)) AS code_md5
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) GROUP BY doc_id)
 SELECT 'code_index_' || substr(sha256('/repo/' || l.library), 1, 8) AS collection, l.path AS file_path,
-  len(string_split(d.text, chr(10))) AS snippets FROM l JOIN documents d ON d.doc_id = CAST(regexp_extract(l.path, 'file_([0-9]+)', 1) AS BIGINT)
+  d.snippets, d.code_md5 FROM l JOIN t d ON d.doc_id = CAST(regexp_extract(l.path, 'file_([0-9]+)', 1) AS BIGINT)
 WHERE l.change_type <> 'Deleted'""",
 )
 def apply_stream(spark, sf_dir):
-    """The index after a stream of all changes: renames split, bursts debounced, files replaced."""
+    """The index after a stream of all changes: renames split, bursts debounced, files replaced; then what the state holds."""
     source = load(spark, sf_dir, "events")
     stream = changes_from(spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]"))
     rooted = C.split_renames(stream).withColumn("root", F.concat(F.lit("/repo/"), "library"))
@@ -153,12 +154,12 @@ def apply_stream(spark, sf_dir):
     path = scratch_path(spark, "stream-index")
     store = IndexStore(spark, path, buckets=4)
     model = M.embedder("hashed_tokens", dim=16)
-    run = start_apply(
-        bursts, store, _user_files(spark, sf_dir), lambda files: I.build_index(files, model, 16, batch=200),
-        path + "-state", name=path.rsplit("/", 1)[-1],
-    )
-    run.awaitTermination()
-    return store.read().groupBy("collection", "file_path").agg(F.count(F.lit(1)).alias("snippets"))
+    build = lambda files: I.build_index(files, model, 16, batch=200)
+    files_of = _user_files(spark, sf_dir)
+    start_apply(bursts, store, files_of, build, path + "-state", name=path.rsplit("/", 1)[-1]).awaitTermination()
+    apply_held(C.held_bursts(spark, path + "-state", ("root", "path")), store, files_of, build, path + "-state")
+    code = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "code"))), lambda x: x["code"]), "\n")
+    return store.read().groupBy("collection", "file_path").agg(F.count(F.lit(1)).alias("snippets"), F.md5(code).alias("code_md5"))
 
 
 TTL_MS = 3 * 86_400_000

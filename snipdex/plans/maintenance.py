@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
 from snipdex.operators import embed as M
+from snipdex.operators import folders
 from snipdex.operators import index as I
 from snipdex.operators import knn
+from snipdex.operators import runs as N
 from snipdex.operators import search as S
 from snipdex.plans.catalog import query
 from snipdex.plans.domain import FILES_SQL, files, load
@@ -45,6 +47,32 @@ def snapshot_diff(spark, sf_dir):
     return I.snapshot_diff(_old_snapshot(spark, sf_dir), new).drop("root")
 
 
+@query(
+    "folder_diff",
+    f"""WITH {FILES_SQL}, c AS (SELECT library, path, CASE doc_id % 5 WHEN 4 THEN 'added' WHEN 2 THEN 'deleted' WHEN 1 THEN 'modified'
+  WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'unchanged' ELSE 'modified' END ELSE 'unchanged' END AS change FROM files)
+SELECT library, lower(path) AS path, change FROM c WHERE change <> 'unchanged'""",
+)
+def folder_diff(spark, sf_dir):
+    """The changes of two snapshots from the digests of their folders."""
+    new = I.file_snapshot(_stamped(files(spark, sf_dir)).filter("doc_id % 5 <> 2"))
+    old = folders.folder_tree(_old_snapshot(spark, sf_dir), "last_indexed")
+    found = folders.tree_diff(old, folders.folder_tree(new, "modified")).changes
+    return found.select("library", F.concat(F.lit("/repo/"), "library", F.lit("/"), "path").alias("path"), "change")
+
+
+@query("folder_diff_work", f"WITH {FILES_SQL} SELECT count(*) FILTER (doc_id % 200 = 0) AS changes, true AS few_compared FROM files")
+def folder_diff_work(spark, sf_dir):
+    """Every 200th file has changed: fewer than half of all entries are compared, as equal folders are left out."""
+    rows = _stamped(files(spark, sf_dir))
+    before = rows.select("library", "root", "path", F.sha2("text", 256).alias("content_hash"), F.col("modified").alias("last_indexed"))
+    after = rows.withColumn("text", F.when(F.col("doc_id") % 200 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    old, new = folders.folder_tree(before, "last_indexed"), folders.folder_tree(I.file_snapshot(after), "modified")
+    found = folders.tree_diff(old, new)
+    few = sum(found.compared) < 0.5 * old.entries().count()
+    return found.changes.agg(F.count(F.lit(1)).alias("changes"), F.lit(few).alias("few_compared"))
+
+
 @query(
     "replace_by_file",
     f"""WITH {FILES_SQL} SELECT library, path, doc_id % 3 = 0 AS fresh FROM files WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 1)""",
@@ -106,6 +134,34 @@ def index_build(spark, sf_dir):
     )
 
 
+@query(
+    "index_run_observed",
+    f"""WITH {SNIPPETS_SQL}, n AS (SELECT count(*) AS files, sum(size) AS bytes FROM files WHERE lang IN ('en', 'fr', 'de', 'es')),
+p AS (SELECT count(*) AS total FROM snippets), r AS (SELECT count(*) AS rest FROM files WHERE lang = 'es')
+SELECT files, CAST(bytes AS BIGINT) AS bytes, total + rest AS total, total + rest AS ok, 0 AS failed, true AS success, 100.0 AS completion FROM n, p, r""",
+)
+def index_run_observed(spark, sf_dir):
+    """What a build with the lines outside of declarations reports, counted while its points are written."""
+    run = N.ObservedRun()
+    listing = run.files(code_files(spark, sf_dir).filter("lang IN ('en', 'fr', 'de', 'es')"))
+    points = I.build_index(listing, M.embedder("hashed_tokens", dim=8), 8, max_tokens=WHOLE, batch=200, rest=True)
+    run.points(points).write.parquet(scratch_path(spark, "observed"))
+    return run.result(spark).select("files", "bytes", "total", "ok", "failed", "success", "completion")
+
+
+@query("embed_once", "SELECT count(*) AS rows, count(DISTINCT text) AS vectors, true AS same FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def embed_once(spark, sf_dir):
+    """Two builds with one table of vectors: as many vectors as different texts, equal to those of the plain form."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model, cache = M.embedder("hashed_tokens", dim=8), scratch_path(spark, "vectors-by-text")
+    M.embed_once(docs.filter("doc_id % 2 = 0"), "text", model, 8, cache, "hashed_tokens", batch=200, max_tokens=WHOLE)
+    once = M.embed_once(docs, "text", model, 8, cache, "hashed_tokens", batch=200, max_tokens=WHOLE)
+    plain = M.embed(docs, "text", model, 8, batch=200, max_tokens=WHOLE).select("doc_id", F.col("vector").alias("wanted"))
+    stored_vectors = spark.read.parquet(cache).count()
+    rows = once.join(plain, "doc_id")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(stored_vectors).cast("long").alias("vectors"), F.every(F.col("vector") == F.col("wanted")).alias("same"))
+
+
 @query(
     "index_store",
     f"""WITH {SNIPPETS_SQL}, p AS (SELECT *, {COLLECTION_SQL} AS collection FROM snippets)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
 from snipdex.operators import filters, profile, resolve
+from snipdex.operators.pattern_table import covered_patterns, filter_by_patterns
 from snipdex.plans.catalog import query
 from snipdex.plans.domain import FILES_SQL, REGISTRY_SQL, files, load, registry
 
@@ -260,3 +261,54 @@ def detect_type(spark, sf_dir):
 )
 def detect_type_light(spark, sf_dir):
     return profile.detect_by_marker(_with_markers(spark, sf_dir))
+
+
+# Includes and excludes of the libraries by their number; what they keep is written out in the SQL.
+INCLUDES = [["*.py", "*.ts"], ["src/**"], ["**/doc_*.js", "tests/*"]]
+EXCLUDES = [["node_modules", "bin", "**/*9.ts"], ["**/core/**"]]
+
+
+def _library_patterns(rows):
+    """A table of patterns (library, kind, pattern): every library has the sets of its number."""
+    number = F.regexp_extract("library", "([0-9]+)", 1).cast("int")
+    libraries = rows.select("library").distinct().withColumn("n", F.coalesce(number, F.lit(0)))
+
+    def sets(kind, lists):
+        patterns = F.element_at(F.array(*(F.array(*(F.lit(p) for p in some)) for some in lists)), (F.col("n") % len(lists) + 1).cast("int"))
+        return libraries.select("library", F.lit(kind).alias("kind"), F.explode(patterns).alias("pattern"))
+
+    return sets("include", INCLUDES).unionByName(sets("exclude", EXCLUDES))
+
+
+@query(
+    "library_patterns",
+    f"""WITH {FILES_SQL}, f AS (SELECT *, coalesce(TRY_CAST(regexp_extract(library, '([0-9]+)', 1) AS INTEGER), 0) AS n FROM files)
+SELECT library, rel_path FROM f
+WHERE CASE n % 3 WHEN 0 THEN rel_path LIKE '%.py' OR rel_path LIKE '%.ts' WHEN 1 THEN rel_path LIKE 'src/%'
+    ELSE regexp_matches(rel_path, '(^|/)doc_[^/]*[.]js$') OR regexp_matches(rel_path, '^tests/[^/]*$') END
+  AND NOT CASE n % 2 WHEN 0 THEN regexp_matches(rel_path, '(^|/)(node_modules|bin)/') OR rel_path LIKE '%9.ts' ELSE regexp_matches(rel_path, '(^|/)core/') END""",
+)
+def library_patterns(spark, sf_dir):
+    """All files by the patterns of their own library, from a table of patterns."""
+    rows = files(spark, sf_dir).select("library", "rel_path")
+    return filter_by_patterns(rows, _library_patterns(rows))
+
+
+# Whether the exclude covers the include, told by hand.
+COVERED = [
+    ("src/**", "**/*.py", False), ("*.py", "**/*.py", True), ("src/**/*.py", "*.py", False), ("src/**/*.py", "**/*.py", True), ("*.ts", "**/*.tsx", False), ("*.tsx", "**/*.ts*", True),
+    ("src/*.js", "src/**", True), ("src/**", "src/*", False), ("**/bin/x.cs", "bin", True), ("bin/**", "**/bin/**", True), ("d?c/*.md", "doc/**", False), ("doc/*.md", "d?c/**", True),
+]
+
+
+@query(
+    "pattern_cover",
+    f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{a}', '{b}', {str(c).lower()})" for i, (a, b, c) in enumerate(COVERED))}) AS t(n, pattern, by, covered))
+SELECT doc_id AS library, pattern, by FROM documents JOIN c ON doc_id % {len(COVERED)} = n WHERE covered""",
+)
+def pattern_cover(spark, sf_dir):
+    """Includes that an exclude of the same library covers; every document stands for a library with one of each."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, _ in COVERED))
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("library"), F.element_at(pairs, (F.col("doc_id") % len(COVERED) + 1).cast("int")).alias("p"))
+    sides = [rows.select("library", F.lit(kind).alias("kind"), F.col(f"p.{side}").alias("pattern")) for kind, side in (("include", "a"), ("exclude", "b"))]
+    return covered_patterns(sides[0].unionByName(sides[1]))

@@ -161,25 +161,7 @@ def index_rebuild_drop(spark, sf_dir):
 
 @query("snippets_in_sql", f"WITH {SNIPPETS_SQL} SELECT path, member_name, start_line FROM snippets")
 def snippets_in_sql(spark, sf_dir):
-    """The extractors as a table function."""
-    E.register_sql(spark)
-    rows = code_files(spark, sf_dir).withColumn("language", F.expr("CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'javascript' WHEN 'de' THEN 'typescript' ELSE 'csharp' END"))
-    rows.select("path", "language", "text").createOrReplaceTempView("snippet_sources")
-    return spark.sql("SELECT path, member_name, start_line FROM snippet_sources, LATERAL extract_snippets(language, path, text)")
-
-
-@query(
-    "extract_coverage",
-    f"""WITH {FILES_SQL}, n AS (SELECT path, 1 + 3 * len(string_split(text, chr(10))) AS lines FROM files)
-SELECT regexp_replace(path, '[.][a-z]+$', '.py') AS path, lines AS lines_in, lines AS lines_out FROM n""",
-)
-def extract_coverage(spark, sf_dir):
-    """Source files with the texts' own punctuation in comments and strings: every line is in a snippet or in the rest."""
-    lines = F.split("text", "\n")
-    code = F.transform(lines, lambda x, i: F.concat(F.lit("def part_"), i.cast("string"), F.lit("():\n    # "), x, F.lit('\n    return """'), x, F.lit('"""')))
-    sources = files(spark, sf_dir, spread=True).select(
-        F.regexp_replace("path", "[.][a-z]+$", ".py").alias("path"), F.concat(F.lit("import os\n"), F.array_join(code, "\n")).alias("text"), (1 + 3 * F.size(lines)).cast("long").alias("lines_in")
-    )
-    found = E.extract_snippets(sources, keep=("lines_in",), rest=True)
-    covered = found.select("path", "lines_in", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
-    return covered.groupBy("path", "lines_in").agg(F.count(F.lit(1)).alias("lines_out"))
+    """The snippets as a view for SQL."""
+    code_files(spark, sf_dir).select("path", "text").createOrReplaceTempView("snippet_sources")
+    E.register_sql(spark, "snippet_sources")
+    return spark.sql("SELECT path, member_name, start_line FROM snippets")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
 from snipdex.operators.index import file_key, upsert_latest
-from snipdex.session import delete_path, scratch_path
+from snipdex.session import delete_path, scratch_path, stored
 from snipdex.sources.index_store import IndexStore
 from snipdex.streaming.changes import burst_action
 
@@ -32,6 +32,21 @@ def apply_bursts(
     store.replace_files(changed, build(files_of(updates)), change_id)
 
 
+def apply_held(
+    held: DataFrame, store: IndexStore, files_of: Callable[[DataFrame], DataFrame], build: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "held"
+) -> None:
+    """Apply the bursts that a bounded run has left in its state (`changes.held_bursts`), so that no change waits for a later run.
+
+    A run that goes on from the same checkpoint gives these bursts out again, longer or as they are; that changes nothing
+    but what came later.
+    """
+    rows = stored(held, f"{name}-in")
+    # The id names what is applied: a copy that a failed call has left is used for the same bursts only.
+    mark = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*rows.columns))).first()
+    if mark[0]:
+        apply_bursts(rows, store, files_of, build, f"{name}-{hashlib.sha256(f'{checkpoint}:{mark}'.encode()).hexdigest()[:16]}")
+
+
 def start_apply(
     bursts: DataFrame,
     store: IndexStore,

@@ -6,7 +6,9 @@ on batch tables too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snipdex.operators import sessions
@@ -57,6 +59,17 @@ def debounce_stream(
     return bursts.select(*keys, F.col("w.start").alias("first_time"), "last_time", "n_changes", "change_type")
 
 
+def held_bursts(spark: SparkSession, checkpoint: str, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The bursts that a stopped run of `debounce_stream` still holds, read from the state in its checkpoint.
+
+    A bounded run ends before the last bursts have been quiet for long enough; nothing but the state is read.
+    """
+    operators = spark.read.format("state-metadata").load(checkpoint).filter("operatorName LIKE 'sessionWindow%'").select("operatorId").distinct().collect()
+    columns = [*(F.col(f"value.{k}") for k in keys), *(F.col(f"value.{c}").alias(n) for c, n in (("session_window.start", "first_time"), ("max", "last_time"), ("count", "n_changes"), ("valueWithExtremumOrdering", "change_type")))]
+    held = [spark.read.format("statestore").option("operatorId", r["operatorId"]).load(checkpoint).select(*columns) for r in operators]
+    return functools.reduce(DataFrame.unionByName, held)
+
+
 def open_bursts(changes: DataFrame, given: DataFrame, gap_us: int, range_us: int) -> DataFrame:
     """The bursts that a bounded stream still holds when it ends, from the changes as a table.
 

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from snipdex.operators import code_lines
-from snipdex.operators import extract as E
+from snipdex.operators.masking import python_mask
+from tests.plain_code import python_blocks
 
 LINES = [
     "class A(Base):", "def f(a,", "    b):", "    def g(self):", "        return (", "        1)", "", "   ", "x = [", "]", "# def no():", "    # y",
@@ -20,7 +21,7 @@ def rows(df):
 
 
 def plain(files):
-    return sorted((path, "python", *s) for path, text in files if text and text.strip() for s in E.python_blocks(path, text))
+    return sorted((path, "python", *s) for path, text in files if text and text.strip() for s in python_blocks(path, text))
 
 
 @pytest.mark.parametrize("range_lines", [1, 3, 4096])
@@ -39,7 +40,7 @@ def test_one_long_file_goes_to_many_tasks(spark):
     found = code_lines.python_snippets(df, range_lines=256)
     assert found.count() == 12_000
     assert rows(found.filter("start_line > 29990")) == [r for r in plain([("/r/long.py", text)]) if r[-2] > 29_990]
-    lines = code_lines.logical_lines(code_lines.file_lines(df, E.python_mask(df.text), "path", "text", (), 256))
+    lines = code_lines.logical_lines(code_lines.file_lines(code_lines.masked_files(df, python_mask(df.text), "path", "text", ()), 256))
     assert lines.select("range").distinct().count() == 30_001 // 256 + 1
 
 

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from snipdex.operators import extract as E
+from snipdex.operators.code_lines import rest_of_lines
 
 CSHARP = '''using System;
 namespace A.B
@@ -31,60 +33,66 @@ namespace A.B
 '''
 
 
+def cut(spark, path, text, rest=False):
+    """Snippets of one file by their place: namespace, class name, member name, kind, code, first line, last line."""
+    found = E.extract_snippets(spark.createDataFrame([(path, text)], "path string, text string"), rest=rest)
+    return sorted((tuple(r)[2:] for r in found.collect()), key=lambda s: (s[5], -s[6], text.find(s[2].split(" ")[0])))
+
+
 def names(found):
     return [(s[2], s[5], s[6]) for s in found]
 
 
-def test_python_blocks():
+def test_python_blocks(spark):
     code = "import x\n\nclass A(Base):\n    x = 1\n\n    def m(self):\n        return 1\n\n    async def n(self):\n        def inner():\n            pass\n\n        return 2\ny = 2\n"
-    assert names(E.python_blocks("/p/a.py", code)) == [
+    assert names(cut(spark, "/p/a.py", code)) == [
         ("A (Class)", 3, 5), ("m (Function)", 6, 8), ("n (Function)", 9, 9), ("inner (Function)", 10, 12)
     ]
-    owners = [s[1] for s in E.python_blocks("/p/a.py", code)]
+    owners = [s[1] for s in cut(spark, "/p/a.py", code)]
     assert owners == ["A", "a", "a", "a"]
 
 
-def test_no_header_gives_the_whole_file():
-    assert list(E.python_blocks("/p/a.py", "x = 1\ny = 2")) == [("", "a", "Entire File", "file", "x = 1\ny = 2", 1, 2)]
-    assert names(E.javascript_blocks("/p/a.js", "foo();")) == [("整个文件", 1, 1)]
-    assert names(E.typescript_blocks("/p/a.ts", "foo();")) == [("Entire File", 1, 1)]
-    assert list(E.csharp_members("/p/a.cs", "int x;")) == []
+def test_no_header_gives_the_whole_file(spark):
+    assert list(cut(spark, "/p/a.py", "x = 1\ny = 2")) == [("", "a", "Entire File", "file", "x = 1\ny = 2", 1, 2)]
+    assert names(cut(spark, "/p/a.js", "foo();")) == [("整个文件", 1, 1)]
+    assert names(cut(spark, "/p/a.ts", "foo();")) == [("Entire File", 1, 1)]
+    assert list(cut(spark, "/p/a.cs", "int x;")) == []
 
 
-def test_javascript_blocks():
+def test_javascript_blocks(spark):
     code = "export default function f(a) {\n  if (a) { return {}; }\n}\nconst g = async (x) => {\n  return 1;\n};\nclass Q extends R.S {\n}\nfunction classify() {\n}\nfunction broken() {\n  {\n"
-    assert names(E.javascript_blocks("/p/a.js", code)) == [
+    assert names(cut(spark, "/p/a.js", code)) == [
         ("f (Function)", 1, 3), ("g (Arrow Function)", 4, 6), ("Q (Class)", 7, 8), ("classify (Function)", 9, 10)
     ]
 
 
-def test_typescript_blocks():
+def test_typescript_blocks(spark):
     code = "export interface I extends J {\n  a: string;\n}\nexport type T = string | number;\nenum E { A }\ntype O = {\n  x: number\n}\nexport const h: Fn = (a) => {\n}\n"
-    assert names(E.typescript_blocks("/p/a.ts", code)) == [
+    assert names(cut(spark, "/p/a.ts", code)) == [
         ("I (Interface)", 1, 3), ("T (Type Alias)", 4, 4), ("E (Enum)", 5, 5), ("O (Type Alias)", 6, 8), ("h (Arrow Function)", 9, 10)
     ]
 
 
-def test_razor_blocks_are_balanced():
+def test_razor_blocks_are_balanced(spark):
     code = "<p>@{ var x = new { a = 1 }; }</p>\n@code {\n int y;\n}\n@functions { }"
-    found = list(E.razor_blocks("/p/a.cshtml", code))
+    found = list(cut(spark, "/p/a.cshtml", code))
     assert names(found) == [("Block 1 (Razor Block)", 1, 1), ("Block 2 (Code Block)", 2, 4)]
     assert found[0][4] == "var x = new { a = 1 };"
 
 
-def test_csharp_members():
-    found = [(s[2], s[3]) for s in E.csharp_members("/p/Foo.cs", CSHARP)]
+def test_csharp_members(spark):
+    found = [(s[2], s[3]) for s in cut(spark, "/p/Foo.cs", CSHARP)]
     assert found == [
         ("Foo (类)", "class"), ("_a (字段)", "field"), ("_b (字段)", "field"), ("map (字段)", "field"), ("Full (事件)", "event"),
         ("Name (属性)", "property"), ("Twice (属性)", "property"), ("Foo (构造函数)", "constructor"), ("Run (方法)", "method"),
         ("Bar (方法)", "method"), ("f (字段)", "field"), ("Color (枚举)", "enum"), ("Point (记录)", "record"),
     ]
-    assert {s[0] for s in E.csharp_members("/p/Foo.cs", CSHARP)} == {"A.B"}
-    run = next(s for s in E.csharp_members("/p/Foo.cs", CSHARP) if s[2].startswith("Run"))
+    assert {s[0] for s in cut(spark, "/p/Foo.cs", CSHARP)} == {"A.B"}
+    run = next(s for s in cut(spark, "/p/Foo.cs", CSHARP) if s[2].startswith("Run"))
     assert (run[5], run[6]) == (14, 18)
-    assert names(E.csharp_members("/p/a.cs", "class A { }" + " " * 1_000_000)) == [("A (类)", 1, 1)]
+    assert names(cut(spark, "/p/a.cs", "class A { }" + " " * 1_000_000)) == [("A (类)", 1, 1)]
     long = "class A {\n" + "  // line\n" * 1000 + "}"
-    assert next(iter(E.csharp_members("/p/a.cs", long)))[4] == long
+    assert next(iter(cut(spark, "/p/a.cs", long)))[4] == long
 
 
 def test_dispatch_and_registration(spark):
@@ -100,7 +108,6 @@ def test_dispatch_and_registration(spark):
                 raise ValueError("boom")
             yield "", path, f"line {n}", "line", line, n, n
 
-    before = E.EXTRACTORS["python"]
     E.register_extractor("python", lines)
     try:
         more = files.union(spark.createDataFrame([("/r/bad.py", "x\nboom")], files.schema))
@@ -109,18 +116,34 @@ def test_dispatch_and_registration(spark):
         report = {r["path"]: (r["snippets"], r["error"]) for r in E.parse_report(more.filter("text IS NOT NULL")).collect()}
         assert report["/r/bad.py"] == (0, "ValueError: boom") and report["/r/a.py"] == (2, None)
     finally:
-        E.register_extractor("python", before)
+        E.register_extractor("python", None)
 
 
-def test_table_function_for_sql(spark):
-    E.register_sql(spark)
-    rows = [("python", "/r/a.py", "def f():\n  pass\ndef g():\n  pass"), ("cobol", "/r/b", "x"), ("csharp", "/r/c.cs", " ")]
-    spark.createDataFrame(rows, "lang string, path string, text string").createOrReplaceTempView("sql_files")
-    got = spark.sql("SELECT path, member_name, start_line FROM sql_files, LATERAL extract_snippets(lang, path, text)").collect()
-    assert sorted(tuple(r) for r in got) == [("/r/a.py", "f (Function)", 1), ("/r/a.py", "g (Function)", 3)]
+def test_views_and_table_functions_for_sql(spark):
+    rows = [("/r/a.py", "def f():\n  pass\ndef g():\n  pass"), ("/r/b.cob", "x"), ("/r/c.cs", " "), ("/r/d.js", "function h() {}")]
+    spark.createDataFrame(rows, "path string, text string").createOrReplaceTempView("sql_files")
+    E.register_sql(spark, "sql_files")
+    got = spark.sql("SELECT path, member_name, start_line FROM snippets").collect()
+    assert sorted(tuple(r) for r in got) == [("/r/a.py", "f (Function)", 1), ("/r/a.py", "g (Function)", 3), ("/r/d.js", "h (Function)", 1)]
 
+    def lines(path, text):
+        for n, line in enumerate(text.split("\n"), 1):
+            if line == "boom":
+                raise ValueError("boom")
+            yield "", path, f"line {n}", "line", line, n, n
 
-def test_python_strings_brackets_and_comments():
+    E.register_extractor("cobol", lines)
+    try:
+        E.register_sql_function(spark)
+        texts = [("cobol", "/r/b", "x\ny"), ("cobol", "/r/bad", "x\nboom"), ("other", "/r/c", "x")]
+        spark.createDataFrame(texts, "lang string, path string, text string").createOrReplaceTempView("sql_texts")
+        got = spark.sql("SELECT path, member_name FROM sql_texts, LATERAL extract_snippets(lang, path, text)").collect()
+        assert sorted(tuple(r) for r in got) == [("/r/b", "line 1"), ("/r/b", "line 2"), ("/r/bad", "Entire File")]
+    finally:
+        E.register_extractor("cobol", None)
+
+
+def test_python_strings_brackets_and_comments(spark):
     code = '''def f(
     a: int = 1,
 ) -> dict[str, int]:
@@ -135,17 +158,17 @@ at the left margin.
 class B(
     Base): pass
 '''
-    assert names(E.python_blocks("/p/a.py", code)) == [("f (Function)", 1, 11), ("B (Class)", 12, 14)]
+    assert names(cut(spark, "/p/a.py", code)) == [("f (Function)", 1, 11), ("B (Class)", 12, 14)]
 
 
-def test_script_strings_and_types():
+def test_script_strings_and_types(spark):
     code = """function a() { return "{"; }
 const re = /[{]/;
 function b() { return '}' + `x ${ `}` } {`; } // {
 async function* c() {}
 export default class D extends E {}
 """
-    assert names(E.javascript_blocks("/p/a.js", code)) == [("a (Function)", 1, 1), ("b (Function)", 3, 3), ("c (Function)", 4, 4), ("D (Class)", 5, 5)]
+    assert names(cut(spark, "/p/a.js", code)) == [("a (Function)", 1, 1), ("b (Function)", 3, 3), ("c (Function)", 4, 4), ("D (Class)", 5, 5)]
     typed = """export abstract class A<T extends { a: number }> extends B<T> implements C, D<{ x: 1 }> {
   m() {}
 }
@@ -165,12 +188,12 @@ const enum E { X = "}" }
 declare function outside(x: number): void
 let y = 1
 """
-    assert names(E.typescript_blocks("/p/a.ts", typed)) == [
+    assert names(cut(spark, "/p/a.ts", typed)) == [
         ("A (Class)", 1, 3), ("f (Arrow Function)", 4, 6), ("g (Function)", 7, 11), ("U (Type Alias)", 13, 15), ("E (Enum)", 16, 16)
     ]
 
 
-def test_csharp_raw_and_nested_strings():
+def test_csharp_raw_and_nested_strings(spark):
     code = '''class A {
   string R() { return """
     } " {
@@ -179,13 +202,22 @@ def test_csharp_raw_and_nested_strings():
   string V() { return @"c:\\" + $@"{x}""}"; }
   int Last() { return 1; }
 }'''
-    assert [s[2] for s in E.csharp_members("/p/a.cs", code)] == ["A (类)", "R (方法)", "N (方法)", "V (方法)", "Last (方法)"]
+    assert [s[2] for s in cut(spark, "/p/a.cs", code)] == ["A (类)", "R (方法)", "N (方法)", "V (方法)", "Last (方法)"]
 
 
-def test_rest_covers_all_lines():
+def test_rest_covers_all_lines(spark):
     code = "import x\n\nclass A:\n    def m(self):\n        pass\n    y = 1\n\nz = 2\n"
-    found = list(E.python_blocks("/p/a.py", code))
-    rest = list(E._rest("/p/a.py", code, found))
-    assert names(rest) == [("Rest (File)", 1, 1), ("Rest (File)", 6, 8)]
-    covered = {n for s in found + rest for n in range(s[5], s[6] + 1)}
+    found = cut(spark, "/p/a.py", code, rest=True)
+    rest = [s for s in found if s[3] == "rest"]
+    assert names(rest) == [("Rest (File)", 1, 1), ("Rest (File)", 6, 8)] and rest[1][4] == "    y = 1\n\nz = 2"
+    covered = {n for s in found for n in range(s[5], s[6] + 1)}
     assert {n for n, line in enumerate(code.split("\n"), 1) if line.strip()} <= covered
+
+
+@pytest.mark.parametrize("range_lines", [1, 2, 100])
+def test_rest_over_ranges(spark, range_lines):
+    text = "a\n\n\nb\nc\n \nd\n\n\ne"
+    files = spark.createDataFrame([("/r/x.ts", text), ("/r/y.ts", "q\nr"), ("/r/z.ts", " \n")], "path string, text string")
+    snippets = spark.createDataFrame([("/r/x.ts", 4, 4), ("/r/x.ts", 4, 4), ("/r/x.ts", 7, 9), ("/r/y.ts", 1, 2)], "path string, start_line int, end_line int")
+    found = rest_of_lines(files, snippets, "path", "text", range_lines=range_lines)
+    assert sorted((r.path, r.code, r.start_line, r.end_line) for r in found.collect()) == [("/r/x.ts", "a", 1, 1), ("/r/x.ts", "c", 5, 5), ("/r/x.ts", "e", 10, 10)]

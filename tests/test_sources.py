@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from snipdex.operators import registry as R
 from snipdex.sources import change_records, export, registry_tables
-from snipdex.sources.files import scan_files, scan_patterns
+from pyspark.sql.datasource import EqualTo, IsNotNull, LessThan
+
+from snipdex.sources.files import list_files, scan_files, scan_patterns, unread_files
+from snipdex.sources.tree import TreeReader
 
 
 @pytest.fixture(scope="module")
@@ -35,9 +38,86 @@ def test_scan_flat_and_by_pattern(spark, tree):
     assert scan_patterns(spark, tree, ["*.py", ".py", "src/*"]).count() == 7
 
 
-def test_name_pattern_reaches_the_reader(spark, tree):
-    plan = scan_files(spark, tree, ["*.py"], max_size=100)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,100)" in plan
+def test_filters_reach_the_reader(spark, tree):
+    plan = list_files(spark, tree, ["bin"]).filter("size <= 100 AND rel_path LIKE 'src/%' AND upper(name) <> 'X'")._jdf.queryExecution().executedPlan().toString()
+    assert "upper(name" in plan and "size#" not in plan.split("Filter")[1].split("\n")[0]
+    listed = list_files(spark, tree, ["bin"]).filter("size <= 100 AND rel_path LIKE 'src/%'")
+    assert {r["rel_path"] for r in listed.collect()} == {"src/B.PY", "src/bad.py", "src/c.txt"}
+    reader = TreeReader({"path": tree, "exclude": '["bin"]'})
+    left = list(reader.pushFilters([LessThan(("size",), 10), IsNotNull(("size",)), EqualTo(("content",), b"x")]))
+    assert [type(f) for f in left] == [EqualTo] and len(reader.pushed) == 2
+    assert {r["rel_path"] for r in scan_files(spark, "file://" + tree, ["*.py"], ["bin"], max_size=100).collect()} == {"a.py", "src/B.PY", "src/bad.py", "binary/y.py"}
+
+
+@pytest.fixture
+def opened(monkeypatch):
+    """Folders that are listed and files that are opened."""
+    from pyarrow import fs
+
+    seen = []
+
+    class Watched(fs.LocalFileSystem):
+        pass
+
+    real = TreeReader._open
+
+    class Spy:
+        def __init__(self, system):
+            self.system = system
+
+        def get_file_info(self, what):
+            seen.append(what.base_dir if isinstance(what, fs.FileSelector) else what)
+            return self.system.get_file_info(what)
+
+        def open_input_stream(self, path):
+            seen.append(path)
+            if path.endswith("locked.py"):
+                raise PermissionError("locked")
+            return self.system.open_input_stream(path)
+
+    monkeypatch.setattr(TreeReader, "_open", lambda self: (Spy(real(self)[0]), real(self)[1]))
+    return seen
+
+
+def read_tree(**options):
+    reader = TreeReader(options)
+    return {row["rel_path"]: row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()}
+
+
+def test_excluded_folders_are_not_opened(tmp_path, opened, monkeypatch):
+    for name in ("a.py", "node_modules/x/locked.py", "node_modules/y.py", "src/.git/z.py", "src/b.py", "src/locked.py", "src/big.py", "src/deep/er/c.py"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * (2000 if "big" in name else 3))
+    monkeypatch.setattr("snipdex.sources.tree.MAX_CONTENT", 1000)
+    rows = read_tree(path=str(tmp_path), include='["*.py"]', exclude='["node_modules", ".git"]')
+    assert set(rows) == {"a.py", "src/b.py", "src/locked.py", "src/big.py", "src/deep/er/c.py"}
+    assert rows["src/locked.py"]["error"] == "PermissionError: locked" and rows["src/locked.py"]["content"] is None
+    assert rows["src/big.py"]["error"].startswith("2000 bytes") and rows["src/big.py"]["content"] is None
+    assert rows["src/deep/er/c.py"]["content"] == b"xxx"
+    assert not any("node_modules" in str(p) or ".git" in str(p) for p in opened)
+    opened.clear()
+    assert len(read_tree(path=str(tmp_path), include='["*.py"]', content="false")) == 8
+    assert not any(str(p).endswith(".py") and not isinstance(p, list) for p in opened if isinstance(p, str) and "/" in p and p.endswith("b.py"))
+
+
+def test_many_folders_become_parts(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        for j in range(3):
+            folder = tmp_path / f"d{i}" / f"e{j}"
+            folder.mkdir(parents=True)
+            (folder / "f.txt").write_text(f"{i} {j}")
+        (tmp_path / f"top{i}.txt").write_text("top")
+    monkeypatch.setattr("snipdex.sources.tree.MIN_PARTITIONS", 20)
+    reader = TreeReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) >= 20 and sum(len(p.folders) for p in parts) >= 20
+    assert len(read_tree(path=str(tmp_path))) == 120
+    assert scan_files(spark, str(tmp_path), ["*.txt"]).count() == 120
+    flat = scan_files(spark, str(tmp_path), ["*.txt"], recursive=False)
+    assert flat.count() == 30 and unread_files(spark, str(tmp_path), ["*.txt"]).count() == 0
+    (tmp_path / "empty").mkdir()
+    assert scan_files(spark, str(tmp_path / "empty"), ["*.txt"]).count() == 0
 
 
 def test_change_records(spark, tmp_path):
