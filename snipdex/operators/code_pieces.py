@@ -280,10 +280,13 @@ def csharp_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     in_type = F.struct(F.lit(True).alias("whole"), F.col("type.i").alias("first"), F.col("level").alias("at"))
     holds = (F.col("depth") > F.col("level")) & (F.col("after") > F.col("level")) & (F.col("type.kind") != "enum") & F.col("type.opens") & (F.col("member.i") > F.col("type.i"))
     in_member = F.struct(F.lit(False).alias("whole"), F.col("member.i").alias("first"), (F.col("level") + 1).alias("at"))
-    rows = rows.withColumn("role", F.explode(F.when(holds, F.array(in_type, in_member)).otherwise(F.array(in_type))))
+    roles = F.when(holds, F.array(in_type, in_member)).otherwise(F.array(in_type))
+    flat = [F.col("type.kind").alias("kind"), F.col("type.owner").alias("owner")]
+    rows = rows.select("file", "i", "code", "mask", "meta", "after", "line", "space", *flat, roles.alias("roles"))
+    rows = rows.withColumn("role", F.explode("roles")).drop("roles")
     piece = F.struct("i", "code", "mask", "after", "line")
     found = rows.groupBy("file", "role").agg(
-        F.sort_array(F.collect_list(piece)).alias("pieces"), F.first("meta").alias("meta"), F.first("space").alias("space"), F.first("type.kind").alias("kind"), F.first("type.owner").alias("owner")
+        F.sort_array(F.collect_list(piece)).alias("pieces"), F.first("meta").alias("meta"), F.first("space").alias("space"), F.first("kind").alias("kind"), F.first("owner").alias("owner")
     )
     first, end = F.get("pieces", F.lit(0)), F.element_at("pieces", -1)
     # A declaration that is not ended, or that has no text, is none.

@@ -68,13 +68,13 @@ def filter_by_patterns(files: DataFrame, patterns: DataFrame, recursive: bool =
 
 
 def covered_patterns(patterns: DataFrame, recursive: bool = True) -> DataFrame:
-    """Rows (library, pattern, by) of includes that can match nothing, since an exclude of the library covers them."""
+    """Rows (library, pattern, exclude) of includes that can match nothing, since an exclude of the library covers them."""
     fix_include = F.pandas_udf(lambda s: s.map(lambda t: P._include_fixed(t, recursive)), "string")
     fix_exclude = F.pandas_udf(lambda s: s.map(P._exclude_fixed), "string")
     named = patterns.filter(F.trim("pattern") != "").select("library", "kind", F.trim("pattern").alias("pattern")).distinct()
     includes = named.filter("kind = 'include'").select("library", "pattern", fix_include("pattern").alias("narrow"))
-    excludes = named.filter("kind = 'exclude'").select("library", F.col("pattern").alias("by"), fix_exclude("pattern").alias("wide"))
+    excludes = named.filter("kind = 'exclude'").select("library", F.col("pattern").alias("exclude"), fix_exclude("pattern").alias("wide"))
     pairs = includes.join(excludes, "library")
     # Libraries share most of their patterns: each different pair is judged once.
     judged = pairs.select("narrow", "wide").distinct().withColumn("covered", globs.covered_by(F.col("narrow"), F.col("wide"))).filter("covered")
-    return pairs.join(judged, ["narrow", "wide"]).select("library", "pattern", "by")
+    return pairs.join(judged, ["narrow", "wide"]).select("library", "pattern", "exclude")

@@ -50,18 +50,24 @@ SELECT * FROM c UNION ALL {field}
 UNION ALL SELECT path, language, 'Rest (File)', 1, 1, CASE language {heads} END FROM (SELECT DISTINCT path, language FROM c)"""
 
 
+def _declaration(parts: list[str], held: list[tuple[str, str]]):
+    """The function of a line and its number that writes a declaration around the line."""
+
+    def write(x, i):
+        inside = functools.reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), held, x)
+        return F.concat(F.lit(parts[0]), i.cast("string"), F.lit(parts[1]), x, F.lit(parts[2]), inside, F.lit(parts[3]))
+
+    return write
+
+
 @query("extract_coverage", _coverage_sql())
 def extract_coverage(spark, sf_dir):
     """Every line is in a snippet or in the rest, whatever characters the texts hold."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.replace(x, F.lit("\r"), F.lit(" ")))
     number = F.col("doc_id") % 4
     text, suffix = F.lit(None), F.lit(None)
-    for n, (language, (head, name, before, between, behind)) in enumerate(LAYOUT.items()):
-
-        def part(x, i, own=(name, before, between, behind), held=HELD[language]):
-            inside = functools.reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), held, x)
-            return F.concat(F.lit(own[0]), i.cast("string"), F.lit(own[1]), x, F.lit(own[2]), inside, F.lit(own[3]))
-
+    for n, (language, (head, *parts)) in enumerate(LAYOUT.items()):
+        part = _declaration(parts, HELD[language])
         text = F.when(number == n, F.concat(F.lit(head), F.array_join(F.transform(lines, part), "\n"))).otherwise(text)
         suffix = F.when(number == n, F.lit(language)).otherwise(suffix)
     sources = files(spark, sf_dir, spread=True).select(F.concat(F.lit("/cover/"), "doc_id", F.lit("."), suffix).alias("path"), text.alias("text"))

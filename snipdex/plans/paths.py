@@ -303,8 +303,8 @@ COVERED = [
 
 @query(
     "pattern_cover",
-    f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{a}', '{b}', {str(c).lower()})" for i, (a, b, c) in enumerate(COVERED))}) AS t(n, pattern, by, covered))
-SELECT doc_id AS library, pattern, by FROM documents JOIN c ON doc_id % {len(COVERED)} = n WHERE covered""",
+    f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{a}', '{b}', {str(c).lower()})" for i, (a, b, c) in enumerate(COVERED))}) AS t(n, pattern, "exclude", covered))
+SELECT doc_id AS library, pattern, "exclude" FROM documents JOIN c ON doc_id % {len(COVERED)} = n WHERE covered""",
 )
 def pattern_cover(spark, sf_dir):
     """Includes that an exclude of the same library covers; every document stands for a library with one of each."""
