@@ -6,11 +6,12 @@
    verified on full sets and the verified ones joined into components.
 4. Buckets whose members are then still in several components are compared across components: members outside the
    bucket's largest component meet all others in tiles of bounded size. Candidates differ in component, meet in no
-   earlier band and have signatures that agree enough (`ESTIMATE`, four standard deviations below the threshold). A
+   earlier band and have signatures that agree enough (`ESTIMATE`, five standard deviations below the threshold). A
    first pass over the tiles keeps the members with a candidate, a second one has their full sets and gives out
    verified links only. Pairs within a component cannot change the result and are never formed.
 
-With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with a chance of 5 in a million.
+With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with a chance of 5 in a million; its signature
+agrees in fewer than 71 of 128 bins with a chance of 5 in ten million.
 
 Results: null, empty and blank texts have an empty set and are linked with nothing; each is its own component. Ties
 do not occur, as the smallest id leads. Rows that repeat an id are treated as copies if their sets are equal; a null
@@ -35,7 +36,7 @@ SHINGLE = 5
 PERCENT = 75
 BINS = 128
 ROWS = 4
-ESTIMATE = 0.6
+ESTIMATE = 0.55
 TILE = 1000
 
 
@@ -81,7 +82,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n_shingles, key1, key2, bands, bins): keys tell sets apart, bins have 16 bits of each bin."""
+    """Rows (id, n_shingles, key1, key2, bands, bins, marks): keys tell sets apart, bins have 16 bits of each bin, marks 32 of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = not_blank()
@@ -103,13 +104,14 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         pa.array(keys[1]),
                         list_array(bands.view(np.int64).ravel(), np.full(len(counts), BINS // ROWS)),
                         pa.array([row.tobytes() for row in short], pa.binary()),
+                        pa.array([row.tobytes() for row in (bands >> U64(32)).astype(np.uint32)], pa.binary()),
                     ],
-                    names=["id", "n_shingles", "key1", "key2", "bands", "bins"],
+                    names=["id", "n_shingles", "key1", "key2", "bands", "bins", "marks"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, f"id {kind}, n_shingles long, key1 long, key2 long, bands array<long>, bins binary")
+    return plain.mapInArrow(run, f"id {kind}, n_shingles long, key1 long, key2 long, bands array<long>, bins binary, marks binary")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,7 +169,7 @@ def _tiles(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     main = main.filter("n_parts > 1").select(
         "bucket", "main", F.ceil(F.col("main_rows") / TILE).cast("int").alias("main_tiles"), F.ceil((F.col("all_rows") - F.col("main_rows")) / TILE).cast("int").alias("other_tiles")
     )
-    rows = members.join(main, "bucket").join(reps.select("id", "bins"), "id")
+    rows = members.join(main, "bucket").join(reps.select("id", "bins", "marks"), "id")
     rows = rows.withColumn("inside", F.col("component") == F.col("main"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("main_tiles")).otherwise(F.col("other_tiles"))).cast("int"))
     # Tiles x: rows outside the main component; tiles y: those again, or rows of the main component.
@@ -182,7 +184,7 @@ def _tiles(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
             F.transform(F.filter(others, lambda x: x <= F.col("tile")), lambda x: cell(x, F.col("tile"), "y")),
         )
     )
-    return rows.withColumn("cell", F.explode(cells)).select("bucket", "cell.x", "cell.y", "cell.role", "band", "id", "n_shingles", "component", "bins")
+    return rows.withColumn("cell", F.explode(cells)).select("bucket", "cell.x", "cell.y", "cell.role", "band", "id", "n_shingles", "component", "bins", "marks")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -208,7 +210,7 @@ def _candidates(table: pa.Table, begins: np.ndarray) -> Iterator[tuple[np.ndarra
     ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
     band, is_x = table.column("band").to_numpy(), table.column("role").to_numpy() == "x"
     bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)
-    words = bins.view(np.uint64)  # a band is four neighbouring bins: one 64-bit word each
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, BINS // ROWS)
     for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
         rows = np.arange(begin, end)
         xs, ys = rows[is_x[begin:end]], rows[~is_x[begin:end]]
@@ -219,7 +221,7 @@ def _candidates(table: pa.Table, begins: np.ndarray) -> Iterator[tuple[np.ndarra
             near &= 100 * np.minimum(n[some][:, None], n[ys]) >= PERCENT * np.maximum(n[some][:, None], n[ys])
             i, j = np.nonzero(near)
             i, j = some[i], ys[j]
-            fresh = ~(words[i, :earlier] == words[j, :earlier]).any(axis=1) if earlier else np.ones(len(i), bool)
+            fresh = ~(marks[i, :earlier] == marks[j, :earlier]).any(axis=1) if earlier else np.ones(len(i), bool)
             i, j = i[fresh], j[fresh]
             like = (bins[i] == bins[j]).sum(axis=1) >= ESTIMATE * BINS
             if like.any():
@@ -263,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(sign(docs, id_col, text_col), "signed")
     keys = ["key1", "key2", "n_shingles"]
     full = signed.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    reps = full.groupBy(*keys).agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
+    reps = full.groupBy(*keys).agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bins").alias("bins"), F.first("marks").alias("marks"))
     reps = stored(reps, "representatives")
 
     banded = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
