@@ -151,10 +151,11 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
         begins.append((r["part"], at))
         at += r["n"]
     begins = F.broadcast(spark.createDataFrame(begins, "part int, begins long"))
-    whole = found.filter("n = total").select("part", "id", "start", "data")
-    pieces = found.filter("n < total").groupBy("part", "row").agg(
+    # One use of the decoded blocks: a second one would decode them all again. Pieces are put together before the shuffle
+    # as far as they lie in one task.
+    pieces = found.groupBy("part", "row").agg(
         F.first("id").alias("id"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("first", "data"))).alias("pieces")
     )
     joined = F.aggregate("pieces", F.unhex(F.lit("")), lambda done, p: F.concat(done, p["data"]))
-    rows = whole.unionByName(pieces.select("part", "id", "start", joined.alias("data")))
+    rows = pieces.select("part", "id", "start", joined.alias("data"))
     return rows.join(begins, "part").select(F.col("id").alias(id_col), (F.col("begins") + F.col("start")).alias("start"), F.col("data").alias("ids"))
