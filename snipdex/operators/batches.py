@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 RANGE_ROWS = 1 << 16
+MAX_SLICES = 64
 
 
-def _span(df: DataFrame, order: str) -> int:
-    """A width that gives about one range per `RANGE_ROWS` rows, however sparse the order values are."""
-    low, high, rows = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    return 1 if not rows else max(1, -(-(int(high) - int(low) + 1) // max(1, -(-rows // RANGE_ROWS))))
+def _ranges(df: DataFrame, order: str) -> Column:
+    """A number per row that grows with `order`, with about `RANGE_ROWS` rows for each, however the values lie.
+
+    Quantiles cut the values into slices with equal numbers of rows, and each slice is cut evenly; so a few values far
+    off only widen the slice that they are in.
+    """
+    rows = df.agg(F.count(order)).first()[0]
+    slices = max(1, min(MAX_SLICES, -(-rows // RANGE_ROWS)))
+    parts = [i / slices for i in range(slices + 1)]
+    edges = df.agg(F.percentile_approx(order, parts, 10_000)).first()[0] if rows else [0, 0]
+    pieces = max(1, -(-rows // (slices * RANGE_ROWS)))
+    found = F.lit(0).cast("long")
+    for n, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        width = max(1, -(-(int(high) - int(low) + 1) // pieces))
+        # What lies beyond the first and last edge of an approximate quantile belongs to the first and last slice.
+        inside = F.floor((F.col(order) - F.lit(int(low))) / F.lit(width))
+        own = F.lit(n * (pieces + 1)).cast("long") + F.greatest(F.lit(0), F.least(F.lit(pieces), inside))
+        found = own if n == 0 else F.when(F.col(order) >= F.lit(int(low)), own).otherwise(found)
+    return found
 
 
 def position_in_group(df: DataFrame, group: str, order: str, span: int | None = None) -> DataFrame:
@@ -20,11 +36,10 @@ def position_in_group(df: DataFrame, group: str, order: str, span: int | None =
 
     Rows are ranked inside ranges of `span` order values, and each range is shifted by the
     counts of the ranges before it.  So a group of any size is spread over many tasks; only the
-    counts per range are ordered as a whole.  By default the span follows from the smallest and
-    largest value and the number of rows, so that hashes too fall into few ranges.
+    counts per range are ordered as a whole.  By default the ranges follow from quantiles of the
+    values, so neither hashes nor single values far off make ranges sparse or crowded.
     """
-    span = span or _span(df, order)
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(span)))
+    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(span)) if span else _ranges(df, order))
     counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     by_range = Window.partitionBy(group).orderBy("_range")
     before = counts.select(

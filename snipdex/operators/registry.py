@@ -6,6 +6,8 @@ then act on ordinary columns.  Stored text is kept as it is.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,33 +149,56 @@ def by_collection(libraries: DataFrame, collection: str) -> DataFrame:
     return _active(libraries, F.col("collection_name") == collection)
 
 
+def has_status(status: str) -> Column:
+    return F.col("status") == status
+
+
+def is_monitored() -> Column:
+    return F.col("watch.isEnabled")
+
+
+def has_metadata(**wanted: str) -> Column:
+    """Equality on typed metadata fields, for example `projectType="webapi"`."""
+    return functools.reduce(lambda a, b: a & b, (F.col(f"meta.{name}") == value for name, value in wanted.items()), F.lit(True))
+
+
+def has_key(column: str, key: str, value: str) -> Column:
+    """Equality on any top-level key of a JSON column."""
+    return J.field(F.col(column), key) == value
+
+
+def has_tag(tag: str) -> Column:
+    return F.array_contains("meta.tags", tag)
+
+
 def list_all(libraries: DataFrame) -> DataFrame:
     return _newest(libraries.filter("is_active"))
 
 
 def list_by_status(libraries: DataFrame, status: str) -> DataFrame:
-    return _newest(_active(libraries, F.col("status") == status))
+    return _newest(_active(libraries, has_status(status)))
 
 
 def list_monitored(parsed: DataFrame) -> DataFrame:
-    return _newest(_active(parsed, F.col("watch.isEnabled")))
+    return _newest(_active(parsed, is_monitored()))
 
 
 def list_by_metadata(parsed: DataFrame, **wanted: str) -> DataFrame:
-    """Equality on typed metadata fields, for example `projectType="webapi"`."""
-    condition = F.lit(True)
-    for name, value in wanted.items():
-        condition = condition & (F.col(f"meta.{name}") == value)
-    return _newest(_active(parsed, condition))
+    return _newest(_active(parsed, has_metadata(**wanted)))
 
 
 def list_by_key(libraries: DataFrame, column: str, key: str, value: str) -> DataFrame:
-    """Equality on any top-level key of a JSON column."""
-    return _newest(_active(libraries, J.field(F.col(column), key) == value))
+    return _newest(_active(libraries, has_key(column, key, value)))
 
 
 def list_by_tag(parsed: DataFrame, tag: str) -> DataFrame:
-    return _newest(_active(parsed, F.array_contains("meta.tags", tag)))
+    return _newest(_active(parsed, has_tag(tag)))
+
+
+def list_each(libraries: DataFrame, lists: dict[str, Column], name: str = "list") -> DataFrame:
+    """Active libraries once for every list whose condition they meet, from one pass; `name` tells the list."""
+    met = F.array_compact(F.array(*(F.when(condition, F.lit(key)) for key, condition in lists.items())))
+    return libraries.filter("is_active").select(F.explode(met).alias(name), *libraries.columns)
 
 
 def order_by_last_indexed(libraries: DataFrame) -> DataFrame:

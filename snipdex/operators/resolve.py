@@ -22,7 +22,8 @@ def nearest_ancestor(
     """Adds `nearest_root`: the longest root at or above the path, NULL if there is none.
 
     A bounded read first tells whether the roots are few.  If so they become a set inside the
-    expression and the paths are not moved at all.  Otherwise the paths are spread over their
+    expression, which tells the deepest one, its name comes from a broadcast table of the roots, and
+    the paths are not moved at all.  Otherwise the paths are spread over their
     ancestors and joined; common ancestors such as the top folder are hot keys, so that side is
     salted and the roots are repeated once per salt.
     """
@@ -33,8 +34,9 @@ def nearest_ancestor(
         if not by_key:
             return paths.withColumn("nearest_root", F.lit(None).cast("string"))
         above = F.filter(P.ancestors(F.col(path_col)), lambda a: a.isin(list(by_key)))
-        deepest = F.try_element_at(above, F.lit(-1))
-        return paths.withColumn("nearest_root", F.element_at(P.literal_map(by_key), deepest))
+        rows = paths.withColumn("_deepest", F.try_element_at(above, F.lit(-1)))
+        table = paths.sparkSession.createDataFrame(list(by_key.items()), "_key string, nearest_root string")  # at most max_listed rows
+        return rows.join(F.broadcast(table), rows["_deepest"] == table["_key"], "left").drop("_deepest", "_key")
 
     distinct_paths = paths.select(F.col(path_col).alias("_p")).distinct()
     spread = distinct_paths.select(

@@ -312,3 +312,20 @@ def pattern_cover(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("library"), F.element_at(pairs, (F.col("doc_id") % len(COVERED) + 1).cast("int")).alias("p"))
     sides = [rows.select("library", F.lit(kind).alias("kind"), F.col(f"p.{side}").alias("pattern")) for kind, side in (("include", "a"), ("exclude", "b"))]
     return covered_patterns(sides[0].unionByName(sides[1]))
+
+
+@query(
+    "detect_evidence",
+    DETECT_SQL[: DETECT_SQL.index("v AS (")]
+    + """e AS (
+  SELECT library, 'csharp' AS project_type, concat_ws('; ', CASE WHEN n = 2 THEN '*.csproj' END, CASE WHEN cs > 0 THEN cs || ' files .cs' END) AS evidence FROM c UNION ALL
+  SELECT library, 'typescript', concat_ws('; ', CASE WHEN n = 0 THEN 'package.json' END, CASE WHEN ts > 0 THEN ts || ' files .ts .tsx' END) FROM c UNION ALL
+  SELECT library, 'javascript', concat_ws('; ', CASE WHEN n = 0 THEN 'package.json' END, CASE WHEN js > 0 THEN js || ' files .js' END) FROM c UNION ALL
+  SELECT library, 'python', concat_ws('; ', CASE WHEN n = 3 THEN 'setup.py' END, CASE WHEN py > 0 THEN py || ' files .py' END) FROM c UNION ALL
+  SELECT library, 'go', CASE WHEN n = 1 THEN 'go.mod' ELSE '' END FROM c)
+SELECT library, project_type, evidence FROM e WHERE evidence <> ''""",
+)
+def detect_evidence(spark, sf_dir):
+    """What speaks for each project type of a library, flattened to a row per type."""
+    found = profile.evidence_scores(_with_markers(spark, sf_dir)).select("library", F.explode("scores").alias("s"))
+    return found.select("library", "s.project_type", F.array_join("s.evidence", "; ").alias("evidence"))

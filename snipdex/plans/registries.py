@@ -77,22 +77,18 @@ def status_report(spark, sf_dir):
 SELECT * FROM l""",
 )
 def library_list(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    """Eight lists from one pass over the registry."""
     lists = {
-        "all": R.list_all(parsed),
-        "completed": R.list_by_status(parsed, "Completed"),
-        "monitored": R.list_monitored(parsed),
-        "webapi": R.list_by_metadata(parsed, projectType="webapi"),
-        "backend": R.list_by_metadata(parsed, team="backend"),
-        "high": R.list_by_metadata(parsed, priority="high"),
-        "node": R.list_by_key(parsed, "metadata", "framework", "node"),
-        "tag2": R.list_by_tag(parsed, "tag2"),
+        "all": F.lit(True),
+        "completed": R.has_status("Completed"),
+        "monitored": R.is_monitored(),
+        "webapi": R.has_metadata(projectType="webapi"),
+        "backend": R.has_metadata(team="backend"),
+        "high": R.has_metadata(priority="high"),
+        "node": R.has_key("metadata", "framework", "node"),
+        "tag2": R.has_tag("tag2"),
     }
-    out = None
-    for name, rows in lists.items():
-        part = rows.select(F.lit(name).alias("list"), "id", "status")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return R.list_each(_parsed(spark, sf_dir), lists).select("list", "id", "status")
 
 
 @query(

@@ -79,6 +79,19 @@ def change_records_stream(spark, sf_dir):
     return spark.read.schema(once.schema).parquet(out).select("event_id", "path")
 
 
+@query("change_records_rejected", f"WITH {CHANGES_SQL} SELECT '{{damaged ' || event_id AS document FROM changes WHERE event_id % 7 = 0")
+def change_records_rejected(spark, sf_dir):
+    """A landing folder in which every seventh event has left a damaged line too: the stream gives them out by themselves."""
+    folder = scratch_path(spark, "landing")
+    _records(spark, sf_dir, folder)
+    lines = changes(spark, sf_dir).filter("event_id % 7 = 0").select(F.concat(F.lit("{damaged "), F.col("event_id").cast("string")).alias("value"))
+    lines.write.mode("append").text(folder)
+    rejected = change_records.stream_rejected(spark, folder)
+    out = scratch_path(spark, "rejected")
+    rejected.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rejected.schema).parquet(out)
+
+
 @query("registry_stored", f"WITH {REGISTRY_SQL} SELECT id, name, collection_name, total_files FROM registry")
 def registry_stored(spark, sf_dir):
     """Even libraries are written first, odd ones appended; appending any of them again is refused."""

@@ -46,10 +46,20 @@ def read_changes(spark: SparkSession, path: str, status: str | None = None) -> D
     return rows.orderBy("event_time", "event_id")
 
 
+def _stream(spark: SparkSession, path: str, max_files: int) -> DataFrame:
+    reader = spark.readStream.schema(f"{schemas.CHANGE_RECORD}, damaged string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "damaged")
+    return reader.option("maxFilesPerTrigger", max_files).json(path)
+
+
 def stream_changes(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """New record files of a landing folder as a stream."""
-    raw = spark.readStream.schema(schemas.CHANGE_RECORD).option("maxFilesPerTrigger", max_files).json(path)
-    return _flat(raw).filter("event_id IS NOT NULL")
+    """New record files of a landing folder as a stream; see `stream_rejected` for what is left out."""
+    return _flat(_stream(spark, path, max_files).filter("damaged IS NULL")).filter("event_id IS NOT NULL")
+
+
+def stream_rejected(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """The text of documents that `stream_changes` leaves out, as a stream: damaged ones, and records without an id."""
+    lost = _stream(spark, path, max_files).filter("damaged IS NOT NULL OR change.id IS NULL")
+    return lost.select(F.coalesce("damaged", F.to_json(F.struct("change", "savedAt", "version"))).alias("document"))
 
 
 def append_changes(changes: DataFrame, path: str, saved_at: str) -> None:

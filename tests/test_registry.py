@@ -174,6 +174,19 @@ def test_positions_with_a_hot_group(spark):
     assert got == want
 
 
+def test_a_value_far_off_does_not_crowd_a_range(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANGE_ROWS", 500)
+    values = [*range(0, 30_000, 3), 2**62, -(2**61)]
+    df = spark.createDataFrame([("a" if v % 3 else "b", v) for v in values], "g string, id long")
+    ranged = df.select(B._ranges(df, "id").alias("r")).groupBy("r").count()
+    assert ranged.agg(F.max("count")).first()[0] < 1200 and ranged.count() > 10
+    got = {r["id"]: (r["position"], r["total"]) for r in B.position_in_group(df, "g", "id").collect()}
+    for group in "ab":
+        own = sorted(v for v in values if ("a" if v % 3 else "b") == group)
+        assert [got[v] for v in own] == [(i + 1, len(own)) for i in range(len(own))]
+    assert B.position_in_group(df.filter("false"), "g", "id").count() == 0
+
+
 def test_transitions(spark):
     rows = [(1, "a", 0, "Pending"), (2, "a", 1, "Indexing"), (3, "a", 2, "Indexing"), (4, "a", 3, "Completed"), (5, "a", 4, "Indexing"), (6, "b", 0, "Failed")]
     df = spark.createDataFrame(rows, "id long, k string, us long, status string")
