@@ -151,11 +151,24 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
         begins.append((r["part"], at))
         at += r["n"]
     begins = F.broadcast(spark.createDataFrame(begins, "part int, begins long"))
-    # One use of the decoded blocks: a second one would decode them all again. Pieces are put together before the shuffle
-    # as far as they lie in one task.
-    pieces = found.groupBy("part", "row").agg(
-        F.first("id").alias("id"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("first", "data"))).alias("pieces")
-    )
-    joined = F.aggregate("pieces", F.unhex(F.lit("")), lambda done, p: F.concat(done, p["data"]))
-    rows = pieces.select("part", "id", "start", joined.alias("data"))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents from their pieces, which follow each other; one document is held at a time."""
+        held: list[bytes] = []
+        for batch in batches:
+            total, n, data = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_pylist()
+            done = 0 if not held else sum(map(len, held)) // 4
+            ends, joined = [], []
+            for i in range(len(data)):
+                held.append(data[i])
+                done += int(n[i])
+                if done == total[i]:
+                    ends.append(i)
+                    joined.append(held[0] if len(held) == 1 else b"".join(held))
+                    held, done = [], 0
+            rows = batch.take(pa.array(ends, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(joined, pa.binary())], names=["part", "id", "start", "data"])
+
+    # One use of the decoded blocks: a second one, for the pieces of documents over several blocks, would decode all again.
+    ordered = found.repartition("part", "row").sortWithinPartitions("part", "row", "first").select("part", "id", "start", "total", "n", "data")
+    rows = ordered.mapInArrow(whole, f"part int, id {kind}, start long, data binary")
     return rows.join(begins, "part").select(F.col("id").alias(id_col), (F.col("begins") + F.col("start")).alias("start"), F.col("data").alias("ids"))
