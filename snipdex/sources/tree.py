@@ -13,6 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith
@@ -84,10 +85,11 @@ class TreeReader(DataSourceReader):
     def _open(self):
         from pyarrow import fs
 
-        if re.match(r"^[A-Za-z][A-Za-z0-9+.-]+:", self.root):
-            system, base = fs.FileSystem.from_uri(self.root)
+        scheme = re.match(r"^([A-Za-z][A-Za-z0-9+.-]+):", self.root)
+        if scheme and scheme[1] != "file":
+            system, base = fs.FileSystem.from_uri(quote(self.root, safe=":/?#[]@!$&'()*+,;=%~"))
         else:
-            system, base = fs.LocalFileSystem(), self.root
+            system, base = fs.LocalFileSystem(), re.sub("^file:/*", "/", self.root)
         return system, base.rstrip("/") or "/"
 
     def _patterns(self):
