@@ -9,7 +9,7 @@ from snipdex.operators import extract as E
 from snipdex.operators import index as I
 from snipdex.operators import knn
 from snipdex.plans.catalog import query
-from snipdex.plans.domain import CHANGES_SQL, FILES_SQL, REGISTRY_SQL, changes, files, load, registry
+from snipdex.plans.domain import CHANGES_SQL, REGISTRY_SQL, changes, files, load, registry
 from snipdex.plans.maintenance import COLLECTION_SQL
 from snipdex.plans.snippets import SNIPPETS_SQL, code_files
 from snipdex.plans.vectors import DIM, VECTORS_SQL

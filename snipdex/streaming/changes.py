@@ -11,8 +11,6 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.operators import sessions
-
 # Fixed values
 DEFAULT_GAP = "500 milliseconds"
 DEFAULT_LATENESS = "10 minutes"
@@ -70,19 +68,6 @@ def held_bursts(spark: SparkSession, checkpoint: str, keys: tuple[str, ...] = ("
     return functools.reduce(DataFrame.unionByName, held)
 
 
-def open_bursts(changes: DataFrame, given: DataFrame, gap_us: int, range_us: int) -> DataFrame:
-    """The bursts that a bounded stream still holds when it ends, from the changes as a table.
-
-    `given` has the bursts (path, last_time) that came out.  What happened to a path after its last
-    one is cut into bursts in batch form, so no change waits for a later run.
-    """
-    done = given.groupBy("path").agg(F.max("last_time").alias("_done"))
-    rest = changes.join(done, "path", "left").filter(F.col("_done").isNull() | (F.col("event_time") > F.col("_done"))).drop("_done")
-    bursts = sessions.debounce(rest, gap_us, range_us)
-    times = {n: F.timestamp_micros(c) for n, c in (("first_time", "first_us"), ("last_time", "last_us"))}
-    return bursts.withColumns(times).drop("first_us", "last_us")
-
-
 def burst_action(bursts: DataFrame) -> DataFrame:
     """The last change of a burst decides: a deletion removes the file, all else updates it."""
     return bursts.withColumn("action", F.when(F.col("change_type") == "Deleted", "delete").otherwise("update"))

@@ -97,6 +97,20 @@ def test_stream_gives_closed_bursts_as_the_batch_form(spark):
     assert streamed == sorted(tuple(r) for r in closed.collect())
 
 
+def test_held_bursts_come_from_the_state(spark):
+    rng = random.Random(8)
+    rows = sorted((event(i, f"p{rng.randrange(4)}", rng.choice(["Modified", "Deleted"]), rng.randrange(0, 900)) for i in range(200)), key=lambda r: r[4])
+    bursts = C.debounce_stream(feed(spark, rows[:120], rows[120:]), "5 minutes", "0 seconds")
+    out = scratch_path(spark, "out")
+    bursts.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
+    held = C.held_bursts(spark, out + "-state")
+    batch = S.debounce(table(spark, rows), 5 * MINUTE, 60 * MINUTE)
+    batch = batch.select("path", F.timestamp_micros("first_us").alias("a"), F.timestamp_micros("last_us").alias("b"), "n_changes", "change_type")
+    both = spark.read.schema(bursts.schema).parquet(out).unionByName(held)
+    assert 0 < held.count() <= 4
+    assert sorted(tuple(r) for r in both.select("path", "first_time", "last_time", "n_changes", "change_type").collect()) == sorted(tuple(r) for r in batch.collect())
+
+
 def test_late_events_are_dropped(spark):
     # A batch calls late what lies behind the watermark of the batch before it.
     first = [event(1, "a", "Created", 0), event(2, "z", "Created", 200)]
