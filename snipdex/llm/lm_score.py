@@ -6,8 +6,9 @@ own, the others share classes by their number. So log p(token | both sides) = lo
 log p(token | class), and a document's score is the sum over all its tokens.
 
 Training takes the whole corpus: counts come from every token, and in `ROUNDS` rounds, each over its share of the
-documents (by a hash of the text), every task trains a copy of the model on its documents with every `MASK`-th token
-masked. The moved parameters are averaged in Spark by block, weighted by how often each row was trained, in two steps
+documents (by a hash of the text), every task trains a copy of the model on its documents. Every token of every document
+is masked once: the network never sees the token it predicts, so all positions of a text are targets of its round. The
+moved parameters are averaged in Spark by block, weighted by how often each row was trained, in two steps
 so that no task gathers all copies of a block; the driver only sees the model, whose size is fixed.
 
 Results: null, empty and blank texts have 0 tokens, a sum of 0 and no mean. Equal texts have equal scores up to the
@@ -35,8 +36,7 @@ WIDTH = 16
 SIDE = 2
 HIDDEN = 32
 ROUNDS = 2
-MASK = 8
-STEP = 512
+STEP = 4096
 BATCH = 2048
 RATE = 0.1
 BLOCK_ROWS = 256
@@ -67,11 +67,19 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, alphabet) -> tuple[np.ndarray
     return tokens, line[place[:, None] + steps], before
 
 
+#: Scores up to this size can be exponentiated and added up in single precision as they are.
+SAFE = 60
+
+
 def _forward(model: Model, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    seen = model["embedding"][around].reshape(len(around), -1)
-    hidden = np.tanh(seen @ model["inner"][:-1] + model["inner"][-1])
-    scores = hidden @ model["outer"][:-1] + model["outer"][-1]
-    scores -= scores.max(axis=1, keepdims=True)
+    seen = model["embedding"].take(around.ravel(), axis=0).reshape(len(around), -1)
+    hidden = seen @ model["inner"][:-1]
+    hidden += model["inner"][-1]
+    np.tanh(hidden, out=hidden)
+    scores = hidden @ model["outer"][:-1]
+    scores += model["outer"][-1]
+    if np.abs(model["outer"]).sum(axis=0).max() > SAFE:  # no score is larger, since tanh is not above 1
+        scores -= scores.max(axis=1, keepdims=True)
     return seen, hidden, scores
 
 
@@ -79,21 +87,23 @@ def _train(model: Model, squares: Model, around: np.ndarray, target: np.ndarray)
     """One step with rates that fall with the squares of past gradients."""
     seen, hidden, scores = _forward(model, around)
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
-    scores[np.arange(len(target)), target] -= 1
-    scores /= len(target)
+    scores *= (1 / (scores.sum(axis=1, keepdims=True) * np.float32(len(target)))).astype(np.float32)
+    scores[np.arange(len(target)), target] -= np.float32(1 / len(target))
     back = (scores @ model["outer"][:-1].T) * (1 - hidden * hidden)
     moved = {
         "outer": np.concatenate([hidden.T @ scores, scores.sum(axis=0, keepdims=True)]),
         "inner": np.concatenate([seen.T @ back, back.sum(axis=0, keepdims=True)]),
     }
     into = (back @ model["inner"][:-1].T).reshape(-1, WIDTH)
-    flat = around.ravel()
+    flat = around.ravel().astype(np.uint16)  # sorted by radix
     order = np.argsort(flat, kind="stable")
-    rows, starts = np.unique(flat[order], return_index=True)
-    summed = np.add.reduceat(into[order], starts, axis=0)
-    squares["embedding"][rows] += summed * summed
-    model["embedding"][rows] -= RATE * summed / np.sqrt(squares["embedding"][rows] + 1e-10)
+    flat = flat[order]
+    starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    rows = flat[starts]
+    summed = np.add.reduceat(into.take(order, axis=0), starts, axis=0)
+    past = squares["embedding"].take(rows, axis=0) + summed * summed
+    squares["embedding"][rows] = past
+    model["embedding"][rows] = model["embedding"].take(rows, axis=0) - RATE * summed / np.sqrt(past + 1e-10)
     for name, step in moved.items():
         squares[name] += step * step
         model[name] -= RATE * step / np.sqrt(squares[name] + 1e-10)
@@ -123,7 +133,8 @@ def _classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, np.log(counts / np.bincount(kind, weights=counts, minlength=CLASSES)[kind]).astype(np.float32)
 
 
-def _round(docs: DataFrame, model: Model, kind: np.ndarray, number: int) -> Model:
+def _moved(docs: DataFrame, model: Model, kind: np.ndarray, number: int) -> DataFrame:
+    """A round: rows (name, first, salt, moved, weights) by block of parameters, weights being how often a row was trained."""
     shared = docs.sparkSession.sparkContext.broadcast((model, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +146,12 @@ def _round(docs: DataFrame, model: Model, kind: np.ndarray, number: int) -> Mode
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 tokens, around, _ = _tokens(data, offsets, alphabet)
-                masked = np.flatnonzero(mix(np.arange(len(tokens), dtype=np.uint64) + tokens.astype(np.uint64), number) % U64(MASK) == 0)
-                masked = masked[np.argsort(mix(masked.astype(np.uint64), number))]  # documents mixed within the block
-                for first in range(0, len(masked), STEP):
-                    some = masked[first : first + STEP]
+                order = np.argsort(mix(np.arange(len(tokens), dtype=np.uint64), number))  # documents mixed within the block
+                for first in range(0, len(order), STEP):
+                    some = order[first : first + STEP]
                     _train(own, squares, around[some], classes[tokens[some]])
-                    uses += np.bincount(around[some].ravel(), minlength=BUCKETS + 1)
-                    trained += len(some)
+                uses += np.bincount(around.ravel(), minlength=BUCKETS + 1)
+                trained += len(tokens)
         if trained:
             task = TaskContext.get().partitionId()
             for name, values in own.items():
@@ -163,9 +173,12 @@ def _round(docs: DataFrame, model: Model, kind: np.ndarray, number: int) -> Mode
         return row
 
     part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number).select("text")
-    sums = part.mapInArrow(run, schema).groupBy("name", "first", "salt").applyInPandas(added, schema).groupBy("name", "first").applyInPandas(added, schema)
+    return part.mapInArrow(run, schema).groupBy("name", "first", "salt").applyInPandas(added, schema).groupBy("name", "first").applyInPandas(added, schema)
+
+
+def _round(docs: DataFrame, model: Model, kind: np.ndarray, number: int) -> Model:
     out = {n: v.copy() for n, v in model.items()}
-    for r in sums.toPandas().itertuples():
+    for r in _moved(docs, model, kind, number).toPandas().itertuples():
         weights = np.maximum(np.asarray(r.weights), 1)
         out[r.name][r.first : r.first + len(weights)] += (np.asarray(r.moved).reshape(len(weights), -1) / weights[:, None]).astype(np.float32)
     return out

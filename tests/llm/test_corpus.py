@@ -66,6 +66,16 @@ def test_training_learns(spark):
     assert row.mean_log_prob > -0.35  # a guess by frequency has -0.69
 
 
+def test_every_position_is_trained_once(spark):
+    """Over the rounds each token is a target once, and each of its places in a window is used once per target."""
+    docs = documents(spark, [(i, words(i, 30 + i % 7)) for i in range(60)] + [(100, words(5, 5000))] + odd_texts()).filter("text IS NOT NULL")
+    total = sum(len(r.text.encode().split()) for r in docs.collect())
+    kind, _ = lm_score._classes(lm_score._counts(docs))
+    rows = [r for n in range(lm_score.ROUNDS) for r in lm_score._moved(docs, lm_score._first_model(), kind, n).collect()]
+    assert sum(r.weights[0] for r in rows if r.name == "inner" and r["first"] == 0) == total
+    assert sum(sum(r.weights) for r in rows if r.name == "embedding") == 2 * lm_score.SIDE * total
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_shards_are_near_equal(spark, many):
     rows = odd_texts() if not many else [(i, words(i, i % 50)) for i in range(2000)] + [(5000 + i, "copy " * 30) for i in range(1500)]
