@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from snipdex import schemas
 from snipdex.functions import paths as P
-from snipdex.operators.masking import blank
+from snipdex.operators.masking import blank, text_slices
 from snipdex.session import stored
 
 # namespace, class name, member name, kind, code, first line, last line
@@ -182,25 +182,28 @@ def parse_report(files: DataFrame, path: str = "path", text: str = "text", keep:
     """
     table = dict(EXTRACTORS)
 
-    @F.pandas_udf("string")
-    def error(names, bodies, languages):
-        import pandas as pd
-
-        out = []
-        for name, body, lang in zip(names, bodies, languages):
-            try:
-                if lang in table:
-                    for _ in table[lang](name, body):
-                        pass
-                out.append(None)
-            except Exception as e:
-                out.append(f"{type(e).__name__}: {e}")
-        return pd.Series(out, dtype=object)
+    def problem(name: str, body: str | None, lang: str) -> str | None:
+        try:
+            if lang in table:
+                for _ in table[lang](name, body):
+                    pass
+        except Exception as e:
+            return f"{type(e).__name__}: {e}"
+
+    @F.arrow_udf("string")
+    def error(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, bodies, languages in batches:
+            first = 0
+            for some in text_slices(bodies):
+                here = slice(first, first + len(some))
+                first = here.stop
+                yield pa.array([problem(*file) for file in zip(names[here].to_pylist(), some, languages[here].to_pylist())], pa.string())
 
     listed = files.withColumn("_language", P.detect_language(F.col(path))).filter(F.col("_language").isin([*table, *COLUMN_FORMS]))
     key = [*keep, path]
     counts = extract_snippets(listed, path, text, keep).groupBy(*(F.col(k if k != path else "path").alias(f"_k{i}") for i, k in enumerate(key))).agg(F.count(F.lit(1)).alias("_n"))
-    judged = listed.select(*key, error(F.col(path), F.col(text), F.col("_language")).alias("error"))
+    # Texts that windows cut stay in the JVM.
+    judged = listed.select(*key, error(F.col(path), F.when(F.col("_language").isin(list(table)), F.col(text)), F.col("_language")).alias("error"))
     same = functools.reduce(lambda a, b: a & b, (judged[k].eqNullSafe(counts[f"_k{i}"]) for i, k in enumerate(key)))
     joined = judged.join(counts, same, "left")
     snippets = F.when(F.col("error").isNull(), F.coalesce("_n", F.lit(0))).otherwise(0).cast("int")

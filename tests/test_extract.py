@@ -221,3 +221,26 @@ def test_rest_over_ranges(spark, range_lines):
     snippets = spark.createDataFrame([("/r/x.ts", 4, 4), ("/r/x.ts", 4, 4), ("/r/x.ts", 7, 9), ("/r/y.ts", 1, 2)], "path string, start_line int, end_line int")
     found = rest_of_lines(files, snippets, "path", "text", range_lines=range_lines)
     assert sorted((r.path, r.code, r.start_line, r.end_line) for r in found.collect()) == [("/r/x.ts", "a", 1, 1), ("/r/x.ts", "c", 5, 5), ("/r/x.ts", "e", 10, 10)]
+
+
+def test_a_batch_of_files_is_masked_in_slices():
+    """All texts of a batch in order, with never more than a slice of them as Python strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from snipdex.operators import masking
+
+    texts = [("x = 'é'\n" * (i % 400)) if i % 7 else None for i in range(10000)]
+    batch = pa.array(texts + ["long " * 200000, ""])
+    tracemalloc.start()
+    seen, largest = 0, 0
+    for some in masking.text_slices(batch.slice(1)):
+        size = sum(len((t or "").encode()) for t in some)
+        largest = max(largest, size if len(some) > 1 else 0)
+        assert some[0] == batch[seen + 1].as_py() and some[-1] == batch[seen + len(some)].as_py()
+        seen += len(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(batch) - 1 and largest <= masking.SLICE_BYTES
+    assert peak < 8 << 20 < batch.nbytes
