@@ -12,6 +12,7 @@ from snipdex.operators import presets as P
 from snipdex.operators import registry as R
 from snipdex.plans.catalog import query
 from snipdex.plans.domain import CONFIGS_SQL, REGISTRY_SQL, TYPES_BY_BRAND, configs, load, registry
+from snipdex.session import spread_scan
 
 EXTENSIONS_SQL = "(" + ", ".join(f"'{e}'" for e in A.ALLOWED_EXTENSIONS) + ")"
 
@@ -332,7 +333,8 @@ def _legacy_documents(spark, sf_dir):
 
     settings = F.struct((key % 10).alias("retries"), F.col("c_name").alias("owner"), F.struct(F.lit(True).alias("deep")).alias("options"))
     document = F.to_json(F.struct(F.array(mapping(0), mapping(1)).alias("codebaseMappings"), settings.alias("globalSettings")))
-    text_rows = load(spark, sf_dir, "customer").select("c_custkey", document.alias("doc"))
+    # A row of a small file stands for a long document: a few splits would keep a few cores busy.
+    text_rows = spread_scan(load(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", document.alias("doc"))
     return text_rows.select("c_custkey", F.from_json("doc", schemas.as_struct(schemas.LEGACY_CONFIG)).alias("d")).select("c_custkey", "d.*")
 
 

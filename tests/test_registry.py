@@ -234,3 +234,12 @@ def test_evidence_of_project_types(spark):
     files = spark.createDataFrame([("l", "a/x.csproj"), ("l", "a/b.cs"), ("l", "c.cs"), ("l", "setup.py")], "library string, rel_path string")
     row = Q.detect_project_type(files).first()
     assert row["project_type"] == "csharp" and row["evidence"] == ["csharp: *.csproj", "csharp: 2 files .cs", "python: setup.py", "python: 1 files .py"]
+
+
+def test_legacy_documents_go_to_all_cores(spark):
+    from snipdex.plans.configurations import _legacy_documents
+
+    sf = "/root/testdata/sf0.001"
+    rows = _legacy_documents(spark, sf)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.count() == spark.read.parquet(f"{sf}/customer.parquet").count()
