@@ -9,11 +9,11 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,27 +44,40 @@ def embedder(name: str, **options) -> Embedder:
 
 
 CACHED_TOKENS = 1 << 17
+COUNTED_TOKENS = 1 << 16
+
+
+class _Slots(dict):
+    """Twice the dimension of each word, and one more where its sign is negative."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= CACHED_TOKENS:
+            self.clear()
+        digest = hashlib.md5(token.encode()).hexdigest()
+        self[token] = 2 * (int(digest[:8], 16) % self.dim) + (int(digest[8], 16) >= 8)
+        return self[token]
 
 
 def hashed_tokens(dim: int = 64) -> Embedder:
     """A deterministic offline model: a signed, hashed bag of lower-cased words, unit length."""
-    slots: dict[str, tuple[int, float]] = {}
-
-    def slot_of(token: str) -> tuple[int, float]:
-        if token not in slots:
-            if len(slots) >= CACHED_TOKENS:
-                slots.clear()
-            digest = hashlib.md5(token.encode()).hexdigest()
-            slots[token] = int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) < 8 else -1.0
-        return slots[token]
+    slots, words = _Slots(dim), re.compile(r"\w+")
 
     def run(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
+        sizes, found, first = [], [], 0
         for row, text in enumerate(texts):
-            counts = Counter(re.findall(r"\w+", text.lower()))
-            if counts:
-                at, signs = zip(*map(slot_of, counts))
-                out[row] = np.bincount(at, weights=np.multiply(signs, list(counts.values())), minlength=dim)
+            # Two slots for each dimension, one for each sign; the words of several texts are counted at once.
+            before = len(found)
+            found.extend(map(slots.__getitem__, words.findall(text.lower())))
+            sizes.append(len(found) - before)
+            if len(found) >= COUNTED_TOKENS or row + 1 == len(texts):
+                places = np.array(found, dtype=np.int64) + np.repeat(np.arange(len(sizes)) * 2 * dim, sizes)
+                counts = np.bincount(places, minlength=len(sizes) * 2 * dim).reshape(len(sizes), dim, 2)
+                out[first : row + 1] = counts[:, :, 0] - counts[:, :, 1]
+                sizes, found, first = [], [], row + 1
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(lengths > 0, lengths, 1.0)
 
@@ -113,8 +126,12 @@ def embed(
     # A character counts twice at most, so parts of half as many characters fit without an estimate.
     half = max(1, max_tokens // 2)
     fits = (F.length(text) <= half) | (X.estimate_tokens(text) <= max_tokens)
-    ready = df.filter(~X.is_blank(text)).withColumn("_model_texts", F.when(fits, F.array(text)).otherwise(X.chunks(text, half, 0)))
-    names = df.columns
+    # Blank texts are dropped in Python and a text that fits goes there once: a filter on the text would be pushed into the
+    # plan of `df` and have every text made twice.
+    ready = df.withColumns({"_blank": X.is_blank(text), "_parts": F.when(~fits, X.chunks(text, half, 0))})
+    names, asked = df.columns, text_col
+    if text_col not in names:  # a field of a column
+        asked, ready = "_text", ready.withColumn("_text", text)
     schema = T.StructType(
         list(df.schema.fields)
         + [T.StructField(vector_col, T.ArrayType(T.FloatType())), T.StructField("embed_ok", T.BooleanType())]
@@ -123,9 +140,11 @@ def embed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            part = part.filter(pc.invert(pc.fill_null(part.column("_blank"), True)))
             for start in range(0, part.num_rows, size):
                 rows = part.slice(start, size)
-                vectors, ok = _of_parts(rows.column("_model_texts").to_pylist(), lambda some: _call(model, some, dim, attempts, base_ms, strict), size, dim)
+                texts = [some or [text] for some, text in zip(rows.column("_parts").to_pylist(), rows.column(asked).to_pylist())]
+                vectors, ok = _of_parts(texts, lambda some: _call(model, some, dim, attempts, base_ms, strict), size, dim)
                 offsets = pa.array(np.arange(0, (len(vectors) + 1) * dim, dim, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(vectors.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([rows.column(n) for n in names] + [lists, pa.array(ok)], names=names + [vector_col, "embed_ok"])
@@ -140,10 +159,12 @@ def _of_parts(texts: list[list[str]], call, size: int, dim: int) -> tuple[np.nda
     for start in range(0, len(parts), size):
         some = parts[start : start + size]
         vectors, good = call([t for _, t in some])
-        for (row, t), vector in zip(some, vectors):
-            total[row] += vector.astype(np.float64) * len(t)
-            weight[row] += len(t)
-            ok[row] = ok[row] and good
+        at, lengths = np.array([row for row, _ in some]), np.array([len(t) for _, t in some], np.float64)
+        np.add.at(total, at, vectors.astype(np.float64) * lengths[:, None])
+        np.add.at(weight, at, lengths)
+        if not good:
+            for row in at:
+                ok[row] = False
     means = total / np.where(weight > 0, weight, 1)[:, None]
     lengths = np.linalg.norm(means, axis=1, keepdims=True)
     several = np.array([len(some) > 1 for some in texts], bool)[:, None]
