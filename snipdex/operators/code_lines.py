@@ -33,16 +33,20 @@ def _is_header(column: str) -> Column:
 
 
 def masked_files(files: DataFrame, mask: Column, path: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """Stored rows (file, meta, text, mask, n_lines): masking runs once, and a file keeps its number. `meta` has path and `keep`."""
+    """Stored rows (file, meta, text, mask, n_lines) of files with text: masking runs once, and a file keeps its number.
+
+    `meta` has path and `keep`. Files without text are left out when the rows are read: see `extract_snippets`.
+    """
     meta = F.struct(F.col(path).alias("path"), *keep)
     ready = files.select(meta.alias("meta"), F.col(text).alias("text"), mask.alias("mask"), F.size(F.split(text, "\n")).alias("n_lines"))
-    return stored(ready.withColumn("file", F.monotonically_increasing_id()), "masked")
+    return stored(ready.withColumn("file", F.monotonically_increasing_id()), "masked").filter(F.col("text").rlike("\\S"))
 
 
 def file_lines(ready: DataFrame, range_lines: int) -> DataFrame:
     """Rows (file, range, n, line, mask, meta); `meta` is there on lines that look like a header and on the first."""
     both = F.arrays_zip(F.split("text", "\n").alias("line"), F.split("mask", "\n").alias("mask"))
-    lines = ready.select("file", "meta", F.posexplode(both).alias("n", "both")).select("file", "n", "both.line", "both.mask", "meta")
+    # Blanks at the end of a mask, most of it where strings were, mean nothing.
+    lines = ready.select("file", "meta", F.posexplode(both).alias("n", "both")).select("file", "n", "both.line", F.rtrim("both.mask").alias("mask"), "meta")
     named = _is_header("mask") | (F.col("n") == 0)
     return lines.withColumn("meta", F.when(named, F.col("meta"))).withColumn("range", F.expr(f"n div {range_lines}"))
 
@@ -119,8 +123,7 @@ def python_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     """
     from snipdex.operators.extract import WHOLE_FILE
 
-    ready = files.filter(F.col(text).rlike("\\S"))
-    ready = masked_files(ready, python_mask(F.col(text)), path, text, keep)
+    ready = masked_files(files, python_mask(F.col(text)), path, text, keep)
     rows = short_and_long(ready, F.col("n_lines"), range_lines, lambda some, ranged: under_headers(logical_lines(file_lines(some, range_lines), ranged), ranged))
     # Lines before the first header belong to no snippet, unless there is none at all.
     rows = rows.filter(F.col("header").isNotNull() | ~F.col("any_header"))

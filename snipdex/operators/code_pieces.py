@@ -59,9 +59,13 @@ def _last_is(column: str, characters: str) -> Column:
 
 
 def cut_files(files: DataFrame, pieces: Column, path: str, language: Column, keep: tuple[str, ...]) -> DataFrame:
-    """Stored rows (file, meta, pieces): a file is cut once and keeps its number. `meta` has path, language and `keep`."""
+    """Stored rows (file, meta, pieces) of files with text: a file is cut once and keeps its number.
+
+    `meta` has path, language and `keep`. Files without text are left out when the rows are read: see `extract_snippets`.
+    """
     meta = F.struct(F.col(path).alias("path"), language.alias("language"), *keep)
-    return stored(files.select(meta.alias("meta"), pieces.alias("pieces")).withColumn("file", F.monotonically_increasing_id()), "pieces")
+    cut = stored(files.select(meta.alias("meta"), pieces.alias("pieces")).withColumn("file", F.monotonically_increasing_id()), "pieces")
+    return cut.filter(F.exists("pieces", lambda p: p["code"].rlike("\\S")))
 
 
 def file_pieces(ready: DataFrame, range_pieces: int) -> DataFrame:
@@ -134,8 +138,7 @@ def script_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     from snipdex.operators.extract import WHOLE_FILE
 
     language = P.detect_language(F.col(path))
-    ready = files.filter(F.col(text).rlike("\\S"))
-    ready = cut_files(ready, script_pieces(F.col(text)), path, language, keep)
+    ready = cut_files(files, script_pieces(F.col(text)), path, language, keep)
 
     def segments(some: DataFrame, ranged: bool) -> DataFrame:
         rows = with_depth(file_pieces(some, range_pieces), "([{", ")]}", ranged)
@@ -261,8 +264,7 @@ def csharp_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     """
     from snipdex.operators.extract import CSHARP_LABELS, CSHARP_MODIFIERS
 
-    ready = files.filter(F.col(text).rlike("\\S"))
-    ready = cut_files(ready, csharp_pieces(F.col(text)), path, F.lit("csharp"), keep)
+    ready = cut_files(files, csharp_pieces(F.col(text)), path, F.lit("csharp"), keep)
     opens = F.exists("pieces", lambda p: p["mask"].endswith("{") & F.contains(p["mask"], F.lit("namespace")))
     blocks = not ready.filter(opens).isEmpty()
 

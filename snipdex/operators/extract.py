@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +120,10 @@ def _snippets_of(table: dict[str, Extractor], path: str, text: str, language: st
         return [_whole(path, text)]
 
 
+def _with_text(ready: DataFrame, languages: Iterable[str]) -> DataFrame:
+    return ready.filter(F.col("_language").isin(list(languages)) & F.col("_text").rlike("\\S"))
+
+
 def _by_function(ready: DataFrame, keep: tuple[str, ...], table: dict[str, Extractor]) -> DataFrame:
     """Snippets of (keep, _path, _text, _language) files whose language one function cuts."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -159,19 +163,20 @@ def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", k
     table = dict(EXTRACTORS)
     forms = {"lines": python_snippets, "script": script_snippets, "csharp": csharp_snippets}
     ready = files.select(*keep, F.col(path).alias("_path"), F.col(text).alias("_text"), P.detect_language(F.col(path)).alias("_language"))
-    ready = ready.filter(F.col("_text").rlike("\\S"))
+    # The language decides first, and the forms look at a text only once it is there: a filter on the text would be pushed
+    # into the plan of `files` and have every text made again for every form.
     parts = []
     for name, form in forms.items():
         languages = [lang for lang, kind in COLUMN_FORMS.items() if kind == name and lang not in table]
         if languages:
             parts.append(form(ready.filter(F.col("_language").isin(languages)), "_path", "_text", keep))
     if table:
-        parts.append(_by_function(ready.filter(F.col("_language").isin(list(table))), keep, table))
+        parts.append(_by_function(_with_text(ready, table), keep, table))
     found = functools.reduce(DataFrame.unionByName, parts)
     if not rest:
         return found
     found = stored(found, "snippets")
-    known = ready.filter(F.col("_language").isin([*table, *COLUMN_FORMS]))
+    known = _with_text(ready, [*table, *COLUMN_FORMS])
     return found.unionByName(rest_of_lines(known, found, "_path", "_text", keep))
 
 

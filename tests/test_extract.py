@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from snipdex.operators import extract as E
 from snipdex.operators.code_lines import rest_of_lines
+from snipdex.session import stored
 
 CSHARP = '''using System;
 namespace A.B
@@ -244,3 +245,38 @@ def test_a_batch_of_files_is_masked_in_slices():
     tracemalloc.stop()
     assert seen == len(batch) - 1 and largest <= masking.SLICE_BYTES
     assert peak < 8 << 20 < batch.nbytes
+
+
+def _times_made(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("made_here")
+
+
+def _made(spark, suffix):
+    """Files whose text is an expression, as a listing may have it."""
+    text = F.regexp_replace(F.concat(F.lit("def f():\n    a = "), F.col("id").cast("string")), "made_here", "x")
+    return spark.range(3).select(F.concat(F.lit("/r/f"), F.col("id").cast("string"), F.lit(suffix)).alias("path"), text.alias("text"))
+
+
+@pytest.mark.parametrize("suffix", [".py", ".ts", ".cs"])
+def test_source_texts_are_made_once(spark, monkeypatch, suffix):
+    """No filter on the text is pushed below: every text would be made again, and for every language."""
+    from snipdex.operators import code_lines, code_pieces
+
+    seen = []
+
+    def watched(df, label):
+        if label in ("masked", "pieces"):
+            seen.append(_times_made(df))
+        return stored(df, label)
+
+    for module in (code_lines, code_pieces):
+        monkeypatch.setattr(module, "stored", watched)
+    assert E.extract_snippets(_made(spark, suffix)).count() == (0 if suffix == ".cs" else 3)
+    assert seen == [1, 1, 1]
+
+
+def test_embedded_texts_are_made_once(spark):
+    from snipdex.operators import embed
+
+    rows = embed.embed(_made(spark, ".py"), "text", embed.hashed_tokens(4), 4)
+    assert _times_made(rows) == 1 and rows.count() == 3
