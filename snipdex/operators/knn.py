@@ -26,11 +26,17 @@ from pyspark.sql import types as T
 SCORE_PLACES = 9
 MAX_BROADCAST_QUERIES = 2048
 CELL_BYTES = 32 << 20
+# Of exact search: unit vectors of a block, pairs of blocks for each core, rows that a block has at least.
+BLOCK_BYTES, CELLS_PER_CORE, LEAST_ROWS = 96 << 20, 4, 1024
+# Columns scored at once, candidates that are scored again at once, and the part of all pairs that may be candidates.
+COLUMNS, WAITING, SPARSE = 4096, 1 << 20, 64
 MAX_FEW_SCOPES = 1 << 18
 # Of `knn_lsh`: sampled queries and vectors, settings tried, and what moving a row costs in scores.
 SAMPLE_QUERIES, SAMPLE_VECTORS, SAMPLE_BYTES = 512, 2048, 64 << 20
 TABLES, BITS, PROBES = (8, 16), range(4, 25, 2), (4, 16, 64)
 SHUFFLED_ROW = 500
+# Copies of a query and of its share of the vectors that `knn_lsh` may shuffle: what it moves grows with the rows only.
+MAX_COPIES = 64
 NEAREST_BITS = 8
 
 
@@ -73,6 +79,78 @@ def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, threshold: floa
     return _first_k(rows, ids[cols], scores[rows, cols], k)
 
 
+class _Side:
+    """The usable rows of a block: as they are, their lengths, and unit rows in single precision."""
+
+    def __init__(self, array: pa.ChunkedArray, ids: np.ndarray, dim: int):
+        flat = np.asarray(array.combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        rows = (flat if flat.dtype.kind == "f" else flat.astype(np.float64)).reshape(-1, dim)
+        lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+        usable = np.isfinite(lengths) & (lengths > 0)
+        whole = usable.all()
+        self.rows, self.lengths, self.ids = (rows, lengths, ids) if whole else (rows[usable], lengths[usable], ids[usable])
+        self.single = np.empty(self.rows.shape, dtype=np.float32)
+        for start in range(0, len(self), COLUMNS):
+            self.single[start : start + COLUMNS] = self.unit(slice(start, start + COLUMNS))
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def unit(self, at) -> np.ndarray:
+        return self.rows[at].astype(np.float64) / self.lengths[at][:, None]
+
+
+def _best_of_block(q: _Side, v: _Side, k: int, threshold: float | None):
+    """`_best` for two blocks, by slices of q: row numbers of q, ids and scores.
+
+    Scores in single precision only choose the pairs that are scored in double precision: `margin` is more than they can be
+    off, so none of the best k is lost. The floor of a row is the k-th score so far. Where many pairs are that close, as
+    among copies, all are scored in double precision.
+    """
+    margin = (q.rows.shape[1] + 8) * 2.0**-22
+    step = max(1, CELL_BYTES // (4 * COLUMNS))
+    for start in range(0, len(q), step):
+        some = slice(start, min(start + step, len(q)))
+        size = some.stop - start
+        floor = np.full(size, -np.inf if threshold is None else threshold - margin, dtype=np.float32)
+        best, waiting, merge_at = (np.zeros(0, np.int64), v.ids[:0], np.zeros(0)), [], 1
+        blocks = range(0, len(v), COLUMNS)
+        for number, first in enumerate(blocks, 1):
+            columns = slice(first, min(first + COLUMNS, len(v)))
+            scores = q.single[some] @ v.single[columns].T
+            if number == 1 and scores.shape[1] > k:
+                floor = np.maximum(floor, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - np.float32(2 * margin))
+            close = scores >= floor[:, None]
+            if np.count_nonzero(close) > scores.size // SPARSE:
+                for half in range(0, size, step // 2 or 1):
+                    part = slice(start + half, min(start + half + (step // 2 or 1), some.stop))
+                    rows, ids, exact = _best(q.unit(part), v.unit(columns), v.ids[columns], k, threshold)
+                    waiting.append((rows + half, ids, exact))
+            else:
+                rows, cols = np.nonzero(close)
+                exact = np.round(np.einsum("ij,ij->i", q.unit(start + rows), v.unit(first + cols)), SCORE_PLACES)
+                good = slice(None) if threshold is None else exact >= threshold
+                waiting.append((rows[good], v.ids[first + cols[good]] if threshold is not None else v.ids[first + cols], exact[good]))
+            if number >= merge_at or number == len(blocks) or sum(len(w[0]) for w in waiting) > WAITING:
+                best = _first_k(*(np.concatenate(p) for p in zip(best, *waiting)), k)
+                waiting, merge_at = [], 2 * number
+                full = np.searchsorted(best[0], np.arange(size), side="right")
+                held = full - np.searchsorted(best[0], np.arange(size), side="left") == k
+                floor[held] = np.maximum(floor[held], best[2][full[held] - 1] - 2 * margin)
+        if len(blocks):
+            yield start + best[0], best[1], best[2]
+
+
+def _block_rows(n_queries: int, n_vectors: int, dim: int, cores: int) -> int:
+    """Rows of a block, so that all cores have several pairs of blocks.
+
+    Each row goes to as many places as the other side has blocks. Large blocks keep that small on large tables, since the
+    shuffle grows with rows times blocks; small ones deal a small table to all cores.
+    """
+    even = math.ceil(math.sqrt(n_queries * n_vectors / (CELLS_PER_CORE * cores)))
+    return min(max(LEAST_ROWS, BLOCK_BYTES // (8 * dim)), max(LEAST_ROWS, even))
+
+
 def _first_k(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     order = np.lexsort((ids, -scores, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
@@ -165,6 +243,7 @@ def _by_blocks(queries, vectors, dim, k, threshold, scoped, cell_rows, few_scope
         vectors, queries = vectors.join(grid, "scope"), queries.join(grid, "scope")
     else:
         counts = {"v_blocks": vectors.count(), "q_blocks": queries.count()}
+        cell_rows = cell_rows or _block_rows(*counts.values(), dim, vectors.sparkSession.sparkContext.defaultParallelism)
         fixed = {n: F.lit(max(1, -(-c // cell_rows))) for n, c in counts.items()}
         vectors, queries = (df.withColumns({"scope": F.lit(0), **fixed}) for df in (vectors, queries))
     schema = _hit_schema(queries, vectors, True)
@@ -180,19 +259,15 @@ def _by_blocks(queries, vectors, dim, k, threshold, scoped, cell_rows, few_scope
         out = _arrow(schema)
         if left.num_rows == 0 or right.num_rows == 0:
             return out.empty_table()
-        q, q_ok = _matrix(left.column("q_vector"), dim)
-        v, v_ok = _matrix(right.column("vector"), dim)
-        qids, vids = np.asarray(left.column("query_id").to_pylist(), dtype=object)[q_ok], _ids(right.column("vec_id"))[v_ok]
-        q, v = q[q_ok], v[v_ok]
+        q = _Side(left.column("q_vector"), np.asarray(left.column("query_id").to_pylist(), dtype=object), dim)
+        v = _Side(right.column("vector"), _ids(right.column("vec_id")), dim)
         if not len(q) or not len(v):
             return out.empty_table()
-        # The score matrix is built for a slice of the queries at a time.
-        step = max(1, CELL_BYTES // (8 * len(v)))
+        # The score matrix is built for a slice of both sides at a time.
         parts = []
         scope = left.column("scope")[0].as_py()
-        for start in range(0, len(q), step):
-            at, ids, scores = _best(q[start : start + step], v, vids, k, threshold)
-            names = qids[start + at].tolist()
+        for at, ids, scores in _best_of_block(q, v, k, threshold):
+            names = q.ids[at].tolist()
             parts.append(_hits(names, [scope] * len(names), ids, scores, out))
         return pa.concat_tables([pa.Table.from_arrays(p, schema=out) for p in parts])
 
@@ -239,7 +314,7 @@ def knn_join(
             rows = [r for r in sample if len(r["q_vector"]) == dim]
             part = _by_broadcast(some_queries, rows, some_vectors, dim, wanted, threshold, scoped)
         else:
-            size = cell_rows or max(1024, CELL_BYTES // (8 * dim))
+            size = cell_rows or (max(1024, CELL_BYTES // (8 * dim)) if scoped else None)
             part = _by_blocks(some_queries, some_vectors, dim, wanted, threshold, scoped, size)
         hits = part if hits is None else hits.unionByName(part)
     if exclude_self:
@@ -311,7 +386,8 @@ def lsh_settings(
     The recall is measured on a sample of the queries (by a hash of their ids) against their exact
     neighbours in the whole table: a neighbour is found if one of its buckets is asked.  Two
     standard errors are kept above `recall`.  The cost of a setting is the share of a sample of
-    vectors that meets the queries, and the rows that it moves.
+    vectors that meets the queries, and the rows that it moves, of which MAX_COPIES bounds the number:
+    without a bound, a larger table pays for more copies of every row.
     """
     n_queries, n_vectors = queries.count(), vectors.count()
     wanted = min(SAMPLE_QUERIES, max(32, SAMPLE_BYTES // (8 * dim * k)))
@@ -329,8 +405,11 @@ def lsh_settings(
     least, best = float(n_vectors), None
     for tables in TABLES:
         for bits in BITS:
-            moved = {p: SHUFFLED_ROW * (tables * (1 + p) + tables * n_vectors / max(1, n_queries)) for p in PROBES}
-            tried = [p for p in PROBES if moved[p] < least]
+            copies = {p: tables * (1 + p) + tables * n_vectors / max(1, n_queries) for p in PROBES}
+            moved = {p: SHUFFLED_ROW * c for p, c in copies.items()}
+            # Few queries may have more copies, as long as they are no more rows than the copies of the vectors.
+            bound = {p: max(MAX_COPIES, 2 * tables * n_vectors / max(1, n_queries)) for p in PROBES}
+            tried = [p for p in PROBES if moved[p] < least and copies[p] <= bound[p]]
             if not tried:
                 break
             near, far = _codes(v, tables, bits, 0, seed), _codes(others, tables, bits, 0, seed)

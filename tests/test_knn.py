@@ -164,3 +164,43 @@ def test_collection_info(spark):
     df = frame(spark, [("a", [1.0, 2.0]), ("a", [1.0]), ("b", [1.0])], "collection string, vector array<double>")
     got = {tuple(r) for r in knn.collection_info(df).collect()}
     assert got == {("a", 2, 2, "mixed"), ("b", 1, 1, "green")}
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("k, threshold", [(3, None), (400, None), (5, 0.4)])
+def test_blocks_scored_in_single_precision_first_give_the_exact_best(monkeypatch, kind, k, threshold):
+    """Slices of both sides, many copies, almost equal rows, zero and missing numbers."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(knn, "COLUMNS", 64)
+    monkeypatch.setattr(knn, "CELL_BYTES", 4 * 64 * 50)
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((300, DIM)).astype(kind)
+    rows[40:140] = rows[40]
+    rows[200:220] = rows[200] * (1 + 1e-7 * rng.standard_normal((20, DIM)))
+    rows[7], rows[8, 0] = 0, np.nan
+    ids = np.array([f"v{i:03}" for i in rng.permutation(300)])
+    array = pa.chunked_array([pa.array(list(rows[:100]), pa.list_(pa.from_numpy_dtype(kind))), pa.array(list(rows[100:]), pa.list_(pa.from_numpy_dtype(kind)))])
+    side = knn._Side(array, ids, DIM)
+    got = [np.concatenate(c) for c in zip(*knn._best_of_block(side, side, k, threshold))]
+    unit, usable = knn._matrix(array, DIM)
+    want = knn._best(unit[usable], unit[usable], ids[usable], k, threshold)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and len(side) == 298
+
+
+def test_blocks_go_to_all_cores_and_stay_few(spark):
+    def blocks(rows, cores):
+        return -(-rows // knn._block_rows(rows, rows, 64, cores))
+
+    assert blocks(51_282, 12) ** 2 >= 3 * 12 and blocks(3_000_000, 12) <= 16 and blocks(1000, 12) == 1
+    v = spark.range(6000).select(F.col("id").alias("vec_id"), F.array(*[F.randn(i) for i in range(DIM)]).alias("vector"))
+    hits = knn._by_blocks(v.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector")), v, DIM, 2, None, False, None)
+    assert hits.groupBy("query_id").count().agg(F.min("count")).first()[0] >= 4  # two of each block
+
+
+def test_settings_bound_the_copies(spark, monkeypatch):
+    """However dear scores are, a row is shuffled to a bounded number of places."""
+    monkeypatch.setattr(knn, "SHUFFLED_ROW", 0)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(5).standard_normal((3000, DIM)))], "vec_id long, vector array<double>")
+    tables, _, probes = knn.lsh_settings(v.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector")), v, DIM, 5, exclude_self=True)
+    assert tables * (1 + probes) + tables <= 64
