@@ -29,7 +29,12 @@ def apply_bursts(
     last = upsert_latest(rows.select("root", "file_key", "path", "last_time", "action"), ["root", "file_key"], ["last_time", "action", "path"])
     changed = last.select(P.collection_name(F.col("root")).alias("collection"), F.col("path").alias("file_path"))
     updates = last.filter("action = 'update'").select("root", "path", "file_key")
-    store.replace_files(changed, build(files_of(updates)), change_id)
+    # Cutting reads the files once for every language: without a copy, what finds their texts would run each time.
+    found = files_of(updates)
+    spark, path = found.sparkSession, scratch_path(found.sparkSession, "changed-files")
+    found.write.parquet(path)
+    store.replace_files(changed, build(spark.read.schema(found.schema).parquet(path)), change_id)
+    delete_path(spark, path)
 
 
 def apply_held(

@@ -180,3 +180,26 @@ def test_lifecycle_expires_silent_events(spark):
     for r in sorted(got, key=lambda r: (r["last_us"], r["status"] == "Expired")):
         last[r["event_id"]] = (r["status"], r["retry_count"])
     assert last == {"a": ("Expired", 1), "b": ("Completed", 0), "c": ("Expired", 0), "d": ("Completed", 0)}
+
+
+def test_texts_of_changed_files_are_found_once(spark):
+    """What `build` gets is a stored table, not the plan that finds the texts."""
+    from snipdex.streaming.apply import apply_bursts
+
+    plans, stored_rows = [], []
+
+    class Store:
+        def replace_files(self, changed, fresh, change_id):
+            stored_rows.extend(fresh.collect())
+
+    def files_of(wanted):
+        return wanted.select("root", "path", F.regexp_replace("path", "found_here", "x").alias("text"))
+
+    def build(files):
+        plans.append(files._jdf.queryExecution().optimizedPlan().toString())
+        return files
+
+    bursts = spark.createDataFrame([("/r", "/r/a.py", 1, "Created"), ("/r", "/r/a.py", 2, "Changed"), ("/r", "/r/b.py", 1, "Deleted")], "root string, path string, last_time int, change_type string")
+    apply_bursts(bursts, Store(), files_of, build, "one")
+    assert [(r.path, r.text) for r in stored_rows] == [("/r/a.py", "/r/a.py")]
+    assert len(plans) == 1 and "found_here" not in plans[0]
