@@ -15,29 +15,69 @@ repeat an id follow each other in no fixed order. An empty table gives files wit
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from collections import deque
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipdex.llm.bpe import KNOWN_LENGTH, KNOWN_PIECES, WordEncoder, shared_tokenizer, text_slices
+from snipdex.llm.bpe import KNOWN_LENGTH, KNOWN_PIECES, byte_characters, shared_tokenizer
 from snipdex.llm.range_coder import decode_blocks, encode_blocks
 
 BLOCK = 2048
-GROUP = 1536
+GROUP = 3072
+SLICE_BYTES = 4_000_000
 END_ID = 1
 SEGMENT = "row long, id {kind}, start long, total long, first long, n long"
 
 
-class LibraryEncoder(WordEncoder):
-    """The tokenizers library, asked once for each piece between blanks; pieces are not changed before."""
+#: What texts go through before words are merged; pieces of texts for other tokenizers go to the library as they are.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+OTHER, BLANK, LETTER, NUMBER, SIGN = range(5)
+
+
+def character_kinds(special: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of the characters below 0x10000 that act alone; `OTHER` are for the library to judge.
+
+    Those are marks and what composes or changes its length, blanks and control characters, apostrophes, which begin
+    contractions, and first characters of special tokens."""
+    kinds, lower = np.zeros(1 << 16, np.uint8), np.arange(1 << 16, dtype=np.uint32)
+    for code in range(33, 0xD800):
+        char = chr(code)
+        kind = {"L": LETTER, "N": NUMBER, "P": SIGN, "S": SIGN}.get(unicodedata.category(char)[0], OTHER)
+        small = char.lower()
+        if kind != OTHER and len(small) == 1 and unicodedata.normalize("NFC", char) == char and not 0x1100 <= code < 0x1200:
+            kinds[code], lower[code] = kind, ord(small)
+    for char in ["'", *(s[0] for s in special)]:
+        kinds[min(ord(char), 0xFFFF)] = OTHER
+    kinds[[9, 10, 11, 12, 13, 32]] = BLANK
+    return kinds, lower
+
+
+class LibraryEncoder:
+    """The tokenizers library, asked once for each word that a worker does not remember.
+
+    Texts are cut into words by numpy. What holds a character that `character_kinds` leaves to the library is not: it
+    goes to the library whole, from blank to blank, and is remembered like a word."""
 
     def __init__(self, text: str):
-        super().__init__(text)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,18 +85,95 @@ class LibraryEncoder(WordEncoder):
         self.library.no_truncation()
         self.library.no_padding()
         self.ids = self.library.get_vocab_size(with_added_tokens=True)
+        spec = json.loads(text)
+        self.kinds, self.lower = character_kinds([t["content"] for t in spec["added_tokens"]])
+        if any(spec.get(step) != STEPS[step] for step in STEPS):
+            self.kinds[self.kinds != BLANK] = OTHER
+        self.byte_names = {b: ord(c) for b, c in enumerate(byte_characters())}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # words with a blank before them, and their places in `sizes`
+        self.sizes, self.stream, self.characters = np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+
+    def _word(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.byte_names)
+        return [t.id for t in self.library.model.tokenize(word)]
+
+    def _places(self, words: list[str], whole: set[int]) -> np.ndarray:
+        """Places of different words; those in `whole` are pieces for the whole library."""
+        if len(self.known) > KNOWN_PIECES // 2 or self.characters > KNOWN_PIECES * KNOWN_LENGTH // 2:  # the coder needs room too
+            self._forget()
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(found < 0)
+        if not len(at):
+            return found
+        new = [words[i] for i in at]
+        asked = [words[i][1:] for i in at if i in whole] if whole else []
+        answers = iter(self.library.encode_batch_fast(asked, add_special_tokens=False))
+        ids = [next(answers).ids if i in whole else self._word(words[i][1:]) for i in at.tolist()]
+        found[at] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.stream = np.append(self.stream, np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.characters += sum(map(len, new))
+        return found
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray | None]:
+        """Words, each with a blank before it, how many each text has, and which are whole pieces if any is."""
+        codes = np.frombuffer("\n".join(texts.to_numpy(zero_copy_only=False)).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64) + 1)
+        kinds = self.kinds.take(codes, mode="clip")
+        small = self.lower.take(codes, mode="clip")
+        begins = kinds == NUMBER
+        begins[1:] |= kinds[1:] != kinds[:-1]
+        begins[:1] = True
+        inside = kinds != BLANK
+        begins &= inside
+        other = None
+        if not kinds.all():  # a piece with a character of kind OTHER is one word, and stays as it is
+            piece = np.cumsum(~inside)
+            odd = np.zeros(int(piece[-1]) + 1, bool)
+            odd[piece[kinds == OTHER]] = True
+            odd = odd[piece] & inside
+            small[odd] = codes[odd]
+            begins[1:] &= ~(odd[1:] & inside[:-1])
+            other = odd[begins]
+        firsts = np.flatnonzero(begins)
+        counts = np.diff(np.append(0, np.searchsorted(firsts, ends)))
+        spaced = np.full(int(inside.sum()) + len(firsts), 32, np.uint32)
+        at = np.cumsum(begins[inside])
+        at += np.arange(len(at))
+        spaced[at] = small[inside]
+        letters = np.frombuffer(spaced.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        offsets = np.append(np.flatnonzero(letters == 32), len(letters))
+        words = pa.LargeStringArray.from_buffers(len(firsts), pa.py_buffer(offsets), pa.py_buffer(letters))
+        return words, counts, other
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and how many each has; null is empty."""
+        words, counts, other = self._cut(pc.fill_null(texts, ""))
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy()
+        whole = set() if other is None else set(np.unique(which[other]).tolist())
+        places = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
+        start = (np.cumsum(self.sizes) - self.sizes)[places]
+        sizes = self.sizes[places].take(which)
+        ends = np.cumsum(sizes)
+        at = np.repeat(start.take(which) - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.stream.take(at), np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))], prepend=0)[1:]
+
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.blanks.split(t) if self.separators.search(t) else t.split() for t in texts]
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p and p not in known})
-        here = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        if len(known) + len(here) > KNOWN_PIECES // 2:  # the coder needs room too
-            here |= {p: known[p] for pieces in split for p in pieces if p in known}
-            known.clear()
-        known.update((p, ids) for p, ids in here.items() if len(p) <= KNOWN_LENGTH)
-        found = [b"".join([known[p] if p in known else here[p] for p in pieces if p]) for pieces in split]
-        return [np.frombuffer(f, np.uint32) for f in found]
+def arrow_slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids (column 0) and texts (column 1) in slices of up to `size` bytes, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, side="right")))
+        yield batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
+        first = last
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -72,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         encoder, part = state["library"], TaskContext.get().partitionId()
         segment_type = pa.struct([("row", pa.int64()), ("id", arrow), ("start", pa.int64()), ("total", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
         waiting: list[np.ndarray] = []  # ids not yet in a block
-        pending: list[tuple] = []  # documents not yet in a block: row, id, start, total
+        pending: deque[tuple] = deque()  # documents not yet in a block: row, id, start, total
         held, placed, row, end, number = 0, 0, 0, 0, 0
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:
@@ -94,7 +211,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                         inside.append({"row": at, "id": key, "start": start, "total": total, "first": begin - start, "n": finish - begin})
                         if start + total > stop:
                             break
-                        pending.pop(0)
+                        pending.popleft()
                     segments.append(inside)
                     placed = stop
                 yield pa.RecordBatch.from_arrays(
@@ -104,12 +221,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 number += len(some)
 
         for batch in batches:
-            for keys, texts in text_slices(batch):
-                for key, ids in zip(keys.to_pylist(), encoder.encode_all(texts)):
-                    waiting.append(ids)
-                    waiting.append(np.array([end_id], np.uint32))
-                    pending.append((row, key, end, len(ids) + 1))
-                    row, end, held = row + 1, end + len(ids) + 1, held + len(ids) + 1
+            for keys, texts in arrow_slices(batch, SLICE_BYTES):
+                ids, counts = encoder.encode_all(texts)
+                waiting.append(np.insert(ids, np.cumsum(counts), np.uint32(end_id)))
+                held += len(waiting[-1])
+                for key, n in zip(keys.to_pylist(), (counts + 1).tolist()):
+                    pending.append((row, key, end, n))
+                    row, end = row + 1, end + n
                 if held >= BLOCK * GROUP:
                     yield from blocks(False)
         yield from blocks(True)
