@@ -124,9 +124,20 @@ class _Model:
         self.last[:lanes] = numbers
 
 
+def _turned(table: np.ndarray) -> np.ndarray:
+    """Rows as columns, some at a time so that memory is read and written by lines."""
+    out = np.empty(table.shape[::-1], table.dtype)
+    for first in range(0, len(table), 32):
+        out[:, first : first + 32] = table[first : first + 32].T
+    return out
+
+
 def _short_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers as bytes of seven bits, the lowest first and the last below 128, and the bytes of each."""
-    width = 1 + sum((values >= (1 << bits)).astype(np.int64) for bits in (7, 14, 21, 28))
+    width = np.ones(len(values), np.int64)
+    for bits in (7, 14, 21, 28):
+        if values.max(initial=0) >> bits:
+            width += values >= (1 << bits)
     ends = np.cumsum(width)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(width.max(initial=0)):
@@ -160,8 +171,8 @@ def _alphabets(blocks: list[np.ndarray], ids: int) -> tuple[np.ndarray, np.ndarr
         cells = np.concatenate(these).astype(np.int64) + np.repeat(np.arange(len(these)) * ids, lengths)
         mark[cells] = True
         eights = np.flatnonzero(mark.view(np.uint64))  # few are marked: look at eight cells at once
-        which, cell = np.nonzero(mark.reshape(-1, 8)[eights])
-        used = eights[which] * 8 + cell
+        cell = np.flatnonzero(mark.reshape(-1, 8)[eights])
+        used = (eights << 3)[cell >> 3] + (cell & 7)
         lane = used // ids
         size = np.bincount(lane, minlength=len(these))
         begin = np.cumsum(size) - size
@@ -188,7 +199,7 @@ def encode_blocks(blocks: list[np.ndarray], ids: int) -> list[bytes]:
     by_lane = np.zeros((len(blocks), longest), np.uint16)
     for lane, at in enumerate(order):
         by_lane[lane, : lengths[at]] = numbers[at]
-    table = np.ascontiguousarray(by_lane.T)
+    table = _turned(by_lane)
     working = len(blocks) - np.searchsorted(lengths[order][::-1], np.arange(longest), side="right")
     model = _Model(sizes[order])
     low, size = np.zeros(len(blocks), np.uint64), np.full(len(blocks), U64(2**64 - 1))
@@ -317,7 +328,7 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         table[turn, :lanes] = these
         model.learn(lanes, slots, found, guesses, rows, shares, few, first, these)
     made: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
-    by_lane, alphabet = np.ascontiguousarray(table.T), alphabet.astype(np.uint32)
+    by_lane, alphabet = _turned(table), alphabet.astype(np.uint32)
     for lane, at in enumerate(order):
         made[at] = alphabet[model.base[lane] :].take(by_lane[lane, : lengths[lane]])
         if zlib.crc32(made[at].astype("<u4")) != sums[lane]:

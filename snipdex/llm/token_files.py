@@ -1,13 +1,13 @@
 """Token ids of a corpus as compressed blocks in files, and back.
 
 Documents are dealt into ranges of ascending id; each task encodes its range, puts the ids of all its documents one
-behind the other and cuts them into blocks of `BLOCK` ids. A block is one record: its bytes (`range_coder`: magic,
-number of ids, checksum, coded ids) and the segments of documents that lie in it. Blocks are independent: any of them
-can be read alone, and Spark's writer commits a file only when its task is done, so a lost executor leaves no torn
-file. The files can lie in any store that Spark writes to.
+behind the other and cuts them into blocks of `BLOCK` ids. A row of a file has whole documents, about `ROW` ids or one
+longer document: their ids and sizes, and the blocks (`range_coder`: magic, number of ids, checksum, coded ids), the last
+of which may be short. Blocks are independent: any of them can be read alone, and Spark's writer commits a file only
+when its task is done, so a lost executor leaves no torn file. The files can lie in any store that Spark writes to.
 
-Reading decodes blocks in any order; a document in one block is complete at once, the segments of longer ones are put
-together by a grouping. The place of a document in the whole stream follows from the ids per range, one row each.
+Rows are decoded in any order and give whole documents, so nothing is moved to read them. The place of a document in the
+whole stream follows from its row and from the ids per range, one row each.
 
 Results: a null text is encoded as empty and has only the end id. Documents with a null id come first. Rows that
 repeat an id follow each other in no fixed order. An empty table gives files without rows, and these no documents.
@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -33,10 +32,10 @@ from snipdex.llm.bpe import KNOWN_LENGTH, KNOWN_PIECES, byte_characters, shared_
 from snipdex.llm.range_coder import decode_blocks, encode_blocks
 
 BLOCK = 2048
+ROW = 64 * BLOCK
 GROUP = 3072
 SLICE_BYTES = 4_000_000
 END_ID = 1
-SEGMENT = "row long, id {kind}, start long, total long, first long, n long"
 
 
 #: What texts go through before words are merged; pieces of texts for other tokenizers go to the library as they are.
@@ -90,16 +89,26 @@ class LibraryEncoder:
         if any(spec.get(step) != STEPS[step] for step in STEPS):
             self.kinds[self.kinds != BLANK] = OTHER
         self.byte_names = {b: ord(c) for b, c in enumerate(byte_characters())}
-        self._forget()
+        self.model = self.library.model
+        self.known: dict[str, int] = {}  # words with a blank before them, and their places in `sizes`
+        self.sizes, self.stream, self.uses, self.characters = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # words with a blank before them, and their places in `sizes`
-        self.sizes, self.stream, self.characters = np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        """Keep the words that were in more than one slice since the last time, or none if that is more than half."""
+        keep = np.flatnonzero(self.uses > 1)
+        words = list(self.known)
+        words = [words[i] for i in keep]
+        characters = sum(map(len, words))
+        if 2 * len(words) > len(self.known) or 2 * characters > self.characters:
+            keep, words, characters = keep[:0], [], 0
+        start, sizes = (np.cumsum(self.sizes) - self.sizes)[keep], self.sizes[keep]
+        self.stream = self.stream[np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        self.known, self.sizes, self.uses, self.characters = dict(zip(words, range(len(words)))), sizes, np.zeros(len(words), np.int64), characters
 
     def _word(self, word: str) -> list[int]:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.byte_names)
-        return [t.id for t in self.library.model.tokenize(word)]
+        return [t.id for t in self.model.tokenize(word)]
 
     def _places(self, words: list[str], whole: set[int]) -> np.ndarray:
         """Places of different words; those in `whole` are pieces for the whole library."""
@@ -107,8 +116,6 @@ class LibraryEncoder:
             self._forget()
         found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(found < 0)
-        if not len(at):
-            return found
         new = [words[i] for i in at]
         asked = [words[i][1:] for i in at if i in whole] if whole else []
         answers = iter(self.library.encode_batch_fast(asked, add_special_tokens=False))
@@ -117,6 +124,8 @@ class LibraryEncoder:
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
         self.stream = np.append(self.stream, np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
+        self.uses[found] += 1
         self.characters += sum(map(len, new))
         return found
 
@@ -143,9 +152,9 @@ class LibraryEncoder:
         firsts = np.flatnonzero(begins)
         counts = np.diff(np.append(0, np.searchsorted(firsts, ends)))
         spaced = np.full(int(inside.sum()) + len(firsts), 32, np.uint32)
-        at = np.cumsum(begins[inside])
-        at += np.arange(len(at))
-        spaced[at] = small[inside]
+        letter = np.ones(len(spaced), bool)
+        letter[np.flatnonzero(begins[inside]) + np.arange(len(firsts))] = False
+        spaced[letter] = small[inside]
         letters = np.frombuffer(spaced.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
         offsets = np.append(np.flatnonzero(letters == 32), len(letters))
         words = pa.LargeStringArray.from_buffers(len(firsts), pa.py_buffer(offsets), pa.py_buffer(letters))
@@ -176,117 +185,104 @@ def arrow_slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, p
         first = last
 
 
+def even_groups(n: int) -> Iterator[tuple[int, int]]:
+    """First and last of about `GROUP` blocks each, so that no group is much smaller than the others."""
+    step = -(-n // max(1, round(n / GROUP)))
+    for first in range(0, n, max(1, step)):
+        yield first, min(n, first + step)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Write the ids of all texts, each with the end id behind it, in ascending order of the document ids."""
     shared = shared_tokenizer(docs, tokenizer)
     kind = dict(docs.dtypes)[id_col]
-    arrow = docs.select(id_col).limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shared.value["built"]
         if "library" not in state:
             state["library"] = LibraryEncoder(shared.value["file"])
         encoder, part = state["library"], TaskContext.get().partitionId()
-        segment_type = pa.struct([("row", pa.int64()), ("id", arrow), ("start", pa.int64()), ("total", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
-        waiting: list[np.ndarray] = []  # ids not yet in a block
-        pending: deque[tuple] = deque()  # documents not yet in a block: row, id, start, total
-        held, placed, row, end, number = 0, 0, 0, 0, 0
-
-        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, placed, number
-            stream = np.concatenate(waiting) if waiting else np.zeros(0, np.uint32)
-            n = -(-len(stream) // BLOCK) if last else len(stream) // BLOCK
-            cut = [stream[i * BLOCK : (i + 1) * BLOCK] for i in range(n)]
-            waiting[:] = [stream[n * BLOCK :]]
-            held = len(waiting[0])
-            for first in range(0, n, GROUP):
-                some = cut[first : first + GROUP]
-                coded = encode_blocks(some, encoder.ids)
-                segments = []
-                for block in some:
-                    inside, stop = [], placed + len(block)
-                    while pending and pending[0][2] < stop:
-                        at, key, start, total = pending[0]
-                        begin, finish = max(start, placed), min(start + total, stop)
-                        inside.append({"row": at, "id": key, "start": start, "total": total, "first": begin - start, "n": finish - begin})
-                        if start + total > stop:
-                            break
-                        pending.popleft()
-                    segments.append(inside)
-                    placed = stop
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(some), pa.int32()), pa.array(range(number, number + len(some)), pa.int64()), pa.array(segments, pa.list_(segment_type)), pa.array(coded, pa.binary())],
-                    names=["part", "block", "segments", "data"],
-                )
-                number += len(some)
+        waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # documents not yet in a row: ids, sizes, tokens
+        held, placed = 0, 0
+
+        def rows(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, placed
+            keys = pa.concat_arrays([k for k, _, _ in waiting])
+            sizes, stream = (np.concatenate(x) for x in list(zip(*waiting))[1:])
+            ends = np.append(0, np.cumsum(sizes))
+            cuts = [0]  # a row ends with the first document that brings it to ROW tokens
+            while cuts[-1] < len(sizes):
+                cut = int(np.searchsorted(ends, ends[cuts[-1]] + ROW))
+                if cut > len(sizes) and not last:
+                    break
+                cuts.append(min(cut, len(sizes)))
+            done = cuts[-1]
+            firsts = ends[cuts]
+            blocks = [stream[at : min(at + BLOCK, stop)] for first, stop in zip(firsts, firsts[1:]) for at in range(first, stop, BLOCK)]
+            coded = [c for first, stop in even_groups(len(blocks)) for c in encode_blocks(blocks[first:stop], encoder.ids)]
+            n = np.diff(firsts)
+            documents = pa.StructArray.from_arrays([keys.slice(0, done), pa.array(sizes[:done])], names=["id", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(n), part, np.int32)),
+                    pa.array(placed + firsts[:-1]),
+                    pa.array(n),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), documents),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(-(-n // BLOCK))), pa.int32()), pa.array(coded, pa.binary())),
+                ],
+                names=["part", "start", "n", "documents", "blocks"],
+            )
+            placed += int(firsts[-1])
+            waiting[:] = [(keys.slice(done), sizes[done:], stream[firsts[-1] :].copy())]
+            held = len(waiting[0][2])
 
         for batch in batches:
             for keys, texts in arrow_slices(batch, SLICE_BYTES):
                 ids, counts = encoder.encode_all(texts)
-                waiting.append(np.insert(ids, np.cumsum(counts), np.uint32(end_id)))
-                held += len(waiting[-1])
-                for key, n in zip(keys.to_pylist(), (counts + 1).tolist()):
-                    pending.append((row, key, end, n))
-                    row, end = row + 1, end + n
-                if held >= BLOCK * GROUP:
-                    yield from blocks(False)
-        yield from blocks(True)
+                waiting.append((keys, counts + 1, np.insert(ids, np.cumsum(counts), np.uint32(end_id))))
+                held += len(waiting[-1][2])
+                if held >= BLOCK * (GROUP + GROUP // 2):
+                    yield from rows(False)
+        if held:
+            yield from rows(True)
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ordered = plain.repartitionByRange("id").sortWithinPartitions("id")
-    schema = f"part int, block long, segments array<struct<{SEGMENT.format(kind=kind).replace(' long', ':long').replace('id ', 'id:')}>>, data binary"
-    ordered.mapInArrow(run, schema).write.parquet(path)
+    ordered.mapInArrow(run, f"part int, start long, n long, documents array<struct<id:{kind},n:long>>, blocks array<binary>").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Rows (id, start, ids): every document with its place in the stream and its ids as 32-bit integers, least byte first."""
-    blocks = spark.read.parquet(path)
-    kind = blocks.schema["segments"].dataType.elementType["id"].dataType.simpleString()
+    stored = spark.read.parquet(path)
+    kind = stored.schema["documents"].dataType.elementType["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, GROUP):
-                some = batch.slice(first, GROUP)
-                segments, owner = some.column(1).flatten(), some.column(1).value_parent_indices().to_numpy()
-                decoded = decode_blocks(some.column(2).to_pylist())
-                sizes = segments.field("n").to_numpy()
-                ends = np.cumsum(sizes)
-                inside = np.zeros(len(sizes), np.int64)  # where the segment begins in its block
-                if len(sizes):
-                    new = np.concatenate([[True], owner[1:] != owner[:-1]])
-                    inside = ends - sizes - np.maximum.accumulate(np.where(new, ends - sizes, 0))
-                data = [decoded[o][i : i + n].astype("<u4").tobytes() for o, i, n in zip(owner.tolist(), inside.tolist(), sizes.tolist())]
-                parts = some.column(0).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [parts, *(segments.field(c) for c in ("row", "id", "start", "total", "first", "n")), pa.array(data, pa.binary())], names=["part", "row", "id", "start", "total", "first", "n", "data"]
-                )
-
-    found = blocks.select("part", "segments", "data").mapInArrow(run, f"part int, {SEGMENT.format(kind=kind)}, data binary")
+            n_blocks = np.append(0, np.cumsum(pc.list_value_length(batch.column(3)).to_numpy()))
+            first = 0
+            for _, stop in even_groups(int(n_blocks[-1])):
+                last = int(np.searchsorted(n_blocks, stop))  # whole rows
+                some = batch.slice(first, last - first)
+                first = last
+                if not some.num_rows:
+                    continue
+                data = np.concatenate(decode_blocks(some.column(3).flatten().to_pylist()))
+                documents, owner = some.column(2).flatten(), some.column(2).value_parent_indices().to_numpy()
+                sizes = documents.field("n").to_numpy()
+                ends = np.append(0, np.cumsum(sizes))
+                if ends[-1] != len(data):
+                    raise ValueError("the documents of a row are not those of its blocks")
+                row_first = ends[np.append(0, np.cumsum(pc.list_value_length(some.column(2)).to_numpy()))[:-1]]
+                start = some.column(1).to_numpy()[owner] + ends[:-1] - row_first[owner]
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * ends), pa.py_buffer(data.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), documents.field("id"), pa.array(start), ids.cast(pa.binary())], names=["part", "id", "start", "data"])
+
+    found = stored.select("part", "start", "documents", "blocks").mapInArrow(run, f"part int, id {kind}, start long, data binary")
     # Where each range begins in the stream; ranges are few: one row for each task that wrote.
-    per_range = blocks.select("part", F.expr("aggregate(segments, 0L, (n, s) -> n + s.n)").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    per_range = stored.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     begins, at = [], 0
     for r in per_range:
         begins.append((r["part"], at))
         at += r["n"]
     begins = F.broadcast(spark.createDataFrame(begins, "part int, begins long"))
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents from their pieces, which follow each other; one document is held at a time."""
-        held: list[bytes] = []
-        for batch in batches:
-            total, n, data = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_pylist()
-            done = 0 if not held else sum(map(len, held)) // 4
-            ends, joined = [], []
-            for i in range(len(data)):
-                held.append(data[i])
-                done += int(n[i])
-                if done == total[i]:
-                    ends.append(i)
-                    joined.append(held[0] if len(held) == 1 else b"".join(held))
-                    held, done = [], 0
-            rows = batch.take(pa.array(ends, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(joined, pa.binary())], names=["part", "id", "start", "data"])
-
-    # One use of the decoded blocks: a second one, for the pieces of documents over several blocks, would decode all again.
-    ordered = found.repartition("part", "row").sortWithinPartitions("part", "row", "first").select("part", "id", "start", "total", "n", "data")
-    rows = ordered.mapInArrow(whole, f"part int, id {kind}, start long, data binary")
-    return rows.join(begins, "part").select(F.col("id").alias(id_col), (F.col("begins") + F.col("start")).alias("start"), F.col("data").alias("ids"))
+    return found.join(begins, "part").select(F.col("id").alias(id_col), (F.col("begins") + F.col("start")).alias("start"), F.col("data").alias("ids"))
