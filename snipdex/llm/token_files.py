@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -49,6 +50,7 @@ STEPS = {
         ],
     },
 }
+BLANKS = re.compile("[\t-\r ]")
 OTHER, BLANK, LETTER, NUMBER, SIGN = range(5)
 
 
@@ -162,6 +164,18 @@ class LibraryEncoder:
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each has; null is empty."""
+        if len(texts) != 1 or texts.nbytes <= 2 * SLICE_BYTES:
+            return self._encode(texts)
+        text, found, at = texts[0].as_py(), [], 0
+        while at < len(text):  # one long text, in parts that end with a blank
+            blank = BLANKS.search(text, at + SLICE_BYTES)
+            stop = blank.end() if blank else len(text)
+            found.append(self._encode(pa.array([text[at:stop]]))[0])
+            at = stop
+        ids = np.concatenate(found)
+        return ids, np.array([len(ids)])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words, counts, other = self._cut(pc.fill_null(texts, ""))
         coded = words.dictionary_encode()
         which = coded.indices.to_numpy()
@@ -172,7 +186,7 @@ class LibraryEncoder:
         ends = np.cumsum(sizes)
         at = np.repeat(start.take(which) - ends + sizes, sizes)
         at += np.arange(len(at))
-        return self.stream.take(at), np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))], prepend=0)[1:]
+        return self.stream.take(at), np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))])
 
 
 def arrow_slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
