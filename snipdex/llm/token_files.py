@@ -35,7 +35,7 @@ from snipdex.llm.range_coder import decode_blocks, encode_blocks
 BLOCK = 2048
 ROW = 64 * BLOCK
 GROUP = 3072
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 6_000_000
 END_ID = 1
 
 
