@@ -6,7 +6,12 @@ neighbours are looked up again. Words are short, so the scan beats any heap; wor
 without blanks) use a heap over linked parts instead, with the same result.
 
 The text is cut at white space first, and the ids of a piece between blanks are remembered, since no word crosses
-white space. A worker keeps that memory over tasks; it is emptied at `KNOWN_PIECES` pieces and holds short ones only.
+white space. A worker keeps that memory over tasks. It holds short pieces only, in two halves: when the younger one has
+`RECENT_PIECES`, the older one is given up; a piece found there is young again. So frequent pieces stay, and a worker
+needs the same memory however many different pieces there are.
+
+Texts and ids are taken from their Arrow batch in slices of bounded bytes and ids; the tokens of a slice are looked up
+and joined by Arrow, without an object for each.
 
 Results: null is encoded as empty; a null list of ids is decoded as null. Empty tables give empty tables.
 Only the id and the text column are read, so other columns cannot clash.
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +38,9 @@ from snipdex.llm.arrow_text import list_array
 LONG_WORD = 64
 KNOWN_PIECES = 1_000_000
 KNOWN_LENGTH = 64
-BATCH_CHARS = 2_000_000
+RECENT_PIECES = 200_000
+SLICE_BYTES = 2_000_000
+SLICE_IDS = 500_000
 
 # Fixed values of the tokenizer: white space, the words within a piece.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -115,15 +123,19 @@ class WordEncoder:
         self.separators = re.compile("[\x1c-\x1f]")  # str.split cuts at these too, the tokenizer does not
         self.specials = re.compile("|".join(re.escape(s) for s in sorted(self.table.special, key=len, reverse=True)))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece without blanks, as 32-bit integers."""
-        ids = array("i")
-        for word in self.words.findall(piece):
-            ids.extend(self.table.encode_word(word.encode()))
-        packed = ids.tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = array("i")
+            for word in self.words.findall(piece):
+                ids.extend(self.table.encode_word(word.encode()))
+            packed = ids.tobytes()
         if len(piece) <= KNOWN_LENGTH:
-            if len(self.known) >= KNOWN_PIECES:
+            if len(self.known) >= RECENT_PIECES:
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[piece] = packed
         return packed
@@ -161,15 +173,21 @@ def built(shared, kind):
     return state[kind.__name__]
 
 
-def text_slices(batch: pa.RecordBatch, size: int = BATCH_CHARS) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids (column 0) and texts (column 1, null as empty) in slices of bounded length."""
-    texts = [t or "" for t in batch.column(1).to_pylist()]
-    first, chars = 0, 0
-    for i, text in enumerate(texts):
-        chars += len(text)
-        if chars >= size or i == len(texts) - 1:
-            yield batch.column(0).slice(first, i + 1 - first), texts[first : i + 1]
-            first, chars = i + 1, 0
+def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Rows [first, last) of up to `limit` bytes or ids, or one row if that row alone has more."""
+    ends = np.cumsum(sizes)
+    first, before = 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, last
+        first, before = last, ends[last - 1]
+
+
+def text_slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids (column 0) and texts (column 1, null as empty) in slices of bounded length; only a slice's texts are made."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for first, last in slices(sizes, size):
+        yield batch.column(0).slice(first, last - first), [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,18 +208,36 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return plain.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def token_strings(path: str) -> pa.Array:
+    """The token of every id, null where there is none."""
+    with open(path, encoding="utf-8") as file:
+        tokens = MergeTable(file.read()).tokens
+    return pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.large_string())
+
+
+def joined(lists: pa.Array, strings: pa.Array) -> pa.Array:
+    """The strings of every list of ids, joined by one blank; null for a null list."""
+    parts = strings.take(lists.flatten())
+    if parts.null_count:
+        raise ValueError("a list holds a null or an id without a token")
+    offsets = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=offsets[1:])
+    made = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), parts), pa.scalar(" ", pa.large_string())).cast(pa.string())
+    return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), made) if lists.null_count else made
+
+
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Rows (id, ids, decoded): the tokens' strings joined by one blank, as this tokenizer has no decoder."""
-    shared = shared_tokenizer(tokens, path)
+    shared = tokens.sparkSession.sparkContext.broadcast(token_strings(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = built(shared, MergeTable).tokens
+        strings = shared.value
         for batch in batches:
             lists = batch.column(1)
-            for first in range(0, len(lists), 500):
-                some = lists.slice(first, 500)
-                texts = [None if ids is None else " ".join([tokens_of[i] for i in ids]) for ids in some.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, 500), some, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, last in slices(counts, SLICE_IDS):
+                some = lists.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), some, joined(some, strings)], names=["id", "ids", "decoded"])
 
     kind = dict(tokens.dtypes)[id_col]
     plain = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))

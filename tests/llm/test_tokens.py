@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -41,6 +43,52 @@ def test_long_and_short_words_are_merged_alike():
         assert table._merge_short(list(parts)) == table._merge_long(list(parts))
 
 
+def test_encoder_remembers_a_bounded_number_of_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "RECENT_PIECES", 300, raising=False)
+    encoder = bpe.WordEncoder(open(WORD, encoding="utf-8").read())
+    for i in range(2000):
+        text = f"often n{i}x often" + " again" * (i % 250 == 0)
+        assert np.frombuffer(encoder.encode(text), np.int32).tolist() == library_ids(text)
+        assert len(encoder.known) + len(getattr(encoder, "older", ())) <= 600
+    assert "often" in encoder.known or "often" in encoder.older  # frequent pieces are not given up
+
+
+def test_only_a_slice_of_a_batch_is_made_into_texts():
+    texts = ["", None, "x" * 9_000_000, *(f"{i} " + "y" * 50_000 for i in range(600)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"]).slice(1)
+    seen = 0
+    tracemalloc.start()
+    for keys, some in bpe.text_slices(batch):
+        assert keys.to_pylist() == list(range(seen + 1, seen + 1 + len(some)))
+        assert some == [t or "" for t in texts[seen + 1 : seen + 1 + len(some)]]
+        seen += len(some)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(texts) - 1
+    assert most < 20_000_000  # the longest text and a slice, of 39 MB
+
+
+def test_joined_tokens_of_odd_lists():
+    strings = bpe.token_strings(WORD)
+    lists = [[5, 6], None, [], [320] * 40, [WORD_LIBRARY.get_vocab_size() - 1], library_ids("a plain text"), [7]]
+    array = pa.array(lists, pa.list_(pa.int32()))
+    want = [None if x is None else WORD_LIBRARY.decode(x, skip_special_tokens=False) for x in lists]
+    assert bpe.joined(array, strings).to_pylist() == want
+    assert bpe.joined(array.slice(1, 4), strings).to_pylist() == want[1:5]
+    assert bpe.joined(array.slice(0, 0), strings).to_pylist() == []
+    for bad in ([None], [len(strings)], [-1]):
+        with pytest.raises((ValueError, IndexError)):
+            bpe.joined(pa.array([[5], bad], pa.list_(pa.int32())), strings)
+
+
+def test_slices_have_bounded_sizes():
+    sizes = np.array([0, 3, 4, 0, 50, 0, 0, 10, 1, 9])
+    found = list(bpe.slices(sizes, 10))
+    assert [i for first, last in found for i in range(first, last)] == list(range(10))
+    assert all(sizes[first:last].sum() <= 10 or last == first + 1 for first, last in found)
+    assert list(bpe.slices(np.zeros(0, np.int64), 10)) == []
+
+
 def test_prefix_counts_at_every_prefix():
     counter = token_counts.PrefixCounter(open(BYTE, encoding="utf-8").read())
     for text in random_texts(400)[:400]:
