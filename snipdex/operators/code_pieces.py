@@ -1,21 +1,23 @@
 """Snippets of code in braces as windows over pieces of text.
 
 A Python function blanks out comments and strings and cuts the text behind every bracket and semicolon, and before lines
-that begin like a declaration (`masking.script_pieces`). A piece is a row. How deep it lies is a running sum of brackets; files of many
-pieces are windowed in ranges with what crosses a border carried over a small table, as for lines (`code_lines`).
+that begin like a declaration (`masking.script_pieces`). The mask of a piece is a row. How deep it lies is a running sum of
+brackets; files of many pieces are windowed in ranges with what crosses a border carried over a small table, as for lines
+(`code_lines`). The code itself stays in the stored table of files until `code_lines.snippets_at` cuts it.
 
 Pieces at the outermost depth, with every group in brackets collapsed to its two brackets, are the skeleton of a file.
 It falls into segments, one for each start of a declaration; in a segment a pattern over the skeleton tells kind and
-name and which group is the body, and the pieces up to the end of that group are the code.
+name and which group is the body, and the pieces up to the end of that group are the code. All of that is seen in masks,
+which have the lengths and line feeds of the code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
-from snipdex.operators.code_lines import BLANKS, short_and_long, windows
+from snipdex.operators.code_lines import BLANKS, place, short_and_long, snippets_at, windows
 from snipdex.operators.masking import csharp_pieces, script_pieces
 from snipdex.session import stored
 
@@ -47,7 +49,7 @@ DECLARATIONS = [
 NAMESPACE = r"(?U)\bnamespace\s+([\w.]+)\s*[{;]$"
 TYPE = r"(?U)\b(class|interface|struct|record|enum)\s+(?:(?:class|struct)\s+)?(\w+)"
 TAIL = r"^\s*(=[^;{}]*|[,.)][^;{}]*)?;$"
-ATTRIBUTES = r"^(\s*\[[^\]]*\])+"
+ATTRIBUTES = r"^\s*(\[[^\]]*\]\s*)*"
 CALL = r"(?U)(\w+)\s*(?:<[^<>()]*(?:<[^<>()]*>[^<>()]*)*>)?\s*\("
 NO_MEMBER = r"(?U)\b(delegate|operator)\b|~\w+\s*\(|\bthis\s*\["
 LAST_WORD = r"(?U)(\w+)\s*$"
@@ -59,19 +61,26 @@ def _last_is(column: str, characters: str) -> Column:
 
 
 def cut_files(files: DataFrame, pieces: Column, path: str, language: Column, keep: tuple[str, ...]) -> DataFrame:
-    """Stored rows (file, meta, pieces) of files with text: a file is cut once and keeps its number.
+    """Stored rows (file, meta, pieces, n_pieces) of files with text: a file is cut once and keeps its number.
 
-    `meta` has path, language and `keep`. Files without text are left out when the rows are read: see `extract_snippets`.
+    `meta` has path, language and `keep`. Files without text are left out when codes are cut: see `extract_snippets`.
     """
     meta = F.struct(F.col(path).alias("path"), language.alias("language"), *keep)
-    cut = stored(files.select(meta.alias("meta"), pieces.alias("pieces")).withColumn("file", F.monotonically_increasing_id()), "pieces")
-    return cut.filter(F.exists("pieces", lambda p: p["code"].rlike("\\S")))
+    cut = files.select(meta.alias("meta"), pieces.alias("pieces")).withColumn("n_pieces", F.size("pieces"))
+    return stored(cut.withColumn("file", F.monotonically_increasing_id()), "pieces")
 
 
 def file_pieces(ready: DataFrame, range_pieces: int) -> DataFrame:
-    """Rows (file, range, i, code, mask, meta) of the pieces of files."""
-    rows = ready.select("file", "meta", F.posexplode("pieces").alias("i", "piece")).select("file", "i", "piece.code", "piece.mask", "meta")
-    return rows.withColumn("range", F.expr(f"i div {range_pieces}"))
+    """Rows (file, range, i, mask, typed) of the pieces of files; `typed` is for scripts."""
+    typed = F.col("meta.language") == "typescript"
+    rows = ready.select("file", typed.alias("typed"), F.posexplode("pieces.mask").alias("i", "mask"))
+    return rows.select("file", F.expr(f"i div {range_pieces}").alias("range"), "i", "mask", "typed")
+
+
+def _codes_of(ready: DataFrame) -> DataFrame:
+    """Rows (file, meta, parts) of the files with text."""
+    codes = ready.select("file", "meta", F.col("pieces.code").alias("parts"))
+    return codes.filter(F.exists("parts", lambda code: code.rlike("\\S")))
 
 
 def with_depth(rows: DataFrame, opening: str, closing: str, ranged: bool) -> DataFrame:
@@ -81,10 +90,9 @@ def with_depth(rows: DataFrame, opening: str, closing: str, ranged: bool) -> Dat
     """
     inside, so_far, ranges, before = windows(ranged, "i")
     delta = F.when(_last_is("mask", opening), 1).when(_last_is("mask", closing), -1).otherwise(0)
-    breaks = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit("")))
-    rows = rows.withColumns({"delta": delta, "breaks": breaks, "ends": F.expr("right(mask, 1)")})
-    rows = rows.withColumn("total", F.sum("delta").over(so_far)).withColumn("lowest", F.min("total").over(so_far))
-    rows = rows.withColumns({"lowest_before": F.lag("lowest").over(inside), "lines": F.sum("breaks").over(so_far), "last": F.lag("ends").over(inside)})
+    rows = rows.withColumns({"delta": delta, "breaks": _breaks(F.col("mask")), "ends": F.expr("right(mask, 1)")})
+    rows = rows.withColumns({"total": F.sum("delta").over(so_far), "lines": F.sum("breaks").over(so_far), "last": F.lag("ends").over(inside)})
+    rows = rows.withColumns({"lowest": F.min("total").over(so_far), "lowest_before": F.min("total").over(inside.rowsBetween(Window.unboundedPreceding, -1))})
     if ranged:
         rows = stored(rows, "summed")  # used twice
         ends = rows.groupBy("file", "range").agg(F.sum("delta").alias("sum"), F.min("total").alias("least"), F.sum("breaks").alias("breaks_here"), F.max_by("ends", "i").alias("end"))
@@ -97,7 +105,7 @@ def with_depth(rows: DataFrame, opening: str, closing: str, ranged: bool) -> Dat
     depth = total - F.col("delta") - F.least(F.lit(0), "least_in", F.col("sum_in") + F.col("lowest_before"))
     after = total - F.least(F.lit(0), "least_in", F.col("sum_in") + F.col("lowest"))
     rows = rows.withColumns({"depth": depth, "after": after, "line": F.col("lines_in") + F.col("lines") - F.col("breaks"), "last": F.coalesce("last", "last_in")})
-    return rows.select("file", "range", "i", "code", "mask", "meta", "depth", "after", "line", "last")
+    return rows.select("file", "range", "i", "mask", "typed", "depth", "after", "line", "last")
 
 
 def head_so_far(rows: DataFrame, starts: Column, columns: list[str], name: str, ranged: bool) -> DataFrame:
@@ -113,10 +121,8 @@ def head_so_far(rows: DataFrame, starts: Column, columns: list[str], name: str,
     return rows.withColumn(name, F.coalesce(name, "own_in")).drop("own", "own_in")
 
 
-def _code(pieces: Column, first: Column) -> Column:
-    """The text of pieces, without blanks and comments before its first word."""
-    text = F.array_join(F.transform(pieces, lambda p: p["code"]), "")
-    return F.substring(text, _lead(first["mask"]) + 1, F.length(text))
+def _breaks(mask: Column) -> Column:
+    return F.length(mask) - F.length(F.replace(mask, F.lit("\n"), F.lit("")))
 
 
 def _lead(mask: Column) -> Column:
@@ -125,15 +131,14 @@ def _lead(mask: Column) -> Column:
 
 
 def _leading_breaks(mask: Column) -> Column:
-    blank = F.substring(mask, F.lit(1), _lead(mask))
-    return F.length(blank) - F.length(F.replace(blank, F.lit("\n"), F.lit("")))
+    return _breaks(F.substring(mask, F.lit(1), _lead(mask)))
 
 
-def script_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), range_pieces: int = RANGE) -> DataFrame:
+def script_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), range_pieces: int = RANGE, rest: bool = False) -> DataFrame:
     """Declarations at the outermost level of JavaScript and TypeScript files.
 
     Rows (keep, path, language, namespace, class_name, member_name, kind, code, start_line, end_line). A file without a
-    declaration is one snippet; blank and null texts give none.
+    declaration is one snippet; blank and null texts give none. With `rest`, lines outside of declarations are snippets too.
     """
     from snipdex.operators.extract import WHOLE_FILE
 
@@ -146,16 +151,15 @@ def script_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
         rows = head_so_far(rows, (F.col("depth") == 0) & new_line & F.col("mask").rlike(START), [], "start", ranged)
         return rows.withColumn("segment", F.col("start.i")).drop("start", "range")
 
-    rows = short_and_long(ready, F.size("pieces"), range_pieces, segments).filter("segment IS NOT NULL")
-    piece = F.struct("i", "code", "mask", "depth", "after", "line")
-    found = rows.groupBy("file", "segment").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.first("meta").alias("meta"))
-    outer = F.filter("pieces", lambda p: (p["depth"] == 0) | (p["after"] == 0))
-    skeleton = F.array_join(F.transform(outer, lambda p: F.when(p["depth"] == 0, p["mask"]).otherwise(F.right(p["mask"], F.lit(1)))), "")
+    rows = short_and_long(ready, F.col("n_pieces"), range_pieces, segments).filter("segment IS NOT NULL")
+    # Of a group in brackets only the two brackets are seen.
+    outer = rows.filter((F.col("depth") == 0) | (F.col("after") == 0))
+    found = outer.groupBy("file", "segment").agg(F.sort_array(F.collect_list(F.struct("i", "mask", "depth", "after", "line"))).alias("pieces"), F.first("typed").alias("typed"))
+    skeleton = F.array_join(F.transform("pieces", lambda p: F.when(p["depth"] == 0, p["mask"]).otherwise(F.right(p["mask"], F.lit(1)))), "")
     found = found.withColumn("skeleton", skeleton)
-    typed = F.col("meta.language") == "typescript"
     judged = F.coalesce(
         *(
-            F.when((typed if only else F.lit(True)) & F.col("skeleton").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("skeleton", pattern, 1).alias("name"), F.regexp_extract("skeleton", pattern, 0).alias("front")))
+            F.when((F.col("typed") if only else F.lit(True)) & F.col("skeleton").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("skeleton", pattern, 1).alias("name"), F.regexp_extract("skeleton", pattern, 0).alias("front")))
             for kind, only, pattern in DECLARATIONS
         )
     )
@@ -164,37 +168,18 @@ def script_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     groups = F.length(F.regexp_replace("d.front", r"[^(\[{]", ""))
     closing = F.filter("pieces", lambda p: (p["depth"] > 0) & (p["after"] == 0))
     found = found.withColumns({"groups": groups, "closing": closing}).filter(F.size("closing") >= F.col("groups"))
-    last = F.when(F.col("groups") > 0, F.element_at("closing", F.greatest(F.col("groups"), F.lit(1)))["i"]).otherwise(F.col("segment") - 1)
+    last = F.when(F.col("groups") > 0, F.element_at("closing", F.greatest(F.col("groups"), F.lit(1))))
     # Behind the last group an alias may go on within the next piece.
     tail = F.when(F.col("d.kind") == "Type Alias", F.rtrim(F.regexp_extract("d.front", r"[^)\]}]*$", 0), F.lit(BLANKS + "\n"))).otherwise("")
-    found = found.withColumns({"last_piece": last, "tail": tail})
-    # The tail becomes a piece of its own.
-    cut = lambda p: F.struct(p["i"].alias("i"), F.when(p["i"] > F.col("last_piece"), F.substring(p["code"], F.lit(1), F.length("tail"))).otherwise(p["code"]).alias("code"))
+    found = found.withColumns({"last": last, "tail": F.length(tail), "behind": F.coalesce(last["i"] + 1, F.col("segment"))})
+    following = F.get(F.filter("pieces", lambda p: p["i"] == F.col("behind")), F.lit(0))
+    end = F.coalesce(following["line"] + _breaks(F.substring(following["mask"], F.lit(1), F.col("tail"))), F.col("last.line") + _breaks(F.col("last.mask")))
     first = F.get("pieces", F.lit(0))
-    code = _code(F.transform(F.filter("pieces", lambda p: p["i"] <= F.col("last_piece") + 1), cut), first)
+    name = F.concat("d.name", F.lit(" ("), "d.kind", F.lit(")"))
     start = first["line"] + _leading_breaks(first["mask"]) + 1
-    found = stored(found.select("file", "meta", "d", code.alias("code"), start.cast("int").alias("start_line")), "declarations")
-    nothing = ready.join(found.select("file").distinct(), "file", "left_anti")
-    whole = F.array_join(F.transform("pieces", lambda p: p["code"]), "")
+    at = place(F.lower("d.kind"), name, F.col("segment"), F.col("behind") - F.col("segment"), start, end + 1, tail=F.col("tail"), lead=_lead(first["mask"]))
     label = F.when(F.col("meta.language") == "javascript", WHOLE_FILE["javascript"]).otherwise(WHOLE_FILE[""])
-    name = F.concat("d.name", F.lit(" ("), "d.kind", F.lit(")"))
-    return _snippets(found, keep, name, F.lower("d.kind")).unionByName(_snippets(nothing.select("meta", whole.alias("code"), F.lit(1).alias("start_line")), keep, label, F.lit("file")))
-
-
-def _snippets(found: DataFrame, keep: tuple[str, ...], name: Column, kind: Column) -> DataFrame:
-    breaks = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit("")))
-    return found.select(
-        *[F.col("meta")[k].alias(k) for k in keep],
-        F.col("meta.path").alias("path"),
-        F.col("meta.language").alias("language"),
-        F.lit("").alias("namespace"),
-        P.file_stem(F.col("meta.path")).alias("class_name"),
-        name.alias("member_name"),
-        kind.alias("kind"),
-        "code",
-        "start_line",
-        (F.col("start_line") + breaks).cast("int").alias("end_line"),
-    )
+    return snippets_at(_codes_of(ready), found.select("file", at.alias("place")), "", keep, F.col("meta.language"), label, rest)
 
 
 def _declarations(rows: DataFrame, level: Column, name: str, columns: list[str], ranged: bool) -> DataFrame:
@@ -231,16 +216,25 @@ def _namespaces(rows: DataFrame, blocks: bool, ranged: bool) -> DataFrame:
 
 
 def _bare(head: Column) -> Column:
-    """The text before a body, without attributes."""
+    """The text before a body, without attributes and the blanks of comments before it."""
     return F.trim(F.regexp_replace(F.regexp_replace(head, r"[{;]$", ""), ATTRIBUTES, ""))
 
 
-def _members(head: Column, has_body: Column, owner: Column, modifiers: list[str]) -> Column:
+def _with_members(found: DataFrame, modifiers: list[str]) -> DataFrame:
+    """Adds `found`: an array of (kind, name) that a type or a member declaration declares.
+
+    What several patterns look at are columns of their own: within one expression each pattern would work it out again.
+    """
+    found = found.withColumn("head", F.when(~F.col("role.whole"), _bare(F.col("first.mask"))))
+    found = found.withColumns({"front": F.regexp_extract("head", r"(?s)^(.*?)(?:=>|=(?!=)|$)", 1), "value": F.regexp_extract("head", r"=>|=(?!=)", 0)})
+    call = F.get(F.filter(F.regexp_extract_all("front", F.lit(CALL), F.lit(1)), lambda c: ~c.isin(modifiers)), F.lit(0))
+    found = found.withColumns({"last_word": F.regexp_extract("front", LAST_WORD, 1), "call": call})
+    members = _members(F.col("head"), F.col("front"), F.col("value"), F.col("last_word"), F.col("call"), F.col("first.mask").endswith("{"), F.col("owner"))
+    return found.withColumn("found", F.when(F.col("role.whole"), F.array(F.struct("kind", F.col("owner").alias("name")))).otherwise(members))
+
+
+def _members(head: Column, front: Column, value: Column, last_word: Column, call: Column, has_body: Column, owner: Column) -> Column:
     """An array of (kind, name) that a member declaration declares."""
-    front = F.regexp_extract(head, r"(?s)^(.*?)(?:=>|=(?!=)|$)", 1)
-    value = F.regexp_extract(head, r"=>|=(?!=)", 0)
-    last_word = F.regexp_extract(front, LAST_WORD, 1)
-    call = F.get(F.filter(F.regexp_extract_all(front, F.lit(CALL), F.lit(1)), lambda c: ~c.isin(modifiers)), F.lit(0))
     flat = F.regexp_replace(head, r"<[^;=]*>|\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " ")
     names = F.filter(F.transform(F.split(flat, ","), lambda part: F.regexp_extract(F.get(F.split(part, "="), F.lit(0)), LAST_WORD, 1)), lambda n: n != "")
     none = F.array().cast("array<struct<kind:string,name:string>>")
@@ -255,58 +249,50 @@ def _members(head: Column, has_body: Column, owner: Column, modifiers: list[str]
     )
 
 
-def csharp_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), range_pieces: int = RANGE) -> DataFrame:
+def csharp_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), range_pieces: int = RANGE, rest: bool = False) -> DataFrame:
     """Types of C# files that are not nested in types, and their direct members, with their whole code.
 
-    In damaged files, what is closed is found even where a type around it is not.
+    In damaged files, what is closed is found even where a type around it is not. With `rest`, lines outside of types are
+    snippets too.
 
     Rows (keep, path, language, namespace, class_name, member_name, kind, code, start_line, end_line).
     """
     from snipdex.operators.extract import CSHARP_LABELS, CSHARP_MODIFIERS
 
     ready = cut_files(files, csharp_pieces(F.col(text)), path, F.lit("csharp"), keep)
-    opens = F.exists("pieces", lambda p: p["mask"].endswith("{") & F.contains(p["mask"], F.lit("namespace")))
+    opens = F.exists("pieces.mask", lambda mask: mask.endswith("{") & F.contains(mask, F.lit("namespace")))
     blocks = not ready.filter(opens).isEmpty()
 
     def declared(some: DataFrame, ranged: bool) -> DataFrame:
         rows = _namespaces(with_depth(file_pieces(some, range_pieces), "{", "}", ranged), blocks, ranged)
-        bare = _bare(F.col("mask"))
-        kind = F.when(F.col("names") == "", F.regexp_extract(bare, TYPE, 1)).otherwise("")
-        rows = rows.withColumns({"kind": kind, "owner": F.regexp_extract(bare, TYPE, 2), "opens": F.col("mask").endswith("{")})
+        rows = rows.withColumn("bare", _bare(F.col("mask")))
+        kind = F.when(F.col("names") == "", F.regexp_extract("bare", TYPE, 1)).otherwise("")
+        rows = rows.withColumns({"kind": kind, "owner": F.regexp_extract("bare", TYPE, 2), "opens": F.col("mask").endswith("{")}).drop("bare")
         rows = _declarations(rows, F.col("level"), "type", ["kind", "owner", "opens"], ranged)
         rows = rows.filter((F.col("type.kind") != "") & (F.col("after") >= F.col("level")))
         return _declarations(rows, F.col("level") + 1, "member", ["opens"], ranged)
 
-    rows = short_and_long(ready, F.size("pieces"), range_pieces, declared)
+    rows = short_and_long(ready, F.col("n_pieces"), range_pieces, declared)
     # A piece belongs to its type, and to the member that it lies in: both are gathered by one shuffle.
     in_type = F.struct(F.lit(True).alias("whole"), F.col("type.i").alias("first"), F.col("level").alias("at"))
     holds = (F.col("depth") > F.col("level")) & (F.col("after") > F.col("level")) & (F.col("type.kind") != "enum") & F.col("type.opens") & (F.col("member.i") > F.col("type.i"))
     in_member = F.struct(F.lit(False).alias("whole"), F.col("member.i").alias("first"), (F.col("level") + 1).alias("at"))
     roles = F.when(holds, F.array(in_type, in_member)).otherwise(F.array(in_type))
-    flat = [F.col("type.kind").alias("kind"), F.col("type.owner").alias("owner")]
-    rows = rows.select("file", "i", "code", "mask", "meta", "after", "line", "space", *flat, roles.alias("roles"))
-    rows = rows.withColumn("role", F.explode("roles")).drop("roles")
-    piece = F.struct("i", "code", "mask", "after", "line")
+    rows = rows.select("file", "i", "mask", "after", "line", "space", F.col("type.kind").alias("kind"), F.col("type.owner").alias("owner"), F.explode(roles).alias("role"))
+    # The pieces of a role follow each other: only the first and the last are looked at.
     found = rows.groupBy("file", "role").agg(
-        F.sort_array(F.collect_list(piece)).alias("pieces"), F.first("meta").alias("meta"), F.first("space").alias("space"), F.first("kind").alias("kind"), F.first("owner").alias("owner")
+        F.min(F.struct("i", "mask", "line")).alias("first"), F.max(F.struct("i", "mask", "line", "after")).alias("end"), F.first("space").alias("space"), F.first("kind").alias("kind"), F.first("owner").alias("owner")
     )
-    first, end = F.get("pieces", F.lit(0)), F.element_at("pieces", -1)
+    first, end = F.col("first"), F.col("end")
     # A declaration that is not ended, or that has no text, is none.
     found = found.filter((end["after"] == F.col("role.at")) & end["mask"].rlike(r"[};]$"))
-    members = _members(_bare(first["mask"]), first["mask"].endswith("{"), F.col("owner"), sorted(CSHARP_MODIFIERS))
-    found = found.withColumn("found", F.when(F.col("role.whole"), F.array(F.struct("kind", F.col("owner").alias("name")))).otherwise(members))
-    both = found.select("meta", "space", "owner", _code(F.col("pieces"), first).alias("code"), (first["line"] + _leading_breaks(first["mask"]) + 1).cast("int").alias("start_line"), F.explode("found").alias("one"))
+    found = _with_members(found, sorted(CSHARP_MODIFIERS))
     labels = F.create_map(*(F.lit(x) for pair in CSHARP_LABELS.items() for x in pair))
-    breaks = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit("")))
-    return both.select(
-        *[F.col("meta")[k].alias(k) for k in keep],
-        F.col("meta.path").alias("path"),
-        F.lit("csharp").alias("language"),
-        F.col("space").alias("namespace"),
-        F.col("owner").alias("class_name"),
-        F.concat("one.name", F.lit(" ("), labels[F.col("one.kind")], F.lit(")")).alias("member_name"),
-        F.col("one.kind").alias("kind"),
-        "code",
-        "start_line",
-        (F.col("start_line") + breaks).cast("int").alias("end_line"),
+    # The plain explode would have members worked out again, in a filter that it brings along.
+    found = found.select("file", "first", "end", "space", "owner", F.explode_outer("found").alias("one")).filter("one IS NOT NULL")
+    name = F.concat("one.name", F.lit(" ("), labels[F.col("one.kind")], F.lit(")"))
+    start = first["line"] + _leading_breaks(first["mask"]) + 1
+    at = place(
+        F.col("one.kind"), name, first["i"], end["i"] - first["i"] + 1, start, end["line"] + _breaks(end["mask"]) + 1, lead=_lead(first["mask"]), namespace=F.col("space"), owner=F.col("owner")
     )
+    return snippets_at(_codes_of(ready), found.select("file", at.alias("place")), "", keep, F.lit("csharp"), rest=rest)

@@ -169,15 +169,15 @@ def extract_snippets(files: DataFrame, path: str = "path", text: str = "text", k
     for name, form in forms.items():
         languages = [lang for lang, kind in COLUMN_FORMS.items() if kind == name and lang not in table]
         if languages:
-            parts.append(form(ready.filter(F.col("_language").isin(languages)), "_path", "_text", keep))
+            parts.append(form(ready.filter(F.col("_language").isin(languages)), "_path", "_text", keep, rest=rest))
     if table:
-        parts.append(_by_function(_with_text(ready, table), keep, table))
-    found = functools.reduce(DataFrame.unionByName, parts)
-    if not rest:
-        return found
-    found = stored(found, "snippets")
-    known = _with_text(ready, [*table, *COLUMN_FORMS])
-    return found.unionByName(rest_of_lines(known, found, "_path", "_text", keep))
+        known = _with_text(ready, table)
+        found = _by_function(known, keep, table)
+        if rest:
+            found = stored(found, "snippets")  # used twice
+            found = found.unionByName(rest_of_lines(known, found, "_path", "_text", keep))
+        parts.append(found)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def parse_report(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -18,6 +18,10 @@ SETTINGS = {
 }
 
 
+#: Stored tables with the whole texts of files: worth a slower codec, since they are the most of what a job stores.
+TEXT_TABLES = {"masked", "pieces"}
+
+
 def build_session(app: str = "snipdex", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators are tuned for; `extra` wins."""
     builder = SparkSession.builder.appName(app)
@@ -63,7 +67,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: computed once, no lineage."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("compression", "zstd") if label in TEXT_TABLES else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +226,74 @@ def test_rest_over_ranges(spark, range_lines):
     assert sorted((r.path, r.code, r.start_line, r.end_line) for r in found.collect()) == [("/r/x.ts", "a", 1, 1), ("/r/x.ts", "c", 5, 5), ("/r/x.ts", "e", 10, 10)]
 
 
+PARTS = {
+    ".py": ["import x", "", "   ", "def f():\n    # é\n    return 1", "y = 2", "class A:\n\n    z = 1", "\tq()", "s = '''\ndef no():\n'''"],
+    ".js": ["foo();", "", "  ", "function a() {\n  return '{';\n}", "  // é {", "const g = () => {\n}; bar();", "class Q {\n\n}", "type T = { a: 1 } & B"],
+    ".ts": ["foo();", "", "  ", "type T = { a: 1 } &\n  B", "  // é {", "export const g = (a: { b: 1 }) => {\n}", "enum E {\n A }", "type U =\n  | B"],
+    ".cs": ["using X;", "", "  ", "class A {\n  // é }\n  int x, y;\n\n  void M() {\n  }\n}", "// end", "namespace N {", "enum E { A,\n B }", "}", "}"],
+}
+
+
+def _uncovered(text, found):
+    """Runs of lines with text that no snippet has, by a walk over all lines."""
+    lines, runs = text.split("\n"), [[]]
+    covered = {n for first, last in found for n in range(first, last + 1)}
+    for n, line in enumerate(lines, 1):
+        if n in covered:
+            runs.append([])
+        elif line.strip() or runs[-1]:
+            runs[-1].append(n)
+    ends = [(run[0], max(n for n in run if lines[n - 1].strip())) for run in runs if run]
+    return [("\n".join(lines[a - 1 : b]).rstrip(), a, b) for a, b in ends]
+
+
+@pytest.mark.parametrize("suffix", sorted(PARTS))
+@pytest.mark.parametrize("size", [2, 4096])
+def test_rest_is_what_no_snippet_has(spark, suffix, size):
+    """In files of one range and of several ones, with places beside and in each other, and in files without any."""
+    from snipdex.operators import code_lines, code_pieces
+
+    form = {".py": code_lines.python_snippets, ".cs": code_pieces.csharp_snippets}.get(suffix, code_pieces.script_snippets)
+    rng = random.Random(size)
+    files = [(f"/r/f{i}{suffix}", "\n".join(rng.choices(PARTS[suffix], k=rng.randint(1, 12)))) for i in range(120)] + [(f"/r/none{suffix}", None), (f"/r/blank{suffix}", " \n")]
+    df = spark.createDataFrame(files, "path string, text string").repartition(3)
+    found = form(df, "path", "text", (), size, rest=True).collect()
+    for path, text in files:
+        here = [r for r in found if r.path == path]
+        assert all(r.code.count("\n") == r.end_line - r.start_line for r in here)
+        rest = sorted((r.code, r.start_line, r.end_line) for r in here if r.kind == "rest")
+        assert rest == sorted(_uncovered(text, [(r.start_line, r.end_line) for r in here if r.kind != "rest"]) if text and text.strip() else [])
+    plain = form(df, "path", "text", (), size).collect()
+    assert sorted(map(tuple, plain)) == sorted(tuple(r) for r in found if r.kind != "rest")
+
+
+@pytest.mark.parametrize("suffix", sorted(PARTS))
+def test_texts_are_stored_once(spark, monkeypatch, suffix):
+    """Of all that is stored for snippets and the rest, only one table has the texts; rows of windows have none."""
+    import os
+
+    from snipdex.operators import code_lines, code_pieces
+
+    sizes = {}
+
+    def watched(df, label):
+        table = stored(df, label)
+        sizes[label] = sizes.get(label, 0) + sum(os.path.getsize(f.removeprefix("file://")) for f in table.inputFiles())
+        return table
+
+    for module in (code_lines, code_pieces, E):
+        monkeypatch.setattr(module, "stored", watched)
+    rng = random.Random(1)
+    block = {".py": "# {0}\ndef f():\n    # {1}\n    return 1\n{0}", ".cs": "// {0}\nclass A {{\n  // {1}\n}}"}.get(suffix, "// {0}\nfunction f() {{\n  // {1}\n}}\n")
+    texts = ["\n".join(block.format(rng.randbytes(200).hex(), rng.randbytes(200).hex()) for _ in range(20)) for _ in range(100)]
+    df = spark.createDataFrame([(f"/r/f{i}{suffix}", text) for i, text in enumerate(texts)], "path string, text string").repartition(2)
+    assert E.extract_snippets(df, rest=True).count() >= 4000
+    texts_bytes = sum(map(len, texts))
+    assert sum(sizes.values()) < 1.3 * texts_bytes, sizes
+    lines = code_lines.file_lines(spark.createDataFrame([(1, "a\nb")], "file long, mask string"), 1)
+    assert lines.columns == ["file", "range", "n", "mask"]
+
+
 def test_a_batch_of_files_is_masked_in_slices():
     """All texts of a batch in order, with never more than a slice of them as Python strings."""
     import tracemalloc
