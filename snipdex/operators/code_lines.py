@@ -149,7 +149,8 @@ def _per_file(places: DataFrame, keys: list[str], rest: bool) -> DataFrame:
     return found.select(*keys, "places", F.concat("gaps", F.array(_rest(F.coalesce("covered", F.lit(0))))).alias("gaps"))
 
 
-def _breaks(text: str) -> Column:
+def breaks(text: Column | str) -> Column:
+    """How many line feeds a text has."""
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
@@ -160,7 +161,8 @@ def snippets_at(ready: DataFrame, places: DataFrame, between: str, keep: tuple[s
     lines with text that no place has are snippets too. Codes are put together of parts, so a file of many snippets is
     not walked again for each.
     """
-    found = ready.join(_per_file(places, ["file"], rest), "file", "left")
+    # Places lie where windows left them. A broadcast would be planned when the texts are moved already, and pass the driver.
+    found = ready.join(_per_file(places, ["file"], rest).hint("merge"), "file", "left")
     none = F.col("places").isNull()
     all_places = F.coalesce("places", F.array().cast(f"array<{PLACE}>"))
     if whole is not None:
@@ -189,7 +191,7 @@ def _codes(cut: DataFrame, between: str, keep: tuple[str, ...], language: Column
     # The rest begins with its first line with text, and keeps the blanks of that line.
     bare = F.ltrim("code", F.lit(BLANKS + "\n"))
     blank = F.substring("code", F.lit(1), F.length("code") - F.length(bare))
-    skipped = F.when(is_rest, F.length(blank) - F.length(F.replace(blank, F.lit("\n"), F.lit("")))).otherwise(0)
+    skipped = F.when(is_rest, breaks(blank)).otherwise(0)
     code = F.when(skipped > 0, F.concat(F.substring_index(blank, "\n", -1), bare)).otherwise(F.col("code"))
     cut = cut.select("meta", "at", code.alias("code"), (F.col("at.start_line") + skipped).alias("start_line"))
     return cut.select(
@@ -202,7 +204,7 @@ def _codes(cut: DataFrame, between: str, keep: tuple[str, ...], language: Column
         F.col("at.kind").alias("kind"),
         "code",
         "start_line",
-        F.coalesce("at.end_line", F.col("start_line") + _breaks("code")).cast("int").alias("end_line"),
+        F.coalesce("at.end_line", F.col("start_line") + breaks("code")).cast("int").alias("end_line"),
     )
 
 

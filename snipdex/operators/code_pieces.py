@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snipdex.functions import paths as P
-from snipdex.operators.code_lines import BLANKS, place, short_and_long, snippets_at, windows
+from snipdex.operators.code_lines import BLANKS, breaks, place, short_and_long, snippets_at, windows
 from snipdex.operators.masking import csharp_pieces, script_pieces
 from snipdex.session import stored
 
@@ -90,7 +90,7 @@ def with_depth(rows: DataFrame, opening: str, closing: str, ranged: bool) -> Dat
     """
     inside, so_far, ranges, before = windows(ranged, "i")
     delta = F.when(_last_is("mask", opening), 1).when(_last_is("mask", closing), -1).otherwise(0)
-    rows = rows.withColumns({"delta": delta, "breaks": _breaks(F.col("mask")), "ends": F.expr("right(mask, 1)")})
+    rows = rows.withColumns({"delta": delta, "breaks": breaks("mask"), "ends": F.expr("right(mask, 1)")})
     rows = rows.withColumns({"total": F.sum("delta").over(so_far), "lines": F.sum("breaks").over(so_far), "last": F.lag("ends").over(inside)})
     rows = rows.withColumns({"lowest": F.min("total").over(so_far), "lowest_before": F.min("total").over(inside.rowsBetween(Window.unboundedPreceding, -1))})
     if ranged:
@@ -121,17 +121,13 @@ def head_so_far(rows: DataFrame, starts: Column, columns: list[str], name: str,
     return rows.withColumn(name, F.coalesce(name, "own_in")).drop("own", "own_in")
 
 
-def _breaks(mask: Column) -> Column:
-    return F.length(mask) - F.length(F.replace(mask, F.lit("\n"), F.lit("")))
-
-
 def _lead(mask: Column) -> Column:
     """How many blanks and line feeds a text begins with."""
     return F.length(mask) - F.length(F.ltrim(mask, F.lit(BLANKS + "\n")))
 
 
 def _leading_breaks(mask: Column) -> Column:
-    return _breaks(F.substring(mask, F.lit(1), _lead(mask)))
+    return breaks(F.substring(mask, F.lit(1), _lead(mask)))
 
 
 def script_snippets(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), range_pieces: int = RANGE, rest: bool = False) -> DataFrame:
@@ -173,7 +169,7 @@ def script_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     tail = F.when(F.col("d.kind") == "Type Alias", F.rtrim(F.regexp_extract("d.front", r"[^)\]}]*$", 0), F.lit(BLANKS + "\n"))).otherwise("")
     found = found.withColumns({"last": last, "tail": F.length(tail), "behind": F.coalesce(last["i"] + 1, F.col("segment"))})
     following = F.get(F.filter("pieces", lambda p: p["i"] == F.col("behind")), F.lit(0))
-    end = F.coalesce(following["line"] + _breaks(F.substring(following["mask"], F.lit(1), F.col("tail"))), F.col("last.line") + _breaks(F.col("last.mask")))
+    end = F.coalesce(following["line"] + breaks(F.substring(following["mask"], F.lit(1), F.col("tail"))), F.col("last.line") + breaks(F.col("last.mask")))
     first = F.get("pieces", F.lit(0))
     name = F.concat("d.name", F.lit(" ("), "d.kind", F.lit(")"))
     start = first["line"] + _leading_breaks(first["mask"]) + 1
@@ -293,6 +289,6 @@ def csharp_snippets(files: DataFrame, path: str = "path", text: str = "text", ke
     name = F.concat("one.name", F.lit(" ("), labels[F.col("one.kind")], F.lit(")"))
     start = first["line"] + _leading_breaks(first["mask"]) + 1
     at = place(
-        F.col("one.kind"), name, first["i"], end["i"] - first["i"] + 1, start, end["line"] + _breaks(end["mask"]) + 1, lead=_lead(first["mask"]), namespace=F.col("space"), owner=F.col("owner")
+        F.col("one.kind"), name, first["i"], end["i"] - first["i"] + 1, start, end["line"] + breaks(end["mask"]) + 1, lead=_lead(first["mask"]), namespace=F.col("space"), owner=F.col("owner")
     )
     return snippets_at(_codes_of(ready), found.select("file", at.alias("place")), "", keep, F.lit("csharp"), rest=rest)

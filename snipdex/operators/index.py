@@ -35,8 +35,8 @@ def build_index(
 ) -> DataFrame:
     """Points for a file listing (root, path, text): extract, clean, truncate, embed.
 
-    With `rest`, lines outside of declarations become points too. Extraction shuffles lines and pieces of files, never
-    whole files.
+    With `rest`, lines outside of declarations become points too. Extraction shuffles masks of lines and
+    pieces, and each text once.
     """
     placed = files.withColumn("collection", P.collection_name(F.col("root")))
     snippets = extract_snippets(placed, keep=("collection",), rest=rest)
